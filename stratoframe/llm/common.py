@@ -53,3 +53,8 @@ def literal_array(values: Sequence[str | int]) -> Column:
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """withColumn for a costly value with several uses: made by a generator, it isn't copied into each of them."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """For a join: the side is broadcast if it has at most so many (short) rows; else Spark joins by a shuffle and splits skewed keys. The side should be cut off before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratoframe.llm import license_scan, line_dedup
+from stratoframe.llm import decontaminate, factorization, iblt, license_scan, line_dedup, simhash, source_mix
 from stratoframe.llm.common import read
 
 
@@ -18,8 +19,35 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = source_mix.mixed_rows(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op8_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.neighbours(read(spark, sf_dir, "documents"))
+
+
+def op9_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    machine = factorization.train(docs, read(spark, sf_dir, "labels"))
+    found = factorization.scored(docs.select("doc_id", factorization.held_out(F.col("doc_id")).alias("held_out"), "text"), machine)
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.digest_of_items("items").alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup)}
+    found = (op1_license_scan, op2_line_dedup, op4_simhash, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
