@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 FACTORS = 6
 SAMPLE = 8_000
-EPOCHS = 12
+EPOCHS = 6
 STATISTICS = (
     "log of characters",
     "log of words",
@@ -146,7 +146,7 @@ def fit(rows: list[tuple[Features, int]], epochs: int = EPOCHS, factors: int = F
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        pace = rate * 0.5 ** (epoch / 4)
+        pace = rate * 0.5 ** (epoch / 2)
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             step += 1

@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the base sketch (a multiple of three), and the words after which a long run may be cut.
+#: Cells of the base sketch (a multiple of three); bytes up to which a sentence is one piece; words after which a longer run is cut at the latest.
 CELLS = 24
+LONG = 600
 RUN = 24
 _PIECE = re.compile(rb"[^\n]*?[.!?](?=\s)|[^\n]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +45,7 @@ def pieces_of(text: bytes) -> list[bytes]:
     for piece in _PIECE.findall(text):
         if not (piece := piece.strip()):
             continue
-        if len(piece) <= 8 * RUN:
+        if len(piece) <= LONG:
             out.append(piece)
             continue
         run: list[bytes] = []
@@ -72,11 +73,10 @@ def check_of(digests: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def places_of(digests: np.ndarray, cells: int) -> np.ndarray:
+def places_of(digests: np.ndarray, cells: int) -> list[np.ndarray]:
     """For each digest one cell in each third of the table."""
     third = np.uint64(cells // 3)
-    parts = [(((digests >> np.uint64(s)) * _MIX) >> np.uint64(24)) % third + np.uint64(k) * third for k, s in enumerate((0, 17, 31))]
-    return np.stack(parts).astype(np.int64)
+    return [((((digests >> np.uint64(s)) * _MIX) >> np.uint64(24)) % third + np.uint64(k) * third).view(np.int64) for k, s in enumerate((0, 17, 31))]
 
 
 def sketch(digests: np.ndarray, cells: int) -> Table:
