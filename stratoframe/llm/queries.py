@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratoframe.llm import decontaminate, factorization, iblt, license_scan, line_dedup, simhash, source_mix
+from stratoframe.llm import decontaminate, factorization, iblt, license_scan, line_dedup, simhash, site_template, source_mix, suffix_tree_lm, url_templates
 from stratoframe.llm.common import read
 
 
@@ -19,11 +19,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_template.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = source_mix.mixed_rows(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -46,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_line_dedup, op4_simhash, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate)
+    found = (op1_license_scan, op2_line_dedup, op3_suffix_tree_lm, op4_simhash, op5_site_template, op6_url_templates, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate)
     return {f.__name__: f for f in found}
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import cut_lineage
+from stratoframe.llm.common import cut_lineage, free_name
 
 SHINGLE = 4
 DISTANCE = 4
@@ -191,3 +191,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def hex_digits(fp: str) -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The input's rows and columns: of each group of near-duplicates the document with the least id; of rows that share that id, one."""
+    marked = near_duplicates(docs, doc_id, text, **options)
+    key = free_name(docs, "kept_key")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named("doc_id").alias(key)).distinct()
+    # the join leaves rows dealt and sorted by the key, so dropping repeated ids needs no shuffle of its own
+    return docs.withColumn(key, named(doc_id)).join(kept, key).dropDuplicates([key]).drop(key)
