@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import broadcast_if_small, cut_lineage, once
+from stratoframe.llm.common import broadcast_if_small, cut_lineage, free_name, once
 
 WINDOW = 13
 SHINGLE = 3
@@ -192,8 +192,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
     """The input's rows and columns without contaminated documents. Only the contaminated ones' ids and keys are joined."""
-    bad = judge(docs, benchmark, doc_id, text, **options).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    return docs.join(broadcast_if_small(cut_lineage(bad), 1_000_000), F.col(doc_id).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_key")), "left_anti")
+    names = [free_name(docs, f"bad_{c}") for c in ("id", "key")]
+    bad = judge(docs, benchmark, doc_id, text, **options).filter("contaminated").select("doc_id", "key").toDF(*names).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1]))
+    return docs.join(broadcast_if_small(cut_lineage(bad), 1_000_000), same, "left_anti")
 
 
 def digest_of_items(items: str) -> F.Column:

@@ -63,5 +63,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+
+def _license_sql() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM words, range(1, len(w) + 1) t(i) WHERE w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}" for phrase, label in license_scan.PHRASES
+    )
+    templates = " UNION ALL ".join(f"SELECT {sorted(set(t.split()))} AS t, '{label}' AS label" for label, t in license_scan.TEMPLATES)
+    return f"""
+    WITH words AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+    places AS ({places}),
+    base AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+    blocks AS (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS b FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+    templates AS ({templates}),
+    found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(b, t)) >= ceil(round({license_scan.THRESHOLD} * len(t), 9))),
+    method AS (SELECT doc_id, max(share) AS best, list(DISTINCT label) AS labels FROM found GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l AS last_word,
+      coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+      coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ','), '') AS labels,
+      CAST(CASE WHEN n > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+    FROM words LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)"""
+
+
+_LINES_SQL = f"""
+WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT source, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY source),
+bad AS (SELECT l.source, trim(line) AS line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE trim(line) <> '' GROUP BY l.source, trim(line), pages
+  HAVING count(DISTINCT text) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT text) / pages >= {line_dedup.RATIO}),
+marked AS (SELECT l.*, b.line IS NOT NULL AS drop_it FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line),
+cleaned AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE drop_it) AS n, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT drop_it), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n > 0 AND NOT length(kept) < {1 - line_dedup.MOST} * length(d.text) THEN n ELSE 0 END AS n_dropped,
+  CASE WHEN length(kept) < {1 - line_dedup.MOST} * length(d.text) THEN d.text ELSE kept END AS text
+FROM documents d LEFT JOIN cleaned USING (doc_id)"""
+
+
+def _mix_sql() -> str:
+    weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(source_mix.WEIGHTS))
+    return rf"""
+    WITH sized AS (SELECT doc_id, source, md5(coalesce(text, '')) AS body, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+    sources AS (SELECT source, sum(size) AS s, sum(size * sqrt(size)) AS roots FROM sized GROUP BY source),
+    weighed AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(source_mix.WEIGHTS)} {weight} END AS DOUBLE) AS w FROM sources),
+    summed AS (SELECT *, (sum(s) OVER () - coalesce(sum({source_mix.MOST} * s) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fair FROM weighed),
+    goal AS (SELECT source, s, roots, CASE WHEN {source_mix.MOST} * s < fair * w THEN CAST({source_mix.MOST} * s AS DOUBLE) ELSE w * (SELECT fair FROM summed WHERE {source_mix.MOST} * s >= fair * w ORDER BY s / w, source LIMIT 1) END AS target FROM summed),
+    parts AS (SELECT *, floor(CASE WHEN s > 0 THEN target / s ELSE 0 END + 1e-9) AS whole FROM goal),
+    rests AS (SELECT *, greatest(target - whole * s, 0) AS rest FROM parts),
+    ranked AS (SELECT d.*, r.s, r.target, r.whole, r.rest, least(CASE WHEN roots > 0 THEN rest / roots ELSE 0 END * sqrt(size), {source_mix.CERTAIN}) AS p,
+      (CAST('0x' || substr(md5('{source_mix.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / {1 << 48} AS u FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
+    ordered AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM ranked),
+    running AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM ordered)
+    SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target, CAST(size * (whole + CASE WHEN rank IS NOT NULL AND so_far + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM running"""
+
+
+_CLEAN_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i:i + {decontaminate.WINDOW - 1}], ' ') AS win, least(len(w), {decontaminate.WINDOW}) AS size FROM items, range(1, greatest(len(w) - {decontaminate.WINDOW - 1}, 1) + 1) t(i) WHERE len(w) > 0 AND i <= greatest(len(w) - {decontaminate.WINDOW - 1}, 1)),
+words AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+grams AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM words, (SELECT DISTINCT size FROM windows), range(1, len(w) + 1) t(i) WHERE i + size - 1 <= len(w)),
+hits AS (SELECT doc_id, i, g.size, item_id FROM grams g JOIN windows USING (size, win)),
+places AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM hits, range(hits.size) t(k) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AND {decontaminate.SHARE} * coalesce(p.n, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN places p USING (doc_id) LEFT JOIN named i USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have none: fitted models (3, 9), XXH64 (4), a parser of HTML (5), a tree grown level by level (6), bit-level sketches (8). Tests hold them against brute force."""
+    return {"op1_license_scan": _license_sql(), "op2_line_dedup": _LINES_SQL, "op7_source_mix": _mix_sql(), "op10_decontaminate": _CLEAN_SQL}

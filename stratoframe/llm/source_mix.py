@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import broadcast_if_small, cut_lineage
+from stratoframe.llm.common import broadcast_if_small, cut_lineage, free_name
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -116,7 +116,7 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options: object) -> DataFrame:
     """The documents' rows and columns, each as many times as the mix takes it."""
-    taken = copies(docs, doc_id, text, source, **options).filter("copies > 0").select(F.col("doc_id").alias("side_id"), F.col("source").alias("side_source"), F.col("key").alias("side_key"), F.col("copies").alias("side_copies"))
-    same = F.col(doc_id).eqNullSafe(F.col("side_id")) & F.col(source).eqNullSafe(F.col("side_source")) & (F.xxhash64(text) == F.col("side_key"))
-    joined = docs.join(taken, same).withColumn("side_copy", F.explode(F.array_repeat(F.lit(0), F.col("side_copies"))))
-    return joined.drop("side_id", "side_source", "side_key", "side_copies", "side_copy")
+    names = [free_name(docs, f"mix_{c}") for c in ("id", "source", "key", "copies", "copy")]
+    taken = copies(docs, doc_id, text, source, **options).filter("copies > 0").select("doc_id", "source", "key", "copies").toDF(*names[:4])
+    same = F.col(doc_id).eqNullSafe(F.col(names[0])) & F.col(source).eqNullSafe(F.col(names[1])) & (F.xxhash64(text) == F.col(names[2]))
+    return docs.join(taken, same).withColumn(names[4], F.explode(F.array_repeat(F.lit(0), F.col(names[3])))).drop(*names)
