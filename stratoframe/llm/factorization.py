@@ -127,33 +127,54 @@ class Machine(NamedTuple):
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[Features, int]], epochs: int = EPOCHS, factors: int = FACTORS, seed: int = 1, rate: float = 0.02, batch: int = 128, decay: float = 1e-4) -> Machine:
+class Sample(NamedTuple):
+    """Training rows, flat: row k has the buckets and weights from starts[k] to starts[k + 1]."""
+
+    starts: np.ndarray
+    buckets: np.ndarray
+    weights: np.ndarray
+    statistics: np.ndarray
+    labels: np.ndarray
+
+
+def sample_of(rows: list[tuple[Features, int]]) -> Sample:
+    starts = np.cumsum([0] + [len(f.buckets) for f, _ in rows])
+    flat = [np.concatenate([f[k] for f, _ in rows]) if rows else np.zeros(0) for k in (0, 1)]
+    stats = np.stack([f.statistics for f, _ in rows]) if rows else np.zeros((0, len(STATISTICS)))
+    return Sample(starts, flat[0].astype(np.int32), flat[1].astype(np.float32), stats, np.array([y for _, y in rows], float))
+
+
+def fit(rows: Sample, epochs: int = EPOCHS, factors: int = FACTORS, seed: int = 1, rate: float = 0.02, batch: int = 128, decay: float = 1e-4) -> Machine:
     """Logistic loss, Adam on mini-batches; classes weigh alike up to a factor of four."""
     rng = np.random.default_rng(seed)
     size = BUCKETS + len(STATISTICS)
-    labels = np.array([y for _, y in rows], float)
-    if len(rows) == 0 or labels.min() == labels.max():
-        share = labels.mean() if len(rows) else 0.5
+    labels = rows.labels
+    if len(labels) == 0 or labels.min() == labels.max():
+        share = labels.mean() if len(labels) else 0.5
         bias = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return Machine(bias, np.zeros(size), np.zeros((size, factors)), np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)))
-    stats = np.stack([f.statistics for f, _ in rows])
-    machine = Machine(0.0, np.zeros(size), rng.normal(0, 0.05, (size, factors)), stats.mean(0), stats.std(0) + 1e-9)
-    inputs = [machine.inputs(f) for f, _ in rows]
+    machine = Machine(0.0, np.zeros(size), rng.normal(0, 0.05, (size, factors)), rows.statistics.mean(0), rows.statistics.std(0) + 1e-9)
+
+    def inputs(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(rows.starts[k], rows.starts[k + 1])
+        return machine.inputs(Features(rows.buckets[own], rows.weights[own], rows.statistics[k]))
+
     bias, linear, vectors = 0.0, machine.linear, machine.factors
     heavy = min(4.0, max(labels.mean(), 1 - labels.mean()) / min(labels.mean(), 1 - labels.mean()))
     weight = np.where(labels == (labels.mean() < 0.5), heavy, 1.0)
     moments = {"w1": np.zeros(size), "w2": np.zeros(size), "v1": np.zeros((size, factors)), "v2": np.zeros((size, factors)), "b1": 0.0, "b2": 0.0}
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(labels))
         pace = rate * 0.5 ** (epoch / 2)
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             step += 1
-            index = np.concatenate([inputs[k][0] for k in chosen])
-            x = np.concatenate([inputs[k][1] for k in chosen])
-            starts = np.cumsum([0] + [len(inputs[k][0]) for k in chosen[:-1]])
-            row = np.repeat(np.arange(len(chosen)), [len(inputs[k][0]) for k in chosen])
+            parts = [inputs(k) for k in chosen]
+            index, x = (np.concatenate([p[side] for p in parts]) for side in (0, 1))
+            lengths = [len(p[0]) for p in parts]
+            starts = np.cumsum([0, *lengths[:-1]])
+            row = np.repeat(np.arange(len(chosen)), lengths)
             vx = vectors[index] * x[:, None]
             total = np.add.reduceat(vx, starts)
             z = bias + np.add.reduceat(linear[index] * x, starts) + 0.5 * (total**2 - np.add.reduceat(vx**2, starts)).sum(1)
@@ -194,12 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     kind = docs.schema[doc_id].dataType.simpleString()
     table = rows.select("doc_id", "text", "label").mapInArrow(extracted, f"doc_id {kind}, label int, buckets array<int>, weights array<float>, statistics array<double>").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    data = [
-        (Features(np.array(b.values, np.int64), np.array(w.values, np.float64), np.array(s.values, np.float64)), y.as_py())
-        for b, w, s, y in zip(table["buckets"], table["weights"], table["statistics"], table["label"], strict=True)
-    ]
-    return fit(data)
+    table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    flat = {c: pa.chunked_array(table[c].chunks, table[c].type).combine_chunks() for c in ("buckets", "weights", "statistics")}
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in table["buckets"]])]).astype(np.int64)
+    buckets, weights, stats = (np.array(flat[c].flatten()) for c in ("buckets", "weights", "statistics"))
+    labels = np.array(table["label"], float)
+    del table, flat
+    pa.default_memory_pool().release_unused()
+    return fit(Sample(starts, buckets, weights, stats.reshape(len(labels), len(STATISTICS)), labels))
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", score: str = "score") -> DataFrame:
