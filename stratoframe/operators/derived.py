@@ -28,6 +28,29 @@ class Interval:
     sign: int = 1
 
 
+def hourly(hours: Sequence[int], last: int, every: int = 1) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Pieces of ``every`` hours up to a last step, from bases at given hours."""
+    return [(h, [(s, s + every) for s in range(0, last, every)]) for h in hours]
+
+
+def since_base(hours: Sequence[int], last: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Totals since the base up to each step."""
+    return [(h, [(0, s) for s in range(1, last + 1)]) for h in hours]
+
+
+#: Which accumulations archives hold, by (class, stream): a fixed table, made from the two rules above.
+AVAILABLE = {
+    ("ea", "oper"): hourly((6, 18), 18), ("e6", "oper"): hourly((6, 18), 18), ("ea", "enda"): hourly((6, 18), 18, 3), ("e6", "enda"): hourly((6, 18), 18),
+    ("od", "oper"): since_base((0, 12), 90), ("od", "elda"): since_base((6, 18), 12),
+}
+
+
+def archived(target: datetime, period: timedelta, key: tuple[str, str]) -> list[Interval]:
+    """The intervals that accumulate to a target date over a period, from what an archive holds."""
+    pattern = AVAILABLE[key]
+    return cover(target - period, target, lambda at: available(pattern, at))
+
+
 def available(pattern: Sequence[tuple[int, Sequence[tuple[int, int]]]], around: datetime) -> list[Interval]:
     """Intervals of a pattern (base hour, [(first step, last step)]) in the days around a time, latest base first."""
     day = datetime(around.year, around.month, around.day)

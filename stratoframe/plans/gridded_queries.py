@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratoframe.operators import combine, series, statistics
 from stratoframe.operators.cube import Cube, thinned
-from stratoframe.plans import recipe
+from stratoframe.plans import inspect, recipe
 from stratoframe.plans.dataset import new_dates, open_dataset
 from stratoframe.plans.fixtures import MISSING, cube, grid
 from stratoframe.sources.registry import SOURCES
@@ -244,6 +244,14 @@ def open_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_dataset(spark, **spec).rows()
 
 
+on_cube("inspect_problems", "SELECT 'cell in range' AS rule, count(*) AS n FROM cube WHERE cell > 7 UNION ALL SELECT 'one row for each key', count(*) FROM cube WHERE cell = 2", lambda c: inspect.problems(c.with_("odd", df=c.df.unionByName(c.df.filter("cell = 2")), cells=8)))
+on_cube(
+    "inspect_describe",
+    "SELECT s.*, false AS constant FROM (" + stats_sql("cube", ("q", "p")) + ") s",
+    lambda c: stats(inspect.describe(c.select(["q", "p"]))),
+)
+
+
 @query("synthetic_dataset")
 def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SOURCES["synthetic"](spark, cube(spark, sf_dir).dates, cells=100, members=2, variables=("a", "b"), seed=5)

@@ -13,6 +13,7 @@ from stratoframe.operators.cube import Cube
 from stratoframe.operators.trajectories import Trajectories
 from stratoframe.plans.fixtures import cube, trajectories
 from stratoframe.plans.gridded_queries import stats, stats_sql
+from stratoframe.sources import patches
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 TV = "base_date, step_s, member, cell, q, p, d, x"
@@ -95,6 +96,13 @@ on_traj(
 )
 
 
+on_traj(
+    "patch_valid_time",
+    "SELECT base_date + to_seconds(step_s) AS date, member, cell, q AS quantity FROM traj WHERE step_s IN (21600, 43200)",
+    lambda t: patches.patched(t.select("q").df, {"analysis_lead_to_valid_time": {"analysis": "base_date", "lead": "step_s", "unit": "seconds"}, "rename": {"q": "quantity"}, "subset": {"step_s": [21600, 43200]}}),
+)
+
+
 def on_dates(name: str, sql: str, f: Callable[[Cube], DataFrame]) -> None:
     QUERIES[name] = (lambda spark, sf_dir: f(cube(spark, sf_dir).select("q")), sql)
 

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from stratoframe.functions.timegrammar import DEFAULT_WINDOW, Window
 
 
-def window_counts(stream: DataFrame, width: str, slide: str, delay: str, window: Window = DEFAULT_WINDOW, values: tuple[str, ...] = ()) -> DataFrame:
-    """start, end, n and sums per window. Spark's windows hold their start but not their end; one that holds its end is shifted by the one second that times are rounded to."""
+def timed(stream: DataFrame, delay: str) -> DataFrame:
+    """With event_time (ts to the second) and its watermark; a stream that has them is left as it is."""
+    if "event_time" in stream.columns:
+        return stream
     at = F.date_trunc("second", F.col("ts") + F.expr("interval '0.5' second"))
-    shift = F.expr("interval 1 second") if window.end_closed and not window.start_closed else F.expr("interval 0 seconds")
-    placed = stream.withColumn("event_time", (at - shift).cast("timestamp")).withWatermark("event_time", delay)
+    return stream.withColumn("event_time", at.cast("timestamp")).withWatermark("event_time", delay)
+
+
+def window_counts(stream: DataFrame, width: str, slide: str, delay: str, window: Window = DEFAULT_WINDOW, values: tuple[str, ...] = ()) -> DataFrame:
+    """start, end, n and sums per window. Spark's windows hold their start but not their end; those that hold their end begin one second later (times are whole seconds)."""
+    late = 1 if window.end_closed and not window.start_closed else 0
     sums: list[Column] = [F.sum(v).alias(v) for v in values]
-    found = placed.groupBy(F.window("event_time", width, slide)).agg(F.count("*").alias("n"), *sums)
-    return found.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", *values)
+    found = timed(stream, delay).groupBy(F.window("event_time", width, slide, f"{late} seconds")).agg(F.count("*").alias("n"), *sums)
+    shift = F.expr(f"interval {late} seconds")
+    return found.select((F.col("window.start") - shift).alias("start"), (F.col("window.end") - shift).alias("end"), "n", *values)
 
 
 def without_repeats(stream: DataFrame, delay: str, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows that repeat an earlier one within the watermark go."""
-    timed = stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(list(keys or stream.columns)).drop("event_time")
+    """Rows that repeat an earlier one within the watermark go; event_time stays for windows that follow."""
+    return timed(stream, delay).dropDuplicatesWithinWatermark(list(keys or stream.columns))
 
 
 def append_new(path: str, key: str = "date"):  # noqa: ANN201

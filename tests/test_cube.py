@@ -184,6 +184,14 @@ def test_covers():
     assert list(derived.requests([base, base + DAY], [6], stream="oper", **{"class": "od"}))[0]["stream"] == "scda"
 
 
+def test_archived_covers_reach_the_target():
+    target = datetime(2021, 1, 2, 6)
+    for key, period in ((("ea", "oper"), 6), (("ea", "enda"), 12), (("od", "oper"), 6), (("od", "elda"), 3)):
+        found = derived.archived(target, timedelta(hours=period), key)
+        assert sum(((i.end - i.start) * i.sign for i in found), timedelta(0)) == timedelta(hours=period)
+        assert len({i.base for i in found}) == 1
+
+
 def test_accumulations_must_be_complete(spark):
     base = datetime(2021, 1, 1)
     fields = spark.createDataFrame([(base, base + timedelta(hours=6), base, 1.0)], "start timestamp_ntz, end timestamp_ntz, base timestamp_ntz, v double").withColumn("cell", F.lit(0))
@@ -215,3 +223,33 @@ def test_pivot_refuses_repeats(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0)], "k int, c string, v double")
     with pytest.raises(Exception, match="repeated v"):
         pivot(df, ["c"], ["v"], ["a"]).collect()
+
+
+def test_inspection(spark):
+    from stratoframe.plans import inspect
+
+    c = analytic(spark)
+    assert inspect.problems(c).count() == 0
+    assert inspect.tree(combine.join([c.select("a"), c.select("b")])).split() == ["join", "select", "store", "select", "store"]
+    assert inspect.header(c)["shape"] == (10, 2, 2, 6)
+    assert c.to_index(c.dates[3], "b", 1) == (3, 1, 1)
+
+
+def test_stream_reads_a_folder(spark, tmp_path):
+    from stratoframe.streaming import windows
+
+    base = datetime(2021, 1, 1)
+    rows = [(base + timedelta(minutes=20 * k), float(k)) for k in range(40)]
+    spark.createDataFrame(rows + rows[:5], "ts timestamp_ntz, v double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp_ntz, v double").parquet(str(tmp_path / "in"))
+    found = windows.window_counts(windows.without_repeats(stream, "1 day"), "3 hours", "3 hours", "1 day", values=("v",))
+    q = found.writeStream.outputMode("append").format("memory").queryName("stream_counts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("stream_counts").columns == ["start", "end", "n", "v"]
+    out = str(tmp_path / "out")
+    write = windows.append_new(out, "ts")
+    batch = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    write(batch, 0)
+    write(batch, 0)
+    assert spark.read.parquet(out).count() == 40
