@@ -51,6 +51,7 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply disqus footer masthead pagination pager widget toolbar skip search form".split()
 )
+STATES = frozenset("has with without no is".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))""", re.DOTALL)
@@ -59,6 +60,12 @@ _NAME = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _marked(name: str) -> bool:
+    """A class name or id that says so; names such as has-sidebar speak of the page's state."""
+    words = _NAME.findall(name)
+    return bool(words) and words[0] not in STATES and not MARKS.isdisjoint(words)
+
+
 class Element:
     __slots__ = ("tag", "parts", "parent", "drop", "root")
 
@@ -69,7 +76,7 @@ class Element:
         if "=" in attributes and not self.drop:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 words = _NAME.findall("".join(values).lower())
-                self.drop |= not ROLES.isdisjoint(words) if name.lower() == "role" else not MARKS.isdisjoint(words)
+                self.drop |= not ROLES.isdisjoint(words) if name.lower() == "role" else any(map(_marked, "".join(values).lower().split()))
                 self.root |= name.lower() == "role" and "main" in words
         if tag in ("body", "html"):
             self.drop = False

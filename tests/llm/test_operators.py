@@ -310,6 +310,11 @@ def test_site_template_on_the_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_names_of_states_are_no_marks():
+    page = '<body class="nav-open"><div class="page has-sidebar"><p>Text</p><div class="left-sidebar">no</div><div id="ad_3">no</div></div></body>'
+    assert site_template.text_of(site_template.tree_of(page)) == "Text"
+
+
 def test_recurring_paragraphs_stay(spark):
     pages = [(k, "http://h/x", f"<body><div>menu</div><article><p>Shared sentence.</p><p>Own {k}</p></article>") for k in range(9)]
     got = {r["text"] for r in site_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
