@@ -154,9 +154,24 @@ def test_language_model(documents, rows):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(tokens), sum(train[t] > 0 for t in tokens), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens))
-        # far better than symbols all alike, and near or above the base, which isn't a distribution over unseen words
-        assert -math.log10(256) * 0.7 * sum(len((t or "").encode()) + 1 for t in tokens) < r["score"] < 0
-    assert sum(got[i]["score"] - got[i]["base_score"] for i, *_ in rows if not got[i]["held_out"]) > -0.05 * abs(sum(got[i]["base_score"] for i, *_ in rows if not got[i]["held_out"]))
+        # far better than symbols all alike; an outcome is no less likely than any one token that it holds
+        assert -math.log10(256) * 0.7 * sum(len((t or "").encode()) + 1 for t in tokens) < r["spelled_score"] <= r["score"] < 0
+        assert (r["n_known"] < r["n_tokens"]) == (r["spelled_score"] < r["score"] - 1e-9)
+    for part in (True, False):
+        own = [got[i] for i, *_ in rows if got[i]["held_out"] == part]
+        assert sum(r["score"] - r["base_score"] for r in own) > (0.04 if part else -0.02) * abs(sum(r["base_score"] for r in own))
+
+
+def test_language_model_is_a_distribution(spark):
+    """Texts of one word and the end: the chances of all training tokens and of the unknown one sum to one."""
+    words = ["the", "then", "than", "on", "one", "onto", "an", "and"]
+    known = [(k, " ".join(words)) for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2]
+    asked = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 7 == 2][: len(words) + 2]
+    texts = dict(zip(asked, [*words, "unheard", ""], strict=True))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame([*known, *texts.items()], "doc_id long, text string")).collect()}
+    end = got[asked[-1]]
+    chances = [10 ** (got[k] - end) for k in asked[:-1]] + [10**end]
+    assert sum(chances) == pytest.approx(1)
 
 
 def tree_truth(words, least):
@@ -210,6 +225,8 @@ def test_language_model_awkward(awkward):
     assert {r["n_tokens"] for r in got.filter("doc_id in (1, 2, 6)").collect()} == {1}
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got.collect())
     assert suffix_tree_lm.score(awkward.limit(0)).count() == 0
+    unlearnt = suffix_tree_lm.score(awkward.filter(suffix_tree_lm.held_out(F.col("doc_id")))).collect()
+    assert all(r["score"] == 0 and r["spelled_score"] < 0 for r in unlearnt)
     rare = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(awkward.filter("doc_id is not null"), common=0).collect()}
     assert rare == pytest.approx({r["doc_id"]: r["score"] for r in suffix_tree_lm.score(awkward.filter("doc_id is not null")).collect()})
 
