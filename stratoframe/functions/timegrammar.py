@@ -94,6 +94,16 @@ def last_date(value: object, dates: Sequence[datetime], step: timedelta | None =
     return _resolve(value, dates, True, step)
 
 
+def first_second(value: object) -> datetime:
+    """The first second of a period or date, whatever a dataset has."""
+    return value if isinstance(value, datetime) else found[0] if (found := _period(str(value))) else datetime.fromisoformat(str(value))
+
+
+def last_second(value: object) -> datetime:
+    """The last second of a period, or the date itself."""
+    return value if isinstance(value, datetime) else found[1] - timedelta(seconds=1) if (found := _period(str(value))) else datetime.fromisoformat(str(value))
+
+
 @dataclass(frozen=True)
 class Window:
     """An event-time window relative to a reference date, in seconds; either end may be open."""

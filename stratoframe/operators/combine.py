@@ -189,12 +189,14 @@ def complement(target: Cube, source: Cube, interpolation: str = "none", k: int =
     return join([target, added]).reorder("sort")
 
 
-def zipped(cubes: Sequence[Cube]) -> DataFrame:
-    """date_idx, member, cell and a struct x0, x1, ... of each dataset's variables, by position of the date."""
+def zipped(cubes: Sequence[Cube], names: Sequence[str] | None = None, check_compatibility: bool = True) -> DataFrame:
+    """date_idx, member, cell and a struct (x0, x1, ... unless named) of each dataset's variables, by position of the date."""
+    if check_compatibility and len({c.frequency for c in cubes}) > 1:
+        raise ValueError(f"frequencies differ: {[str(c.frequency) for c in cubes]}")
     n = min(len(c.dates) for c in cubes)
     out = None
     for k, c in enumerate(cubes):
-        part = c.df.select(c.date_idx.alias("date_idx"), "member", "cell", F.struct(*c.variables).alias(f"x{k}")).filter(F.col("date_idx") < n)
+        part = c.df.select(c.date_idx.alias("date_idx"), "member", "cell", F.struct(*c.variables).alias(names[k] if names else f"x{k}")).filter(F.col("date_idx") < n)
         out = part if out is None else out.join(part, ["date_idx", "member", "cell"])
     return out
 

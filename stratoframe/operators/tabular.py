@@ -96,6 +96,12 @@ class Observations:
             raise ValueError(f"unknown variables: {unknown}")
         return replace(self, df=self.df.select("ts", "latitude", "longitude", *names), variables=tuple(names))
 
+    def drop(self, names: str | Sequence[str]) -> Observations:
+        names = [names] if isinstance(names, str) else list(names)
+        if unknown := [n for n in names if n not in self.variables]:
+            raise ValueError(f"unknown variables: {unknown}")
+        return self.select([v for v in self.variables if v not in names])
+
     def area(self, north: float, west: float, south: float, east: float) -> Observations:
         return replace(self, df=self.df.filter(geo.inside(F.col("latitude"), F.col("longitude"), north, west, south, east)))
 

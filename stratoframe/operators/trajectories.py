@@ -58,6 +58,12 @@ class Trajectories:
             raise ValueError(f"unknown variables: {unknown}")
         return replace(self, df=self.df.select(*TKEYS, *names), variables=tuple(names))
 
+    def drop(self, names: str | Sequence[str]) -> Trajectories:
+        names = [names] if isinstance(names, str) else list(names)
+        if unknown := [n for n in names if n not in self.variables]:
+            raise ValueError(f"unknown variables: {unknown}")
+        return self.select([v for v in self.variables if v not in names])
+
     def _bases(self, lo: datetime, hi: datetime) -> Trajectories:
         if lo > hi:
             raise ValueError("no base dates are left")

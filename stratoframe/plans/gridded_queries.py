@@ -244,6 +244,33 @@ def open_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_dataset(spark, **spec).rows()
 
 
+@query(
+    "open_dataset_xy",
+    "SELECT CAST(date_diff('day', TIMESTAMP '1996-01-26', a.date) // 30 AS INTEGER) AS date_idx, a.member, a.cell, a.q AS x_q, b.d AS y_d FROM cube a JOIN cube b USING (date, member, cell) WHERE date >= '1996-01-01' AND date < '1998-01-01'",
+)
+def open_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cube(spark, sf_dir)
+    found = open_dataset(spark, x={"dataset": c, "select": "q"}, y={"dataset": c, "select": "d"}, start=1996, end=1997)
+    return found.select("date_idx", "member", "cell", F.col("x.q").alias("x_q"), F.col("y.d").alias("y_d"))
+
+
+@query(
+    "recipe_nodes",
+    """SELECT TIMESTAMP '2003-03-01' + to_days(CAST(k AS INTEGER)) AS date, member, cell, round(e.q + 0.5 * (m.q - e.mean), 6) AS q
+    FROM (SELECT *, q AS q0 FROM cube) m JOIN (SELECT date, cell, avg(q) AS mean, max(CASE WHEN member = 0 THEN q END) AS q FROM cube GROUP BY date, cell HAVING count(CASE WHEN member = 0 THEN 1 END) > 0) e USING (date, cell), range(3) t(k)
+    WHERE date = TIMESTAMP '1996-02-25'""",
+)
+def recipe_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members around their first one, under other dates."""
+    days = {"dataset": {"dataset": cube(spark, sf_dir), "select": "q"}}
+    spec = {
+        "dates": {"start": "2003-03-01", "end": "2003-03-03", "frequency": "1d"},
+        "input": {"repeated_dates": {"mode": "constant", "date": "1996-02-25", "source": {"recentre": {"members": days, "centre": days, "alpha": 0.5}}}},
+    }
+    found = recipe.run(spark, spec)
+    return found.select("date", "member", "cell", F.round("q", 6).alias("q"))
+
+
 on_cube("inspect_problems", "SELECT 'cell in range' AS rule, count(*) AS n FROM cube WHERE cell > 7 UNION ALL SELECT 'one row for each key', count(*) FROM cube WHERE cell = 2", lambda c: inspect.problems(c.with_("odd", df=c.df.unionByName(c.df.filter("cell = 2")), cells=8)))
 on_cube(
     "inspect_describe",

@@ -1,66 +1,234 @@
-"""Build recipes: a tree of sources, filters, joins and concatenations over groups of dates, as one lazy plan."""
+"""Build recipes: a tree of sources, filters, joins and concatenations over groups of dates, as one lazy plan, and its sink."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import datetime
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratoframe.functions.timegrammar import frequency, groups, part, spine
+from stratoframe.functions.timegrammar import calendar_filter, expand, frequency, groups, hindcast_requests, part, spine
+from stratoframe.operators import combine, derived, statistics
+from stratoframe.operators.cube import KEYS, Cube
+from stratoframe.plans.dataset import open_dataset
 from stratoframe.sources.registry import FILTERS, SOURCES
 
+CALENDAR = ("weekday", "pattern", "day_of_month", "months")
+Named = dict[str, DataFrame]
+
+
+def _at(value: object) -> datetime:
+    return datetime.fromisoformat(str(value))
+
 
 def dates_of(spec: dict) -> tuple[list[datetime], list[datetime]]:
-    """All dates and the missing ones of {start, end, frequency, missing} or {values}."""
+    """All dates and the missing ones of {start, end, frequency, missing, calendar filters}, {values} or {hindcasts: {reference, years, steps}}."""
     if "values" in spec:
-        return [datetime.fromisoformat(str(v)) for v in spec["values"]], []
-    start, end = (datetime.fromisoformat(str(spec[k])) for k in ("start", "end"))
+        return [_at(v) for v in spec["values"]], []
+    if "hindcasts" in spec:
+        h = spec["hindcasts"]
+        return sorted({r["valid"] for r in hindcast_requests([_at(r) for r in h["reference"]], h["years"], expand(h.get("steps", (0,))))}), []
+    start, end = (_at(spec[k]) for k in ("start", "end"))
     missing = []
     for m in spec.get("missing", ()):
-        missing += spine(*(datetime.fromisoformat(str(m[k])) for k in ("start", "end")), frequency(m.get("frequency", spec["frequency"]))) if isinstance(m, dict) else [datetime.fromisoformat(str(m))]
-    return spine(start, end, frequency(spec["frequency"])), missing
-
-
-def build(spark: SparkSession, node: dict, dates: Sequence[datetime], named: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows of one node. A node is {join: [...]}, {pipe: [...]}, {concat: [...]}, {name: options} of a source, or {ref: name}."""
-    (kind, body), named = next(iter(node.items())), named or {}
-    if kind == "join":
-        return reduce(lambda a, b: a.join(b, ["date", "member", "cell"]), [build(spark, n, dates, named) for n in body])
-    if kind == "pipe":
-        first, *filters = body
-        df = build(spark, first, dates, named)
-        for f in filters:
-            (name, options) = next(iter(f.items()))
-            df = FILTERS[name](df, **(options or {}))
-        return df
-    if kind == "concat":
-        parts = []
-        for choice in body:
-            own = [d for d in dates if d in set(dates_of(choice["dates"])[0])]
-            if own:
-                parts.append(build(spark, {k: v for k, v in choice.items() if k != "dates"}, own, named).filter(F.col("date").isin([str(d) for d in own])))
-        return reduce(DataFrame.unionByName, parts)
-    if kind == "data_sources":
-        raise ValueError("data_sources belong to the recipe")
-    if kind == "ref":
-        return named[body]
+        missing += spine(*(_at(m[k]) for k in ("start", "end")), frequency(m.get("frequency", spec["frequency"]))) if isinstance(m, dict) else [_at(m)]
+    dates = spine(start, end, frequency(spec["frequency"]))
+    return calendar_filter(dates, **{k: spec[k] for k in CALENDAR if k in spec}), missing
+
+
+# -- nodes: functions from (spark, body, dates, named) to rows
+
+NODES: dict[str, Callable[[SparkSession, object, Sequence[datetime], Named], DataFrame]] = {}
+
+
+def node(name: str) -> Callable:
+    return lambda f: NODES.setdefault(name, f)
+
+
+def on_dates(df: DataFrame, dates: Sequence[datetime], column: str = "date") -> DataFrame:
+    return df.filter(F.col(column).isin([str(d) for d in dates]))
+
+
+@node("join")
+def _join(spark: SparkSession, body: list, dates: Sequence[datetime], named: Named) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, list(KEYS)), [build(spark, n, dates, named) for n in body])
+
+
+@node("pipe")
+def _pipe(spark: SparkSession, body: list, dates: Sequence[datetime], named: Named) -> DataFrame:
+    first, *filters = body
+    df = build(spark, first, dates, named)
+    for f in filters:
+        (name, options) = next(iter(f.items()))
+        df = FILTERS[name](df, **(options or {}))
+    return df
+
+
+@node("concat")
+def _concat(spark: SparkSession, body: list, dates: Sequence[datetime], named: Named) -> DataFrame:
+    parts = []
+    for choice in body:
+        listed = set(dates_of(choice["dates"])[0])
+        if own := [d for d in dates if d in listed]:
+            parts.append(on_dates(build(spark, {k: v for k, v in choice.items() if k != "dates"}, own, named), own))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@node("ref")
+def _ref(spark: SparkSession, body: str, dates: Sequence[datetime], named: Named) -> DataFrame:
+    return named[body]
+
+
+@node("dataset")
+def _dataset(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
+    """Another dataset, opened with any keywords."""
+    return on_dates(open_dataset(spark, **body).rows(), dates)
+
+
+@node("repeated_dates")
+def _repeated(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
+    """A source's dates under other ones: {source, mode: closest (dates, frequency, maximum), climatology (year, day, hour) or constant (date)}."""
+    mode, source = body["mode"], body["source"]
+    if mode == "closest":
+        most = frequency(body.get("maximum", "30d"))
+        lo, hi = min(dates) - most, max(dates) + most
+        present = [d for d in dates_of(body["dates"])[0] if lo <= d <= hi]
+        return derived.repeated_closest(build(spark, source, present, named), dates, present, body.get("frequency", "1h"), most)
+    if mode == "climatology":
+        year, day, hour = body["year"], body["day"], body.get("hour")
+        wanted = sorted({d.replace(year=year, day=day, minute=0, second=0, **({} if hour is None else {"hour": hour})) for d in dates})
+        return derived.repeated_climatology(build(spark, source, wanted, named), dates, year, day, hour)
+    if mode == "constant":
+        at = _at(body["date"]) if "date" in body else None
+        return derived.repeated_constant(build(spark, source, [at] if at else [], named), dates, at)
+    raise ValueError(f"unknown mode of repeated dates: {mode!r}")
+
+
+@node("recentre")
+def _recentre(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
+    """Members around another centre: {members, centre, alpha}."""
+
+    def rows_of(name: str) -> Cube:
+        df = build(spark, body[name], dates, named)
+        return Cube(df, tuple(c for c in df.columns if c not in KEYS), min(dates), max(dates), timedelta(0), 0, 0)
+
+    return combine.recentred(rows_of("members"), rows_of("centre"), body.get("alpha", 1.0)).rows()
+
+
+@node("from-trajectories")
+def _from_trajectories(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
+    """Valid dates of a source's trajectories: {source, steps (hours), bases (pattern)}. The source is asked for base dates."""
+    steps = expand(body["steps"])
+    bases = sorted({d - timedelta(hours=s) for d in dates for s in steps})
+    return on_dates(derived.from_trajectories(build(spark, body["source"], bases, named), steps, body.get("bases", "*")), dates)
+
+
+@node("accumulate")
+def _accumulate(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
+    """Accumulations over a period: {source, period, archive: (class, stream), keys, values}. The source, asked for base dates, has fields (start, end, base, keys, values)."""
+    targets = [(d, derived.archived(d, frequency(body["period"]), tuple(body["archive"]))) for d in dates]
+    bases = sorted({i.base for _, plan in targets for i in plan})
+    return derived.accumulate(build(spark, body["source"], bases, named), targets, body.get("keys", ("member", "cell")), body["values"])
+
+
+def build(spark: SparkSession, spec: dict, dates: Sequence[datetime], named: Named | None = None) -> DataFrame:
+    """The rows of one node: one of ``NODES`` by its name, else {name: options} of a source."""
+    (kind, body) = next(iter(spec.items()))
+    if kind in NODES:
+        return NODES[kind](spark, body, dates, named or {})
     return SOURCES[kind](spark, dates, **(body or {}))
 
 
-def run(spark: SparkSession, recipe: dict, only: str | None = None) -> DataFrame:
-    """All groups' rows (or those of part "i/n"); the group's number is a column to partition the output by."""
+# -- recipes
+
+
+def problems(recipe: dict) -> list[str]:
+    """What is wrong with a recipe, without reading anything."""
+    found = [f"no {k}" for k in ("dates", "input") if k not in recipe]
+
+    def check(spec: object, where: str) -> Iterator[str]:
+        if not isinstance(spec, dict) or len(set(spec) - {"dates"}) != 1:
+            yield f"{where}: a node has one name"
+            return
+        kind = next(k for k in spec if k != "dates")
+        body = spec[kind]
+        if kind not in NODES and kind not in SOURCES:
+            yield f"{where}: unknown source {kind!r}"
+        if kind in ("join", "concat"):
+            for k, child in enumerate(body):
+                if kind == "concat" and "dates" not in child:
+                    yield f"{where}/concat[{k}]: no dates"
+                yield from check(child, f"{where}/{kind}[{k}]")
+        elif kind == "pipe":
+            yield from check(body[0], f"{where}/pipe[0]")
+            yield from (f"{where}/pipe: unknown filter {name!r}" for f in body[1:] for name in f if name not in FILTERS)
+        elif kind == "ref" and body not in recipe.get("data_sources", {}):
+            yield f"{where}: no data source {body!r}"
+        elif isinstance(body, dict) and kind in NODES:
+            for name in ("source", "members", "centre"):
+                if name in body:
+                    yield from check(body[name], f"{where}/{kind}/{name}")
+
+    if "input" in recipe:
+        found += check(recipe["input"], "input")
+    for name, spec in recipe.get("data_sources", {}).items():
+        found += check(spec, f"data_sources/{name}")
+    return found
+
+
+def dealt(recipe: dict) -> list[list[datetime]]:
+    """The groups of dates, missing ones left out."""
     dates, missing = dates_of(recipe["dates"])
-    dealt = groups(dates, recipe.get("group_by", "monthly"), missing)
-    kept = part(len(dealt), only) if only else range(len(dealt))
-    named = {name: build(spark, node, dates) for name, node in recipe.get("data_sources", {}).items()}
-    parts = [build(spark, recipe["input"], dealt[k], named).withColumn("group", F.lit(k)) for k in kept]
-    return reduce(DataFrame.unionByName, parts)
+    return groups(dates, recipe.get("group_by", "monthly"), missing)
+
+
+def run(spark: SparkSession, recipe: dict, only: str | None = None, done: Sequence[int] = ()) -> DataFrame | None:
+    """All groups' rows (or those of part "i/n", less those that are done; None where none is left). The group's number is a column to partition the output by."""
+    dates, parts = dates_of(recipe["dates"])[0], dealt(recipe)
+    kept = [k for k in (part(len(parts), only) if only else range(len(parts))) if k not in set(done)]
+    named = {name: build(spark, spec, dates) for name, spec in recipe.get("data_sources", {}).items()}
+    rows = [build(spark, recipe["input"], parts[k], named).withColumn("group", F.lit(k)) for k in kept]
+    return reduce(DataFrame.unionByName, rows) if rows else None
+
+
+def done_groups(spark: SparkSession, path: str) -> list[int]:
+    """Groups that a build has written whole (one row for each)."""
+    try:
+        return sorted(r[0] for r in spark.read.parquet(f"{path}/done").select("group").distinct().collect())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+
+
+def load(spark: SparkSession, recipe: dict, path: str, only: str | None = None) -> list[int]:
+    """Writes the groups (of a part) that aren't done, then marks them as done; returns them. Groups replace what a build that was cut off has left of them, so a repeated call adds nothing twice and parts may run side by side."""
+    if wrong := problems(recipe):
+        raise ValueError("; ".join(wrong))
+    before = set(done_groups(spark, path))
+    rows = run(spark, recipe, only, sorted(before))
+    if rows is None:
+        return []
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group").parquet(f"{path}/data")
+    n = len(dealt(recipe))
+    fresh = [k for k in (part(n, only) if only else range(n)) if k not in before]
+    spark.createDataFrame([(k,) for k in fresh], "`group` int").coalesce(1).write.mode("append").parquet(f"{path}/done")
+    return fresh
+
+
+def finalise(spark: SparkSession, recipe: dict, path: str) -> DataFrame:
+    """Once all groups are done: statistics of all variables, written beside the data and returned."""
+    if lacking := set(range(len(dealt(recipe)))) - set(done_groups(spark, path)):
+        raise ValueError(f"groups {sorted(lacking)[:5]} aren't done")
+    rows = spark.read.parquet(f"{path}/data").drop("group")
+    statistics.summary(rows, [c for c in rows.columns if c not in KEYS]).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    return spark.read.parquet(f"{path}/statistics")
 
 
-def incomplete(df: DataFrame, keys: Sequence[str] = ("date", "member", "cell")) -> DataFrame:
+def incomplete(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """What keeps a cube from being whole: keys' values that occur another number of times than the others, with their counts."""
     whole = df.agg(*[F.count_distinct(k).alias(k) for k in keys]).first()
     total = 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratoframe.operators import tabular
 from stratoframe.operators.tabular import Observations
+from stratoframe.plans.dataset import open_dataset
 from stratoframe.plans.fixtures import cube, grid, observations, read
 from stratoframe.sources.registry import FILTERS
 from stratoframe.streaming import windows
@@ -167,3 +168,12 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+
+
+@query(
+    "open_dataset_tabular",
+    sampled_sql("sample, count(*) AS n, round(sum(value), 4) AS total", 43200, "> reference - INTERVAL 6 HOUR", "<= reference + INTERVAL 3 HOUR", "TIMESTAMP '2024-01-05'", "TIMESTAMP '2024-01-20 23:59:59'", "WHERE latitude BETWEEN -30 AND 60 AND longitude BETWEEN 20 AND 300 GROUP BY sample"),
+)
+def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = open_dataset(spark, Observations.of(observations(spark, sf_dir)), start="2024-01-05", end="2024-01-20", frequency="12h", window="(-6,+3]", area=(60, 20, -30, 300), drop="k")
+    return found.samples().groupBy("sample").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

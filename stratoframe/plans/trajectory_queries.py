@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from stratoframe.operators import derived, statistics
 from stratoframe.operators.cube import Cube
 from stratoframe.operators.trajectories import Trajectories
+from stratoframe.plans import recipe
+from stratoframe.plans.dataset import open_dataset
 from stratoframe.plans.fixtures import cube, trajectories
 from stratoframe.plans.gridded_queries import stats, stats_sql
 from stratoframe.sources import patches
+from stratoframe.sources.registry import SOURCES
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 TV = "base_date, step_s, member, cell, q, p, d, x"
@@ -96,6 +99,31 @@ on_traj(
 )
 
 
+def opened(t: Trajectories) -> DataFrame:
+    return open_dataset(t.df.sparkSession, t, base_start="1996-06", base_end=1997, base_frequency="60d", step_start=12, step_end=36, step_frequency=12, select=["x", "q"], step=18).rows()
+
+
+on_traj(
+    "open_dataset_trajectories",
+    "SELECT base_date + INTERVAL 18 HOUR AS date, member, cell, x, q FROM traj WHERE step_s = 64800 AND base_date >= '1996-06-01' AND base_date < '1998-01-01' AND (date_diff('day', (SELECT min(base_date) FROM traj WHERE base_date >= '1996-06-01'), base_date) // 30) % 2 = 0",
+    opened,
+)
+
+
+def recipe_valid(t: Trajectories) -> DataFrame:
+    """A recipe's valid dates out of trajectories that are its source."""
+    SOURCES["forecasts"] = lambda spark, dates: t.select("q").df.filter(F.col("base_date").isin([str(d) for d in dates]))
+    spec = {"dates": {"values": [b + 12 * HOUR for b in t.base_dates[12:24]]}, "group_by": 5, "input": {"from-trajectories": {"source": {"forecasts": {}}, "steps": [12, 6]}}}
+    return recipe.run(t.df.sparkSession, spec).drop("group")
+
+
+on_traj(
+    "recipe_from_trajectories",
+    "SELECT base_date + INTERVAL 12 HOUR AS date, member, cell, q FROM traj WHERE step_s = 43200 AND date_diff('day', (SELECT min(base_date) FROM traj), base_date) // 30 BETWEEN 12 AND 23",
+    recipe_valid,
+)
+
+
 on_traj(
     "patch_valid_time",
     "SELECT base_date + to_seconds(step_s) AS date, member, cell, q AS quantity FROM traj WHERE step_s IN (21600, 43200)",

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from stratoframe.operators import combine, derived, series, statistics
 from stratoframe.operators.cube import Cube, MissingDateError
 from stratoframe.operators.tabular import Observations, pivot
-from stratoframe.plans.dataset import open_dataset, save_dataset
+from stratoframe.plans import recipe
+from stratoframe.plans.dataset import add_dataset_path, add_named_dataset, open_dataset, save_dataset
+from stratoframe.sources.registry import SOURCES
 
 DAY = timedelta(days=1)
 
@@ -253,3 +255,84 @@ def test_stream_reads_a_folder(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert spark.read.parquet(out).count() == 40
+
+
+def test_positional_combinations(spark):
+    c = analytic(spark)
+    got = open_dataset(spark, x={"dataset": c, "select": "a"}, y={"dataset": c, "select": ["b"]}, start="2021-01-03", end="2021-01-05")
+    assert got.columns == ["date_idx", "member", "cell", "x", "y"] and got.count() == 3 * 2 * 6
+    assert {(r["x"]["a"], r["y"]["b"]) for r in got.filter("date_idx = 0 and member = 1 and cell = 0").collect()} == {(201.0, 211.0)}
+    with pytest.raises(ValueError):
+        open_dataset(spark, zip=[c, c.every("2d")])
+    assert open_dataset(spark, zip=[c, c.every("2d")], check_compatibility=False).count() == 5 * 2 * 6
+
+
+def test_synthetic_datasets(spark):
+    spec = {"start": "2021-01-01", "end": "2021-01-02", "frequency": "6h", "geography": {"area": (10, 0, 0, 20), "resolution": 5}, "members": 2, "variables": {"one": 1, "two": {"constant": 2}, "noise": {"random": {"mean": 5, "stdev": 2}}, "cos_latitude": "cos_latitude"}}
+    c = open_dataset(spark, synthetic=spec, select=["noise", "two", "cos_latitude"])
+    assert c.shape == (5, 3, 2, 15) and c.field_shape == (3, 5) and c.df.count() == 5 * 2 * 15
+    assert c.rows().orderBy("date", "member", "cell").collect() == open_dataset(spark, synthetic=spec).select(["noise", "two", "cos_latitude"]).rows().repartition(7).orderBy("date", "member", "cell").collect()
+    found = statistics.collected(statistics.statistics(open_dataset(spark, synthetic=spec | {"geography": 2000, "variables": ["noise"]})))
+    assert abs(found["noise"]["mean"]) < 0.05 and abs(found["noise"]["stdev"] - 1) < 0.05
+
+
+def test_layouts_of_stored_tables(spark, tmp_path):
+    hour = "timestamp_ntz'2021-01-01' + make_dt_interval(0, cast({} as int))"
+    spark.range(48).selectExpr(f"{hour.format('id')} AS ts", "double(id) AS latitude", "0D AS longitude", "double(id) AS v", "1D AS w").write.parquet(str(tmp_path / "obs"))
+    spark.range(4 * 3).selectExpr(f"{hour.format('floor(id / 3) * 6')} AS base_date", "int(id % 3 + 1) * 21600 AS step_s", "0 AS member", "0 AS cell", "double(id) AS v", "1D AS w").write.parquet(str(tmp_path / "forecast"))
+    add_dataset_path(str(tmp_path))
+    o = open_dataset(spark, "obs", window="(-6,0]", frequency="6h", start="2021-01-01T06:00:00", end="2021-01-01", drop="w", area=(20, 0, 0, 10))
+    assert o.variables == ("v",) and {(r["sample"], r["n"]) for r in o.counts().collect()} == {(0, 6), (1, 6), (2, 6)}
+    t = open_dataset(spark, "forecast", base_start="2021-01-01T06:00:00", drop="w")
+    assert len(t.base_dates) == 3 and len(t.steps) == 3
+    c = open_dataset(spark, "forecast", steps=[6, 12], step=12, select="v")
+    assert isinstance(c, Cube) and c.start == datetime(2021, 1, 1, 12) and [r["v"] for r in c.rows().orderBy("date").collect()] == [1.0, 4.0, 7.0, 10.0]
+    with pytest.raises(ValueError):
+        open_dataset(spark, "forecast", frequency="12h")
+    with pytest.raises(NotImplementedError):
+        open_dataset(spark, "obs", rolling_average=(-1, 1, "freq"))
+    with pytest.raises(FileNotFoundError):
+        open_dataset(spark, "nothing")
+
+
+def test_recipes_resume(spark, tmp_path):
+    c = analytic(spark, days=60)
+    add_named_dataset("days", c)
+    path = str(tmp_path / "built")
+    spec = {"dates": {"start": "2021-01-01", "end": "2021-02-28", "frequency": "1d", "missing": ["2021-01-05"]}, "input": {"join": [{"dataset": {"dataset": "days", "select": "a"}}, {"dataset": {"dataset": "days", "select": "b"}}]}}
+    assert recipe.load(spark, spec, path, "2/2") == [1]
+    with pytest.raises(ValueError):
+        recipe.finalise(spark, spec, path)
+    assert recipe.load(spark, spec, path) == [0] and recipe.load(spark, spec, path) == []
+    assert spark.read.parquet(f"{path}/data").count() == 58 * 2 * 6
+    assert {r["variable"]: r["count"] for r in recipe.finalise(spark, spec, path).collect()} == {"a": 58 * 12, "b": 58 * 12}
+    assert recipe.problems({"dates": {}, "input": {"pipe": [{"concat": [{"nosuch": {}}]}, {"nofilter": {}}]}}) == ["input/pipe[0]/concat[0]: no dates", "input/pipe[0]/concat[0]: unknown source 'nosuch'", "input/pipe: unknown filter 'nofilter'"]
+
+
+def test_recipe_nodes(spark):
+    c = analytic(spark, days=40)
+    add_named_dataset("days", c)
+    days = {"dataset": {"dataset": "days", "select": "a"}}
+    at = [datetime(2021, 3, 1), datetime(2021, 3, 2)]
+    near = recipe.build(spark, {"repeated_dates": {"mode": "closest", "source": days, "dates": {"start": "2021-01-01", "end": "2021-02-09", "frequency": "1d"}}}, at)
+    assert {(r["date"], r["a"]) for r in near.filter("member = 0 and cell = 0").collect()} == {(d, 3900.0) for d in at}
+    same = recipe.build(spark, {"repeated_dates": {"mode": "climatology", "source": days, "year": 2021, "day": 3}}, [datetime(2030, 2, 17)])
+    assert same.filter("member = 0 and cell = 0").first()["a"] == 3300.0
+    moved = recipe.build(spark, {"recentre": {"members": days, "centre": days, "alpha": 2.0}}, c.dates[:2])
+    assert {r["a"] for r in moved.filter("cell = 0").collect()} == {-1.0, 1.0, 99.0, 101.0}
+    assert [str(d.date()) for d in recipe.dates_of({"start": "2021-01-01", "end": "2021-03-31", "frequency": "1d", "pattern": "????-??-01"})[0]] == ["2021-01-01", "2021-02-01", "2021-03-01"]
+    assert recipe.dates_of({"hindcasts": {"reference": ["2024-03-01"], "years": 2, "steps": "0/to/24/by/24"}})[0] == [datetime(y, 3, d) for y in (2022, 2023) for d in (1, 2)]
+
+
+def test_recipes_accumulate(spark):
+    """Hourly pieces of an archive's forecasts, each of one unit, sum to the period's hours."""
+
+    def pieces(spark, dates):
+        rows = [(str(b + s * timedelta(hours=1)), str(b + (s + 1) * timedelta(hours=1)), str(b)) for b in dates for s in range(18)]
+        df = spark.createDataFrame(rows, "s string, e string, b string")
+        return df.select(*[F.col(x).cast("timestamp_ntz").alias(n) for x, n in (("s", "start"), ("e", "end"), ("b", "base"))], F.lit(0).alias("member"), F.lit(3).alias("cell"), F.lit(1.0).alias("tp"))
+
+    SOURCES["pieces"] = pieces
+    spec = {"accumulate": {"source": {"pieces": {}}, "period": "12h", "archive": ("ea", "oper"), "values": ["tp"]}}
+    at = [datetime(2021, 1, 1), datetime(2021, 1, 1, 12)]
+    assert {(r["date"], r["tp"]) for r in recipe.build(spark, spec, at).collect()} == {(d, 12.0) for d in at}
