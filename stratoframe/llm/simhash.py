@@ -194,10 +194,15 @@ def hex_digits(fp: str) -> F.Column:
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The input's rows and columns: of each group of near-duplicates the document with the least id; of rows that share that id, one."""
-    marked = near_duplicates(docs, doc_id, text, **options)
-    key = free_name(docs, "kept_key")
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named("doc_id").alias(key)).distinct()
-    # the join leaves rows dealt and sorted by the key, so dropping repeated ids needs no shuffle of its own
-    return docs.withColumn(key, named(doc_id)).join(kept, key).dropDuplicates([key]).drop(key)
+    """The input's rows and columns: of each group of near-duplicates the row with the least id (without any id: one of its rows).
+
+    Groups are of texts: rows whose ids are null or repeated but whose texts are in different groups all stay.
+    """
+    key, group, mark = (free_name(docs, x) for x in ("text_key", "text_group", "kept_mark"))
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    found = near_duplicates(keyed, key, text, **options).select(F.col("doc_id").alias(key), F.col("component_id").alias(group)).distinct()
+    marked = F.xxhash64(F.col(key), F.col(doc_id).isNull(), F.col(doc_id).cast("string"))
+    each = keyed.select(key, F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), marked.alias("mark")).alias("row")).distinct()
+    kept = each.join(found, key).groupBy(group).agg(F.min("row").alias("row")).select(F.col("row.mark").alias(mark))
+    # the join leaves rows dealt and sorted by the mark, so dropping repeated rows needs no shuffle of its own
+    return keyed.withColumn(mark, marked).join(kept, mark).dropDuplicates([mark]).drop(key, mark)

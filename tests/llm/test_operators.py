@@ -301,6 +301,14 @@ def test_simhash_awkward(awkward):
     assert kept.columns == awkward.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 1, 3, 4, 7, 8])
 
 
+def test_first_of_each_keeps_texts_without_or_with_repeated_ids(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(40)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[3]), (None, texts[4]), (8, texts[4])]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])])
+
+
 # -- html
 
 
