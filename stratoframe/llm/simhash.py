@@ -17,6 +17,12 @@ rounds over those links, each round written to the checkpoint folder.
 
 Null and empty texts have no words: fingerprint zero, linked as any other. Repeated rows are equal nodes. Columns of the
 input other than the id and the text are ignored.
+
+Beyond the few bits of such links, ``similar_texts`` groups texts by the exact Jaccard similarity of their word shingles: a
+pair at similarity 0.8 differs by 9 or 10 bits on average, more than the grid's blocks allow for. Its cells are ``BANDS`` bands of
+``BAND`` minimum hashes of the shingles each (a pair at 0.8 misses all of them with a chance of 0.0007, a closer one less).
+Texts that cells connect are candidates; each connected group's texts are gathered once, in chunks of ``CHUNK`` characters
+that meet pairwise, and only pairs whose shingle sets are similar enough become links.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import cut_lineage, free_name
+from stratoframe.llm.common import broadcast_if_small, cut_lineage, free_name
 
 SHINGLE = 4
 DISTANCE = 4
@@ -39,6 +45,12 @@ BLOCKS = 8
 CELL = 512
 #: Up to so many crowded cells (12 bytes each) are broadcast to the pass that picks their rows; more are joined by a shuffle.
 BROADCAST_CELLS = 200_000
+#: Minimum hashes of the wide search: so many bands of so many each.
+BANDS, BAND = 24, 6
+#: Words of a shingle of the wide search.
+WIDE = 5
+#: Candidates' characters in a chunk; a text counts as ``LEAST_CHARS`` at least.
+CHUNK, LEAST_CHARS = 2_000_000, 2_000
 #: Rounds of the component search before it stops with an error; each round shortens chains to a fraction.
 ROUNDS = 60
 
@@ -189,18 +201,120 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(by_fp, F.col("fp") == F.col("node")).select("doc_id", "fp", "component_id")
 
 
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_RANDOM = np.random.default_rng(SEED)
+_PLACES = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+_FLIPS, _FACTORS = _RANDOM.integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64), _RANDOM.integers(0, 1 << 64, (BANDS * BAND, 1), np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = WIDE) -> np.ndarray:
+    """64-bit hashes of the text's distinct shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode().lower().split()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(min(1, len(words)), len(words) - shingle + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(words))):
+        total += hashes[k : k + n] * _PLACES[k]
+    total = (total ^ (total >> np.uint64(31))) * _MIX
+    return np.unique(total ^ (total >> np.uint64(29)))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """The cells of a shingle set."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1 << 13):
+        least = np.minimum(least, ((shingles[at : at + (1 << 13)] ^ _FLIPS) * _FACTORS).min(axis=1))
+    cell = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(BAND):
+        cell = (cell ^ least[k::BAND]) * _MIX
+        cell ^= cell >> np.uint64(31)
+    return cell.view(np.int64)
+
+
+def similar_pairs(sets: list[frozenset[int]], first: list[bool] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs at or over the similarity; with ``first`` only pairs of one that is first and one that isn't."""
+
+    def similar(a: frozenset[int], b: frozenset[int]) -> bool:
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+            return False
+        both = len(a & b)
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+    links, clusters = [], []
+    for i, own in enumerate(sets):
+        mine, others = [i], []
+        for cluster in clusters:
+            j = next((j for j in cluster if (first is None or first[i] != first[j]) and similar(sets[j], own)), None)
+            if j is None:
+                others.append(cluster)
+            else:
+                links.append((j, i))
+                mine += cluster
+        clusters = [*others, mine]
+    return links
+
+
+def similar_texts(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, component_id (the least doc_id that links of at least the similarity reach) for each distinct id; an id stands for one text and is a long."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = {k: t for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
+            found = [bands_of(shingle_set(t.as_py(), shingle)) for t in keys.values()]
+            cell = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.repeat(np.fromiter(keys, np.int64, len(keys)), BANDS))], names=["cell", "node"])
+
+    rows = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
+    in_cells = cut_lineage(rows.mapInArrow(dealt, "cell long, node long").distinct())
+    shared = cut_lineage(in_cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("cell", "a"))
+    star = in_cells.join(F.broadcast(shared) if shared.count() <= BROADCAST_CELLS else shared, "cell").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    near = cut_lineage(components(star))
+    nodes = in_cells.select("node").distinct()
+
+    weight = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(LEAST_CHARS)).cast("long")
+    sizes = rows.select("node", weight.alias("weight")).distinct().join(near, "node").groupBy("root").agg(F.ceil(F.sum("weight") / chunk).cast("int").alias("chunks")).filter("chunks > 1")
+    crowded = broadcast_if_small(cut_lineage(sizes))
+    texts = rows.join(near, "node").dropDuplicates(["node"]).join(crowded, "root", "left")
+    texts = texts.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    met = texts.select("root", "node", "text", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.select("root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", (F.col("chunk") <= F.col("other")).alias("first"), "text")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, sets, first = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            found = similar_pairs(sets, first if at and at[1] != at[2] else None, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *group, key, side, body in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+                if group != at:
+                    yield out()
+                    at, keys, sets, first = group, [], [], []
+                keys.append(key)
+                sets.append(frozenset(shingle_set(body.as_py(), shingle).tolist()))
+                first.append(side)
+        yield out()
+
+    group = ["root", "low", "high"]
+    pairs = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(verified, "a long, b long")
+    roots = components(pairs.distinct())
+    return nodes.join(roots, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
+
+
 def hex_digits(fp: str) -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The input's rows and columns: of each group of near-duplicates the row with the least id (without any id: one of its rows).
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, **options: int) -> DataFrame:
+    """The input's rows and columns: of each group of near-duplicates (by fingerprints or, with ``similarity``, by ``similar_texts``) the row with the least id (without any id: one of its rows).
 
     Groups are of texts: rows whose ids are null or repeated but whose texts are in different groups all stay.
     """
     key, group, mark = (free_name(docs, x) for x in ("text_key", "text_group", "kept_mark"))
     keyed = docs.withColumn(key, F.xxhash64(text))
-    found = near_duplicates(keyed, key, text, **options).select(F.col("doc_id").alias(key), F.col("component_id").alias(group)).distinct()
+    groups = near_duplicates(keyed, key, text, **options) if similarity is None else similar_texts(keyed, similarity, key, text, **options)
+    found = groups.select(F.col("doc_id").alias(key), F.col("component_id").alias(group)).distinct()
     marked = F.xxhash64(F.col(key), F.col(doc_id).isNull(), F.col(doc_id).cast("string"))
     each = keyed.select(key, F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), marked.alias("mark")).alias("row")).distinct()
     kept = each.join(found, key).groupBy(group).agg(F.min("row").alias("row")).select(F.col("row.mark").alias(mark))

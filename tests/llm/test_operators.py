@@ -309,6 +309,48 @@ def test_first_of_each_keeps_texts_without_or_with_repeated_ids(spark):
     assert Counter(map(tuple, kept.collect())) == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])])
 
 
+def five_words(text):
+    w = space_words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_truth(texts):
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if (not a and not b) or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {frozenset(i for i in range(len(root)) if find(i) == r) for r in map(find, range(len(root)))}
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 8_000])
+def test_pipeline_finds_edited_copies(spark, awkward, chunk):
+    rng = random.Random(5)
+    texts = [r[1] for r in awkward_rows()]
+    for _ in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(150)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 6, 9):  # similarities from 0.93 to 0.5
+            texts.append(" ".join(f"x{rng.randrange(400)}" if k in range(7, min(15 * edits, 148), 15) else w for k, w in enumerate(words)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = simhash.similar_texts(df, 0.8, chunk=chunk).collect()
+    found = {frozenset(r["doc_id"] for r in groups if r["component_id"] == c) for c in {r["component_id"] for r in groups}}
+    assert found == similar_truth(texts)
+    if chunk == simhash.CHUNK:
+        full = df.select("doc_id", "text", *[F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))])
+        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, full, "").collect()}
+        assert kept == {min(g) for g in similar_truth(texts)}
+        assert corpus_pipeline.near_duplicates(spark, full.limit(0), "").count() == 0
+
+
 # -- html
 
 
