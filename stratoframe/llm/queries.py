@@ -16,7 +16,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,15 +93,15 @@ bad AS (SELECT l.source, trim(line) AS line FROM lines l JOIN totals t ON l.sour
   HAVING count(DISTINCT text) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT text) / pages >= {line_dedup.RATIO}),
 marked AS (SELECT l.*, b.line IS NOT NULL AS drop_it FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line),
 cleaned AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE drop_it) AS n, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT drop_it), '') AS kept FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n > 0 AND NOT length(kept) < {1 - line_dedup.MOST} * length(d.text) THEN n ELSE 0 END AS n_dropped,
-  CASE WHEN length(kept) < {1 - line_dedup.MOST} * length(d.text) THEN d.text ELSE kept END AS text
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n, 0) AS n_dropped, kept AS text
 FROM documents d LEFT JOIN cleaned USING (doc_id)"""
 
 
 def _mix_sql() -> str:
     weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(source_mix.WEIGHTS))
     return rf"""
-    WITH sized AS (SELECT doc_id, source, md5(coalesce(text, '')) AS body, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+    WITH sized AS (SELECT doc_id, source, md5(coalesce(text, '')) AS body, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
     sources AS (SELECT source, sum(size) AS s, sum(size * sqrt(size)) AS roots FROM sized GROUP BY source),
     weighed AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(source_mix.WEIGHTS)} {weight} END AS DOUBLE) AS w FROM sources),
     summed AS (SELECT *, (sum(s) OVER () - coalesce(sum({source_mix.MOST} * s) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

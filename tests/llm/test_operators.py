@@ -100,7 +100,7 @@ def test_license_templates_in_blocks(spark):
 # -- line dedup
 
 
-def dedup_truth(rows, ratio, least):
+def dedup_truth(rows, ratio, least, most=None):
     pages, lines = Counter(), Counter()
     for source, text in {(s, t or "") for _, t, s in rows}:
         pages[source] += 1
@@ -113,30 +113,37 @@ def dedup_truth(rows, ratio, least):
         all_lines = text.split("\n")
         kept = [x for x in all_lines if not (lines[(source, x.strip(" "))] >= least and lines[(source, x.strip(" "))] / pages[source] >= ratio)]
         cleaned = "\n".join(kept)
-        if len(cleaned) < 0.5 * len(text):
+        if most is not None and len(cleaned) < (1 - most) * len(text):
             kept, cleaned = all_lines, text
         out.append((i, len(all_lines), len(all_lines) - len(kept), cleaned))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("ratio", "least"), [(0.02, 10), (0.1, 2)])
+@pytest.mark.parametrize(("ratio", "least", "most"), [(0.02, 3, None), (0.1, 2, None), (0.1, 2, 0.5)])
 @pytest.mark.parametrize("broadcast", [200_000, -1])
-def test_line_dedup(monkeypatch, documents, rows, ratio, least, broadcast):
+def test_line_dedup(monkeypatch, documents, rows, ratio, least, most, broadcast):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
-    got = line_dedup.drop_lines(documents, ratio=ratio, least_pages=least, counts=True).collect()
-    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got), key=str) == dedup_truth(rows, ratio, least)
+    got = line_dedup.drop_lines(documents, ratio=ratio, least_pages=least, most=most, counts=("n_lines", "n_dropped")).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got), key=str) == dedup_truth(rows, ratio, least, most)
 
 
 def test_line_dedup_awkward(awkward):
     got = line_dedup.drop_lines(awkward, ratio=0.5, least_pages=1)
     assert got.columns == awkward.columns and got.count() == awkward.count()
+    truth = dedup_truth([(r[0], r[1], r[3]) for r in awkward_rows()], 0.5, 1)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, _, _, t in truth)
+    counted = line_dedup.drop_lines(awkward, ratio=0.5, least_pages=1, counts=("key", "dropped")).collect()
+    assert sorted((str(r["doc_id"]), r["key"], r["dropped"]) for r in counted) == sorted((str(i), n, d) for i, n, d, _ in truth)
     assert line_dedup.drop_lines(awkward.limit(0)).count() == 0
 
 
-def test_line_dedup_keeps_groups_of_copies(spark):
-    copies = [(k, f"first line\nsecond line\nthird {k}", "s") for k in range(30)] + [(100 + k, f"own text of page {k} is long enough\nmenu", "s") for k in range(30)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect()}
-    assert got[3] == copies[3][1] and got[105] == "own text of page 5 is long enough"
+def test_line_dedup_drops_whatever_remains(spark):
+    pages = [(k, f"menu\nfooter\n{k}", "s") for k in range(30)] + [(100 + k, "a copy\nof one page", "s") for k in range(30)] + [(200 + k, "menu", "few") for k in range(2)]
+    df = spark.createDataFrame(pages, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df).collect()}
+    assert got[3] == "3" and got[105] == "a copy\nof one page" and got[200] == "menu"
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df, most=0.5).collect()}
+    assert kept[3] == pages[3][1]
 
 
 # -- language model
