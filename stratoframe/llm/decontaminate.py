@@ -25,15 +25,15 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratoframe.llm.common import broadcast_if_small, cut_lineage, free_name, once
 
 WINDOW = 13
 SHINGLE = 3
-#: Words of the benchmark in one block: at about 100 bytes each, a block is some 200 MB in a task.
-BLOCK_WORDS = 2_000_000
+#: Words of the benchmark in one block: an index takes about 390 bytes a word with its words (measured), so some 100 MB in a task.
+BLOCK_WORDS = 250_000
 #: A document is contaminated if hits cover at least this share of its words (1 in 20).
 SHARE = 20
 
@@ -145,6 +145,17 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def merged_spans(spans: Column) -> Column:
+    """The same for a column of spans of several blocks."""
+
+    def joined(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], span[1]))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))[1] >= span[0]), longer).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<array<bigint>>"), joined)
+
+
 def scanned(rows: DataFrame, block: Broadcast | None, sizes: list[int], item_type: str, every: bool) -> DataFrame:
     """doc_id, key, n_words, spans, items; with ``every`` for all rows, else for those with hits."""
     arrow_item = pa.string() if item_type == "string" else pa.int64()
@@ -185,7 +196,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     if "first" in found.columns:
         by_row = found.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("first").cast("int").alias("repeats"))
         by_row = by_row.withColumn("repeat", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).drop("repeat", "repeats")
-        found = by_row.withColumn("spans", F.udf(lambda s: merged(x for y in s for x in y), "array<array<long>>")("spans"))
+        found = once(by_row.withColumn("parts", F.flatten("spans")).drop("spans"), "spans", merged_spans(F.col("parts"))).drop("parts")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return once(found, "n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
