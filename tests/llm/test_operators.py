@@ -560,6 +560,7 @@ def test_factorisation_is_the_sum_over_pairs():
     m = m._replace(factors=rng.normal(0, 1, m.factors.shape))
     text = "a b c | z"
     index, x = m.inputs(factorization.features_of(text))
+    assert m.scores([text, None, "x"]) == pytest.approx([m.score(text), m.score(None), m.score("x")])
     pairs = sum(float(m.factors[index[i]] @ m.factors[index[j]]) * x[i] * x[j] for i in range(len(index)) for j in range(i))
     z = m.bias + float(m.linear[index] @ x) + pairs
     assert m.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
@@ -568,7 +569,8 @@ def test_factorisation_is_the_sum_over_pairs():
 def test_quality_awkward(spark, awkward):
     labels = spark.createDataFrame([(3, 1), (3, 1), (4, 0), (8, None), (99, 1), (None, 1), (7, 1), (5, 0)], "doc_id long, quality int")
     for table in (labels, labels.limit(0), labels.filter("quality = 1")):
-        scored = factorization.scored(awkward.drop("score"), factorization.train(awkward, table))
+        scored = factorization.scored(awkward, factorization.train(awkward, table))
+        assert sorted(scored.columns) == sorted(awkward.columns)
         assert scored.count() == awkward.count() and all(0 <= r["score"] <= 1 for r in scored.collect())
     machine = factorization.train(awkward.limit(0), labels)
     assert factorization.scored(awkward.limit(0), machine, score="s").count() == 0 and machine.score(None) == pytest.approx(0.5)
@@ -577,7 +579,7 @@ def test_quality_awkward(spark, awkward):
 # -- decontamination
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 300])
+@pytest.mark.parametrize("limit", [250_000, 4_000])
 def test_decontaminate(spark, documents, rows, limit):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()] + [(901, "short one"), (902, "short one"), (903, None), (904, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
