@@ -3,41 +3,54 @@
 A text is cut into pieces: at line ends, after sentence ends, and in longer runs of words at content-defined places (a word
 whose hash has low bits zero), so that an edit leaves the pieces elsewhere as they are. A piece's digest is the XXH64 of the
 piece and of how many equal pieces came before it, so repeated pieces count. The sketch is a table of cells (count, xor of
-digests, xor of their checks); each digest goes into one cell of each of three parts. Sketches of one size subtract cell by
-cell; what both texts share cancels, and peeling cells of count 1 or -1 recovers the digests that only one text has. If
-peeling stalls, both sketches are made again with twice the cells, until it succeeds: the difference is always exact. (The
-first size is set from an estimate of the difference, so that few tries fail.)
+digests, xor of their checks) in three parts of a power of two; each digest goes into one cell of each part. Tables of one size
+subtract cell by cell; what both texts share cancels, and peeling cells of count 1 or -1 recovers the digests that only one
+text has. A larger table folds to a smaller size, since places are the low bits of hashes.
 
-The likeness of two texts is 1 - differing digests / digests of both (1 for two texts without pieces). The fingerprint is
-the base sketch in hex, led by the number of pieces; equal texts have equal ones.
+The fingerprint that is returned suffices for every comparison: its table has at least ``ROOM`` cells for each digest (more,
+if peeling needs it), so it can be read back whole. Two fingerprints are compared at the size of the smaller one first. If
+peeling stalls, their digests are read back and laid into larger tables, twice as large each time, until it succeeds. So the
+difference is always exact and comes from the two fingerprints alone, never from the texts.
 
-For the neighbours query documents are dealt by ranges of the id (boundaries from quantiles of the ids, a few numbers on
-the driver) and sorted within them; each range also gets the first row of the next one, so every row meets its successor in
-a stream that holds two texts at a time. Texts are shuffled once.
+The likeness of two texts is 1 - differing digests / digests of both (1 for two texts without pieces). Equal texts have equal
+fingerprints. All tables of a batch of texts lie in one array and are made, folded and peeled together.
 
-Null texts count as empty: no pieces. Rows without an id come first (by text hash); rows of equal ids follow each other by
-text hash. An empty table gives no rows; a single document is its own successor. Extra columns are ignored.
+For the neighbours query documents are dealt by ranges of (id, text hash) and sorted within them; each range also gets the
+first row of the next one, so every row meets its successor. Ranges are cut on ids and hashes alone (one row for each range
+comes to the driver); texts are shuffled once.
+
+Ids may be of any type that can be ordered. Null texts count as empty: no pieces. Rows without an id come first (by text
+hash); rows of equal ids follow each other by text hash. An empty table gives no rows; a single document is its own
+successor. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the base sketch (a multiple of three); bytes up to which a sentence is one piece; words after which a longer run is cut at the latest.
-CELLS = 24
-LONG = 600
+from stratoframe.llm.common import cut_lineage
+
+#: Least cells of a part; cells for each digest; bytes up to which a sentence is one piece; words after which a longer run is cut at the latest.
+LEAST_THIRD = 8
+ROOM = 1.5
+LONG = 192
 RUN = 24
+#: Texts, and their code points, that are sketched together.
+TEXTS, CHARACTERS = 400, 4_000_000
+#: Rounds of peeling before a table counts as stalled; a chain of digests takes one round for each link.
+ROUNDS = 400
 _PIECE = re.compile(rb"[^\n]*?[.!?](?=\s)|[^\n]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+_HASHES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
 def pieces_of(text: bytes) -> list[bytes]:
@@ -69,92 +82,156 @@ def digests_of(text: bytes) -> np.ndarray:
 
 
 def check_of(digests: np.ndarray) -> np.ndarray:
-    mixed = (digests ^ (digests >> np.uint64(29))) * _MIX
-    return mixed ^ (mixed >> np.uint64(32))
-
-
-def places_of(digests: np.ndarray, cells: int) -> list[np.ndarray]:
-    """For each digest one cell in each third of the table."""
-    third = np.uint64(cells // 3)
-    return [((((digests >> np.uint64(s)) * _MIX) >> np.uint64(24)) % third + np.uint64(k) * third).view(np.int64) for k, s in enumerate((0, 17, 31))]
-
-
-def sketch(digests: np.ndarray, cells: int) -> Table:
-    count, key, check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-    if len(digests):
-        checks = check_of(digests)
-        for places in places_of(digests, cells):
-            np.add.at(count, places, 1)
-            np.bitwise_xor.at(key, places, digests)
-            np.bitwise_xor.at(check, places, checks)
-    return count, key, check
-
-
-def peel(a: Table, b: Table) -> tuple[np.ndarray, np.ndarray] | None:
-    """Digests only in a, only in b; None where the difference can't be read from tables of this size."""
-    count, key, check = a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]
-    digests, signs = [], []
-    for _ in range(4 * len(count)):
+    """32 bits each."""
+    return ((digests ^ (digests >> np.uint64(29))) * _MIX) >> np.uint64(32)
+
+
+class Tables(NamedTuple):
+    """Tables one after the other; table t has three parts of thirds[t] cells."""
+
+    count: np.ndarray
+    key: np.ndarray
+    check: np.ndarray
+    thirds: np.ndarray
+
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(3 * self.thirds)]).astype(np.int64)
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.thirds)), 3 * self.thirds)
+
+    def chosen(self, which: np.ndarray) -> Tables:
+        starts = self.starts()
+        cells = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in which]) if len(which) else np.zeros(0, np.int64)
+        return Tables(self.count[cells], self.key[cells], self.check[cells], self.thirds[which])
+
+
+def gathered(at: np.ndarray, count: np.ndarray, key: np.ndarray, check: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of counts and xors of keys and checks by place."""
+    keys, checks = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        ordered = at[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        keys[ordered[first]] = np.bitwise_xor.reduceat(key[order], first)
+        checks[ordered[first]] = np.bitwise_xor.reduceat(check[order], first)
+    return np.bincount(at, count, size).astype(np.int64), keys, checks
+
+
+def laid(digests: np.ndarray, owner: np.ndarray, sign: np.ndarray, thirds: np.ndarray) -> Tables:
+    """Each digest in its three cells of its owner's table."""
+    starts = np.concatenate([[0], np.cumsum(3 * thirds)]).astype(np.int64)
+    third = thirds[owner]
+    places = [starts[owner] + k * third + ((digests * m) >> np.uint64(32)).astype(np.int64) % np.maximum(third, 1) for k, m in enumerate(_HASHES)]
+    checks = check_of(digests)
+    return Tables(*gathered(np.concatenate(places), np.tile(sign, 3), np.tile(digests, 3), np.tile(checks, 3), int(starts[-1])), thirds)
+
+
+def folded(tables: Tables, thirds: np.ndarray) -> Tables:
+    """The same tables at smaller sizes."""
+    if np.array_equal(tables.thirds, thirds):
+        return tables
+    starts, owner = np.concatenate([[0], np.cumsum(3 * thirds)]).astype(np.int64), tables.owners()
+    part, place = np.divmod(np.arange(len(owner)) - tables.starts()[owner], tables.thirds[owner])
+    at = starts[owner] + part * thirds[owner] + place % thirds[owner]
+    return Tables(*gathered(at, tables.count, tables.key, tables.check, int(starts[-1])), thirds)
+
+
+def peel(tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each table whether all of it could be read; then the digests read, their tables and their signs."""
+    count, key, check, thirds = tables
+    owner = tables.owners()
+    digests, owners, signs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _ in range(ROUNDS):
         pure = np.flatnonzero((np.abs(count) == 1) & (check_of(key) == check))
         if not len(pure):
-            if count.any() or key.any() or check.any():
-                return None
-            found, sign = (np.concatenate(digests), np.concatenate(signs)) if digests else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return found[sign > 0], found[sign < 0]
-        found, first = np.unique(key[pure], return_index=True)
-        sign, checks = count[pure][first], check_of(found)
-        for places in places_of(found, len(count)):
-            np.subtract.at(count, places, sign)
-            np.bitwise_xor.at(key, places, found)
-            np.bitwise_xor.at(check, places, checks)
-        digests.append(found)
-        signs.append(sign)
-    return None  # a false pure cell went round in circles
-
-
-def start_size(a: np.ndarray, b: np.ndarray, cells: int, sample: int = 32) -> int:
-    """Cells to begin with: the difference is estimated from the lowest digests of both sides (a uniform sample of their union)."""
-    low_a, low_b = set(a[:sample].tolist()), set(b[:sample].tolist())
-    if not (lowest := sorted(low_a | low_b)[:sample]):
-        return cells
-    differing = sum((d in low_a) != (d in low_b) for d in lowest) / len(lowest)
-    # with x digests in both, len(a) + len(b) = 2 x + those in one; x is (1 - differing) of the union
-    expected = max(abs(len(a) - len(b)), differing * (len(a) + len(b)) / (2 - differing))
-    while cells < 2 * expected:
-        cells *= 2
-    return cells
-
-
-class Sketched:
-    """A text's digests and its sketches, by number of cells."""
-
-    def __init__(self, text: bytes) -> None:
-        self.digests, self.tables = digests_of(text), {}
-
-    def table(self, cells: int) -> Table:
-        if cells not in self.tables:
-            self.tables[cells] = sketch(self.digests, cells)
-        return self.tables[cells]
-
-    def fingerprint(self, cells: int = CELLS) -> str:
-        count, key, check = self.table(cells)
-        return f"{len(self.digests):08x}" + count.astype(">u4").tobytes().hex() + key.astype(">u8").tobytes().hex() + check.astype(">u8").tobytes().hex()
-
-
-def difference(a: Sketched, b: Sketched, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Digests only in a, only in b, and the cells it took."""
-    cells = start_size(a.digests, b.digests, cells)
-    while (found := peel(a.table(cells), b.table(cells))) is None:
-        cells *= 2
-    return *found, cells
-
-
-def likeness(a: Sketched, b: Sketched) -> tuple[float, int]:
-    """1 less the share of differing digests, and the cells it took."""
-    if not (both := len(a.digests) + len(b.digests)):
-        return 1.0, CELLS
-    left, right, cells = difference(a, b)
-    return 1 - (len(left) + len(right)) / both, cells
+            break
+        _, first = np.unique(key[pure] ^ (owner[pure].astype(np.uint64) * _MIX), return_index=True)
+        pure = pure[first]
+        digests.append(key[pure])
+        owners.append(owner[pure])
+        signs.append(count[pure])
+        gone = laid(digests[-1], owners[-1], signs[-1], thirds)
+        count, key, check = count - gone.count, key ^ gone.key, check ^ gone.check
+    left = np.bincount(owner, ((count != 0) | (key != 0) | (check != 0)).astype(float), len(thirds))
+    return left == 0, np.concatenate(digests), np.concatenate(owners), np.concatenate(signs)
+
+
+def thirds_for(n: np.ndarray) -> np.ndarray:
+    return np.maximum(LEAST_THIRD, 1 << np.ceil(np.log2(np.maximum(1.0, ROOM * n / 3))).astype(np.int64))
+
+
+class Sketches(NamedTuple):
+    """Fingerprints of texts: numbers of digests, and tables that can be read back."""
+
+    n: np.ndarray
+    tables: Tables
+
+    def texts(self) -> list[str]:
+        """In hex: digests, size of a part, then all counts, keys and checks."""
+        starts = self.tables.starts()
+        out = []
+        for t, (n, third) in enumerate(zip(self.n, self.tables.thirds, strict=True)):
+            own = slice(starts[t], starts[t + 1])
+            out.append(f"{n:08x}{third:08x}" + self.tables.count[own].astype(">u4").tobytes().hex() + self.tables.key[own].astype(">u8").tobytes().hex() + self.tables.check[own].astype(">u4").tobytes().hex())
+        return out
+
+    def chosen(self, which: np.ndarray) -> Sketches:
+        return Sketches(self.n[which], self.tables.chosen(which))
+
+
+def sketched(digests: Sequence[np.ndarray]) -> Sketches:
+    n = np.array([len(d) for d in digests], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *digests])
+    owner = np.repeat(np.arange(len(n)), n)
+    thirds = thirds_for(n)
+    while True:
+        tables = laid(flat, owner, np.ones(len(flat), np.int64), thirds)
+        whole = peel(tables)[0]
+        if whole.all():
+            return Sketches(n, tables)
+        thirds = np.where(whole, thirds, 2 * thirds)
+
+
+def read_fingerprint(text: str) -> Sketches:
+    """One fingerprint from its hex digits."""
+    raw = bytes.fromhex(text)
+    n, third = (int.from_bytes(raw[k : k + 4], "big") for k in (0, 4))
+    sizes = np.cumsum([8, 12 * third, 24 * third, 12 * third])
+    count, key, check = (np.frombuffer(raw[a:b], kind) for a, b, kind in zip(sizes[:-1], sizes[1:], (">u4", ">u8", ">u4"), strict=True))
+    return Sketches(np.array([n]), Tables(count.astype(np.int64), key.astype(np.uint64), check.astype(np.uint64), np.array([third])))
+
+
+def differences(a: Sketches, b: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of fingerprints: the cells that each took; then the digests that only one of a pair has, the pair's number, 1 for a and -1 for b."""
+    thirds = np.minimum(a.tables.thirds, b.tables.thirds)
+    one, two = folded(a.tables, thirds), folded(b.tables, thirds)
+    whole, digests, pair, sign = peel(Tables(one.count - two.count, one.key ^ two.key, one.check ^ two.check, thirds))
+    done = [(digests[whole[pair]], pair[whole[pair]], sign[whole[pair]])]
+    cells = 3 * thirds
+    open_ = np.flatnonzero(~whole)
+    if len(open_):
+        sides = [peel(x.tables.chosen(open_))[1:3] for x in (a, b)]
+        flat = np.concatenate([d for d, _ in sides])
+        owner = open_[np.concatenate([o for _, o in sides])]
+        side = np.repeat([1, -1], [len(d) for d, _ in sides])
+        thirds = np.maximum(a.tables.thirds, b.tables.thirds)
+        while len(open_):
+            number = np.zeros(len(thirds), np.int64)
+            number[open_] = np.arange(len(open_))
+            mine = np.isin(owner, open_)
+            whole, digests, pair, sign = peel(laid(flat[mine], number[owner[mine]], side[mine], thirds[open_]))
+            cells[open_] = 3 * thirds[open_]
+            done.append((digests[whole[pair]], open_[pair[whole[pair]]], sign[whole[pair]]))
+            open_ = open_[~whole]
+            thirds = 2 * thirds
+    return cells, *(np.concatenate([d[k] for d in done]) for k in range(3))
+
+
+def likeness(a: Sketches, b: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs: 1 less the share of differing digests, and the cells it took."""
+    cells, _, pair, _ = differences(a, b)
+    return 1 - np.bincount(pair, minlength=len(a.n)) / np.maximum(1, a.n + b.n), cells
 
 
 def edited_text(text: str, following: str) -> str:
@@ -163,47 +240,73 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def compared(rows: list[tuple[object, str]], following: str) -> list[tuple]:
+    """Results of rows (id, text) that follow each other; the last one's successor has the text ``following``."""
+    texts = [t for _, t in rows] + [following]
+    edits = [edited_text(t, u) for t, u in zip(texts, texts[1:], strict=False)]
+    all_sketches = sketched([digests_of(t.encode()) for t in texts + edits])
+    k = np.arange(len(rows))
+    own, edited, after = all_sketches.chosen(k), all_sketches.chosen(len(texts) + k), all_sketches.chosen(k + 1)
+    (near_edited, cells), (near_next, _) = likeness(own, edited), likeness(own, after)
+    digests = [hashlib.sha256(e.encode()).hexdigest() for e in edits]
+    return list(zip([i for i, _ in rows], map(len, texts), digests, own.texts(), edited.texts(), near_edited.tolist(), near_next.tolist(), cells.tolist(), strict=False))
+
+
+def range_of(row: Column, bounds: list[Column], step: int = 64) -> Column:
+    """How many of the ascending bounds are at or below the row: first among every 64th, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    coarse = F.size(F.filter(F.array(*bounds[::step]), lambda b: b <= row))
+    fine = F.size(F.filter(F.slice(F.array(*bounds), (F.greatest(coarse, F.lit(1)) - 1) * step + 1, F.lit(step)), lambda b: b <= row))
+    return (F.greatest(coarse, F.lit(1)) - 1) * step + fine
+
+
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, cells (those the edit's difference took)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("key"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    bounds = sorted(set(rows.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    placed = rows.select("doc_id", "text", place.alias("part"))
-    firsts = {r["part"]: r["first"] for r in placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("first")).collect()}
-    order = sorted(firsts)
-    # rows with a part's first id also go to the part before it (the first part's to the last), as successors only
-    before = {part: order[k - 1] for k, part in enumerate(order)}
-    copied = F.array(F.struct(F.col("part"), F.lit(0).alias("after")))
-    if order:
-        to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        first = F.create_map(*[x for part, value in firsts.items() for x in (F.lit(part), F.lit(value))])
-        is_first = F.col("doc_id").eqNullSafe(first[F.col("part")])
-        copied = F.when(is_first, F.array(F.struct(F.col("part"), F.lit(0).alias("after")), F.struct(to[F.col("part")].alias("part"), F.lit(1).alias("after")))).otherwise(copied)
-    dealt = placed.select("doc_id", "text", F.explode(copied).alias("to")).select(F.col("to.part").alias("part"), F.col("to.after").alias("after"), "doc_id", F.xxhash64("text").alias("key"), "text")
-    ranged = dealt.repartition(max(len(order), 1), "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), "key")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the row whose successor is awaited
+    ids = cut_lineage(rows.select("doc_id", "key").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "key"))
+    firsts = sorted((r["first"] for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(place).alias("first")).collect()), key=lambda r: (r["known"], r["doc_id"] if r["known"] else 0, r["key"]))
+    kind = docs.schema[doc_id].dataType
+    bounds = [F.struct(F.lit(r["known"]).alias("known"), F.lit(r["doc_id"]).cast(kind).alias("doc_id"), F.lit(r["key"]).alias("key")) for r in firsts]
+    # rows with a range's first place also go to the range before it (the first range's to the last), as successors only
+    n = max(len(bounds), 1)
+    # numbers that hash partitioning deals to a task each
+    dealt_to = {r["to"]: r["id"] for r in spark.range(40 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).agg(F.min("id").alias("id")).collect()} if n > 1 else {}
+    names = F.array(*[F.lit(int(dealt_to.get(k, 40 * n + k))) for k in range(n)])
+    number = F.greatest(range_of(place, bounds), F.lit(1)) - 1
+    placed = rows.withColumn("number", number)
+    own = F.struct(F.col("number"), F.lit(0).alias("after"))
+    before = F.struct(F.pmod(F.col("number") - 1, F.lit(n)).alias("number"), F.lit(1).alias("after"))
+    is_first = (place == F.get(F.array(*bounds), F.col("number"))) if bounds else F.lit(False)
+    dealt = placed.select("doc_id", "text", "key", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))).alias("to"))
+    dealt = dealt.select(F.get(names, F.col("to.number")).cast("int").alias("part"), F.col("to.after").alias("after"), "doc_id", "key", "text")
+    ranged = dealt.repartition(n, "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), "key")
+
+    def out(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 8
+        kinds = (kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "cells"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[object, str]] = []  # rows of the range that follow each other; the last one's successor is awaited
+        size, at, ended = 0, None, False
         for batch in batches:
-            out = []
+            id_type = batch.schema.field(2).type
             for part, after, doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if after and (held is None or held[0] != part):
-                    continue  # further rows of the next part's first id
+                if part != at:
+                    at, held, size, ended = part, [], 0, False
+                if ended:
+                    continue  # further rows of the next range's first place
                 body = body.as_py()
-                own = Sketched(body.encode())
-                if held is not None and held[0] == part:
-                    _, doc0, text0, sketched0 = held
-                    edit = edited_text(text0, body)
-                    edited = sketched0 if edit == text0 else Sketched(edit.encode())
-                    near_edited, cells = likeness(sketched0, edited)
-                    out.append((doc0, len(text0), hashlib.sha256(edit.encode()).hexdigest(), sketched0.fingerprint(), edited.fingerprint(), near_edited, likeness(sketched0, own)[0], cells))
-                held = None if after else (part, doc, body, own)
-            columns = [list(c) for c in zip(*out, strict=True)] if out else [[]] * 8
-            kinds = (batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "cells"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return ranged.select("part", "after", "doc_id", "text").mapInArrow(compared, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, cells long")
+                if held and (after or len(held) >= TEXTS or size >= CHARACTERS):
+                    yield out(compared(held, body), id_type)
+                    held, size = [], 0
+                ended = bool(after)
+                held.append((doc, body))
+                size += len(body)
+
+    return ranged.select("part", "after", "doc_id", "text").mapInArrow(streamed, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, cells long")
