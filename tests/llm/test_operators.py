@@ -491,20 +491,33 @@ def test_mix_multiplies_rows(awkward):
 
 def test_sketches_recover_differences():
     rng = random.Random(5)
+    pairs = []
     for n in (0, 1, 5, 60, 700):
         a = [" ".join(rng.choice("abcdefgh") for _ in range(6)) + "." for _ in range(n)]
-        b = a[: n * 2 // 3] + [x[::-1] for x in a[n * 2 // 3 :]] + a[:2]
-        x, y = (iblt.Sketched("\n".join(t).encode()) for t in (a, b))
-        left, right, cells = iblt.difference(x, y)
-        one, two = set(x.digests.tolist()), set(y.digests.tolist())
-        assert (set(left.tolist()), set(right.tolist())) == (one - two, two - one)
-        assert cells % 3 == 0
-
-
-def test_small_tables_fail_and_are_retried():
-    a, b = (iblt.Sketched("\n".join(f"{k} {j}." for k in range(200)).encode()) for j in (1, 2))
-    assert iblt.peel(a.table(24), b.table(24)) is None
-    assert iblt.difference(a, b)[2] > 24
+        pairs += [(a, a[: n * 2 // 3] + [x[::-1] for x in a[n * 2 // 3 :]] + a[:2]), (a, a), (a, ["one other."]), (["some", "other"], a)]
+    digests = [[iblt.digests_of("\n".join(p[k]).encode()) for p in pairs] for k in (0, 1)]
+    shipped = [[iblt.read_fingerprint(x) for x in iblt.sketched(d).texts()] for d in digests]
+    together = iblt.likeness(*(iblt.sketched(d) for d in digests))[0]
+    for k, (one, two) in enumerate(zip(*digests, strict=True)):
+        cells, found, _, sign = iblt.differences(shipped[0][k], shipped[1][k])  # from the fingerprints' hex alone
+        one, two = set(one.tolist()), set(two.tolist())
+        assert (set(found[sign > 0].tolist()), set(found[sign < 0].tolist())) == (one - two, two - one)
+        assert cells[0] % 3 == 0 and together[k] == pytest.approx(1 - len(one ^ two) / max(1, len(one) + len(two)))
+
+
+def test_small_tables_stall_and_are_retried():
+    a, b = (iblt.sketched([iblt.digests_of("\n".join(f"{k} {j}." for k in range(n)).encode())]) for j, n in ((1, 200), (2, 10)))
+    cells = iblt.differences(a, b)[0]
+    assert cells[0] > 3 * b.tables.thirds[0]
+
+
+def piece_digests(text):
+    """Sentences and lines of up to 192 bytes (all of the fixture's longer ones are cut at content-defined places)."""
+    seen, out = Counter(), set()
+    for piece in iblt.pieces_of(text.encode()):
+        out.add(xxhash.xxh64_intdigest(piece, seen[piece]))
+        seen[piece] += 1
+    return out
 
 
 def neighbours_truth(rows):
@@ -515,19 +528,33 @@ def neighbours_truth(rows):
         edit = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
 
         def near(a, b):
-            a, b = (set(iblt.digests_of(x.encode()).tolist()) for x in (a, b))
+            a, b = piece_digests(a), piece_digests(b)
             return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
 
-        out[i] = (len(t), hashlib.sha256(edit.encode()).hexdigest(), iblt.Sketched(t.encode()).fingerprint(), iblt.Sketched(edit.encode()).fingerprint(), pytest.approx(near(t, edit)), pytest.approx(near(t, nxt)))
+        out[i] = (len(t), hashlib.sha256(edit.encode()).hexdigest(), pytest.approx(near(t, edit)), pytest.approx(near(t, nxt)), piece_digests(t), piece_digests(edit))
     return out
 
 
+def digests_in(fingerprint):
+    return set(iblt.peel(iblt.read_fingerprint(fingerprint).tables)[1].tolist())
+
+
 def test_neighbours(spark, documents, rows):
-    got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in iblt.neighbours(documents.repartition(5)).collect()}
-    assert got == neighbours_truth(rows)
+    found = iblt.neighbours(documents.repartition(5)).collect()
+    got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"], digests_in(r["fingerprint"]), digests_in(r["edited_fingerprint"])) for r in found}
+    assert len(found) == len(rows) and got == neighbours_truth(rows)
     single = documents.filter("doc_id = 7")
     assert iblt.neighbours(single).first()["near_next"] == 1.0
     assert iblt.neighbours(documents.limit(0)).count() == 0
+    named = {r["doc_id"]: r["near_next"] for r in iblt.neighbours(documents.withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 6, "0")))).collect()}
+    assert named == {f"d{i:06}": v[3] for i, v in got.items()}
+
+
+def test_pieces():
+    assert iblt.pieces_of(b"One. Two! x? Three\n\n four ") == [b"One.", b"Two!", b"x?", b"Three", b"four"]
+    long = b" ".join(b"w%d" % k for k in range(500))
+    cut = iblt.pieces_of(long)
+    assert b" ".join(cut) == long and len(cut) > 10 and iblt.pieces_of(long[:-4] + b"zzzz")[:-1] == cut[:-1]
 
 
 def test_neighbours_awkward(awkward):
