@@ -5,10 +5,12 @@ on, so a group of exact copies costs one row, however large it is.
 
 Candidates: a fingerprint's bits fall into 32 segments of two bits; the vector of their bit counts is its embedding. Two
 fingerprints at Hamming distance d have embeddings at Manhattan distance at most d (each bit moves one count by one), so
-that distance is a lower bound. The grid: eight blocks of four segments. At most ``distance`` (4) bits differ, so at least
-four of the eight blocks have equal counts; the cells are the 70 choices of four blocks with their counts, and every linked
-pair meets in a cell. Within a cell, pairs whose embeddings are farther apart than 4 are dropped and the others verified on
-the bits.
+that distance is a lower bound. The grid: the embedding's two halves of 16 counts. Of at most ``distance`` (4) steps between
+two embeddings one half takes at most two, so there a vector lies between them, at most one step from each. A fingerprint goes
+to the cells of its own half vector and of all that are one step away (at most 33 a half, 22 on average), for both halves; so every
+linked pair meets in a cell. Pairs that meet are dropped if their whole embeddings are farther apart than 4; the others are
+verified on the bits. (Unrelated fingerprints meet with a chance of some 0.00008, so pairs to look at grow with the square of
+the distinct fingerprints, by that factor.)
 
 Cells of more than ``CELL`` fingerprints are cut into chunks of that many, and each pair of chunks is compared by itself, so
 no task holds a whole cell. Each comparison returns a spanning forest of its links, not all pairs: nothing is lost for the
@@ -28,12 +30,11 @@ that meet pairwise, and only pairs whose shingle sets are similar enough become
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratoframe.llm.common import broadcast_if_small, cut_lineage, free_name
@@ -41,8 +42,9 @@ from stratoframe.llm.common import broadcast_if_small, cut_lineage, free_name
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-BLOCKS = 8
 CELL = 512
+#: Fingerprints that a task deals to cells.
+NODES = 100_000
 #: Up to so many crowded cells (12 bytes each) are broadcast to the pass that picks their rows; more are joined by a shuffle.
 BROADCAST_CELLS = 200_000
 #: Minimum hashes of the wide search: so many bands of so many each.
@@ -100,21 +102,36 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(thermometer(a) ^ thermometer(b))
 
 
-def cells(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """cell, fp: each distinct fingerprint in the grid cells of every choice of ``blocks - distance`` blocks' counts."""
-    width = 64 // blocks
-    one = (1 << width) - 1
-    masks = np.array([sum(one << (width * b) for b in chosen) for chosen in combinations(range(blocks), blocks - distance)], np.uint64)
+def lower_bound(a: Column, b: Column) -> Column:
+    """Manhattan distance of the embeddings of two columns: segments with a bit set on one side only, and with both set on one side only."""
+    even = F.lit(int(EVEN))
+
+    def some(x: Column) -> Column:
+        return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even)
+
+    def both(x: Column) -> Column:
+        return x.bitwiseAND(F.shiftrightunsigned(x, 1)).bitwiseAND(even)
+
+    return F.bit_count(some(a).bitwiseXOR(some(b))) + F.bit_count(both(a).bitwiseXOR(both(b)))
+
+
+def cells(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """cell, fp: each distinct fingerprint in the cells of its half vectors and of those one step away."""
+    if distance > 5:
+        raise ValueError("halves one step apart from a common cell hold distances up to 5")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             counts = embedding(fp)
-            for number, mask in enumerate(masks):
-                # the choice's number in the mix keeps cells of different choices apart; a clash only adds candidates
-                mixed = ((counts & mask) + np.uint64(number + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(31)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), batch.column(0)], names=["cell", "fp"])
+            for half in range(2):
+                vector = ((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)) | np.uint64(half << 32)
+                near = [(vector, fp)]
+                for k in range(0, 32, 2):
+                    step, count = np.uint64(1 << k), (vector >> np.uint64(k)) & np.uint64(3)
+                    more, less = count < 2, count > 0
+                    near += [(vector[more] + step, fp[more]), (vector[less] - step, fp[less])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[side] for x in near]).view(np.int64)) for side in (0, 1)], names=["cell", "fp"])
 
     return nodes.select("fp").mapInArrow(dealt, "cell long, fp long")
 
@@ -143,13 +160,15 @@ def forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]
     return links
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
     """a, b: links between distinct fingerprints within the distance that connect whatever all such links connect."""
-    dealt = cells(nodes, distance, blocks)
+    # few short rows become many: they are spread by their number first
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // NODES))
+    dealt = cells(nodes.select("fp").repartition(tasks, "fp"), distance)
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("lowest"), F.max("fp").alias("highest")).filter("n > 1")
     sizes = cut_lineage(sizes)
     pairs = sizes.filter("n = 2").select(F.col("lowest").alias("a"), F.col("highest").alias("b"))
-    direct = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    direct = pairs.filter(lower_bound(F.col("a"), F.col("b")) <= distance).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     crowded = sizes.filter("n > 2").select("cell", F.ceil(F.col("n") / cell).cast("int").alias("chunks"))
     if crowded.count() <= BROADCAST_CELLS:
         crowded = F.broadcast(crowded)
