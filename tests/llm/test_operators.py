@@ -292,6 +292,19 @@ def test_simhash_links_hold_in_crowded_cells(spark, cell):
     assert {x: got.get(x, x) for x in signed} == expected and max(groups.values()) > 10
 
 
+def test_manhattan_distance_is_a_lower_bound(spark):
+    rng = random.Random(4)
+    pairs = [(x, x ^ sum(1 << b for b in rng.sample(range(64), k))) for k in (0, 1, 2, 4, 9, 40) for x in (rng.getrandbits(64) for _ in range(20))]
+    signed = [tuple(v - (1 << 64) if v >> 63 else v for v in p) for p in pairs]
+    got = spark.createDataFrame(signed, "a long, b long").select("a", "b", simhash.lower_bound(F.col("a"), F.col("b")).alias("d")).collect()
+    counts = lambda x: [(x >> k & 3).bit_count() for k in range(0, 64, 2)]
+    for r in got:
+        a, b = (x & ((1 << 64) - 1) for x in (r["a"], r["b"]))
+        assert r["d"] == sum(abs(x - y) for x, y in zip(counts(a), counts(b), strict=True)) <= (a ^ b).bit_count()
+    with pytest.raises(ValueError):
+        simhash.cells(spark.createDataFrame([(1,)], "fp long"), 6)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
