@@ -68,10 +68,9 @@ def license_truth(text):
     places = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     best, labels = 0.0, {label for _, label in places}
     base = set(labels)
-    for line in (text or "").split("\n"):
-        block = set(plain_words(line))
-        for label, t in license_scan.TEMPLATES:
-            t = set(t.split())
+    for label, template in license_scan.TEMPLATES:
+        t, width = set(template.split()), license_scan.width_of(template)
+        for block in (set(w[at : at + 2 * width]) for at in range(0, len(w), width)):
             if len(block & t) >= math.ceil(round(license_scan.THRESHOLD * len(t), 9)):
                 labels.add(label)
                 best = max(best, len(block & t) / len(t))
@@ -90,6 +89,22 @@ def test_license_scan(documents, rows, awkward):
     assert license_scan.scan(documents.limit(0)).count() == 0
 
 
+def test_license_texts_are_found_wrapped(spark):
+    def wrapped(words, mark, at):
+        filler = [f"word{k}" for k in range(at)]
+        lines = [" ".join((filler + words)[k : k + 9]) for k in range(0, at + len(words), 9)]
+        return "\n".join(f"{mark} {x.title()}." for x in lines) + "\n\ncode code code"
+
+    texts = [wrapped(t.split(), mark, at) for _, t in license_scan.TEMPLATES for mark, at in (("#", 0), (" *", 31), ("//", 301))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for k, t in enumerate(texts):
+        label, template = license_scan.TEMPLATES[k // 3]
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0
+        found = [b for b in got[k]["blocks"] if b["template"] == k // 3]
+        assert any(b["at"] <= (0, 31, 301)[k % 3] and b["at"] + 2 * b["width"] >= (0, 31, 301)[k % 3] + len(template.split()) for b in found)
+
+
 def test_license_templates_in_blocks(spark):
     mit = license_scan.TEMPLATES[1][1].split()
     texts = [" ".join(reversed(mit)), " ".join(mit[: len(mit) // 2]), "nothing\n" + " ".join(mit[:-2]).upper(), "k kelvin K İ"]
