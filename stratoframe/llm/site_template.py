@@ -1,17 +1,21 @@
 """Main text of web pages by site template removal.
 
-Each page is read into a tree of elements. Subtrees outside the article, and containers (not paragraphs, headings, lists'
-items and the like) inside it, are hashed whole: tag and text with the subtrees within. Spark counts for each host on how
-many pages (pages with the same html count once) each hash occurs; subtrees on at least ``least_pages`` pages and at least
-``ratio`` of the host's are that site's template and are deleted on each of its pages. Elements that are never main text
-(navigation, page header and footer, asides, forms, scripts, styles, and those whose role, id or class names say so) go
-first, on every page, so that a host of few pages is clean too. Of what remains the text of the article (article, main, or
-else the body) is kept: one block per block element, character references decoded, white space turned into one space.
+Each page is read into a tree of elements. All subtrees outside the article, and inside it containers and whatever the fixed
+lists name (not paragraphs, headings, lists' items and the like), are hashed whole: tag and text with the subtrees within.
+Spark counts for each host on how many pages (pages with the same html count once) each hash occurs; subtrees on at least
+``least_pages`` pages and at least ``ratio`` of the host's are that site's template and are deleted on each of its pages, on the
+tree as it was read. Subtrees inside an article need ``inside_ratio``, since they may be text that articles share.
+
+What recurs too seldom to be counted (hosts of few pages, parts that differ on each page) is left to the fixed lists, after
+the template: elements that are never main text (navigation, page header and footer, asides, forms, scripts, styles), and
+those whose role, id or class names say so in all their words. Of what remains the text of the article (article, main, or else
+the body) is kept: one block per block element, character references decoded, white space turned into one space.
+``template_chars`` and ``listed_chars`` tell how much text each of the two parts removed.
 
 Paragraphs of the article are never deleted as template: a sentence that many articles share is still their text.
 
 Hosts are spread: only (host, hash) counts are shuffled, pre-aggregated, and the templates found are few (at most mean
-subtrees per page / ratio for each host). They are broadcast if few rows in all, else joined on the host, with salt.
+subtrees per page / ratio for each host). They are broadcast if their hashes are few in all, else joined on the host, with salt.
 
 Null or empty html gives an empty text; a null url is the empty host. Broken markup is read as far as it goes: open elements
 end with the page. Repeated rows each give a row. Extra columns are ignored.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import broadcast_if_small, cut_lineage
+from stratoframe.llm.common import cut_lineage
 
-RATIO = 0.2
-LEAST_PAGES = 5
+RATIO = 0.02
+INSIDE_RATIO = 0.2
+LEAST_PAGES = 3
+#: Templates of more hashes than this (8 bytes each) are joined by a shuffle.
+BROADCAST_HASHES = 500_000
 SALTS = 16
 
 #: Names of elements.
@@ -51,7 +59,12 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply disqus footer masthead pagination pager widget toolbar skip search form".split()
 )
-STATES = frozenset("has with without no is".split())
+#: Words that such names have besides; a name with any other word (form-factor, related-work) says something else.
+NEUTRAL = frozenset(
+    "box bar block wrapper wrap container section list area button buttons link links item items inner outer top bottom left right center main site page global header post posts article articles user "
+    "users reader readers entry content text body title story stories news more also primary secondary sticky fixed inline small large mini slot unit message icon icons row col column columns panel group "
+    "desktop mobile count thread author field fields input submit email policy strip holder frame zone region area widgets wp js id by to us up on".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))""", re.DOTALL)
@@ -61,18 +74,19 @@ _SPACE = re.compile(r"\s+")
 
 
 def _marked(name: str) -> bool:
-    """A class name or id that says so; names such as has-sidebar speak of the page's state."""
-    words = _NAME.findall(name)
-    return bool(words) and words[0] not in STATES and not MARKS.isdisjoint(words)
+    """A class name or id that says so in all its words; names such as has-sidebar or search-results speak of something else."""
+    words = [w for w in _NAME.findall(name) if not w.isdigit()]
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL for w in words)
 
 
 class Element:
-    __slots__ = ("tag", "parts", "parent", "drop", "root")
+    __slots__ = ("tag", "parts", "parent", "drop", "root", "template")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = "") -> None:
         self.tag, self.parent, self.parts = tag, parent, []
         self.root = tag in ("article", "main")
         self.drop = tag in NEVER
+        self.template = False
         if "=" in attributes and not self.drop:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 words = _NAME.findall("".join(values).lower())
@@ -84,7 +98,15 @@ class Element:
 
 def tree_of(page: str) -> Element:
     top = here = Element("html", None)
+    opened: Counter[str] = Counter()
     end = 0
+
+    def left(element: Element, to: Element) -> Element:
+        while element is not to:
+            opened[element.tag] -= 1
+            element = element.parent
+        return to
+
     at = _TAG.search(page)
     while at:
         if at.start() > end:
@@ -92,11 +114,11 @@ def tree_of(page: str) -> Element:
         end = at.end()
         closing, tag, attributes = at[1], (at[2] or "").lower(), at[3] or ""
         if tag and closing:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            if opened[tag] > 0:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = left(here, up.parent)
         elif tag in VOID:
             if tag in ("br", "hr"):
                 here.parts.append(" " if tag == "br" else Element("hr", here))
@@ -104,22 +126,24 @@ def tree_of(page: str) -> Element:
             if tag == "body":
                 element = Element(tag, here, attributes)
                 here.parts.append(element)
+                opened[tag] += 1
                 here = element
         elif tag:
             while here.parent is not None and tag in ENDED_BY.get(here.tag, ()):
-                here = here.parent
+                here = left(here, here.parent)
             if tag in BLOCK and here.tag in PLAIN - BLOCK:  # an inline element left open ends with its paragraph
                 up = here
                 while up.parent is not None and up.tag in PLAIN - BLOCK:
                     up = up.parent
                 if tag in ENDED_BY.get(up.tag, ()) and up.parent is not None:
-                    here = up.parent
+                    here = left(here, up.parent)
             element = Element(tag, here, attributes)
             here.parts.append(element)
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, end)
                 end = close.end() if close else len(page)
             elif not attributes.rstrip().endswith("/") or tag in BLOCK:
+                opened[tag] += 1
                 here = element
         at = _TAG.search(page, end)
     if end < len(page):
@@ -132,7 +156,7 @@ def roots_of(top: Element) -> list[Element]:
     found, open_ = [], [top]
     while open_:
         element = open_.pop()
-        if element.drop:
+        if element.template or (element.drop and element.tag != "form"):  # a form may hold the whole page
             continue
         if element.root:
             found.append(element)
@@ -149,7 +173,7 @@ def _articles(element: Element) -> list[Element]:
     out, open_ = [], [x for x in reversed(element.parts) if isinstance(x, Element)]
     while open_:
         x = open_.pop()
-        if x.drop:
+        if x.drop or x.template:
             continue
         if x.tag == "article":
             out.append(x)
@@ -158,10 +182,10 @@ def _articles(element: Element) -> list[Element]:
     return out
 
 
-def hashes_of(top: Element) -> dict[int, list[Element]]:
-    """Subtrees that may be template, by hash; the text of the article's plain blocks is no subtree of its own."""
+def hashes_of(top: Element) -> dict[tuple[int, bool], list[Element]]:
+    """Subtrees that may be template, by hash and whether they are inside the article; its plain blocks are no subtrees of their own."""
     roots = set(map(id, roots_of(top)))
-    out: dict[int, list[Element]] = {}
+    out: dict[tuple[int, bool], list[Element]] = {}
     digest: dict[int, int] = {}
     stack = [(top, False, False)]
     while stack:
@@ -169,17 +193,34 @@ def hashes_of(top: Element) -> dict[int, list[Element]]:
         if not done:
             inside = inside or id(element) in roots
             stack.append((element, inside, True))
-            stack += [(x, inside, False) for x in element.parts if isinstance(x, Element) and not x.drop]
+            stack += [(x, inside, False) for x in element.parts if isinstance(x, Element)]
             continue
         h = xxhash.xxh64(element.tag.encode())
         for x in element.parts:
             h.update(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else digest.get(id(x), 0).to_bytes(8, "little"))
         digest[id(element)] = h.intdigest()
-        if id(element) not in roots and element.tag not in ("html", "body", "article", "main") and not (inside and element.tag in PLAIN):
-            out.setdefault(h.intdigest() - (1 << 63), []).append(element)
+        if id(element) not in roots and element.tag not in ("html", "body", "article", "main") and (element.drop or not inside or element.tag not in PLAIN):
+            out.setdefault((h.intdigest() - (1 << 63), inside), []).append(element)
     return out
 
 
+def removed_chars(top: Element) -> tuple[int, int]:
+    """Characters of text (scripts and styles aside) in subtrees deleted as template, and in those that the lists alone drop."""
+    counts = [0, 0]
+    stack: list[tuple[Element, int | None]] = [(top, None)]
+    while stack:
+        element, by = stack.pop()
+        by = 0 if element.template else 1 if by is None and element.drop else by
+        if element.tag in RAW:
+            continue
+        for x in element.parts:
+            if isinstance(x, Element):
+                stack.append((x, by))
+            elif by is not None:
+                counts[by] += len(x.strip())
+    return counts[0], counts[1]
+
+
 def text_of(top: Element) -> str:
     """The blocks of the article, in page order, joined by line ends."""
     blocks: list[str] = []
@@ -199,7 +240,7 @@ def text_of(top: Element) -> str:
                 flush()
             elif isinstance(x, str):
                 run.append(x)
-            elif not x.drop and not (x.tag == "header" and not in_article):
+            elif not (x.drop or x.template) and not (x.tag == "header" and not in_article):
                 if x.tag in BLOCK:
                     flush()
                     stack.append(None)
@@ -214,44 +255,58 @@ def host_of(url: Column) -> Column:
     return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, hash of the subtrees to delete."""
+def templates(pages: DataFrame, url: str = "url", page: str = "html", ratio: float = RATIO, inside_ratio: float = INSIDE_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, hash, inside of the subtrees to delete."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [list(hashes_of(tree_of(p.as_py() or ""))) for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "key", "hashes"])
-
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("key"), F.col(page).alias("page")).mapInArrow(hashed, "host string, key long, hashes array<long>")
-    each = rows.select("host", "key", F.explode_outer("hashes").alias("hash")).distinct()
-    # the null hash of a page without subtrees counts the page; others are counted by distinct keys
-    totals = each.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of")
-    counted = each.filter("hash is not null").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    return counted.join(totals, F.col("host") == F.col("of")).filter(F.col("n") >= ratio * F.col("pages")).select("host", "hash")
-
-
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """One row for each page: page_id, url, text, n_deleted (subtrees deleted as template)."""
-    found = cut_lineage(templates(pages, url, page, ratio, least_pages))
-    by_host = broadcast_if_small(found.groupBy(F.col("host").alias("of")).agg(F.collect_list("hash").alias("template")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), 200_000)
+            sides = [pa.array([[h for h, i in f if i == inside] for f in found], pa.list_(pa.int64())) for inside in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], names=["host", "key", "outside", "inside"])
+
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("key"), F.col(page).alias("page"))
+    each = cut_lineage(rows.mapInArrow(hashed, "host string, key long, outside array<long>, inside array<long>").dropDuplicates(["host", "key"]))
+    totals = each.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of")
+    sides = [each.select("host", F.explode(side).alias("hash"), F.lit(side == "inside").alias("inside")) for side in ("outside", "inside")]
+    counted = sides[0].unionByName(sides[1]).groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    needed = F.when(F.col("inside"), F.lit(inside_ratio)).otherwise(F.lit(ratio)) * F.col("pages")
+    return counted.join(totals, F.col("host") == F.col("of")).filter(F.col("n") >= needed).select("host", "hash", "inside")
+
+
+def extract(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", ratio: float = RATIO, inside_ratio: float = INSIDE_RATIO, least_pages: int = LEAST_PAGES
+) -> DataFrame:
+    """One row for each page: page_id, url, text, n_deleted (subtrees deleted as template), template_chars, listed_chars."""
+    found = cut_lineage(templates(pages, url, page, ratio, inside_ratio, least_pages))
+    sides = [F.collect_list(F.when(F.col("inside") == inside, F.col("hash"))).alias(name) for name, inside in (("outside", False), ("inside", True))]
+    by_host = found.groupBy(F.col("host").alias("of")).agg(*sides)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page"), host_of(F.col(url)).alias("host"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(by_host, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("copy")), "left").select("page_id", "url", "page", "template")
+    if found.count() <= BROADCAST_HASHES:
+        joined = rows.join(F.broadcast(by_host), F.col("host") == F.col("of"), "left")
+    else:
+        copies = by_host.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(copies, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("copy")), "left")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, bool], frozenset[int]] = {}
         for batch in batches:
-            texts, deleted = [], []
-            for p, template in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            texts, counts = [], []
+            for p, host, *lists in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 top, n = tree_of(p.as_py() or ""), 0
-                if template:
-                    subtrees = hashes_of(top)
-                    for h in subtrees.keys() & set(template):
-                        for element in subtrees[h]:
-                            element.drop = True
-                            n += 1
+                for side, inside in zip(lists, (False, True), strict=True):
+                    if (host, inside) not in known:
+                        known[host, inside] = frozenset(side.as_py() or ())
+                if known[host, False] or known[host, True]:
+                    for (h, inside), elements in hashes_of(top).items():
+                        if h in known[host, inside]:
+                            n += len(elements)
+                            for element in elements:
+                                element.template = True
                 texts.append(text_of(top))
-                deleted.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_deleted"])
+                counts.append((n, *removed_chars(top)))
+            columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *columns], names=["page_id", "url", "text", "n_deleted", "template_chars", "listed_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return joined.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_deleted long")
+    chosen = joined.select("page_id", "url", "page", "host", "outside", "inside")
+    return chosen.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_deleted long, template_chars long, listed_chars long")
