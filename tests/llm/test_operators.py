@@ -412,6 +412,60 @@ def test_site_template_on_the_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_template_comes_from_counting(spark):
+    """Per host and hash: pages that have the subtree, from a plain reading of well-formed pages; the lists are emptied."""
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(8)
+    menus = [f"<ul><li>{a}</li><li>{b}</li></ul>" for a, b in (("Home", "News"), ("Start", "Shop"))]
+    rows = []
+    for k in range(60):
+        host = ("one.example", "two.example", "few.example")[min(k // 25, 2) if k < 58 else 2]
+        extra = "<div><p>Follow us everywhere.</p></div>" if k % 2 else ""
+        rows.append((k, f"http://{host}/{k}", f"<html><body>{rng.choice(menus)}<article><h1>T{k}</h1><p>Shared words.</p>{extra}<p>Own {k}</p></article><div>Bottom of {host}</div></body></html>"))
+    pages, seen = Counter(), Counter()
+    for _, url, page in rows:
+        host = url.split("/")[2]
+        pages[host] += 1
+        top = ET.fromstring(page)
+        article = set(top.iter("article"))
+        inside = {x for a in article for x in a.iter()}
+        texts = {(host, ET.tostring(x), x in inside) for x in top.iter() if x not in article and x.tag not in ("html", "body") and (x not in inside or x.tag == "div")}
+        seen.update(texts)
+    expected = sum(n >= 3 and n >= (0.2 if inside else 0.02) * pages[host] for (host, _, inside), n in seen.items())
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert site_template.templates(df).count() == expected
+    for r in site_template.extract(df).collect():
+        k = r["page_id"]
+        few = rows[k][1].split("/")[2] == "few.example" and pages["few.example"] < 6
+        follow = "\nFollow us everywhere." if k % 2 and few else ""
+        assert r["text"] == f"T{k}\nShared words.{follow}\nOwn {k}" and (r["n_deleted"] > 0 or few)
+
+
+def test_text_is_right_without_the_lists(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    with_lists = {r["page_id"]: r for r in site_template.extract(pages).collect()}
+    names = {"MARKS": frozenset(), "NEVER": site_template.RAW | {"head"}}
+    top = {}
+    for name, value in names.items():
+        monkeypatch.setattr(site_template, name, value)
+    for r in pages.collect():
+        top[r["page_id"]] = site_template.text_of(site_template.tree_of(r["html"]))
+    assert all(top[i] == r["text"] for i, r in with_lists.items())
+    assert sum(r["n_deleted"] > 0 for r in with_lists.values()) > len(with_lists) / 2
+
+
+def test_deep_long_and_broken_pages():
+    deep = "<div>" * 20_000 + "<p>in" + "</p>" * 20_000
+    assert site_template.text_of(site_template.tree_of(deep)) == "in" and len(site_template.hashes_of(site_template.tree_of(deep))) > 0
+    long = "<article>" + "<p>word &amp; word</p>" * 50_000
+    assert site_template.text_of(site_template.tree_of(long)).count("\n") == 49_999
+    assert site_template.text_of(site_template.tree_of("<form id=aspnet><article><p>all of it</p></article></form>")) == "all of it"
+    page = '<article><p class="form-factor">a</p><div id="search-results">b</div><div class="related-work">c</div><div class="related-posts">d</div><p class="ad">e</p></article>'
+    assert site_template.text_of(site_template.tree_of(page)) == "a\nb\nc"
+
+
 def test_names_of_states_are_no_marks():
     page = '<body class="nav-open"><div class="page has-sidebar"><p>Text</p><div class="left-sidebar">no</div><div id="ad_3">no</div></div></body>'
     assert site_template.text_of(site_template.tree_of(page)) == "Text"
