@@ -480,21 +480,107 @@ def test_recurring_paragraphs_stay(spark):
 # -- urls
 
 
-def url_truth(url):
+def url_truth(url, rules=url_templates.RULES):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (lowered(m[1]), m[2]) if m else ("", "")
-    fits = [(len(h + p), h + p, v) for v, h, p in url_templates.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, None))
 
 
-def test_url_rules(spark):
-    urls = [r["url"] for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()]
-    urls += [None, "", "nothing", "http://x.com", "http://com/", "HTTP://WWW.EXAMPLE.COM/en/a?b=://c", "http://notexample.com/en/1", "http://a.net/es/x#y", "http://é.net/fr/", "x://h/a\nb?c"]
+def shape_truth(path):
+    out = []
+    for x in filter(None, path.split("/")):
+        ending = re.search(r"\.[a-z0-9]{1,5}$", x)
+        ending = ending[0] if ending else ""
+        stem = x[: len(x) - len(ending)]
+        digit = any(c in "0123456789" for c in x)
+        if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", x):
+            x = "{date}"
+        elif re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", x):
+            x = "{uuid}"
+        elif re.fullmatch(r"[0-9]+", stem):
+            x = "{number}" + ending
+        elif digit and re.fullmatch(r"[0-9a-fA-F]{8,}", x):
+            x = "{hex}"
+        elif digit and "." not in stem and len(stem) >= 6:
+            x = "{mixed}" + ending
+        elif "." not in stem and x.count("-") >= 3 and stem:
+            x = "{slug}" + ending
+        out.append(x)
+    return tuple(out)
+
+
+def tree_truth_of_urls(rows):
+    """(host, shape) -> (template, labelled, score) from rows (host, shape, label or None), one host at a time, node by node."""
+    t = url_templates
+    everything = [label for *_, label in rows if label]
+    share = everything.count("block") / max(1, len(everything))
+    domains, hosts, out = {}, {}, {}
+    for host, shape, label in rows:
+        for key, table in ((".".join(host.split(".")[-2:]), domains), (host, hosts)):
+            table.setdefault(key, []).append((shape, label))
+
+    def pure(pages, towards):
+        labels = [label for _, label in pages if label]
+        return (labels.count("block") + t.PRIOR * towards) / (len(labels) + t.PRIOR)
+
+    def grow(host, name, pages, level, score):
+        shapes = {s for s, _ in pages}
+        if level and (len(shapes) == 1 or name.endswith("/")):
+            shape = next(iter(shapes))
+            for s in shapes:
+                out[host, s] = (name if name.endswith("/") else "/".join([name, *shape[level:]]), sum(1 for _, label in pages if label), score)
+            return
+        children = {}
+        for s, label in pages:
+            children.setdefault(s[level] if level < len(s) else "", []).append((s, label))
+        literal = {k: v for k, v in children.items() if k and "{" not in k}
+        pooled = [p for v in literal.values() for p in v]
+
+        def kinds(pages):
+            return Counter("" if len(s) <= level + 1 else s[level + 1] if "{" in s[level + 1] else "literal" for s, _ in pages)
+
+        def alike(pages):
+            own, all_ = kinds(pages), kinds(pooled)
+            g = 2 * sum(n * math.log((n / len(pages)) / (all_[k] / len(pooled))) for k, n in own.items())
+            free = len(all_) - 1
+            limit = free * (1 - 2 / (9 * free) + t.SIGNIFICANT * math.sqrt(2 / (9 * free))) ** 3 if free else 0
+            labels, all_labels = ([label for _, label in x if label] for x in (pages, pooled))
+            part = all_labels.count("block") / max(1, len(all_labels))
+            near = not labels or abs(labels.count("block") / len(labels) - part) <= t.SIGNIFICANT * math.sqrt(part * (1 - part) / len(labels)) + 1e-9
+            return g <= limit + 1e-9 and near
+
+        variable = len(literal) > t.FAN and sum(len(v) <= 2 for v in literal.values()) >= t.RARE * len(literal)
+        merged = {}
+        for k, v in children.items():
+            name_ = k if k not in literal else "*" if variable else "(alike)" if alike(v) else k
+            merged.setdefault(name_, []).extend(v)
+        for k, v in merged.items():
+            grow(host, f"{name}/{k}", v, level + 1, pure(v, score))
+
+    for host, pages in hosts.items():
+        grow(host, "", pages, 0, pure(pages, pure(domains[".".join(host.split(".")[-2:])], share)))
+    return out
+
+
+def url_verdicts(urls, rules=url_templates.RULES):
+    parsed = [url_truth(u, rules) for u in urls]
+    known = tree_truth_of_urls([(host, shape_truth(path), verdict) for host, path, _, verdict in parsed])
+    return [(host, path, rule, verdict or ("block" if known[host, shape_truth(path)][2] >= url_templates.PURITY else "allow")) for host, path, rule, verdict in parsed]
+
+
+ODD_URLS = [
+    None, "", "nothing", "http://x.com", "http://com/", "HTTP://WWW.EXAMPLE.COM/en/a?b=://c", "http://notexample.com/en/1", "http://a.net/es/x#y", "http://é.net/fr/", "x://h/a\nb?c",
+    "http://deep.net/" + "/".join("ab"[k % 2] for k in range(300)), "http://deep.net/" + "/".join("ab"[k % 2] for k in range(5)) + "/c", "http://long.org/" + "x" * 100_000 + "?" + "y" * 100_000, "http://a.net//es//x/",
+]
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_url_verdicts(spark, folder):
+    urls = [r["url"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()] + (ODD_URLS if folder == FOLDER else [])
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").select("*", *[F.lit(1).alias(c) for c in CLASH])
-    for r in url_templates.judge(df).collect():
-        host, path, rule, verdict = url_truth(urls[r["page_id"]])
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_templates.judge(df).collect()}
+    assert [got[k] for k in range(len(urls))] == url_verdicts(urls)
     assert url_templates.judge(df.limit(0)).count() == 0
 
 
@@ -504,6 +590,16 @@ def test_url_templates_learn_from_labels(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {urls[r["page_id"]]: r["verdict"] for r in url_templates.judge(df, rules=rules).collect()}
     assert got["http://h/spam/30"] == "block" and got["http://h/news/30"] == "allow" and got["http://h/other/1"] == "allow"
+    assert [got[u] for u in urls] == [v for *_, v in url_verdicts(urls, rules)]
+
+
+def test_url_branches_without_labels_join_their_kind(spark):
+    rules = (("block", "h", "/es/"), ("block", "h", "/fr/"))
+    urls = [f"http://h/{lang}/{k}" for lang in ("es", "fr", "it") for k in range(20)] + [f"http://h/about/{w}/team" for w in ("us", "them", "you", "me") for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r["verdict"] for r in url_templates.judge(df, rules=rules).collect()}
+    assert got["http://h/it/3"] == "block"
+    assert [got[u] for u in urls] == [v for *_, v in url_verdicts(urls, rules)]
 
 
 def test_url_templates_generalise(spark):
