@@ -164,93 +164,145 @@ def test_line_dedup_drops_whatever_remains(spark):
 # -- language model
 
 
-def test_language_model(documents, rows):
-    got = {r["doc_id"]: r for r in suffix_tree_lm.score(documents).collect()}
-    train = Counter()
-    for i, text, _ in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            train.update([*space_words(text), None])
-    n, v = sum(train.values()), len(train)
-    for i, text, _ in rows:
-        tokens = [*space_words(text), None]
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(tokens), sum(train[t] > 0 for t in tokens), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens))
-        # far better than symbols all alike; an outcome is no less likely than any one token that it holds
-        assert -math.log10(256) * 0.7 * sum(len((t or "").encode()) + 1 for t in tokens) < r["spelled_score"] <= r["score"] < 0
-        assert (r["n_known"] < r["n_tokens"]) == (r["spelled_score"] < r["score"] - 1e-9)
-    for part in (True, False):
-        own = [got[i] for i, *_ in rows if got[i]["held_out"] == part]
-        assert sum(r["score"] - r["base_score"] for r in own) > (0.04 if part else -0.02) * abs(sum(r["base_score"] for r in own))
-
-
-def test_language_model_is_a_distribution(spark):
-    """Texts of one word and the end: the chances of all training tokens and of the unknown one sum to one."""
-    words = ["the", "then", "than", "on", "one", "onto", "an", "and"]
-    known = [(k, " ".join(words)) for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2]
-    asked = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 7 == 2][: len(words) + 2]
-    texts = dict(zip(asked, [*words, "unheard", ""], strict=True))
-    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame([*known, *texts.items()], "doc_id long, text string")).collect()}
-    end = got[asked[-1]]
-    chances = [10 ** (got[k] - end) for k in asked[:-1]] + [10**end]
-    assert sum(chances) == pytest.approx(1)
-
-
-def tree_truth(words, least):
-    """Edge probabilities and weights of the tree of {word: count}, from the definition."""
-    edges, totals = Counter(), Counter()
+def spelling_truth(words, least, share):
+    """log10 probabilities of spellings by the tree of {word: count}, from the definition; DEPTH symbols of context."""
+    depth = suffix_tree_lm.DEPTH
+    edges = {}
     for w, c in words.items():
         s = b" " + w if w == b"\n" else b" " + w + b" "
         for i in range(1, len(s)):
-            for d in range(min(i, suffix_tree_lm.DEPTH) + 1):
-                edges[(s[i - d : i], s[i])] += c
-    symbols = Counter(ctx for ctx, _ in edges)
-    for (ctx, _), c in edges.items():
-        totals[ctx] += c
-    frequent = {c for c in totals if totals[c] >= least or c == b""}
+            for d in range(min(i, depth) + 1):
+                edges.setdefault(s[i - d : i], Counter())[s[i]] += c
+    totals = {ctx: sum(e.values()) for ctx, e in edges.items()}
     kept = {b""}
-    for ctx in frequent - {b""}:
-        gain = sum(c * math.log((c / totals[ctx]) / (edges[(ctx[1:], s)] / totals[ctx[1:]])) for (x, s), c in edges.items() if x == ctx)
-        if gain > 0.5 * symbols[ctx] * math.log(totals[ctx]):
-            kept.add(ctx)
+    for ctx, e in edges.items():
+        if ctx and totals[ctx] >= max(least, share * totals[b""]):
+            up = ctx[1:]
+            gain = sum(c * math.log((c / totals[ctx]) / (edges[up][s] / totals[up])) for s, c in e.items())
+            if gain > 0.5 * len(e) * math.log(totals[ctx]):
+                kept.add(ctx)
 
     def p(ctx, s):
         if ctx == b"":
-            return (edges[(b"", s)] + symbols[b""] / 256) / (totals[b""] + symbols[b""])
+            e = edges.get(b"", Counter())
+            return (e[s] + len(e) / 256) / (totals[b""] + len(e)) if e else 1 / 256
         above = p(ctx[1:], s)
-        return (edges[(ctx, s)] + symbols[ctx] * above) / (totals[ctx] + symbols[ctx]) if ctx in kept else above
+        if ctx not in kept:
+            return above
+        return (edges[ctx][s] + len(edges[ctx]) * above) / (totals[ctx] + len(edges[ctx]))
 
     def spell(w):
         s = b" " + w if w == b"\n" else b" " + w + b" "
-        return sum(math.log10(p(s[max(0, i - suffix_tree_lm.DEPTH) : i], s[i])) for i in range(1, len(s)))
+        return sum(math.log10(p(s[max(0, i - depth) : i], s[i])) for i in range(1, len(s)))
 
     return spell
 
 
-@pytest.mark.parametrize("limit", [3_000_000, 40])
-def test_suffix_tree(spark, limit):
+def common_truth(counts, most):
+    """The most frequent keys, whole bins of an eighth of a doubling at a time, at most so many."""
+    bins, chosen = {}, set()
+    for k, n in counts.items():
+        bins.setdefault(math.floor(math.log2(n) * 8), set()).add(k)
+    for size in sorted(bins, reverse=True):
+        if len(chosen) + len(bins[size]) > most:
+            break
+        chosen |= bins[size]
+    return chosen
+
+
+def language_truth(rows, common, least=suffix_tree_lm.LEAST, share=suffix_tree_lm.SHARE):
+    texts = [(i, [*(w.encode() for w in space_words(t)), b"\n"]) for i, t in rows]
+    learnt = [ws for i, ws in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for ws in learnt for w in ws)
+    n, v = sum(c.values()), len(c)
+    chosen = common_truth(c, common)
+    number = lambda w: w if w in chosen or w is None else xxhash.xxh64_intdigest(w) % suffix_tree_lm.RARE
+    pairs, occurs = Counter(), Counter()
+    for ws in learnt:
+        for u, w in zip([None, *ws], ws, strict=False):
+            occurs[number(w)] += 1
+            if w in chosen:
+                pairs[number(u), w] += 1
+    occurs[None] = len(learnt)
+    after = {}
+    for (u, w), k in pairs.items():
+        if k >= 2:
+            after.setdefault(u, {})[w] = k
+    kept = {}
+    for u, ws in after.items():
+        left = occurs[u] - sum(ws.values()) + len(ws)
+        gain = sum(k * math.log(((k - 1 if k > 2 else 0) + left * c[w] / n) / ((occurs[u] + len(ws) - 1) * c[w] / n)) for w, k in ws.items())
+        if alone := occurs[u] - sum(ws.values()):
+            gain += alone * math.log(left / (occurs[u] + len(ws) - 1))
+        if gain > math.log(occurs[u]):
+            kept[u] = (left, occurs[u] + len(ws))
+    spell = spelling_truth(c, least, share)
+    spelled = {w: spell(w) for w in {w for _, ws in texts for w in ws}}
+    root = lambda w: (c[w] + v * 10 ** spelled[w]) / (n + v) if n else 10 ** spelled[w]
+
+    def p(u, w):
+        if number(u) not in kept:
+            return root(w)
+        left, whole = kept[number(u)]
+        return ((after[number(u)].get(w, 0) if w in chosen else 0) + left * root(w)) / whole
+
+    for u in list(kept)[:20]:  # each context's probabilities of all tokens, seen or not, sum to one
+        left, whole = kept[u]
+        unseen = v * (1 - sum(10 ** spell(w) for w in c)) / (n + v)
+        assert (sum(after[u].get(w, 0) + left * root(w) for w in c) + left * unseen) / whole == pytest.approx(1)
+    out = []
+    for i, ws in texts:
+        score = sum(math.log10(p(u, w)) for u, w in zip([None, *ws], ws, strict=False))
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
+        out.append((i, zlib.crc32(str(i).encode()) % 7 == 2 and i is not None, len(ws), sum(c[w] > 0 for w in ws), n, base, score))
+    return out, len(kept)
+
+
+def language_rows(df):
+    return sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("common", "most_pairs"), [(suffix_tree_lm.COMMON, suffix_tree_lm.FREQUENT), (300, 40)])
+def test_language_model(documents, rows, common, most_pairs):
+    got = {r[0]: r for r in language_rows(suffix_tree_lm.score(documents, common=common, most_pairs=most_pairs))}
+    expected, contexts = language_truth([(i, t) for i, t, _ in rows], common)
+    assert len(got) == len(rows) and contexts > 20
+    for r in expected:
+        assert got[r[0]][:5] == r[:5]
+        assert got[r[0]][5:] == pytest.approx(r[5:], rel=1e-7)
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    found = suffix_tree_lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out")
+    base, score, better = found.agg(F.sum("base_score"), F.sum("score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
+    assert score > 0.98 * base and better > 0.6
+
+
+@pytest.mark.parametrize("size", [suffix_tree_lm.BYTES, 7])
+def test_spelling_tree(spark, monkeypatch, size):
     rng = random.Random(1)
-    words = Counter("".join(rng.choice(["th", "an", "on", "é", "re"]) for _ in range(rng.randint(1, 4))).encode() for _ in range(400))
-    words[b"\n"] = 30
-    df = spark.createDataFrame([(w.decode(), c, c) for w, c in words.items()], "word string, n_train long, n_all long").repartition(3)
-    extra = spark.createDataFrame([("unseen", 0, 1), ("thq", 0, 1), ("漢字", 0, 1)], df.schema)
-    tree = suffix_tree_lm.grow(df.select("word", F.col("n_train").alias("n")), 8)
-    got = {r["word"].encode(): r["score"] for r in suffix_tree_lm.word_scores(df.unionByName(extra), tree, limit).collect()}
-    spell = tree_truth(words, 8)
-    for w, score in got.items():
-        assert score == pytest.approx(spell(w)), w
+    words = Counter("".join(rng.choice(["th", "an", "on", "é", "re"]) for _ in range(rng.randint(1, 9))).encode() for _ in range(600))
+    words[b"\n"] = max(words.values())  # one end for each text
+    texts = spark.createDataFrame([(" ".join(w.decode() for w, c in words.items() if w != b"\n" and c > k),) for k in range(words[b"\n"])], "text string")
+    counted = suffix_tree_lm.counts_of(texts.repartition(3)).filter(F.col("kind") == suffix_tree_lm.EDGE)
+    tree = suffix_tree_lm.grow(counted.select(F.col("key").alias("code"), "n"), 8, 1e-3)
+    monkeypatch.setattr(suffix_tree_lm, "BYTES", size)
+    asked = [*words, b"unseen", b"thq", "漢字".encode(), b"thanon" * 30]
+    spell = spelling_truth(words, 8, 1e-3)
+    assert suffix_tree_lm.spell(asked, tree) == pytest.approx([spell(w) for w in asked])
 
 
 def test_language_model_awkward(awkward):
-    got = suffix_tree_lm.score(awkward)
-    assert got.count() == awkward.count()
-    assert {r["n_tokens"] for r in got.filter("doc_id in (1, 2, 6)").collect()} == {1}
-    assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got.collect())
+    table = [(r[0], r[1]) for r in awkward_rows()]
+    for common in (suffix_tree_lm.COMMON, 0):
+        got = language_rows(suffix_tree_lm.score(awkward, common=common))
+        expected = sorted(language_truth(table, common)[0], key=str)
+        assert [g[:5] for g in got] == [e[:5] for e in expected]
+        assert [x for g in got for x in g[5:]] == pytest.approx([x for e in expected for x in e[5:]], rel=1e-7)
+    assert {r[2] for r in got if r[0] in (1, 2, 6)} == {1}
     assert suffix_tree_lm.score(awkward.limit(0)).count() == 0
     unlearnt = suffix_tree_lm.score(awkward.filter(suffix_tree_lm.held_out(F.col("doc_id")))).collect()
-    assert all(r["score"] == 0 and r["spelled_score"] < 0 for r in unlearnt)
-    rare = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(awkward.filter("doc_id is not null"), common=0).collect()}
-    assert rare == pytest.approx({r["doc_id"]: r["score"] for r in suffix_tree_lm.score(awkward.filter("doc_id is not null")).collect()})
+    assert unlearnt and all(math.isfinite(r["score"]) and r["score"] < 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in unlearnt)
 
 
 # -- near-duplicates
