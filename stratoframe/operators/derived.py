@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import heapq
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -28,27 +27,26 @@ class Interval:
     sign: int = 1
 
 
-def hourly(hours: Sequence[int], last: int, every: int = 1) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Pieces of ``every`` hours up to a last step, from bases at given hours."""
-    return [(h, [(s, s + every) for s in range(0, last, every)]) for h in hours]
-
-
-def since_base(hours: Sequence[int], last: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Totals since the base up to each step."""
-    return [(h, [(0, s) for s in range(1, last + 1)]) for h in hours]
-
-
-#: Which accumulations archives hold, by (class, stream): a fixed table, made from the two rules above.
+#: Which accumulations archives hold, by class and stream or origin: hours of the bases, then either the length
+#: of consecutive pieces and the last step, or the steps up to which there are totals since the base.
 AVAILABLE = {
-    ("ea", "oper"): hourly((6, 18), 18), ("e6", "oper"): hourly((6, 18), 18), ("ea", "enda"): hourly((6, 18), 18, 3), ("e6", "enda"): hourly((6, 18), 18),
-    ("od", "oper"): since_base((0, 12), 90), ("od", "elda"): since_base((6, 18), 12),
-}
+    ("ea", "oper"): {"bases": (6, 18), "pieces": 1, "last": 18},
+    ("ea", "enda"): {"bases": (6, 18), "pieces": 3, "last": 18},
+    ("e6", "oper"): {"bases": (6, 18), "pieces": 1, "last": 18},
+    ("e6", "enda"): {"bases": (6, 18), "pieces": 1, "last": 18},
+    ("od", "oper"): {"bases": (0, 12), "totals": range(1, 91)},
+    ("od", "elda"): {"bases": (6, 18), "totals": range(1, 13)},
+    ("rr", "se-al-ec"): {"bases": (0,), "totals": (1, 2, 3, 4, 5, 6, 9, 12, 15, 18, 21, 24, 27, 30)},
+    ("rr", "fr-ms-ec"): {"bases": (0,), "totals": range(1, 22, 3)},
+    ("l5", "oper"): {"bases": (0,), "pieces": 1, "last": 24},
+}
 
 
 def archived(target: datetime, period: timedelta, key: tuple[str, str]) -> list[Interval]:
     """The intervals that accumulate to a target date over a period, from what an archive holds."""
-    pattern = AVAILABLE[key]
-    return cover(target - period, target, lambda at: available(pattern, at))
+    held = AVAILABLE[key]
+    steps = [(0, s) for s in held["totals"]] if "totals" in held else [(s, s + held["pieces"]) for s in range(0, held["last"], held["pieces"])]
+    return cover(target - period, target, lambda at: available([(hour, steps) for hour in held["bases"]], at))
 
 
 def available(pattern: Sequence[tuple[int, Sequence[tuple[int, int]]]], around: datetime) -> list[Interval]:
@@ -58,26 +56,44 @@ def available(pattern: Sequence[tuple[int, Sequence[tuple[int, int]]]], around:
     return [Interval(b + timedelta(hours=s), b + timedelta(hours=e), b) for b, steps in sorted(bases, reverse=True, key=lambda x: x[0]) for s, e in steps]
 
 
-def cover(start: datetime, end: datetime, candidates: Callable[[datetime], Sequence[Interval]], limit: int = 20_000) -> list[Interval]:
-    """The cheapest chain of intervals, forwards or backwards, that leads from start to end: lengths count whichever the direction, and each change of base costs ``SWITCH``. Best first on the few times that intervals touch."""
-    zero = timedelta(0)
-    queue: list[tuple[timedelta, int, datetime, datetime | None, list[Interval]]] = [(zero, 0, start, None, [])]
-    done: set[tuple[datetime, datetime | None]] = set()
-    order = 0
-    while queue and order < limit:
-        cost, _, at, base, path = heapq.heappop(queue)
-        if at == end:
-            return path
-        if (at, base) in done:
-            continue
-        done.add((at, base))
-        for c in candidates(at):
-            for to, sign in ((c.end, 1),) if c.start == at else ((c.start, -1),) if c.end == at else ():
-                order += 1
-                step = Interval(c.start, c.end, c.base, sign)
-                switch = SWITCH if base is not None and c.base != base else zero
-                heapq.heappush(queue, (cost + (c.end - c.start) + switch, order, to, c.base, [*path, step]))
-    raise ValueError(f"no intervals cover {start} to {end}")
+def cover(start: datetime, end: datetime, candidates: Callable[[datetime], Sequence[Interval]], reach: timedelta = timedelta(days=5), limit: int = 20_000) -> list[Interval]:
+    """The cheapest chain of intervals, forwards or backwards, that leads from start to end: lengths count whichever the direction, and each change of base costs ``SWITCH``.
+
+    A place is a time and the base that led there. Costs are relaxed in rounds: places that became cheaper in one round pass
+    their cost on in the next, until none does. Times are looked at within ``reach`` of the period; nothing dearer than
+    the best way to the end so far is followed.
+    """
+    lengths = lambda i: i.end - i.start
+    touching: dict[datetime, list[tuple[datetime, Interval]]] = {}
+
+    def moves(at: datetime) -> list[tuple[datetime, Interval]]:
+        if at not in touching:
+            held = [(i.end, i) for i in candidates(at) if i.start == at] + [(i.start, Interval(i.start, i.end, i.base, -1)) for i in candidates(at) if i.end == at]
+            touching[at] = [(to, i) for to, i in held if start - reach <= to <= end + reach]
+        return touching[at]
+
+    cost: dict[tuple[datetime, datetime | None], timedelta] = {(start, None): timedelta(0)}
+    came: dict[tuple[datetime, datetime | None], tuple[tuple[datetime, datetime | None], Interval]] = {}
+    cheaper = [(start, None)]
+    while cheaper and len(cost) <= limit:
+        best = min((c for (at, _), c in cost.items() if at == end), default=timedelta.max)
+        improved: dict[tuple[datetime, datetime | None], None] = {}
+        for place in cheaper:
+            for to, interval in moves(place[0]):
+                total = cost[place] + lengths(interval) + (SWITCH if place[1] is not None and interval.base != place[1] else timedelta(0))
+                there = (to, interval.base)
+                if total < best and total < cost.get(there, timedelta.max):
+                    cost[there], came[there] = total, (place, interval)
+                    improved[there] = None
+        cheaper = list(improved)
+    ends = [place for place in cost if place[0] == end]
+    if not ends:
+        raise ValueError(f"no intervals cover {start} to {end}")
+    place, path = min(ends, key=cost.__getitem__), []
+    while place in came:
+        place, interval = came[place]
+        path.append(interval)
+    return path[::-1]
 
 
 def forecast_cover(base: datetime, start: datetime, end: datetime, mode: str = "from-zero") -> list[Interval]:
