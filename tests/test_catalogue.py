@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 from datetime import datetime
 
 import duckdb
@@ -51,3 +55,13 @@ def test_entry_registers_all():
 
     assert set(catalogue.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("stratoframe/llm", "tests/llm"), ("stratoframe/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_works_without_the_removable_parts(tmp_path, gone):
+    root = pathlib.Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "__pycache__") or str((pathlib.Path(folder) / n).relative_to(root)) in gone])
+    code = "import __spark_entry__ as e; assert 'statistics' in e.queries() and 'statistics' in e.oracle_sql(); assert not [n for n in e.queries() if n.startswith('op') and n[2].isdigit() or n == 'pipeline']"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
