@@ -30,16 +30,10 @@ def without_repeats(stream: DataFrame, delay: str, keys: tuple[str, ...] | None
     return timed(stream, delay).dropDuplicatesWithinWatermark(list(keys or stream.columns))
 
 
-def append_new(path: str, key: str = "date"):  # noqa: ANN201
-    """For foreachBatch: appends the rows of keys that the table doesn't have, so that a repeated batch changes nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        try:
-            stored = batch.sparkSession.read.parquet(path).select(key).distinct()
-            batch = batch.join(stored, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        batch.write.mode("append").parquet(path)
+def append_once(path: str):  # noqa: ANN201
+    """For foreachBatch: a batch's rows go to its own partition of the table, so that a repeated batch replaces itself, late rows of stored dates stay, and nothing stored is read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
