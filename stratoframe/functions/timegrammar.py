@@ -148,7 +148,7 @@ def statistics_range(dates: Sequence[datetime], start: object = None, end: objec
 def group_key(at: datetime, by: str) -> tuple:
     keys = {
         "monthly": (at.year, at.month), "daily": (at.year, at.month, at.day), "yearly": (at.year,), "MMDD": (at.month, at.day),
-        "weekday": (at.weekday(),), "week": tuple(at.isocalendar()[:2]), "reference_date": (at,),
+        "weekday": (at.weekday(),), "weekly": (at.weekday(),), "week": tuple(at.isocalendar()[:2]), "reference_date": (at,),
     }
     if by not in keys:
         raise ValueError(f"unknown grouping: {by!r}")

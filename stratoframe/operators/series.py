@@ -91,7 +91,7 @@ def rolling_average(cube: Cube, before: int, after: int) -> Cube:
     n = len(cube.dates)
     if a < 0 or after < 0 or n - a - after < 1:
         raise ValueError(f"no window from {before} to {after} fits into {n} dates")
-    frame = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-a, after)
+    frame = Window.partitionBy(*SERIES).orderBy(cube.date_idx).rangeBetween(-a, after)
     dates = cube.dates
     out = cube.df.select(*KEYS, *[F.avg(skip_nan(F.col(v))).over(frame).alias(v) for v in cube.variables]).filter(F.col("date").between(stamp(dates[a]), stamp(dates[n - 1 - after])))
     gone = set(cube.missing_indices)
@@ -103,9 +103,9 @@ _REDUCERS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.s
 
 
 def rolling_operation(cube: Cube, steps: int, operation: str, variables: Sequence[str] | None = None) -> Cube:
-    """A trailing window of so many dates; the first ones, which lack a full window, are null."""
+    """A trailing window of so many dates (not rows); those that lack a full window, at the start or by a hole, are null."""
     names = list(variables or cube.variables)
-    frame = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-(steps - 1), 0)
+    frame = Window.partitionBy(*SERIES).orderBy(cube.date_idx).rangeBetween(-(steps - 1), 0)
 
     def rolled(v: str) -> Column:
         value = skip_nan(F.col(v))
@@ -115,13 +115,17 @@ def rolling_operation(cube: Cube, steps: int, operation: str, variables: Sequenc
 
 
 def tendencies(cube: Cube, delta: int | str | timedelta) -> Cube:
-    """x(t) - x(t - delta) on the dates that have both."""
+    """x(t) - x(t - delta) on the dates that have both; a date with a missing one delta before is missing too."""
     k, rest = divmod(frequency(delta), cube.frequency)
     if rest or k < 1 or k >= len(cube.dates):
         raise ValueError(f"{delta} isn't a multiple of {cube.frequency} within the dates")
-    order = Window.partitionBy(*SERIES).orderBy("date")
-    out = cube.df.select(*KEYS, *[(F.col(v) - F.lag(v, k).over(order)).alias(v) for v in cube.variables]).filter(F.col("date") >= stamp(cube.dates[k]))
-    return cube.with_("tendencies", df=out, start=cube.dates[k])
+    # exactly k dates before, however many rows lie between
+    earlier = Window.partitionBy(*SERIES).orderBy(cube.date_idx).rangeBetween(-k, -k)
+    both = cube.df.select(*KEYS, *cube.variables, *[F.first(v).over(earlier).alias(f"_before_{j}") for j, v in enumerate(cube.variables)], F.count("*").over(earlier).alias("_there"))
+    out = both.filter("_there > 0").select(*KEYS, *[(F.col(v) - F.col(f"_before_{j}")).alias(v) for j, v in enumerate(cube.variables)])
+    gone = set(cube.missing_indices)
+    missing = frozenset(cube.dates[j] for j in range(k, len(cube.dates)) if j in gone or j - k in gone)
+    return cube.with_("tendencies", df=out, start=cube.dates[k], missing=missing)
 
 
 def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, max_km: float | None = None) -> DataFrame:

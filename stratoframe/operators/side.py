@@ -18,8 +18,11 @@ def side(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's checkpoint folder (a new one where none is set): iterative plans stay short and survive lost executors."""
+    """The rows, written to the session's checkpoint folder (on one machine a new one where none is set): iterative plans stay short and survive lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratoframe-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratoframe-"))
     return df.checkpoint(eager=True)

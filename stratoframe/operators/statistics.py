@@ -5,6 +5,7 @@ Spark's mean and deviation keep mergeable partial sums, so partial aggregation h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 from functools import reduce
@@ -69,8 +70,15 @@ def collected(table: DataFrame) -> dict[str, dict[str, float]]:
 
 
 def obfuscated(cube: Cube, stats: dict[str, dict[str, float]], seed: int = 0) -> Cube:
-    """Values replaced by normal ones of the same mean and deviation."""
-    return cube.with_("obfuscate", df=cube.df.withColumns({v: F.randn(seed + k) * stats[v]["stdev"] + stats[v]["mean"] for k, v in enumerate(cube.variables)}))
+    """Values replaced by normal ones of the same mean and deviation, made from a hash of the row's place: the same in each run."""
+
+    def uniform(salt: str) -> Column:
+        return (F.pmod(F.xxhash64("date", "member", "cell", F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+    def normal(k: int) -> Column:
+        return F.sqrt(-2 * F.log(uniform(f"{seed} {k} radius"))) * F.cos(2 * math.pi * uniform(f"{seed} {k} angle"))
+
+    return cube.with_("obfuscate", df=cube.df.withColumns({v: normal(k) * stats[v]["stdev"] + stats[v]["mean"] for k, v in enumerate(cube.variables)}))
 
 
 def climatology(cube: Cube) -> Cube:

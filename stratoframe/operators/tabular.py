@@ -179,9 +179,9 @@ def pivot(df: DataFrame, columns: Sequence[str], values: Sequence[str], cases: S
 
 def griddify(obs: DataFrame, grid: DataFrame, variables: Sequence[str], max_distance_km: float = 200.0) -> DataFrame:
     """Each row's values at the nearest grid point within the distance; of several the latest counts (then the largest)."""
-    points = obs.select("latitude", "longitude").distinct().withColumn("cell", F.xxhash64("latitude", "longitude"))
+    points = obs.select("latitude", "longitude").distinct().withColumn("cell", F.struct("latitude", "longitude"))
     near = nearest(points, grid, 1, max_distance_km).select(F.col("target").alias("point"), F.col("source").alias("cell"))
-    placed = obs.withColumn("point", F.xxhash64("latitude", "longitude")).join(side(near), "point")
+    placed = obs.withColumn("point", F.struct("latitude", "longitude")).join(side(near), "point")
     return placed.groupBy("cell").agg(*[F.max_by(v, F.struct("ts", v)).alias(v) for v in variables])
 
 

@@ -177,14 +177,28 @@ on_cube(
       FROM (SELECT cell, {_XYZ.format("", "t")} FROM grid) a, (SELECT cell, {_XYZ.format("", "s")} FROM grid WHERE cell IN (SELECT cell FROM c WHERE i = 0 AND cell NOT IN (3, 7))) b) near ON near.source = c.cell AND r = 1) v ON k.date = v.date AND k.member = v.member AND k.cell = v.cell""",
     lambda c: series.interpolate_nearest_cells(holes(c), ["q"]),
 )
-_ROLL = "SELECT date, member, cell, round(avg(q) OVER w, 6) AS q, round(avg(p) OVER w, 6) AS p, i FROM c WINDOW w AS (PARTITION BY member, cell ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+_ROLL = "SELECT date, member, cell, round(avg(q) OVER w, 6) AS q, round(avg(p) OVER w, 6) AS p, i FROM c WINDOW w AS (PARTITION BY member, cell ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 on_cube("rolling_average", f"SELECT r.* EXCLUDE (i) FROM ({_ROLL}) r, n WHERE i BETWEEN 1 AND n.n - 2", lambda c: rounded(series.rolling_average(c.select(["q", "p"]), -1, 1).rows()))
 on_cube(
     "rolling_trailing_max",
-    "SELECT date, member, cell, CASE WHEN count(q) OVER w = 3 THEN max(q) OVER w END AS q, p FROM c WINDOW w AS (PARTITION BY member, cell ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
+    "SELECT date, member, cell, CASE WHEN count(q) OVER w = 3 THEN max(q) OVER w END AS q, p FROM c WINDOW w AS (PARTITION BY member, cell ORDER BY i RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)",
     lambda c: series.rolling_operation(c.select(["q", "p"]), 3, "max", ["q"]),
 )
-on_cube("tendencies_lag", "SELECT date, member, cell, q FROM (SELECT date, member, cell, i, q - lag(q, 2) OVER (PARTITION BY member, cell ORDER BY date) AS q FROM c) WHERE i >= 2", lambda c: series.tendencies(c.select("q"), "60d"))
+on_cube("tendencies_lag", "SELECT a.date, a.member, a.cell, a.q - b.q AS q FROM c a JOIN c b ON a.member = b.member AND a.cell = b.cell AND a.i = b.i + 2", lambda c: series.tendencies(c.select("q"), "60d"))
+_HOLED = "(SELECT * FROM c WHERE i NOT IN (5, 6, 40))"
+
+
+def holed(c: Cube) -> Cube:
+    """No rows on three dates, which aren't declared missing."""
+    return c.with_("hole", df=c.df.filter(~c.date_idx.isin(*MISSING)))
+
+
+on_cube("tendencies_with_gap", f"SELECT a.date, a.member, a.cell, a.q - b.q AS q FROM {_HOLED} a JOIN {_HOLED} b ON a.member = b.member AND a.cell = b.cell AND a.i = b.i + 2", lambda c: series.tendencies(holed(c).select("q"), "60d"))
+on_cube(
+    "rolling_with_gap",
+    f"SELECT a.date, a.member, a.cell, CASE WHEN count(b.q) = 3 THEN max(b.q) END AS q, a.p FROM {_HOLED} a JOIN {_HOLED} b ON a.member = b.member AND a.cell = b.cell AND b.i BETWEEN a.i - 2 AND a.i GROUP BY a.date, a.member, a.cell, a.p",
+    lambda c: series.rolling_operation(holed(c).select(["q", "p"]), 3, "max", ["q"]),
+)
 on_cube("statistics", stats_sql("cube"), lambda c: stats(statistics.statistics(c)))
 on_cube("statistics_default_range", stats_sql("(SELECT c.* FROM c, n WHERE i <= floor(0.8 * n.n) - 1)"), lambda c: stats(statistics.statistics(c, default_range=True)))
 
@@ -194,12 +208,18 @@ def with_nan(c: Cube) -> Cube:
 
 
 on_cube("statistics_with_nan", stats_sql("(SELECT CASE WHEN i % 11 <> 3 THEN q END AS q, p, d, x FROM c)"), lambda c: stats(statistics.statistics(with_nan(c))))
-_DIFF = "(SELECT q, p, d, x FROM (SELECT i, q - lag(q, {0}) OVER w AS q, p - lag(p, {0}) OVER w AS p, d - lag(d, {0}) OVER w AS d, x - lag(x, {0}) OVER w AS x FROM c WINDOW w AS (PARTITION BY member, cell ORDER BY date)) WHERE i >= {0})"
+_DIFF = "(SELECT a.q - b.q AS q, a.p - b.p AS p, a.d - b.d AS d, a.x - b.x AS x FROM c a JOIN c b ON a.member = b.member AND a.cell = b.cell AND a.i = b.i + {0})"
 on_cube(
     "statistics_tendencies",
     " UNION ALL ".join(stats_sql(_DIFF.format(k), more=f", '{30 * k}d' AS delta") for k in (1, 2)),
     lambda c: stats(statistics.tendency_statistics(c, ["30d", "60d", "7d"])),
 )
+_GAP_DIFF = f"(SELECT a.q - b.q AS q, a.p - b.p AS p, a.d - b.d AS d, a.x - b.x AS x FROM {_HOLED} a JOIN {_HOLED} b ON a.member = b.member AND a.cell = b.cell AND a.i = b.i + {{0}})"
+on_cube(
+    "statistics_tendencies_with_gap",
+    " UNION ALL ".join(stats_sql(_GAP_DIFF.format(k), more=f", '{30 * k}d' AS delta") for k in (1, 2)),
+    lambda c: stats(statistics.tendency_statistics(holed(c), ["30d", "60d"])),
+)
 on_cube(
     "statistics_constant_variables",
     "SELECT 'q' AS variable, bool_and(a) AS constant FROM (SELECT count(DISTINCT q) = 1 AS a FROM cube GROUP BY member, cell) UNION ALL SELECT 'land', true",

@@ -182,13 +182,19 @@ def test_covers():
     assert [(i.sign, i.end.hour) for i in found] == [(-1, 6), (1, 12)]
     with pytest.raises(ValueError):
         derived.cover(base, base + timedelta(hours=30), lambda _: hourly)
+    other = [derived.Interval(base + timedelta(hours=3), base + timedelta(hours=9), base - DAY)]
+    found = derived.cover(base + timedelta(hours=3), base + timedelta(hours=9), lambda _: [*hourly, *other])
+    assert len({i.base for i in found}) == 1 and sum(((i.end - i.start) * i.sign for i in found), timedelta(0)) == timedelta(hours=6)
+    found = derived.cover(base + timedelta(hours=3), base + timedelta(hours=13), lambda _: [*hourly, *other, derived.Interval(base + timedelta(hours=9), base + timedelta(hours=13), base - DAY)])
+    assert [i.base for i in found] == [base - DAY] * 2  # one base is cheaper than a change
     assert len(derived.available([(0, [(0, 6)]), (12, [(0, 6)])], base)) == 6
     assert list(derived.requests([base, base + DAY], [6], stream="oper", **{"class": "od"}))[0]["stream"] == "scda"
 
 
 def test_archived_covers_reach_the_target():
     target = datetime(2021, 1, 2, 6)
-    for key, period in ((("ea", "oper"), 6), (("ea", "enda"), 12), (("od", "oper"), 6), (("od", "elda"), 3)):
+    for key, period in ((("ea", "oper"), 6), (("ea", "enda"), 12), (("od", "oper"), 6), (("od", "elda"), 3), (("l5", "oper"), 5), (("rr", "se-al-ec"), 3), (("rr", "fr-ms-ec"), 3)):
+        target = datetime(2021, 1, 2, 7 if key[1] == "fr-ms-ec" else 6)
         found = derived.archived(target, timedelta(hours=period), key)
         assert sum(((i.end - i.start) * i.sign for i in found), timedelta(0)) == timedelta(hours=period)
         assert len({i.base for i in found}) == 1
@@ -250,11 +256,13 @@ def test_stream_reads_a_folder(spark, tmp_path):
     q.stop()
     assert spark.table("stream_counts").columns == ["start", "end", "n", "v"]
     out = str(tmp_path / "out")
-    write = windows.append_new(out, "ts")
+    write = windows.append_once(out)
     batch = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
     write(batch, 0)
     write(batch, 0)
     assert spark.read.parquet(out).count() == 40
+    write(spark.createDataFrame([(base, -1.0)], "ts timestamp_ntz, v double"), 1)  # a late row of a stored time
+    assert spark.read.parquet(out).count() == 41 and spark.read.parquet(out).filter("v = -1").first()["ts"] == base
 
 
 def test_positional_combinations(spark):
