@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratoframe.functions import geo
 from stratoframe.functions.timegrammar import spine
-from stratoframe.operators.cube import KEYS, Cube, skip_nan
+from stratoframe.operators.cube import KEYS, Cube, on_dates, skip_nan
 from stratoframe.operators.series import nearest
-from stratoframe.operators.side import side
+from stratoframe.operators.side import cut, side
 
 ALIASES = {"all": ("select", "frequency", "start", "end"), "dates": ("start", "end", "frequency"), "variables": ("select",)}
 
@@ -31,6 +31,8 @@ def _same(cubes: Sequence[Cube], *, dates: bool = True, variables: bool = False,
             raise ValueError(f"dates differ: {first.start}..{first.end}, {other.start}..{other.end}")
         if variables and first.variables != other.variables:
             raise ValueError(f"variables differ: {first.variables}, {other.variables}")
+    if cells:
+        same_grid(cubes)
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -43,8 +45,10 @@ def _merged_statistics(cubes: Sequence[Cube], names: Sequence[str]) -> dict | No
 
 
 def same_grid(cubes: Sequence[Cube], relative: float = 1e-7) -> None:
-    """Raises unless all grids have the same points (one small aggregation for each pair)."""
+    """Raises unless all grids that are known have the same points (a join for each that isn't the first one's own table)."""
     for other in cubes[1:]:
+        if cubes[0].grid is None or other.grid is None or other.grid is cubes[0].grid:
+            continue
         a = cubes[0].grid.select("cell", "latitude", "longitude")
         b = other.grid.select("cell", F.col("latitude").alias("y"), F.col("longitude").alias("x"))
         off = lambda p, q: F.abs(F.col(p) - F.col(q)) > relative * F.abs(F.col(q)) + 1e-8
@@ -93,6 +97,7 @@ def merge(cubes: Sequence[Cube], allow_gaps_in_dates: bool = False) -> Cube:
     """Dates interleaved: of a date that several have, the first that isn't missing counts; two present ones are an error. Whole datasets' dates are chosen on the driver, so each contributes by a filter."""
     if len(cubes) == 1:
         return cubes[0]
+    same_grid(cubes)
     owner: dict[datetime, int] = {}
     for k, c in enumerate(cubes):
         if c.variables != cubes[0].variables or c.cells != cubes[0].cells or c.members != cubes[0].members:
@@ -118,7 +123,7 @@ def merge(cubes: Sequence[Cube], allow_gaps_in_dates: bool = False) -> Cube:
         if len(own) == len(c.dates):
             parts.append(c.df.select(*KEYS, *c.variables))
         elif own:
-            parts.append(c.df.filter(F.col("date").isin([str(d) for d in own])).select(*KEYS, *c.variables))
+            parts.append(on_dates(c.df, own).select(*KEYS, *c.variables))
     missing = gaps | {d for d in dates if d in cubes[owner[d]].missing}
     return cubes[0].with_("merge", df=_union(parts), start=full[0], end=full[-1], frequency=step, missing=frozenset(missing), tree=("merge", *(c.tree for c in cubes)))
 
@@ -143,28 +148,57 @@ def grids(cubes: Sequence[Cube]) -> Cube:
             points.append(c.grid.select((F.col("cell") + offset).cast("int").alias("cell"), "latitude", "longitude", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col")))
         offset += c.cells
     grid = _union(points) if len(points) == len(cubes) else None
-    return cubes[0].with_("grids", df=_union(parts), grid=grid, cells=offset, field_shape=None, missing=frozenset().union(*(c.missing for c in cubes)), tree=("grids", *(c.tree for c in cubes)))
+    return cubes[0].with_("grids", df=_union(parts), grid=grid, cells=offset, parts=tuple(n for c in cubes for n in c.grids), field_shape=None, missing=frozenset().union(*(c.missing for c in cubes)), tree=("grids", *(c.tree for c in cubes)))
 
 
-def cutout(cubes: Sequence[Cube], cropping_distance: float = 2.0, min_distance_km: float = 0.0) -> Cube:
-    """Limited areas, then the global grid (last). From each dataset go the cells within an earlier one's box and within ``min_distance_km`` of one of its points (any point of the box where that is 0).
+def _covered(points: DataFrame, area: DataFrame, neighbours: int, min_km: float | None, max_km: float | None) -> DataFrame:
+    """The cells (of points) that an area covers: the line from the Earth's centre meets a triangle of three points that follow each other among the nearest ``neighbours``, or the nearest point is within ``min_km``.
 
-    The box of an area is that of its points, widened by nothing; only cells within ``cropping_distance`` degrees of it are compared at all.
+    Where ``min_km`` isn't given it is the least distance between two of the points themselves. Beyond ``max_km`` of the
+    nearest point nothing is covered.
     """
+    if min_km is None:
+        spacing = nearest(points, points, 2).filter("rank = 2").agg(F.min("distance")).first()[0]
+        least = spacing or 0.0
+    else:
+        least = geo.chord_of_km(min_km)
+    place = lambda df, name: df.select(F.col("cell").alias(name), F.array(*geo.xyz(F.col("latitude"), F.col("longitude"))).alias(f"{name}_at"))
+    near = nearest(points, area, neighbours).join(side(place(area, "source")), "source")
+    found = near.groupBy("target").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_list(F.struct("rank", F.col("source_at").alias("at")))).alias("near"))
+    found = found.join(side(place(points, "target")), "target")
+
+    def volume(a: Column, b: Column, c: Column) -> Column:
+        return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+
+    def meets(j: Column) -> Column:
+        a, b, c = (F.get("near", j + i)["at"] for i in range(3))
+        p = F.col("target_at")
+        turns = [volume(p, b, c), volume(a, p, c), volume(a, b, p)]
+        alike = reduce(lambda x, y: x & y, [t * volume(a, b, c) >= 0 for t in turns])
+        return alike & (F.abs(volume(a, b, c)) > 1e-15)
+
+    inside = F.exists(F.sequence(F.lit(0), F.lit(neighbours - 3)), meets) if neighbours >= 3 else F.lit(False)
+    covered = F.coalesce(inside, F.lit(False)) | (F.col("distance") <= least)
+    if max_km is not None:
+        covered &= F.col("distance") <= geo.chord_of_km(max_km)
+    return found.filter(covered).select(F.col("target").alias("cell"))
+
+
+def cutout(cubes: Sequence[Cube], cropping_distance: float = 2.0, neighbours: int = 5, min_distance_km: float | None = None, max_distance_km: float | None = None) -> Cube:
+    """Limited areas, then the global grid (last). From each dataset go the cells that an earlier one covers; only cells within ``cropping_distance`` degrees of its points' box are compared."""
     if len(cubes) < 2:
         raise ValueError("a cutout takes at least two datasets")
+    if min(cropping_distance, min_distance_km or 0, max_distance_km or 0) < 0:
+        raise ValueError("distances must not be negative")
     kept = [cubes[0]]
     for c in cubes[1:]:
         points = c.grid
         for earlier in kept:
             n, s, w, e = earlier.grid.agg(F.max("latitude"), F.min("latitude"), F.min("longitude"), F.max("longitude")).first()
-            if min_distance_km:
-                near = points.filter(geo.inside(F.col("latitude"), F.col("longitude"), n + cropping_distance, w - cropping_distance, s - cropping_distance, e + cropping_distance))
-                covered = nearest(near, earlier.grid, 1, min_distance_km).select(F.col("target").alias("cell"))
-            else:
-                covered = points.filter(geo.inside(F.col("latitude"), F.col("longitude"), n, w, s, e)).select("cell")
+            near = points.filter(geo.inside(F.col("latitude"), F.col("longitude"), n + cropping_distance, w - cropping_distance, s - cropping_distance, e + cropping_distance))
+            covered = _covered(near, earlier.grid, neighbours, min_distance_km, max_distance_km)
             points = points.join(side(covered), "cell", "left_anti")
-        kept.append(c.keep_cells("cutout", points))
+        kept.append(c.keep_cells("cutout", cut(points)))
     return grids(kept)
 
 

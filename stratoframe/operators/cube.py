@@ -19,6 +19,8 @@ from stratoframe.functions.timegrammar import first_date, frequency, last_date,
 from stratoframe.operators.side import cut, side
 
 KEYS = ("date", "member", "cell")
+#: Dates up to which a filter names them.
+LITERALS = 100
 
 
 class MissingDateError(ValueError):
@@ -38,6 +40,21 @@ def skip_nan(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def on_dates(df: DataFrame, dates: Sequence[datetime], column: str = "date", keep: bool = True) -> DataFrame:
+    """The rows of these dates (or the others): by a few literals, by a range and step where they are regular, else by a join with their table, however many they are."""
+    dates = sorted(set(dates))
+    at = F.col(column)
+    if len(dates) <= LITERALS:
+        wanted = at.isin([str(d) for d in dates])
+    elif dates == spine(dates[0], dates[-1], dates[1] - dates[0]):
+        since = seconds(at) - F.lit(int((dates[0] - datetime(1970, 1, 1)).total_seconds()))
+        wanted = at.between(stamp(dates[0]), stamp(dates[-1])) & (F.pmod(since, F.lit(int((dates[1] - dates[0]).total_seconds()))) == 0)
+    else:
+        table = df.sparkSession.createDataFrame([(str(d),) for d in dates], "at string").select(F.col("at").cast("timestamp_ntz").alias(column))
+        return df.join(side(table, len(dates)), column, "left_semi" if keep else "left_anti")
+    return df.filter(wanted if keep else ~wanted)
+
+
 @dataclass(frozen=True)
 class Cube:
     df: DataFrame
@@ -52,6 +69,8 @@ class Cube:
     missing: frozenset[datetime] = frozenset()
     statistics: dict[str, dict[str, float]] | None = None
     tree: tuple = ("store",)
+    tendencies_of: Cube | None = None  # whose differences count for statistics of tendencies
+    parts: tuple[int, ...] | None = None  # cells of each grid, where there are several
 
     # -- metadata
 
@@ -63,6 +82,11 @@ class Cube:
     def shape(self) -> tuple[int, int, int, int]:
         return len(self.dates), len(self.variables), self.members, self.cells
 
+    @property
+    def grids(self) -> tuple[int, ...]:
+        """Cells of each of the grids that the dataset is made of."""
+        return self.parts or (self.cells,)
+
     @property
     def missing_indices(self) -> list[int]:
         return [k for k, d in enumerate(self.dates) if d in self.missing]
@@ -88,9 +112,7 @@ class Cube:
 
     def rows(self) -> DataFrame:
         """The rows of dates that aren't missing."""
-        present = self.df
-        if self.missing:
-            present = present.filter(~F.col("date").isin([str(d) for d in sorted(self.missing)]))
+        present = on_dates(self.df, list(self.missing), keep=False) if self.missing else self.df
         return present.select(*KEYS, *self.variables)
 
     def long(self) -> DataFrame:
@@ -102,7 +124,11 @@ class Cube:
         return pairs.select("date", "variable", "member", F.col("pairs.value").cast("array<float>").alias("values"))
 
     def at(self, index: int | slice | Sequence[int] | tuple) -> DataFrame:
-        """Rows by position, as of an array (date, variable, member, cell): each an int, a slice or (one of them) a list."""
+        """Rows by position, as of an array (date, variable, member, cell): each an int, a slice or (one of them) a list.
+
+        A list keeps its order and repeats: ``position`` is the place in it (a list of variables is the order of the columns
+        and names each once).
+        """
         index = index if isinstance(index, tuple) else (index,)
         if sum(isinstance(i, (list,)) for i in index) > 1 or len(index) > 4:
             raise IndexError("at most four indices, of which one is a list")
@@ -122,12 +148,21 @@ class Cube:
             raise MissingDateError(f"missing dates: {bad[:3]}")
         out = self.df
         if dates is not None:
-            out = out.filter(F.col("date").isin([str(d) for d in wanted]))
+            out = on_dates(out, wanted)
         if members is not None:
             out = out.filter(F.col("member").isin(members))
         if cells is not None:
             out = out.filter(F.col("cell").isin(cells))
-        return out.select(*KEYS, *(self.variables if names is None else [self.variables[k] for k in names]))
+        named = self.variables if names is None else [self.variables[k] for k in names]
+        if len(set(named)) < len(named):
+            raise IndexError("a variable is listed twice")
+        listed = next((axis for axis, i in enumerate(index) if isinstance(i, list) and axis != 1), None)
+        if listed is None:
+            return out.select(*KEYS, *named)
+        key = ("date", None, "member", "cell")[listed]
+        places = [(str(self.dates[k]) if key == "date" else str(k), p) for p, k in enumerate(chosen[listed])]
+        table = self.df.sparkSession.createDataFrame(places, "at string, position int").select(F.col("at").cast(self.df.schema[key].dataType).alias(key), "position")
+        return out.join(side(table, len(places)), key).select("position", *KEYS, *named)
 
     # -- variables
 
@@ -159,7 +194,7 @@ class Cube:
     def rename(self, names: dict[str, str]) -> Cube:
         self._known(list(names))
         stats = None if self.statistics is None else {names.get(k, k): v for k, v in self.statistics.items()}
-        return self.with_("rename", df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
+        return self.with_("rename", tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
 
     def rescale(self, how: dict[str, object]) -> Cube:
         """variable -> (scale, offset), {"scale":, "offset":} or (unit, unit)."""
@@ -177,7 +212,7 @@ class Cube:
             for n, (a, b) in factors.items():
                 if n in stats:
                     stats[n] |= {k: stats[n][k] * a + b for k in ("mean", "minimum", "maximum")} | {"stdev": stats[n]["stdev"] * a}
-        return self.with_("rescale", df=self.df.withColumns({n: F.col(n) * a + b for n, (a, b) in factors.items()}), statistics=stats)
+        return self.with_("rescale", tendencies_of=self.tendencies_of and self.tendencies_of.rescale(how), df=self.df.withColumns({n: F.col(n) * a + b for n, (a, b) in factors.items()}), statistics=stats)
 
     # -- dates
 
@@ -239,7 +274,7 @@ class Cube:
         ranked = kept.withColumn("new", F.row_number().over(Window.orderBy("cell")) - 1)
         n = ranked.count()
         moved = self.df.join(side(ranked.select("cell", "new"), n), "cell").withColumn("cell", F.col("new").cast("int")).select(*KEYS, *self.variables)
-        return self.with_(op, df=moved, grid=ranked.withColumn("cell", F.col("new").cast("int")).drop("new"), cells=n, field_shape=shape)
+        return self.with_(op, df=moved, grid=ranked.withColumn("cell", F.col("new").cast("int")).drop("new"), cells=n, field_shape=shape, parts=None)
 
     def mask(self, cells: DataFrame) -> Cube:
         """Cells of a table (cell, keep)."""

@@ -6,8 +6,11 @@ All are window functions partitioned by member and cell and ordered by the date'
 
 from __future__ import annotations
 
+import math
+from bisect import bisect
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from stratoframe.functions import geo
 from stratoframe.functions.timegrammar import frequency
 from stratoframe.operators.cube import KEYS, Cube, MissingDateError, skip_nan, stamp
-from stratoframe.operators.side import side
+from stratoframe.operators.side import cut, side
 
 SERIES = ("member", "cell")
 
@@ -38,7 +41,8 @@ def fill_missing(cube: Cube, method: str = "closest", closest: str = "up") -> Cu
         raise MissingDateError("all dates are missing")
     plan = []  # target, source, weight
     for k in gone:
-        before, after = max((p for p in present if p < k), default=None), min((p for p in present if p > k), default=None)
+        at = bisect(present, k)
+        before, after = present[at - 1] if at else None, present[at] if at < len(present) else None
         if method == "interpolate":
             if before is None or after is None:
                 raise MissingDateError(f"{cube.dates[k]} has no present dates on both sides")
@@ -128,39 +132,69 @@ def tendencies(cube: Cube, delta: int | str | timedelta) -> Cube:
     return cube.with_("tendencies", df=out, start=cube.dates[k], missing=missing)
 
 
+def _point(*names: str) -> tuple[Column, ...]:
+    return tuple(F.col(n) for n in names)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    far = pairs.withColumn("distance", geo.chord(_point("x", "y", "z"), _point("x2", "y2", "z2")))
+    return far.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("distance", "source"))).filter(F.col("rank") <= k).select("target", "source", "distance", "rank")
+
+
+def _descend(here: DataFrame, there: DataFrame, n: int, k: int, levels: int, limit: float | None) -> DataFrame:
+    """Pairs of each target and the sources in the smallest boxes that may hold one of its k nearest.
+
+    The sources' boxes halve from level to level. A target keeps the boxes that are no farther than the k-th source can
+    be at most (and than the limit), so it meets the few boxes on the near side of a far area, not all of its points.
+    """
+    box = lambda c, level: F.least(F.floor((F.col(c) + 1.05) / (2.1 / (1 << level))), F.lit((1 << level) - 1)).cast("long")
+    code = lambda level: reduce(lambda a, b: a * (1 << 20) + b, [box(c, level) for c in ("x2", "y2", "z2")])
+    state = here.withColumn("box", F.lit(0).cast("long"))
+    axes = (("x", "x2"), ("y", "y2"), ("z", "z2"))
+    by_target = Window.partitionBy("target")
+    for level in range(1, levels + 1):
+        bounds = [f(c).alias(f"{name}_{c}") for _, c in axes for name, f in (("lo", F.min), ("hi", F.max))]
+        boxes = there.groupBy(code(level - 1).alias("box"), code(level).alias("inner")).agg(F.count("*").alias("n"), *bounds)
+        met = state.join(side(boxes, min(n, 8**level)), "box")
+        least = [F.greatest(F.col(f"lo_{b}") - F.col(a), F.col(a) - F.col(f"hi_{b}"), F.lit(0.0)) for a, b in axes]
+        most = [F.greatest(F.abs(F.col(a) - F.col(f"lo_{b}")), F.abs(F.col(a) - F.col(f"hi_{b}"))) for a, b in axes]
+        length = lambda parts: F.sqrt(reduce(lambda p, q: p + q, [v * v for v in parts]))
+        met = met.select("target", "x", "y", "z", "inner", "n", length(least).alias("least"), length(most).alias("most"))
+        met = met.withColumn("within", F.sum("n").over(by_target.orderBy("most", "inner").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        met = met.withColumn("reach", F.min(F.when(F.col("within") >= k, F.col("most"))).over(by_target))
+        kept = F.coalesce(F.col("least") <= F.col("reach") + 1e-12, F.lit(True))
+        if limit is not None:
+            kept &= F.col("least") <= limit + 1e-12
+        state = met.filter(kept).select("target", "x", "y", "z", F.col("inner").alias("box"))
+    return state.join(side(there.withColumn("box", code(levels)), n), "box")
+
+
 def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, max_km: float | None = None) -> DataFrame:
     """target, source, distance (chord), rank: each target's k nearest source points.
 
     Points fall into cells of the unit cube. A target looks into its own and the 26 cells around; if these hold k points
-    within one cell's width they are the nearest, and the target is done. The others try again with cells twice as wide, at
-    the last with one cell for all. So no pass compares all with all unless the points are few or the search needs it.
+    within one cell's width they are the nearest, and the target is done. The others search the sources' boxes from the
+    largest to the smallest (``_descend``), so nowhere do all targets meet all sources.
     """
     x, y, z = geo.xyz(F.col("latitude"), F.col("longitude"))
     here = targets.select(F.col("cell").alias("target"), x.alias("x"), y.alias("y"), z.alias("z"))
     there = sources.select(F.col("cell").alias("source"), x.alias("x2"), y.alias("y2"), z.alias("z2"))
     limit = geo.chord_of_km(max_km) if max_km is not None else None
     n = sources.count()
-    width = min(2.1, max(limit or 0.0, 4.0 / max(1.0, n**0.5)))
-    found = None
-    left = here
-    shifts = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    while True:
-        cell = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023, E731
-        own = left.withColumns({"cx": cell("x"), "cy": cell("y"), "cz": cell("z")})
-        for c in ("cx", "cy", "cz"):
-            own = own.withColumn("d", F.explode(shifts)).withColumn(c, F.col(c) + F.col("d")).drop("d")
-        spread = there.withColumns({"cx": cell("x2"), "cy": cell("y2"), "cz": cell("z2")})
-        pairs = own.join(side(spread, n), ["cx", "cy", "cz"]).withColumn("distance", geo.chord(tuple(map(F.col, ("x", "y", "z"))), tuple(map(F.col, ("x2", "y2", "z2")))))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("distance", "source"))).filter(F.col("rank") <= k).select("target", "source", "distance", "rank")
-        last = width >= 2.1 or (limit is not None and limit <= width)
-        if not last:
-            done = ranked.groupBy("target").agg(F.count(F.when(F.col("distance") <= width, 1)).alias("n")).filter(F.col("n") >= k).select("target")
-            ranked = ranked.join(done, "target", "left_semi")
-        found = ranked if found is None else found.unionByName(ranked)
-        if last:
-            break
-        left = left.join(done, "target", "left_anti")
-        width = min(2.1, width * 4)
+    width = min(2.1, 4.0 / max(1.0, n**0.5))
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    own = here.withColumns({"cx": cell("x"), "cy": cell("y"), "cz": cell("z")})
+    for c in ("cx", "cy", "cz"):
+        own = own.withColumn("d", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).withColumn(c, F.col(c) + F.col("d")).drop("d")
+    spread = there.withColumns({"cx": cell("x2"), "cy": cell("y2"), "cz": cell("z2")})
+    found = _ranked(own.join(side(spread, n), ["cx", "cy", "cz"]), k)
+    if width < 2.1 and (limit is None or limit > width):
+        found = cut(found)
+        done = found.groupBy("target").agg(F.count(F.when(F.col("distance") <= width, 1)).alias("n")).filter(F.col("n") >= k).select("target")
+        left = cut(here.join(done, "target", "left_anti"))
+        if left.limit(1).count():
+            levels = math.ceil(math.log2(2.1 / width))
+            found = found.join(done, "target", "left_semi").unionByName(_ranked(_descend(left, there, n, k, levels, limit), k))
     return found.filter(F.col("distance") <= limit) if limit is not None else found
 
 

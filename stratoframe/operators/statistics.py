@@ -8,14 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from datetime import timedelta
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratoframe.functions.timegrammar import frequency, frequency_text, statistics_range
 from stratoframe.operators.cube import Cube, skip_nan
-from stratoframe.operators.series import tendencies
+from stratoframe.operators.series import SERIES
 
 FIELDS = ("mean", "stdev", "minimum", "maximum", "count")
 
@@ -40,13 +39,22 @@ def statistics(cube: Cube, start: object = None, end: object = None, default_ran
 
 
 def tendency_statistics(cube: Cube, deltas: Sequence[int | str | timedelta] | bool = True) -> DataFrame:
-    """delta and the statistics of differences; deltas that aren't multiples of the frequency are left out."""
+    """delta and the statistics of differences (of the dataset that ``statistics_tendencies`` named, if one did); deltas that aren't multiples of the frequency are left out."""
+    if cube.tendencies_of is not None:
+        return tendency_statistics(cube.tendencies_of.select(list(cube.variables)), deltas)
     wanted = [frequency(h) for h in ((1, 3, 6, 12, 24) if deltas is True else deltas)]
     usable = [d for d in wanted if not d % cube.frequency and timedelta(0) < d and d // cube.frequency < len(cube.dates)]
     if not usable:
         raise ValueError("no delta is a multiple of the frequency")
-    tables = [summary(tendencies(cube, d).rows(), cube.variables).withColumn("delta", F.lit(frequency_text(d))) for d in usable]
-    return reduce(DataFrame.unionByName, tables)
+    # all deltas are frames of one window and one aggregation; what lacks its earlier date has no difference
+    order = Window.partitionBy(*SERIES).orderBy(cube.date_idx)
+    frames = [order.rangeBetween(-(d // cube.frequency), -(d // cube.frequency)) for d in usable]
+    names = [f"{n}_{j}" for n in range(len(usable)) for j in range(len(cube.variables))]
+    values = [F.col(v) - F.first(v).over(frame) for frame in frames for v in cube.variables]
+    found = summary(cube.rows().select(*[x.alias(name) for x, name in zip(values, names, strict=True)]), names)
+    at = F.split("variable", "_").cast("array<int>")
+    named = F.array(*[F.lit(v) for v in cube.variables])[at[1]].alias("variable")
+    return found.select(named, *FIELDS, F.array(*[F.lit(frequency_text(d)) for d in usable])[at[0]].alias("delta"))
 
 
 def constant_variables(cube: Cube) -> DataFrame:
@@ -61,7 +69,15 @@ def with_statistics(cube: Cube, stats: dict[str, dict[str, float]] | Cube) -> Cu
     found = stats.statistics if isinstance(stats, Cube) else stats
     if lacking := [v for v in cube.variables if v not in (found or {})]:
         raise ValueError(f"no statistics of {lacking}")
-    return cube.with_("statistics", statistics={v: found[v] for v in cube.variables})
+    other = cube.tendencies_of or (stats if isinstance(stats, Cube) else None)
+    return cube.with_("statistics", statistics={v: found[v] for v in cube.variables}, tendencies_of=other)
+
+
+def with_tendency_statistics(cube: Cube, other: Cube) -> Cube:
+    """The dataset with another's statistics of tendencies; it must have all of its variables."""
+    if lacking := [v for v in cube.variables if v not in other.variables]:
+        raise ValueError(f"no statistics of tendencies of {lacking}")
+    return cube.with_("statistics_tendencies", tendencies_of=other)
 
 
 def collected(table: DataFrame) -> dict[str, dict[str, float]]:

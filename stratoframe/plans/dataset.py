@@ -28,7 +28,7 @@ COMBINATIONS: dict[str, Callable] = {
     "chain": combine.chain, "join": combine.join, "concat": combine.concat, "merge": combine.merge,
     "ensemble": combine.ensemble, "ensembles": combine.ensemble, "grids": combine.grids, "cutout": combine.cutout,
 }
-OPTIONS = {"concat": ("fill_missing_gaps",), "merge": ("allow_gaps_in_dates",), "cutout": ("cropping_distance", "min_distance_km")}
+OPTIONS = {"concat": ("fill_missing_gaps",), "merge": ("allow_gaps_in_dates",), "cutout": ("cropping_distance", "neighbours", "min_distance_km", "max_distance_km")}
 #: Combinations by position: the other keywords apply to each of their datasets.
 POSITIONAL = ("zip", "xy", "x")
 
@@ -154,6 +154,7 @@ def _gridded_steps(spec: dict) -> Steps:
         (("rename",), lambda c: c.rename(pop("rename"))),
         (("rescale",), lambda c: c.rescale(pop("rescale"))),
         (("statistics",), lambda c: statistics.with_statistics(c, pop("statistics"))),
+        (("statistics_tendencies",), lambda c: statistics.with_tendency_statistics(c, pop("statistics_tendencies"))),
         (("mask",), lambda c: c.mask(pop("mask"))),
         (("trim_edge",), lambda c: c.trim_edge(*(e if isinstance(e := pop("trim_edge"), (list, tuple)) else (e,)))),
         (("thinning",), lambda c: c.thin(pop("thinning"), pop("method", "every-nth"))),
@@ -212,6 +213,26 @@ def open_dataset(spark: SparkSession, *datasets: object, **spec: object) -> Data
     return out
 
 
+def list_dataset_names(*datasets: object, **spec: object) -> list[str]:
+    """The names and paths that a specification opens, sorted, without opening any."""
+    found: set[str] = set()
+
+    def walk(what: object) -> None:
+        if isinstance(what, str):
+            named = _NAMED.get(what, what)
+            walk(named) if named != what else found.add(what)
+        elif isinstance(what, (list, tuple)):
+            for w in what:
+                walk(w)
+        elif isinstance(what, dict):
+            for key in (*COMBINATIONS, *POSITIONAL, "y", "dataset", "complement", "source"):
+                walk(what.get(key))
+
+    walk(list(datasets))
+    walk(spec)
+    return sorted(found)
+
+
 def new_dates(cube: Cube, stored: DataFrame) -> DataFrame:
     """Rows of dates that a stored table doesn't have yet."""
     return cube.rows().join(stored.select("date").distinct(), "date", "left_anti")

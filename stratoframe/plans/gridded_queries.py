@@ -58,7 +58,8 @@ on_cube("subset_year_string", f"SELECT {KV} FROM cube WHERE date >= '1997-03-01'
 on_cube("subset_percent", f"SELECT {KV} FROM c, n WHERE i >= floor(n * 0.25 - pow(2, -30)) AND i <= floor(n * 0.75 + pow(2, -30)) - 1", lambda c: c.between("25%", "75%"))
 on_cube("subset_frequency", f"SELECT {KV} FROM c WHERE i % 2 = 0", lambda c: c.every("60d"))
 on_cube("subset_then_frequency", f"SELECT {KV} FROM (SELECT *, dense_rank() OVER (ORDER BY date) - 1 AS j FROM cube WHERE date >= '1996-01-01') WHERE j % 3 = 0", lambda c: c.between(1996, None).every("90d"))
-on_cube("positional_index", "SELECT date, member, cell, p, x FROM c WHERE i IN (3, 7) AND member = 1 AND cell < 4", lambda c: c.at(([3, 7], slice(1, None, 2), 1, slice(0, 4))))
+on_cube("positional_index", "SELECT date, member, cell, p, x FROM c WHERE i IN (3, 7) AND member = 1 AND cell < 4", lambda c: c.at(([3, 7], slice(1, None, 2), 1, slice(0, 4))).drop("position"))
+on_cube("positional_repeats", "SELECT t.k AS position, date, member, cell, q, p, d, x FROM c JOIN (VALUES (0, 7), (1, 3), (2, 3)) t(k, i) USING (i) WHERE cell >= 2", lambda c: c.at(([7, 3, 3], slice(None), slice(None), slice(2, None))))
 on_cube("select_variables", "SELECT date, member, cell, x, q FROM cube", lambda c: c.select(["x", "q"]))
 on_cube("drop_variables", "SELECT date, member, cell, q, x FROM cube", lambda c: c.drop(["p", "d"]))
 on_cube("reorder_sort", "SELECT date, member, cell, d, p, q, x FROM cube", lambda c: c.reorder("sort"))
@@ -110,6 +111,12 @@ on_cube(
     UNION ALL SELECT date, member, CAST(6 + list_position([3, 4, 8, 9], cell) - 1 AS INTEGER), q, p, d, x FROM cube WHERE cell IN (3, 4, 8, 9)""",
     lambda c: combine.cutout([c.area(60, 0, 50, 60).rescale({"q": (3, 0)}), c]),
 )
+on_cube(
+    "cutout_triangles",
+    f"""SELECT date, member, cell, q, p, d, x FROM cube
+    UNION ALL SELECT date, member, CAST(10 + dense_rank() OVER (ORDER BY cell) - 1 AS INTEGER), q * 2.0 + 0.0, p, d, x FROM cube WHERE cell NOT IN (0, 1, 2, 3)""",
+    lambda c: combine.cutout([c, c.with_("grid", grid=grid(c.df.sparkSession, 58.0, 3.0)).rescale({"q": (2, 0)})], min_distance_km=10.0),
+)
 on_cube("complement_none", "SELECT date, member, cell, d, p, q FROM cube", lambda c: combine.complement(c.select(["q", "p"]), c.select(["p", "d"])))
 
 
@@ -214,6 +221,11 @@ on_cube(
     " UNION ALL ".join(stats_sql(_DIFF.format(k), more=f", '{30 * k}d' AS delta") for k in (1, 2)),
     lambda c: stats(statistics.tendency_statistics(c, ["30d", "60d", "7d"])),
 )
+on_cube(
+    "statistics_tendencies_override",
+    stats_sql("(SELECT 2.0 * (a.q - b.q) AS q, a.p - b.p AS p FROM c a JOIN c b ON a.member = b.member AND a.cell = b.cell AND a.i = b.i + 1)", ("q", "p"), more=", '30d' AS delta"),
+    lambda c: stats(statistics.tendency_statistics(open_dataset(c.df.sparkSession, c, select=["q", "p"], statistics_tendencies=c.rescale({"q": (2.0, 0.0)})), ["30d"])),
+)
 _GAP_DIFF = f"(SELECT a.q - b.q AS q, a.p - b.p AS p, a.d - b.d AS d, a.x - b.x AS x FROM {_HOLED} a JOIN {_HOLED} b ON a.member = b.member AND a.cell = b.cell AND a.i = b.i + {{0}})"
 on_cube(
     "statistics_tendencies_with_gap",

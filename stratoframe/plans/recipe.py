@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratoframe.functions.timegrammar import calendar_filter, expand, frequency, groups, hindcast_requests, part, spine
 from stratoframe.operators import combine, derived, statistics
-from stratoframe.operators.cube import KEYS, Cube
+from stratoframe.operators.cube import KEYS, Cube, on_dates
 from stratoframe.plans.dataset import open_dataset
 from stratoframe.sources.registry import FILTERS, SOURCES
 
@@ -48,10 +48,6 @@ def node(name: str) -> Callable:
     return lambda f: NODES.setdefault(name, f)
 
 
-def on_dates(df: DataFrame, dates: Sequence[datetime], column: str = "date") -> DataFrame:
-    return df.filter(F.col(column).isin([str(d) for d in dates]))
-
-
 @node("join")
 def _join(spark: SparkSession, body: list, dates: Sequence[datetime], named: Named) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(KEYS)), [build(spark, n, dates, named) for n in body])

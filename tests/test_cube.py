@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratoframe.operators import combine, derived, series, statistics
-from stratoframe.operators.cube import Cube, MissingDateError
+from stratoframe.operators.cube import Cube, MissingDateError, on_dates
 from stratoframe.operators.tabular import Observations, pivot
 from stratoframe.plans import recipe
-from stratoframe.plans.dataset import add_dataset_path, add_named_dataset, open_dataset, save_dataset
+from stratoframe.plans.dataset import add_dataset_path, add_named_dataset, list_dataset_names, open_dataset, save_dataset
 from stratoframe.sources.registry import SOURCES
 
 DAY = timedelta(days=1)
@@ -48,6 +50,85 @@ def test_positions_match_an_array(spark, index):
     assert {k: tuple(round(x, 6) for x in v) for k, v in got.items()} == expected
 
 
+def test_listed_positions_keep_order_and_repeats(spark):
+    c = analytic(spark)
+    got = sorted((r["position"], r["date"], r["cell"]) for r in c.at(([4, 1, 1], 0, 0, slice(0, 2))).collect())
+    assert got == [(p, c.dates[k], x) for p, k in enumerate((4, 1, 1)) for x in (0, 1)]
+    assert sorted((r["position"], r["member"]) for r in c.at((0, 0, [-1, 0], 3)).collect()) == [(0, 1), (1, 0)]
+    with pytest.raises(IndexError):
+        c.at((0, [1, 1]))
+
+
+def test_dates_by_literals_steps_and_tables(spark):
+    c = analytic(spark, days=400, members=1, cells=1)
+    wanted = {"few": c.dates[3:90:7], "regular": c.dates[10:390:3], "irregular": [d for k, d in enumerate(c.dates) if k % 7 in (0, 3)]}
+    for dates in wanted.values():
+        assert sorted(r["date"] for r in on_dates(c.df, dates).collect()) == dates
+        assert sorted(r["date"] for r in on_dates(c.df, dates, keep=False).collect()) == sorted(set(c.dates) - set(dates))
+
+
+def test_joins_check_points(spark):
+    c = analytic(spark)
+    same = c.with_("grid", grid=c.grid.filter("cell >= 0"))
+    moved = c.with_("grid", grid=c.grid.withColumn("latitude", F.col("latitude") + 40))
+    combine.join([c.select("a"), same.select("b")])
+    for f in (combine.join, combine.ensemble, combine.merge):
+        with pytest.raises(ValueError, match="grids differ"):
+            f([c, moved])
+
+
+def test_tendency_statistics_of_another_dataset(spark):
+    c = analytic(spark)
+    other = c.rescale({"a": (3.0, 0.0)})
+    got = {r["variable"]: r["mean"] for r in statistics.tendency_statistics(statistics.with_tendency_statistics(c, other), ["1d"]).collect()}
+    assert got == pytest.approx({"a": 300.0, "b": 100.0})
+    with pytest.raises(ValueError):
+        statistics.with_tendency_statistics(c, other.select("a"))
+
+
+def test_names_and_grid_sizes(spark):
+    assert list_dataset_names("x", {"join": ["b", {"dataset": "a", "select": "t"}]}, end=2020) == ["a", "b", "x"]
+    c = analytic(spark)
+    assert combine.grids([combine.grids([c, c]), c]).grids == (6, 6, 6)
+    assert c.grids == (6,)
+
+
+def _at(lat, lon):
+    lat, lon = math.radians(lat), math.radians(lon)
+    return np.array([math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)])
+
+
+@pytest.mark.parametrize("options", [{}, {"min_distance_km": 0.0}, {"min_distance_km": 150.0, "neighbours": 3}, {"min_distance_km": 0.0, "max_distance_km": 120.0}])
+def test_cutout_matches_brute_force(spark, options):
+    fine = [(k, 40.0 + 1.5 * (k // 9) + 0.1 * (k % 3), 5.0 + 1.5 * (k % 9)) for k in range(81)]
+    coarse = [(k, 36.0 + 2.2 * (k // 11), 1.0 + 2.2 * (k % 11)) for k in range(110)]
+
+    def of(points):
+        grid = spark.createDataFrame([(*p, None, None) for p in points], "cell int, latitude double, longitude double, row int, col int")
+        return analytic(spark, days=1, members=1, cells=len(points)).with_("grid", grid=grid, field_shape=None)
+
+    n, s, w, e = (f(p[i] for p in fine) for f, i in ((max, 1), (min, 1), (min, 2), (max, 2)))
+    near = [p for p in coarse if s - 2 <= p[1] <= n + 2 and w - 2 <= p[2] <= e + 2]
+    least = min(np.linalg.norm(_at(*p[1:]) - _at(*q[1:])) for p in near for q in near if p != q)
+    if "min_distance_km" in options:
+        least = 2 * math.sin(options["min_distance_km"] / 6371.0 / 2)
+    gone, many = set(), options.get("neighbours", 5)
+    for k, lat, lon in near:
+        at = _at(lat, lon)
+        best = sorted((np.linalg.norm(at - _at(*q[1:])), q[0]) for q in fine)[:many]
+        inside = False
+        for j in range(many - 2):
+            weights = np.linalg.solve(np.array([_at(*fine[i][1:]) for _, i in best[j : j + 3]]).T, at) if abs(np.linalg.det(np.array([_at(*fine[i][1:]) for _, i in best[j : j + 3]]))) > 1e-15 else [-1]
+            inside |= min(weights) >= 0
+        if (inside or best[0][0] <= least) and ("max_distance_km" not in options or best[0][0] <= 2 * math.sin(options["max_distance_km"] / 6371.0 / 2)):
+            gone.add(k)
+    out = combine.cutout([of(fine), of(coarse)], **options)
+    assert out.grids == (81, 110 - len(gone))
+    kept = [(r["latitude"], r["longitude"]) for r in out.grid.filter("cell >= 81").orderBy("cell").collect()]
+    assert kept == [(lat, lon) for k, lat, lon in coarse if k not in gone]
+    assert gone
+
+
 def test_bad_positions(spark):
     c = analytic(spark)
     for bad in (99, ([0], [1]), (0, 0, 0, 0, 0)):
@@ -172,6 +253,21 @@ def test_nearest_matches_brute_force(spark):
         assert [got[(k, r)] for r in (1, 2, 3)] == pytest.approx(best)
 
 
+@pytest.mark.parametrize("limit", [None, 9000.0])
+def test_nearest_of_a_limited_area(spark, limit):
+    """Targets all over the globe, far from all sources; the distance to all of them would be many pairs."""
+    a = [(k, -85 + (k * 53 % 170), (k * 97) % 360) for k in range(60)]
+    b = [(k, 45 + (k % 30) * 0.1, 10 + (k // 30) * 0.1) for k in range(900)]
+    make = lambda rows: spark.createDataFrame([(k, float(x), float(y)) for k, x, y in rows], "cell int, latitude double, longitude double")
+    got = {(r["target"], r["rank"]): r["distance"] for r in series.nearest(make(a), make(b), 3, limit).collect()}
+    expected = {}
+    for k, x, y in a:
+        for r, far in enumerate(sorted(np.linalg.norm(_at(x, y) - _at(*p[1:])) for p in b)[:3], 1):
+            if limit is None or far <= 2 * math.sin(limit / 6371.0 / 2):
+                expected[k, r] = far
+    assert got == pytest.approx(expected)
+
+
 def test_covers():
     base = datetime(2021, 1, 1)
     hourly = [derived.Interval(base + timedelta(hours=h), base + timedelta(hours=h + 1), base) for h in range(12)]
