@@ -170,12 +170,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataF
     pairs = sizes.filter("n = 2").select(F.col("lowest").alias("a"), F.col("highest").alias("b"))
     direct = pairs.filter(lower_bound(F.col("a"), F.col("b")) <= distance).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     crowded = sizes.filter("n > 2").select("cell", F.ceil(F.col("n") / cell).cast("int").alias("chunks"))
-    if crowded.count() <= BROADCAST_CELLS:
-        crowded = F.broadcast(crowded)
-    rows = dealt.join(crowded, "cell").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        return dealt.join(F.broadcast(which) if which.count() <= BROADCAST_CELLS else which, "cell")
+
+    # a cell of one chunk is gathered once; only chunks of larger cells meet each other
+    whole = rows_of(crowded.filter("chunks = 1")).groupBy("cell").agg(F.collect_list("fp").alias("a")).select("a", F.col("a").alias("b"))
+    rows = rows_of(crowded.filter("chunks > 1")).withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     rows = rows.select("cell", "fp", "chunk", other).select("cell", "fp", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
-    gathered = rows.groupBy("cell", "low", "high").agg(F.collect_list(F.when(F.col("chunk") == F.col("low"), F.col("fp"))).alias("a"), F.collect_list(F.when(F.col("chunk") == F.col("high"), F.col("fp"))).alias("b"))
+    cut_up = rows.groupBy("cell", "low", "high").agg(F.collect_list(F.when(F.col("chunk") == F.col("low"), F.col("fp"))).alias("a"), F.collect_list(F.when(F.col("chunk") == F.col("high"), F.col("fp"))).alias("b"))
+    gathered = whole.unionByName(cut_up.select("a", "b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
