@@ -5,12 +5,13 @@ on, so a group of exact copies costs one row, however large it is.
 
 Candidates: a fingerprint's bits fall into 32 segments of two bits; the vector of their bit counts is its embedding. Two
 fingerprints at Hamming distance d have embeddings at Manhattan distance at most d (each bit moves one count by one), so
-that distance is a lower bound. The grid: the embedding's two halves of 16 counts. Of at most ``distance`` (4) steps between
-two embeddings one half takes at most two, so there a vector lies between them, at most one step from each. A fingerprint goes
-to the cells of its own half vector and of all that are one step away (at most 33 a half, 22 on average), for both halves; so every
+that distance is a lower bound. The grid: the embedding's two halves of 16 segments. A cell holds the count of one segment in four
+(``COUNTED``) and, finer than the embedding, which bits of the others are set; each flipped bit is at most one step between cells. Of
+at most ``distance`` (4) flipped bits one half has at most two, so there a cell lies between the two, at most one step from each. A
+fingerprint goes to the cells of its own halves and to all that are one step away (at most 33 a half, 31 on average); so every
 linked pair meets in a cell. Pairs that meet are dropped if their whole embeddings are farther apart than 4; the others are
-verified on the bits. (Unrelated fingerprints meet with a chance of some 0.00008, so pairs to look at grow with the square of
-the distinct fingerprints, by that factor.)
+verified on the bits. (Unrelated fingerprints meet with a chance of some 0.000004, so pairs to look at grow with the square of
+the distinct fingerprints, by that factor; cells of counts alone would make it 0.00008.)
 
 Cells of more than ``CELL`` fingerprints are cut into chunks of that many, and each pair of chunks is compared by itself, so
 no task holds a whole cell. Each comparison returns a spanning forest of its links, not all pairs: nothing is lost for the
@@ -85,6 +86,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 #: Bit pairs' counts: 0 -> 0, 1 and 2 -> 1, 3 -> 2, so that two bits still hold each count.
 EVEN = np.uint64(0x5555555555555555)
+#: The segments of which a cell of the grid holds the count; of the others it holds the bits.
+COUNTED = np.uint64(0x0303030303030303)
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
@@ -116,21 +119,24 @@ def lower_bound(a: Column, b: Column) -> Column:
 
 
 def cells(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """cell, fp: each distinct fingerprint in the cells of its half vectors and of those one step away."""
+    """cell, fp: each distinct fingerprint in the cells of its halves and in those one step away."""
     if distance > 5:
         raise ValueError("halves one step apart from a common cell hold distances up to 5")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            counts = embedding(fp)
+            places = (embedding(fp) & COUNTED) | (fp & ~COUNTED)
             for half in range(2):
-                vector = ((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)) | np.uint64(half << 32)
+                vector = ((places >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)) | np.uint64(half << 32)
                 near = [(vector, fp)]
                 for k in range(0, 32, 2):
-                    step, count = np.uint64(1 << k), (vector >> np.uint64(k)) & np.uint64(3)
-                    more, less = count < 2, count > 0
-                    near += [(vector[more] + step, fp[more]), (vector[less] - step, fp[less])]
+                    if int(COUNTED) >> k & 1:
+                        step, count = np.uint64(1 << k), (vector >> np.uint64(k)) & np.uint64(3)
+                        more, less = count < 2, count > 0
+                        near += [(vector[more] + step, fp[more]), (vector[less] - step, fp[less])]
+                    else:
+                        near += [(vector ^ np.uint64(1 << j), fp) for j in (k, k + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[side] for x in near]).view(np.int64)) for side in (0, 1)], names=["cell", "fp"])
 
     return nodes.select("fp").mapInArrow(dealt, "cell long, fp long")
