@@ -72,7 +72,8 @@ def join(cubes: Sequence[Cube]) -> Cube:
         part = c.df.select(*KEYS, *own)
         df = part if df is None else df.join(part, list(KEYS))
     missing = frozenset().union(*(c.missing for c in cubes))
-    return cubes[0].with_("join", df=df.select(*KEYS, *names), variables=tuple(names), missing=missing, statistics=_merged_statistics(cubes, names), tree=("join", *(c.tree for c in cubes)))
+    origins = {v: cubes[k].origin(v) for v, k in owner.items()}
+    return cubes[0].with_("join", origins=origins, df=df.select(*KEYS, *names), variables=tuple(names), missing=missing, statistics=_merged_statistics(cubes, names), tree=("join", *(c.tree for c in cubes)))
 
 
 def concat(cubes: Sequence[Cube], fill_missing_gaps: bool = False) -> Cube:

@@ -71,6 +71,7 @@ class Cube:
     tree: tuple = ("store",)
     tendencies_of: Cube | None = None  # whose differences count for statistics of tendencies
     parts: tuple[int, ...] | None = None  # cells of each grid, where there are several
+    origins: dict[str, tuple[str, str]] | None = None  # of variables: the stored dataset and the name there
 
     # -- metadata
 
@@ -107,6 +108,11 @@ class Cube:
             raise ValueError(f"no such member: {member}")
         return at, None if variable is None else self.variables.index(variable), member
 
+    def origin(self, variable: str) -> tuple[str, str]:
+        """The stored dataset that a variable comes from (the last that was opened, "store" where it has no name) and its name there."""
+        self._known([variable])
+        return (self.origins or {}).get(variable, ("store", variable))
+
     def with_(self, op: str, **changes: object) -> Cube:
         return replace(self, **({"tree": (op, self.tree)} | changes))
 
@@ -194,7 +200,8 @@ class Cube:
     def rename(self, names: dict[str, str]) -> Cube:
         self._known(list(names))
         stats = None if self.statistics is None else {names.get(k, k): v for k, v in self.statistics.items()}
-        return self.with_("rename", tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
+        origins = {names.get(v, v): self.origin(v) for v in self.variables}
+        return self.with_("rename", origins=origins, tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
 
     def rescale(self, how: dict[str, object]) -> Cube:
         """variable -> (scale, offset), {"scale":, "offset":} or (unit, unit)."""

@@ -12,6 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratoframe.functions import geo
 from stratoframe.functions.timegrammar import frequency, frequency_text, statistics_range
 from stratoframe.operators.cube import Cube, skip_nan
 from stratoframe.operators.series import SERIES
@@ -108,6 +109,24 @@ def climatology(cube: Cube) -> Cube:
     return cube.with_("climatology", df=cube.df.filter(F.col("date").isin([str(d) for d in first.values()])))
 
 
+def overlap_differences(whole: Cube, area: Cube, digits: int = 4) -> DataFrame:
+    """variable, statistic, whole, area, percent: both datasets' mean, stdev, minimum and maximum over the second one's dates and box, and the second's difference in percent of its own value (null where that is zero)."""
+    names = [v for v in whole.variables if v in area.variables]
+    kinds = ["mean", "stdev", "minimum", "maximum"]
+
+    def long(cube: Cube, name: str) -> DataFrame:
+        return summary(cube.rows(), names).unpivot(["variable"], kinds, "statistic", name)
+
+    both = long(whole.select(names).between(area.start, area.end).area_of(area), "whole").join(long(area.select(names), "area"), ["variable", "statistic"])
+    return both.withColumn("percent", F.round((F.col("area") - F.col("whole")) * 100 / F.nullif(F.col("area"), F.lit(0.0)), digits))
+
+
+def spacing_km(cube: Cube) -> float:
+    """The side of the square that a point of the grid has to itself in the grid's box."""
+    n, s, w, e = cube.grid.agg(F.max("latitude"), F.min("latitude"), F.min("longitude"), F.max("longitude")).first()
+    return math.sqrt(geo.box_area_km2(n, w, s, e) / cube.cells)
+
+
 def compare(a: Cube, b: Cube, absolute: float = 1e-6, relative: float = 1e-5) -> DataFrame:
     """variable, compared, different, largest: values of both at the same keys, beyond the tolerances."""
     names = [v for v in a.variables if v in b.variables]

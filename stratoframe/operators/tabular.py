@@ -145,6 +145,20 @@ class Observations:
         one = replace(self, start=self.start + i * self.frequency, end=self.start + i * self.frequency, trailing_window=False)
         return one.samples().withColumn("sample", F.lit(i)).orderBy("ts", "latitude", "longitude", *self.variables)
 
+    def samples_of(self, which: slice) -> Observations:
+        """Consecutive samples, numbered anew."""
+        first, last, step = which.indices(len(self))
+        if step != 1 or last <= first:
+            raise IndexError(f"{which} has a step or no samples")
+        return replace(self, start=self.start + first * self.frequency, end=self.start + (last - 1) * self.frequency, trailing_window=False)
+
+    def boundaries(self) -> DataFrame:
+        """sample, reference, first, last: the rows of each sample (the last one excluded) when all samples stand one after the other."""
+        # one row for each sample: a dimension table, summed as a whole
+        last = F.sum("n").over(Over.orderBy("sample"))
+        reference = F.lit(str(self.start)).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("sample").cast("long") * int(self.frequency.total_seconds())).cast("decimal(18,6)"))
+        return self.counts().select("sample", reference.alias("reference"), (last - F.col("n")).alias("first"), last.alias("last"))
+
     def counts(self) -> DataFrame:
         """sample, n: rows of each sample, also of empty ones."""
         everything = self.df.sparkSession.range(len(self)).select(F.col("id").cast("int").alias("sample"))

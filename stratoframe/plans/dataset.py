@@ -6,6 +6,7 @@ The layout (gridded, tabular, trajectories) of what is opened decides which keyw
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -86,7 +87,8 @@ def _leaf(spark: SparkSession, what: object) -> Dataset:
             return Observations.of(df)
         lo = df.agg(F.min("date")).first()[0]
         second = df.filter(F.col("date") > F.lit(str(lo)).cast("timestamp_ntz")).agg(F.min("date")).first()[0]
-        return scan(df, (second or lo + timedelta(days=1)) - lo, start=lo)
+        found = scan(df, (second or lo + timedelta(days=1)) - lo, start=lo)
+        return replace(found, origins={v: (what, v) for v in found.variables})
     if isinstance(what, dict):
         return open_dataset(spark, **what)
     if isinstance(what, (list, tuple)):

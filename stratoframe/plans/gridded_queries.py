@@ -259,6 +259,15 @@ on_cube(
     "SELECT 'q' AS variable, count(*) AS compared, count(*) FILTER (WHERE i % 5 = 0) AS different, max(CASE WHEN i % 5 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS largest FROM c",
     lambda c: statistics.compare(c.select("q"), c.select("q").with_("changed", df=c.df.select("date", "member", "cell", (F.col("q") + F.when(F.pmod(c.date_idx, F.lit(5)) == 0, 1.0).otherwise(0.0)).alias("q")))),
 )
+_BOX = "(SELECT q, p, q * 2.0 + 10.0 AS q2, p AS p2 FROM cube JOIN grid USING (cell) WHERE date >= '1996-01-01' AND date < '1998-01-01' AND latitude BETWEEN 50 AND 60 AND longitude BETWEEN 0 AND 60)"
+_AGGREGATES = {"mean": "avg", "stdev": "stddev_pop", "minimum": "min", "maximum": "max"}
+on_cube(
+    "compare_overlap",
+    "SELECT variable, statistic, round(whole, 4) AS whole, round(area, 4) AS area, round((area - whole) * 100 / nullif(area, 0), 3) AS percent FROM ("
+    + " UNION ALL ".join(f"SELECT '{v}' AS variable, '{s}' AS statistic, {f}({v}) AS whole, {f}({v}2) AS area FROM {_BOX}" for v in ("q", "p") for s, f in _AGGREGATES.items())
+    + ")",
+    lambda c: rounded(statistics.overlap_differences(c.select(["q", "p"]), c.between(1996, 1997).area(60, 0, 50, 60).rescale({"q": (2, 10)}), 3), 4, ("whole", "area")),
+)
 on_cube(
     "recentre_members",
     "SELECT m.date, m.member, m.cell, round(c2.q + 0.5 * (m.q - avg(m.q) OVER (PARTITION BY m.date, m.cell)), 6) AS q FROM cube m JOIN (SELECT date, cell, q FROM cube WHERE member = 0) c2 ON m.date = c2.date AND m.cell = c2.cell",

@@ -12,7 +12,7 @@ from stratoframe.operators import tabular
 from stratoframe.operators.tabular import Observations
 from stratoframe.plans.dataset import open_dataset
 from stratoframe.plans.fixtures import cube, grid, observations, read
-from stratoframe.sources.registry import FILTERS
+from stratoframe.sources.registry import FILTERS, SOURCES, add_messages
 from stratoframe.streaming import windows
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -177,3 +177,39 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = open_dataset(spark, Observations.of(observations(spark, sf_dir)), start="2024-01-05", end="2024-01-20", frequency="12h", window="(-6,+3]", area=(60, 20, -30, 300), drop="k")
     return found.samples().groupBy("sample").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "window_slice_boundaries",
+    _REFS.format(start=_FIRST, end=_LAST, step=10800)
+    + """ SELECT CAST(sample - 2 AS INTEGER) AS sample, reference, last - n AS first, last FROM (
+      SELECT *, CAST(sum(n) OVER (ORDER BY sample) AS BIGINT) AS last FROM (
+        SELECT sample, reference, count(ts) AS n FROM refs LEFT JOIN obs ON ts > reference - INTERVAL 3 HOUR AND ts <= reference WHERE sample BETWEEN 2 AND 8 GROUP BY ALL))""",
+)
+def slice_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Observations.of(observations(spark, sf_dir), window="(-3h,0h]", frequency="3h").samples_of(slice(2, 9)).boundaries()
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as messages of files, one for each priority."""
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("timestamp_ntz").alias("valid_datetime"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("offset"), F.lit(100).alias("length"), F.col("o_orderstatus").alias("param"), (F.col("o_custkey") % 5).alias("number")
+    )
+
+
+_MESSAGES = "SELECT o_orderdate AS valid_datetime, o_orderpriority AS path, o_orderkey AS \"offset\", 100 AS length, o_orderstatus AS param, o_custkey % 5 AS number FROM orders"
+
+
+@query("message_index", f"SELECT * FROM ({_MESSAGES}) WHERE day(valid_datetime) IN (1, 15) AND valid_datetime < '1997-01-01' AND valid_datetime >= '1995-01-01' AND number IN (1, 3)")
+def message_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index made in two steps, the second of which repeats rows of the first."""
+    found = messages(spark, sf_dir)
+    index = add_messages(found.filter("number < 2"), found.filter("number > 0"))
+    dates = [datetime(y, m, d) for y in (1995, 1996) for m in range(1, 13) for d in (1, 15)]
+    return SOURCES["grib-index"](spark, dates, index, number=[1, "3"])
+
+
+@query("variable_names", "SELECT n_name AS param, CASE WHEN n_nationkey % 3 > 0 THEN n_name || '_' || n_regionkey ELSE n_name END AS variable FROM nation")
+def variable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = read(spark, sf_dir, "nation").select(F.col("n_name").alias("param"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey")).alias("levelist"))
+    return FILTERS["variable_names"](fields).select("param", "variable")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from datetime import datetime
+import warnings
+from collections.abc import Callable, Iterable, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratoframe.functions import geo
-from stratoframe.operators import tabular
+from stratoframe.functions.timegrammar import expand, hindcast_requests
+from stratoframe.operators import derived, tabular
+from stratoframe.operators.cube import on_dates
 
 Source = Callable[..., DataFrame]
 SOURCES: dict[str, Source] = {}
@@ -86,6 +89,65 @@ def forcings(spark: SparkSession, dates: Sequence[datetime], template: DataFrame
 SOURCES["constants"] = forcings
 
 
+@source("grib-index")
+def message_index(spark: SparkSession, dates: Sequence[datetime], indexdb: str | DataFrame, column: str = "valid_datetime", **keys: object) -> DataFrame:
+    """Messages (path, offset, length and their keys) that an index holds at the dates, by any of its keys: a value or a list, compared as text. Keys that it lacks are left out with a warning."""
+    if isinstance(indexdb, str):
+        indexdb = spark.table(indexdb) if "/" not in indexdb and spark.catalog.tableExists(indexdb) else spark.read.parquet(indexdb)
+    for key, wanted in keys.items():
+        if key not in indexdb.columns:
+            warnings.warn(f"the index has no key {key!r}", stacklevel=2)
+            continue
+        indexdb = indexdb.filter(F.col(key).cast("string").isin([str(w) for w in (wanted if isinstance(wanted, (list, tuple)) else [wanted])]))
+    return on_dates(indexdb, dates, column)
+
+
+def add_messages(index: DataFrame, messages: DataFrame) -> DataFrame:
+    """An index with the messages that it doesn't have yet, by path and offset; keys that a message lacks are null."""
+    place = ["path", "offset"]
+    return index.unionByName(messages.dropDuplicates(place).join(index.select(*place), place, "left_anti"), allowMissingColumns=True)
+
+
+def _requests(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
+    """One row for each request, its values as text, lists joined by slashes: few, and nothing is fetched."""
+    text = lambda x: "/".join(map(str, x)) if isinstance(x, (list, tuple)) else str(x)
+    found = [{k: text(v) for k, v in r.items()} for r in rows]
+    names = list(dict.fromkeys(k for r in found for k in r)) or ["date"]
+    return spark.createDataFrame([tuple(r.get(k) for k in names) for r in found], ", ".join(f"`{k}` string" for k in names))
+
+
+@source("mars")
+def mars(spark: SparkSession, dates: Sequence[datetime], step: str | Sequence[int] = (0,), **fixed: object) -> DataFrame:
+    """The archive requests for the dates."""
+    return _requests(spark, derived.requests(dates, expand(step), **fixed))
+
+
+@source("fdb")
+def fdb(spark: SparkSession, dates: Sequence[datetime], fdb_request: dict, offset_from_date: bool = False, step_zero_from_previous_date: bool = False) -> DataFrame:
+    """A field request for each date: of a run at that time (step 0 unless the request has one) or, with ``offset_from_date``, of the run at the day's start (at 00 optionally the one before, after 24 hours)."""
+
+    def base_of(at: datetime) -> datetime:
+        day = datetime(at.year, at.month, at.day)
+        return day - timedelta(days=1) if at == day and step_zero_from_previous_date else day
+
+    def one(at: datetime) -> dict:
+        base = base_of(at) if offset_from_date else at
+        step = {"step": (at - base) // timedelta(hours=1)} if offset_from_date else {}
+        return {"step": 0} | fdb_request | step | {"date": base.strftime("%Y%m%d"), "time": base.strftime("%H%M")}
+
+    return _requests(spark, map(one, dates))
+
+
+@source("hindcasts")
+def hindcasts(spark: SparkSession, dates: Sequence[datetime], reference: Sequence[datetime], years: int, step: str | Sequence[int] = (0,), **fixed: object) -> DataFrame:
+    """The request for each of the dates that is a valid time of the reference dates' hindcasts; of several the first counts."""
+    of = {}
+    for r in hindcast_requests(reference, years, expand(step)):
+        of.setdefault(r["valid"], r)
+    rows = [(of[d]["base"], of[d]["reference"], of[d]["step"]) for d in dates if d in of]
+    return _requests(spark, [fixed | {"hdate": h.strftime("%Y%m%d"), "date": r.strftime("%Y%m%d"), "time": r.strftime("%H%M"), "step": s} for h, r, s in rows])
+
+
 @source("synthetic")
 def synthetic(spark: SparkSession, dates: Sequence[datetime], cells: int, members: int = 1, variables: Sequence[str] = ("a",), seed: int = 0) -> DataFrame:
     """Generated values: seeded and the same in each run, made on the executors."""
@@ -96,6 +158,18 @@ def synthetic(spark: SparkSession, dates: Sequence[datetime], cells: int, member
     return ids.select(at.alias("date"), F.pmod((F.col("id") / cells).cast("int"), F.lit(members)).alias("member"), F.pmod("id", F.lit(cells)).cast("int").alias("cell"), *values)
 
 
+#: Templates that have a name of their own.
+NAMINGS = {"param": "{param}", "param_levelist": "{param}_{levelist}", "default": "{param}_{levelist}"}
+
+
+@filter_("variable_names")
+def variable_names(df: DataFrame, template: str = "default", column: str = "variable") -> DataFrame:
+    """A column with each field's name, made of other columns by a template; a column that is null is left out together with the text before it."""
+    *pairs, tail = re.split(r"\{(\w+)\}", NAMINGS.get(template, template))
+    parts = [F.coalesce(F.concat(F.lit(text), F.col(key).cast("string")), F.lit("")) for text, key in zip(pairs[::2], pairs[1::2], strict=True)]
+    return df.withColumn(column, F.concat(*parts, F.lit(tail)))
+
+
 @filter_("crop")
 def crop(df: DataFrame, north: float = 90, west: float = 0, south: float = -90, east: float = 360) -> DataFrame:
     return df.filter(geo.inside(F.col("latitude"), F.col("longitude"), north, west, south, east))

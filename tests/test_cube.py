@@ -440,3 +440,61 @@ def test_recipes_accumulate(spark):
     spec = {"accumulate": {"source": {"pieces": {}}, "period": "12h", "archive": ("ea", "oper"), "values": ["tp"]}}
     at = [datetime(2021, 1, 1), datetime(2021, 1, 1, 12)]
     assert {(r["date"], r["tp"]) for r in recipe.build(spark, spec, at).collect()} == {(d, 12.0) for d in at}
+
+
+def test_origins_of_variables(spark, tmp_path):
+    c = analytic(spark).with_("plain", grid=None, field_shape=None)
+    path = str(tmp_path / "kept")
+    c.rows().write.parquet(path)
+    opened = open_dataset(spark, join=[{"dataset": path, "select": "a", "rename": {"a": "x"}}, {"dataset": c, "select": "b"}], rename={"b": "y"})
+    assert opened.origin("x") == (path, "a") and opened.origin("y") == ("store", "b")
+    overlaid = combine.join([c.select("a"), open_dataset(spark, path)])
+    assert overlaid.origin("a") == (path, "a")
+    with pytest.raises(ValueError):
+        opened.origin("a")
+
+
+def test_samples_of_a_slice(spark):
+    rows = [(datetime(2021, 1, 1) + timedelta(hours=k), 0.0, 0.0, float(k)) for k in range(40)]
+    obs = Observations.of(spark.createDataFrame(rows, "ts timestamp_ntz, latitude double, longitude double, v double"), window="(-3h,0h]", frequency="3h")
+    part = obs.samples_of(slice(-3, None))
+    assert len(part) == 3 and part.start == obs.start + (len(obs) - 3) * timedelta(hours=3)
+    ordered = [r["v"] for r in part.samples().orderBy("sample", "ts").collect()]
+    for r in part.boundaries().collect():
+        assert ordered[r["first"] : r["last"]] == [x["v"] for x in obs.sample(len(obs) - 3 + r["sample"]).collect()]
+    for bad in (slice(0, 9, 2), slice(5, 5)):
+        with pytest.raises(IndexError):
+            obs.samples_of(bad)
+
+
+def test_overlaps_are_compared(spark):
+    c = analytic(spark)
+    got = {(r["variable"], r["statistic"]): (r["whole"], r["area"], r["percent"]) for r in statistics.overlap_differences(c, c.between(c.dates[0], c.dates[1]).area(0, 0, -20, 45).rescale({"a": (2, 0)})).collect()}
+    assert got["a", "maximum"][2] == 50.0 and got["b", "mean"][2] == 0.0 and got["a", "minimum"] == (0.0, 0.0, None)
+    assert statistics.spacing_km(c) == pytest.approx(math.sqrt(6371.0**2 * (math.sin(math.radians(30)) + math.sin(math.radians(20))) * math.radians(75) / 6))
+
+
+def test_requests_are_tables(spark):
+    at = [datetime(2024, 3, 1), datetime(2024, 3, 1, 6)]
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    assert rows(SOURCES["fdb"](spark, at, {"param": ["2t", "tp"]})) == [{"step": "0", "param": "2t/tp", "date": "20240301", "time": t} for t in ("0000", "0600")]
+    assert [(r["date"], r["time"], r["step"]) for r in rows(SOURCES["fdb"](spark, at, {"param": "2t"}, offset_from_date=True))] == [("20240301", "0000", "0"), ("20240301", "0000", "6")]
+    assert [(r["date"], r["time"], r["step"]) for r in rows(SOURCES["fdb"](spark, at, {"param": "2t"}, True, True))] == [("20240229", "0000", "24"), ("20240301", "0000", "6")]
+    found = rows(SOURCES["hindcasts"](spark, [datetime(2023, 3, 2), datetime(2022, 3, 1), datetime(2000, 1, 1)], [datetime(2024, 3, 1)], 2, "0/to/24/by/24", param="2t"))
+    assert [(r["hdate"], r["date"], r["step"], r["param"]) for r in found] == [("20230301", "20240301", "24", "2t"), ("20220301", "20240301", "0", "2t")]
+    assert rows(SOURCES["mars"](spark, at, "0/6", stream="enfo"))[0]["stream"] == "enfo"
+    assert SOURCES["fdb"](spark, [], {}).count() == 0
+
+
+def test_message_indices(spark):
+    from stratoframe.sources.registry import FILTERS, add_messages
+
+    at = datetime(2021, 1, 1)
+    first = spark.createDataFrame([(at, "f", 0, 10, "a")], "valid_datetime timestamp_ntz, path string, offset long, length int, param string")
+    more = spark.createDataFrame([(at, "f", 0, 10, "a", 5), (at, "f", 10, 10, "b", 5), (at, "f", 10, 10, "b", 5)], "valid_datetime timestamp_ntz, path string, offset long, length int, param string, level int")
+    index = add_messages(first, more)
+    assert sorted((r["offset"], r["level"]) for r in index.collect()) == [(0, None), (10, 5)]
+    assert [r["param"] for r in SOURCES["grib-index"](spark, [at], index, level="5").collect()] == ["b"]
+    with pytest.warns(UserWarning, match="no key"):
+        assert SOURCES["grib-index"](spark, [at], index, nothing=1).count() == 2
+    assert {r["variable"] for r in FILTERS["variable_names"](index, "{param}-{level}m").collect()} == {"am", "b-5m"}
