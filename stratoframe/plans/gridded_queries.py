@@ -77,7 +77,11 @@ on_cube("thinning_every_nth", _RANKED.format("row % 2 = 0 AND col % 2 = 0"), lam
 _XYZ = "cos(radians({0}latitude)) * cos(radians({0}longitude)) AS {1}x, cos(radians({0}latitude)) * sin(radians({0}longitude)) AS {1}y, sin(radians({0}latitude)) AS {1}z"
 _XYZ_ROUND = "round(cos(radians(latitude)) * cos(radians(longitude)) / (2500 / 6371.0)), round(cos(radians(latitude)) * sin(radians(longitude)) / (2500 / 6371.0)), round(sin(radians(latitude)) / (2500 / 6371.0))"
 on_cube("thinning_grid", _RANKED.format(f"cell IN (SELECT min(cell) FROM grid GROUP BY {_XYZ_ROUND})"), lambda c: c.thin(2500.0, "grid"))
-on_cube("thinning_distance", None, lambda c: c.thin(2000.0, "distance-based"))
+_GREEDY = f"""(WITH RECURSIVE near AS (SELECT a.cell AS a, list(b.cell) AS before FROM (SELECT cell, {_XYZ.format("", "t")} FROM grid) a, (SELECT cell, {_XYZ.format("", "s")} FROM grid) b
+    WHERE b.cell < a.cell AND sqrt(pow(tx - sx, 2) + pow(ty - sy, 2) + pow(tz - sz, 2)) <= 2 * sin(2000 / 6371.0 / 2) GROUP BY 1),
+    greedy AS (SELECT 0 AS upto, [0] AS kept UNION ALL SELECT upto + 1, CASE WHEN list_has_any(kept, coalesce(before, [])) THEN kept ELSE list_append(kept, upto + 1) END FROM greedy LEFT JOIN near ON a = upto + 1 WHERE upto < 9)
+    SELECT unnest(kept) FROM greedy WHERE upto = 9)"""
+on_cube("thinning_distance", _RANKED.format(f"cell IN {_GREEDY}"), lambda c: c.thin(2000.0, "distance-based"))
 on_cube("thinning_random", None, lambda c: thinned(c.grid, 0.5, "random", "cell", 1))
 
 on_cube("join_variables", f"SELECT {KV} FROM cube", lambda c: combine.join([c.select(["q", "p"]), c.select(["d", "x"])]))
@@ -339,10 +343,18 @@ def forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.join(c.df.select("date").distinct(), "date", "left_semi"), 6, tuple(_FORCED))
 
 
-@query("forcings_solar")
+_SUN = "sin(radians(latitude)) * sin(tilt) + cos(radians(latitude)) * cos(tilt) * cos((longitude / 15 % 24 - 12) / 24 * 2 * pi())"
+
+
+@query(
+    "forcings_solar",
+    f"""SELECT date, 0 AS member, cell, round(sun, 6) AS insolation, round(1361.0::DOUBLE * (1 + 0.033::DOUBLE * cos(2 * pi() * dayofyear(date) / 365)) * sun * 3600, 3) AS toa_incident_solar_radiation
+    FROM (SELECT date, cell, greatest({_SUN}, 0) AS sun FROM (SELECT *, radians(23.45) * sin(2 * pi() * (284 + dayofyear(date)) / 365) AS tilt FROM (SELECT (SELECT min(date) FROM cube) + to_days(CAST(30 * g AS INTEGER)) AS date FROM n, range(n.n) t(g)), grid))""",
+)
 def solar(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cube(spark, sf_dir)
-    return SOURCES["forcings"](spark, c.dates, template=c.grid, param=["insolation", "toa_incident_solar_radiation"])
+    found = SOURCES["forcings"](spark, c.dates, template=c.grid, param=["insolation", "toa_incident_solar_radiation"])
+    return rounded(rounded(found, 6, ("insolation",)), 3, ("toa_incident_solar_radiation",))
 
 
 @query("recipe_build", "SELECT date, member, cell, q, x FROM cube WHERE date BETWEEN '1996-01-01' AND '1998-12-31' AND date NOT IN (SELECT date FROM c WHERE i = 20) AND cell < 5")

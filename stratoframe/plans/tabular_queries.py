@@ -83,7 +83,14 @@ def tabular_select_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Observations.of(observations(spark, sf_dir)).select("value").area(50, -60, -30, 40).df
 
 
-@query("tabular_thin_grid")
+@query(
+    "tabular_thin_grid",
+    _REFS.format(start=_FIRST, end=_LAST, step=86400)
+    + """ SELECT * EXCLUDE (r) FROM (SELECT sample, reference, epoch(ts)::BIGINT - epoch(reference)::BIGINT AS timedelta, ts, latitude, longitude, value, k, row_number() OVER (
+        PARTITION BY sample, round(cos(radians(latitude)) * cos(radians(longitude)) / (3000 / 6371.0)), round(cos(radians(latitude)) * sin(radians(longitude)) / (3000 / 6371.0)), round(sin(radians(latitude)) / (3000 / 6371.0))
+        ORDER BY ts, latitude, longitude, value NULLS FIRST, k NULLS FIRST) AS r
+      FROM refs JOIN obs ON ts > reference - INTERVAL 1 DAY AND ts <= reference) WHERE r = 1""",
+)
 def tabular_thin_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Observations.of(observations(spark, sf_dir), frequency="1d", window="(-1d,0]").thin_grid(3000.0)
 
