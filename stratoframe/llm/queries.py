@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratoframe.llm import decontaminate, factorization, iblt, license_scan, line_dedup, simhash, site_template, source_mix, suffix_tree_lm, url_templates
+from stratoframe.llm import decontaminate, factorization, iblt, license_scan, line_dedup, periodic_runs, simhash, site_template, source_mix, suffix_tree_lm, url_templates
 from stratoframe.llm.common import read
 
 
@@ -58,8 +59,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.digest_of_items("items").alias("items_sha256"), "contaminated")
 
 
+def looped_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's edit: in one of ten documents (by the id's CRC-32) the words from some place on repeat the first of them; a null id changes nothing."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), edit=looped_tail).withColumn("best", periodic_runs.strongest("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        periodic_runs.runs_digest("runs").alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_line_dedup, op3_suffix_tree_lm, op4_simhash, op5_site_template, op6_url_templates, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate)
+    found = (op1_license_scan, op2_line_dedup, op3_suffix_tree_lm, op4_simhash, op5_site_template, op6_url_templates, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate, op11_periodic_runs)
     return {f.__name__: f for f in found}
 
 
