@@ -5,8 +5,7 @@ quantised vectors are one row from there on, with the number of rows they stand
 share costs one row. Each round assigns the distinct vectors to their nearest centroids in Arrow batches (ties: the smaller
 number) and sums components times multiplicities; sums are exact integers, so results don't depend on how rows are dealt.
 Only one row for each centroid comes to the driver in a round. At last the assignments of distinct vectors are joined back to
-the ids by a 128-bit hash of the vector. Vectors of over one ``HOT``-th of all rows, of which there are fewer than ``HOT``,
-are joined by a broadcast, the others by a shuffle, so no key of that shuffle is large.
+the ids by a 128-bit hash of the vector, those of common vectors by a broadcast, the others by a shuffle.
 
 Defined cases: quantised components are held within +-2**26 (``LARGEST``), so that squared distances fit in a long; a null
 vector isn't kept; equal rows count as often as they occur; rows that tie for a first centroid (the same id with different
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import cut_lineage
+from stratoframe.llm.common import cut_lineage, spread_join
 
 WIDTH = 64
 FACTOR = 64
@@ -32,8 +31,6 @@ CENTROIDS = 16
 ROUNDS = 3
 SEED = 1
 LARGEST = 1 << 26
-#: A vector of more than this part of all rows is joined by a broadcast.
-HOT = 1_000
 #: Components up to this size have distances that doubles hold exactly, so the faster product of doubles is used.
 EXACT_DOUBLE = 1 << 21
 
@@ -108,7 +105,7 @@ def moved(distinct: DataFrame, centroids: np.ndarray) -> np.ndarray:
 
 
 def cluster(
-    vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", centroids: int = CENTROIDS, rounds: int = ROUNDS, seed: int = SEED, width: int = WIDTH, factor: float = FACTOR, hot: int = HOT
+    vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", centroids: int = CENTROIDS, rounds: int = ROUNDS, seed: int = SEED, width: int = WIDTH, factor: float = FACTOR
 ) -> tuple[DataFrame, np.ndarray]:
     """The kept rows' vec_id, cluster and squared distance, and the final centroids (numbers of clusters are their rows)."""
     rows = quantised(vectors, vec_id, vector, width, factor)
@@ -118,16 +115,11 @@ def cluster(
     if not len(first):
         return rows.select("vec_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance")).limit(0), middles
     distinct = cut_lineage(rows.groupBy("v").agg(F.count("*").alias("weight")).select(*hashes("v"), "weight", "v"))
-    total = distinct.agg(F.sum("weight")).first()[0]
     for _ in range(rounds):
         middles = moved(distinct, middles)
     found = cut_lineage(nearest(distinct, middles))
-    heavy = found.filter(F.col("weight") * hot > total).select("k1", "k2", F.col("cluster").alias("hot_cluster"), F.col("distance").alias("hot_distance"))
-    keyed = rows.select("vec_id", *hashes("v")).join(F.broadcast(heavy), ["k1", "k2"], "left")
-    light = found.filter(F.col("weight") * hot <= total).select("k1", "k2", "cluster", "distance")
-    by_shuffle = keyed.filter("hot_cluster is null").join(light, ["k1", "k2"]).select("vec_id", "cluster", "distance")
-    by_broadcast = keyed.filter("hot_cluster is not null").select("vec_id", F.col("hot_cluster").alias("cluster"), F.col("hot_distance").alias("distance"))
-    return by_shuffle.unionByName(by_broadcast), middles
+    keyed = rows.select("vec_id", *hashes("v"))
+    return spread_join(keyed, found, ["k1", "k2"], "weight").select("vec_id", "cluster", "distance"), middles
 
 
 def with_inertia(assigned: DataFrame, middles: np.ndarray) -> DataFrame:

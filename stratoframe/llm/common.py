@@ -67,3 +67,18 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """For a join: the side is broadcast if it has at most so many (short) rows; else Spark joins by a shuffle and splits skewed keys. The side should be cut off before."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, hot: int = 1_000) -> DataFrame:
+    """rows joined with a table that has one row for each of their keys, and in ``weight`` how many of the rows have it.
+
+    Keys of over one ``hot``-th of all rows, of which there are fewer than ``hot``, are joined by a broadcast, the others by a
+    shuffle: no key of that shuffle is large. The table should be cut off before; both are read twice.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    others = [c for c in table.columns if c not in (*keys, weight)]
+    heavy = table.filter(F.col(weight) * hot > total).select(*keys, F.struct(*others).alias("found_there"))
+    marked = rows.join(F.broadcast(heavy), list(keys), "left")
+    here = marked.filter("found_there is not null").select(*rows.columns, "found_there.*")
+    light = table.filter(F.col(weight) * hot <= total).select(*keys, *others)
+    return here.unionByName(marked.filter("found_there is null").select(*rows.columns).join(light, list(keys)).select(*rows.columns, *others))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratoframe.llm import centroids, decontaminate, factorization, iblt, license_scan, line_dedup, periodic_runs, simhash, site_template, source_mix, suffix_tree_lm, url_templates
+from stratoframe.llm import centroids, decontaminate, factorization, iblt, license_scan, line_dedup, periodic_runs, simhash, site_template, source_mix, suffix_tree_lm, token_groups, url_templates
 from stratoframe.llm.common import read
 
 
@@ -78,12 +78,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_groups.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(read(spark, sf_dir, "embeddings")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_line_dedup, op3_suffix_tree_lm, op4_simhash, op5_site_template, op6_url_templates, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate, op11_periodic_runs, op13_centroids)
+    found = (op1_license_scan, op2_line_dedup, op3_suffix_tree_lm, op4_simhash, op5_site_template, op6_url_templates, op7_source_mix, op8_iblt, op9_factorization, op10_decontaminate, op11_periodic_runs, op12_token_groups, op13_centroids)
     return {f.__name__: f for f in found}
 
 
@@ -179,7 +183,8 @@ def _runs_sql() -> str:
     return rf"""
     WITH RECURSIVE shifts(byte, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM shifts WHERE k < 8),
     crc AS (SELECT list(c ORDER BY byte) AS t FROM shifts WHERE k = 8),
-    plain AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w,
+    plain AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w,
       xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, crc),
     places AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, (h // 10) % 8 AS e FROM plain),
     edited AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1])) ELSE w END AS w FROM places),
