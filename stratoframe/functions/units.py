@@ -19,3 +19,8 @@ def conversion(source: str, target: str) -> tuple[float, float]:
     if base != other:
         raise ValueError(f"{source} isn't convertible to {target}")
     return s / t, (o - p) / t
+
+
+def same(one: str, other: str) -> bool:
+    """Whether two names are of one unit."""
+    return one == other or (one in UNITS and other in UNITS and UNITS[one] == UNITS[other])

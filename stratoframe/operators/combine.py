@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratoframe.functions import geo
 from stratoframe.functions.timegrammar import spine
+from stratoframe.functions.variables import Variable, unified
 from stratoframe.operators.cube import KEYS, Cube, on_dates, skip_nan
 from stratoframe.operators.series import nearest
 from stratoframe.operators.side import cut, side
@@ -31,10 +32,21 @@ def _same(cubes: Sequence[Cube], *, dates: bool = True, variables: bool = False,
             raise ValueError(f"dates differ: {first.start}..{first.end}, {other.start}..{other.end}")
         if variables and first.variables != other.variables:
             raise ValueError(f"variables differ: {first.variables}, {other.variables}")
+    if variables:
+        unified_types(cubes)
     if cells:
         same_grid(cubes)
 
 
+def unified_types(cubes: Sequence[Cube]) -> dict[str, Variable]:
+    """What is known of each variable in all datasets that have it; an error where units, levels or periods differ."""
+    found: dict[str, list[Variable]] = {}
+    for c in cubes:
+        for v, t in c.typed_variables.items():
+            found.setdefault(v, []).append(t)
+    return {v: unified(types) for v, types in found.items()}
+
+
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -73,7 +85,9 @@ def join(cubes: Sequence[Cube]) -> Cube:
         df = part if df is None else df.join(part, list(KEYS))
     missing = frozenset().union(*(c.missing for c in cubes))
     origins = {v: cubes[k].origin(v) for v, k in owner.items()}
-    return cubes[0].with_("join", origins=origins, df=df.select(*KEYS, *names), variables=tuple(names), missing=missing, statistics=_merged_statistics(cubes, names), tree=("join", *(c.tree for c in cubes)))
+    types = {v: cubes[k].typed_variables[v] for v, k in owner.items()}
+    unified_types(cubes)
+    return cubes[0].with_("join", origins=origins, types=types, df=df.select(*KEYS, *names), variables=tuple(names), missing=missing, statistics=_merged_statistics(cubes, names), tree=("join", *(c.tree for c in cubes)))
 
 
 def concat(cubes: Sequence[Cube], fill_missing_gaps: bool = False) -> Cube:
@@ -91,7 +105,7 @@ def concat(cubes: Sequence[Cube], fill_missing_gaps: bool = False) -> Cube:
                 raise ValueError(f"a gap from {a.end} to {b.start}")
             missing |= set(spine(a.end + step, b.start - step, step))
     df = _union([c.df.select(*KEYS, *cubes[0].variables) for c in cubes])
-    return cubes[0].with_("concat", df=df, end=cubes[-1].end, missing=frozenset(missing), tree=("concat", *(c.tree for c in cubes)))
+    return cubes[0].with_("concat", types=unified_types(cubes), df=df, end=cubes[-1].end, missing=frozenset(missing), tree=("concat", *(c.tree for c in cubes)))
 
 
 def merge(cubes: Sequence[Cube], allow_gaps_in_dates: bool = False) -> Cube:
@@ -99,6 +113,7 @@ def merge(cubes: Sequence[Cube], allow_gaps_in_dates: bool = False) -> Cube:
     if len(cubes) == 1:
         return cubes[0]
     same_grid(cubes)
+    types = unified_types(cubes)
     owner: dict[datetime, int] = {}
     for k, c in enumerate(cubes):
         if c.variables != cubes[0].variables or c.cells != cubes[0].cells or c.members != cubes[0].members:
@@ -126,7 +141,7 @@ def merge(cubes: Sequence[Cube], allow_gaps_in_dates: bool = False) -> Cube:
         elif own:
             parts.append(on_dates(c.df, own).select(*KEYS, *c.variables))
     missing = gaps | {d for d in dates if d in cubes[owner[d]].missing}
-    return cubes[0].with_("merge", df=_union(parts), start=full[0], end=full[-1], frequency=step, missing=frozenset(missing), tree=("merge", *(c.tree for c in cubes)))
+    return cubes[0].with_("merge", types=types, df=_union(parts), start=full[0], end=full[-1], frequency=step, missing=frozenset(missing), tree=("merge", *(c.tree for c in cubes)))
 
 
 def ensemble(cubes: Sequence[Cube]) -> Cube:
@@ -136,7 +151,7 @@ def ensemble(cubes: Sequence[Cube]) -> Cube:
     for c in cubes:
         parts.append(c.df.withColumn("member", (F.col("member") + offset).cast("int")).select(*KEYS, *c.variables))
         offset += c.members
-    return cubes[0].with_("ensemble", df=_union(parts), members=offset, missing=frozenset().union(*(c.missing for c in cubes)), tree=("ensemble", *(c.tree for c in cubes)))
+    return cubes[0].with_("ensemble", types=unified_types(cubes), df=_union(parts), members=offset, missing=frozenset().union(*(c.missing for c in cubes)), tree=("ensemble", *(c.tree for c in cubes)))
 
 
 def grids(cubes: Sequence[Cube]) -> Cube:
@@ -149,7 +164,7 @@ def grids(cubes: Sequence[Cube]) -> Cube:
             points.append(c.grid.select((F.col("cell") + offset).cast("int").alias("cell"), "latitude", "longitude", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col")))
         offset += c.cells
     grid = _union(points) if len(points) == len(cubes) else None
-    return cubes[0].with_("grids", df=_union(parts), grid=grid, cells=offset, parts=tuple(n for c in cubes for n in c.grids), field_shape=None, missing=frozenset().union(*(c.missing for c in cubes)), tree=("grids", *(c.tree for c in cubes)))
+    return cubes[0].with_("grids", types=unified_types(cubes), df=_union(parts), grid=grid, cells=offset, parts=tuple(n for c in cubes for n in c.grids), field_shape=None, missing=frozenset().union(*(c.missing for c in cubes)), tree=("grids", *(c.tree for c in cubes)))
 
 
 def _covered(points: DataFrame, area: DataFrame, neighbours: int, min_km: float | None, max_km: float | None) -> DataFrame:
@@ -218,7 +233,7 @@ def complement(target: Cube, source: Cube, interpolation: str = "none", k: int =
         spread = spread.withColumnRenamed("to", "cell")
         reached = target.df.select(*KEYS).join(spread, list(KEYS), "left")
         filled = reached.select(*KEYS, *[F.coalesce(F.col(v), F.lit(float("nan"))).alias(v) for v in names])
-        added = target.with_("complement", df=filled, variables=tuple(names), statistics=added.statistics)
+        added = target.with_("complement", df=filled, variables=tuple(names), statistics=added.statistics, types=added.types)
     elif interpolation != "none":
         raise ValueError(f"unknown interpolation: {interpolation!r}")
     return join([target, added]).reorder("sort")

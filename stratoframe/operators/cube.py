@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stratoframe.functions import geo, units
 from stratoframe.functions.timegrammar import first_date, frequency, last_date, spine
+from stratoframe.functions.variables import Variable
 from stratoframe.operators.side import cut, side
 
 KEYS = ("date", "member", "cell")
@@ -72,6 +73,7 @@ class Cube:
     tendencies_of: Cube | None = None  # whose differences count for statistics of tendencies
     parts: tuple[int, ...] | None = None  # cells of each grid, where there are several
     origins: dict[str, tuple[str, str]] | None = None  # of variables: the stored dataset and the name there
+    types: dict[str, Variable] | None = None  # what is known of variables; may have more than the dataset
 
     # -- metadata
 
@@ -113,6 +115,15 @@ class Cube:
         self._known([variable])
         return (self.origins or {}).get(variable, ("store", variable))
 
+    @property
+    def typed_variables(self) -> dict[str, Variable]:
+        return {v: Variable.of(v, (self.types or {}).get(v)) for v in self.variables}
+
+    def typed(self, types: dict[str, Variable | dict[str, object]]) -> Cube:
+        """The dataset with more known of its variables (units, level, level_type, constant, period)."""
+        self._known(list(types))
+        return self.with_("typed", types=self.typed_variables | {v: Variable.of(v, t) for v, t in types.items()})
+
     def with_(self, op: str, **changes: object) -> Cube:
         return replace(self, **({"tree": (op, self.tree)} | changes))
 
@@ -201,25 +212,31 @@ class Cube:
         self._known(list(names))
         stats = None if self.statistics is None else {names.get(k, k): v for k, v in self.statistics.items()}
         origins = {names.get(v, v): self.origin(v) for v in self.variables}
-        return self.with_("rename", origins=origins, tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
+        types = {names.get(v, v): Variable.of(names.get(v, v), t) for v, t in self.typed_variables.items()}
+        return self.with_("rename", origins=origins, types=types, tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
 
     def rescale(self, how: dict[str, object]) -> Cube:
-        """variable -> (scale, offset), {"scale":, "offset":} or (unit, unit)."""
+        """variable -> (scale, offset), {"scale":, "offset":}, (unit, unit) or, where the variable's own unit is known, a unit."""
         self._known(list(how))
-        factors = {}
+        factors, types = {}, self.typed_variables
         for name, value in how.items():
+            if isinstance(value, str):
+                if types[name].units is None:
+                    raise ValueError(f"the unit of {name} isn't known")
+                value = (types[name].units, value)  # noqa: PLW2901
             pair = (value["scale"], value["offset"]) if isinstance(value, dict) else tuple(value)
             a, b = units.conversion(*pair) if isinstance(pair[0], str) else pair
             if a < 0:
                 raise ValueError(f"{name}: the scale must not be negative")
             factors[name] = (float(a), float(b))
+            types[name] = types[name].rescaled(*(pair if isinstance(pair[0], str) else (None, types[name].units if (a, b) == (1, 0) else None)))
         stats = None
         if self.statistics is not None:
             stats = {n: dict(s) for n, s in self.statistics.items()}
             for n, (a, b) in factors.items():
                 if n in stats:
                     stats[n] |= {k: stats[n][k] * a + b for k in ("mean", "minimum", "maximum")} | {"stdev": stats[n]["stdev"] * a}
-        return self.with_("rescale", tendencies_of=self.tendencies_of and self.tendencies_of.rescale(how), df=self.df.withColumns({n: F.col(n) * a + b for n, (a, b) in factors.items()}), statistics=stats)
+        return self.with_("rescale", types=types, tendencies_of=self.tendencies_of and self.tendencies_of.rescale(factors), df=self.df.withColumns({n: F.col(n) * a + b for n, (a, b) in factors.items()}), statistics=stats)
 
     # -- dates
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,11 @@ def constant_variables(cube: Cube) -> DataFrame:
     return each.agg(F.array(*[F.struct(F.lit(v).alias("variable"), F.bool_and(v).alias("constant")) for v in cube.variables]).alias("all")).select(F.inline("all"))
 
 
+def with_constants(cube: Cube) -> Cube:
+    """The dataset with the constancy of its variables found from its rows."""
+    return cube.typed({r["variable"]: replace(cube.typed_variables[r["variable"]], constant=bool(r["constant"])) for r in constant_variables(cube).collect()})
+
+
 def with_statistics(cube: Cube, stats: dict[str, dict[str, float]] | Cube) -> Cube:
     """The dataset with another's statistics; they must cover its variables."""
     found = stats.statistics if isinstance(stats, Cube) else stats

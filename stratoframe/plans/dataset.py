@@ -18,6 +18,7 @@ from stratoframe.operators import combine, series, statistics
 from stratoframe.operators.cube import KEYS, Cube
 from stratoframe.operators.tabular import Observations
 from stratoframe.operators.trajectories import TKEYS, Trajectories
+from stratoframe.plans.stored import opened, save
 from stratoframe.plans.synthetic import synthetic
 
 Dataset = Cube | Observations | Trajectories
@@ -58,6 +59,14 @@ def stored(spark: SparkSession, name: str) -> DataFrame:
     raise FileNotFoundError(f"no table, path or dataset {name!r} in {_PATHS}")
 
 
+def catalogued(spark: SparkSession, name: str) -> Dataset | None:
+    """The dataset that ``save_dataset`` has stored under a path, or a name in one of the folders."""
+    for path in (name, *(f"{folder.rstrip('/')}/{name}" for folder in _PATHS)):
+        if (found := opened(spark, path)) is not None:
+            return found
+    return None
+
+
 def scan_trajectories(df: DataFrame) -> Trajectories:
     """A wide table (base_date, step_s, member, cell, variables) as a dataset: one aggregation and the distinct steps and first base dates, which are few."""
     names = tuple(c for c in df.columns if c not in TKEYS)
@@ -80,6 +89,8 @@ def _leaf(spark: SparkSession, what: object) -> Dataset:
     if isinstance(what, str):
         if what in _NAMED:
             return _leaf(spark, _NAMED[what])
+        if (found := catalogued(spark, what)) is not None:
+            return found
         df = stored(spark, what)
         if "base_date" in df.columns:
             return scan_trajectories(df)
@@ -240,13 +251,6 @@ def new_dates(cube: Cube, stored: DataFrame) -> DataFrame:
     return cube.rows().join(stored.select("date").distinct(), "date", "left_anti")
 
 
-def save_dataset(cube: Cube, path: str) -> None:
-    """Appends the dates that aren't stored yet, partitioned by date."""
-    spark = cube.df.sparkSession
-    try:
-        rows = new_dates(cube, spark.read.parquet(path))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = cube.rows()
-    rows.write.mode("append").partitionBy("date").parquet(path)
+def save_dataset(dataset: Dataset, path: str) -> int:
+    """Stores a dataset with all that is known of it, or adds to the stored one what it doesn't have yet; the version's number."""
+    return save(dataset, path)

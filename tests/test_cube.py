@@ -203,7 +203,7 @@ def test_save_appends_new_dates_only(spark, tmp_path):
     save_dataset(c.between(None, c.dates[4]), path)
     save_dataset(c, path)
     save_dataset(c, path)
-    stored = spark.read.parquet(path)
+    stored = open_dataset(spark, path).rows()
     assert stored.count() == 10 * 2 * 6 and stored.select("date").distinct().count() == 10
 
 
