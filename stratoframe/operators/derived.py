@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratoframe.functions.timegrammar import frequency
 from stratoframe.operators.side import side
 
-#: Each change of the base costs as much as so long an interval.
+#: Fixed value: each change of the base costs as much as so long an interval.
 SWITCH = timedelta(days=7)
 
 
@@ -75,7 +75,9 @@ def cover(start: datetime, end: datetime, candidates: Callable[[datetime], Seque
     cost: dict[tuple[datetime, datetime | None], timedelta] = {(start, None): timedelta(0)}
     came: dict[tuple[datetime, datetime | None], tuple[tuple[datetime, datetime | None], Interval]] = {}
     cheaper = [(start, None)]
-    while cheaper and len(cost) <= limit:
+    while cheaper:
+        if len(cost) > limit:
+            raise ValueError(f"over {limit} places between {start} and {end}: take a shorter reach")
         best = min((c for (at, _), c in cost.items() if at == end), default=timedelta.max)
         improved: dict[tuple[datetime, datetime | None], None] = {}
         for place in cheaper:
@@ -109,12 +111,20 @@ def forecast_cover(base: datetime, start: datetime, end: datetime, mode: str = "
 
 def accumulate(fields: DataFrame, targets: Sequence[tuple[datetime, Sequence[Interval]]], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """date, keys, values: the signed sum of each target's intervals of fields (start, end, base, keys, values). A target that lacks a field is an error when read."""
-    rows = [(str(t), str(i.start), str(i.end), str(i.base), i.sign, len(plan)) for t, plan in targets for i in plan]
-    plan = fields.sparkSession.createDataFrame(rows, "d string, s string, e string, b string, sign int, expected int")
-    plan = plan.select(F.col("d").cast("timestamp_ntz").alias("date"), *[F.col(c).cast("timestamp_ntz").alias(n) for c, n in (("s", "start"), ("e", "end"), ("b", "base"))], "sign", "expected")
-    joined = fields.join(side(plan, len(rows)), ["start", "end", "base"])
-    summed = joined.groupBy("date", *keys).agg(F.count("*").alias("n"), F.first("expected").alias("expected"), *[F.sum(F.col("sign") * F.col(v)).alias(v) for v in values])
-    complete = F.when(F.col("n") == F.col("expected"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("incomplete accumulation at "), F.col("date").cast("string"))).cast("boolean"))
+    rows = [(str(t), str(i.start), str(i.end), str(i.base) if i.base else None, i.sign) for t, plan in targets for i in plan]
+    plan = fields.sparkSession.createDataFrame(rows, "d string, s string, e string, b string, sign int")
+    plan = plan.select(*[F.col(c).cast("timestamp_ntz").alias(n) for c, n in (("d", "date"), ("s", "start"), ("e", "end"), ("b", "base"))], "sign")
+    return accumulate_planned(fields, plan, keys, values, len(rows))
+
+
+def accumulate_planned(fields: DataFrame, plan: DataFrame, keys: Sequence[str], values: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The same with the intervals in a table (date, start, end, base, sign), as ``coverings.plan`` makes it; fields and intervals without a base meet."""
+    expected = plan.groupBy("date").agg(F.count("*").alias("_expected"))
+    planned = plan.join(side(expected, rows), "date").withColumnsRenamed({"start": "_start", "end": "_end", "base": "_base"})
+    same = (F.col("start") == F.col("_start")) & (F.col("end") == F.col("_end")) & F.col("base").eqNullSafe(F.col("_base"))
+    joined = fields.join(side(planned, rows), same)
+    summed = joined.groupBy("date", *keys).agg(F.count("*").alias("_n"), F.first("_expected").alias("_expected"), *[F.sum(F.col("sign") * F.col(v)).alias(v) for v in values])
+    complete = F.when(F.col("_n") == F.col("_expected"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("incomplete accumulation at "), F.col("date").cast("string"))).cast("boolean"))
     return summed.filter(complete).select("date", *keys, *values)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratoframe.functions.timegrammar import calendar_filter, expand, frequency, groups, hindcast_requests, part, spine
-from stratoframe.operators import combine, derived, statistics
+from stratoframe.operators import combine, coverings, derived, statistics
 from stratoframe.operators.cube import KEYS, Cube, on_dates
 from stratoframe.plans.dataset import open_dataset
 from stratoframe.sources.registry import FILTERS, SOURCES
@@ -124,7 +124,15 @@ def _from_trajectories(spark: SparkSession, body: dict, dates: Sequence[datetime
 
 @node("accumulate")
 def _accumulate(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
-    """Accumulations over a period: {source, period, archive: (class, stream), keys, values}. The source, asked for base dates, has fields (start, end, base, keys, values)."""
+    """Accumulations over a period: {source, period, archive: (class, stream), keys, values}. The source, asked for base dates, has fields (start, end, base, keys, values).
+
+    Without an archive the intervals are those that the source itself (or the node ``index``) holds: it is asked for the dates from ``reach`` before the first period on.
+    """
+    if "archive" not in body:
+        reach, step = frequency(body.get("reach", "1d")), frequency(body.get("frequency", "1h"))
+        asked = spine(min(dates) - frequency(body["period"]) - reach, max(dates) + reach, step)
+        index = build(spark, body["index"], asked, named) if "index" in body else None
+        return coverings.accumulate(build(spark, body["source"], asked, named), dates, body["period"], body.get("keys", ("member", "cell")), body["values"], index, reach, body.get("missing", "error"))
     targets = [(d, derived.archived(d, frequency(body["period"]), tuple(body["archive"]))) for d in dates]
     bases = sorted({i.base for _, plan in targets for i in plan})
     return derived.accumulate(build(spark, body["source"], bases, named), targets, body.get("keys", ("member", "cell")), body["values"])

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratoframe.operators import tabular
+from stratoframe.operators import coverings, tabular
 from stratoframe.operators.tabular import Observations
 from stratoframe.plans.dataset import open_dataset
 from stratoframe.plans.fixtures import cube, grid, observations, read
@@ -216,6 +216,30 @@ def message_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SOURCES["grib-index"](spark, dates, index, number=[1, "3"])
 
 
+@query(
+    "accumulate_without_bases",
+    "SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS date, count(*) AS n FROM obs GROUP BY time_bucket(INTERVAL 6 HOUR, ts) HAVING count(DISTINCT date_trunc('hour', ts)) = 6",
+)
+def accumulate_without_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hourly sums of hourly counts that have no bases; periods that lack an hour are left out."""
+    hourly = observations(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"))
+    fields = hourly.select("start", (F.col("start") + F.expr("interval 1 hour")).alias("end"), "n")
+    dates = fields.select((F.window("start", "6 hours")["end"]).cast("timestamp_ntz").alias("date")).distinct()
+    return coverings.accumulate(fields, dates, "6h", [], ["n"], missing="skip")
+
+
+@query(
+    "message_index_evolved",
+    "SELECT \"path\", count(*) AS messages, count(level) AS levels, count(DISTINCT o_orderkey) AS keys FROM (SELECT o_orderpriority AS path, o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey % 3 END AS level FROM (SELECT DISTINCT o_orderkey, o_orderpriority, o_custkey FROM orders)) GROUP BY path",
+)
+def message_index_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index whose later messages have a key more; no two messages have the same keys."""
+    all_ = messages(spark, sf_dir).withColumn("number", F.col("offset"))
+    late = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("offset"), (F.col("o_custkey") % 3).alias("level")).join(all_, "offset").filter("offset % 2 = 1")
+    index = add_messages(all_.filter("offset % 2 = 0"), late, unique=True)
+    return index.groupBy("path").agg(F.count("*").alias("messages"), F.count("level").alias("levels"), F.count_distinct("number").alias("keys"))
+
+
 @query("variable_names", "SELECT n_name AS param, CASE WHEN n_nationkey % 3 > 0 THEN n_name || '_' || n_regionkey ELSE n_name END AS variable FROM nation")
 def variable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = read(spark, sf_dir, "nation").select(F.col("n_name").alias("param"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey")).alias("levelist"))

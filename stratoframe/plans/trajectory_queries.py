@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratoframe.operators import derived, statistics
+from stratoframe.operators import coverings, derived, statistics
 from stratoframe.operators.cube import Cube
 from stratoframe.operators.trajectories import Trajectories
 from stratoframe.plans import recipe
@@ -92,6 +92,18 @@ def auto_cover(t: Trajectories) -> DataFrame:
 
 
 on_traj("accumulate_auto_cover", f"SELECT base_date + INTERVAL 24 HOUR AS date, member, cell, sum(q) AS q FROM {_WHOLE} WHERE step_s IN (64800, 86400) GROUP BY ALL", auto_cover)
+def from_index(t: Trajectories) -> DataFrame:
+    """The same targets, with the intervals read from an index of messages: two days of reach, bases found from valid times and steps."""
+    t = whole(t)
+    fields = pieces(t)
+    steps = [((F.unix_seconds(F.col(c).cast("timestamp")) - F.unix_seconds(F.col("base").cast("timestamp"))) / 3600).cast("int").alias(n) for c, n in (("start", "startStep"), ("end", "endStep"))]
+    messages = fields.select(F.col("end").alias("valid_datetime"), *steps).distinct()
+    index = coverings.periods(messages)
+    dates = fields.select((F.col("base") + F.expr("interval 24 hours")).alias("date")).distinct()
+    return coverings.accumulate(fields, dates, "12h", ["member", "cell"], ["q"], index, reach="2d")
+
+
+on_traj("accumulate_from_index", f"SELECT base_date + INTERVAL 24 HOUR AS date, member, cell, sum(q) AS q FROM {_WHOLE} WHERE step_s IN (64800, 86400) GROUP BY ALL", from_index)
 on_traj(
     "from_trajectories",
     "SELECT date, member, cell, q FROM (SELECT base_date + to_seconds(step_s) AS date, member, cell, q, row_number() OVER (PARTITION BY base_date + to_seconds(step_s), member, cell ORDER BY CASE step_s WHEN 43200 THEN 0 ELSE 1 END, base_date) AS k FROM traj WHERE step_s IN (43200, 21600) AND strftime(base_date, '%Y') = '1996') WHERE k = 1",

@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratoframe.functions import geo
@@ -102,10 +102,32 @@ def message_index(spark: SparkSession, dates: Sequence[datetime], indexdb: str |
     return on_dates(indexdb, dates, column)
 
 
-def add_messages(index: DataFrame, messages: DataFrame) -> DataFrame:
-    """An index with the messages that it doesn't have yet, by path and offset; keys that a message lacks are null."""
+#: Columns of an index that say where a message is; the others are its keys.
+PLACE = ("path", "offset", "length")
+
+
+def key_digest(index: DataFrame) -> Column:
+    """A digest of a message's keys that are set, in the order of their names: a key that it lacks counts the same as no such column."""
+    keys = sorted(c for c in index.columns if c not in PLACE)
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in keys])), 256)
+
+
+class RepeatedKeysError(ValueError):
+    """Two messages with the same keys."""
+
+
+def add_messages(index: DataFrame, messages: DataFrame, unique: bool = False) -> DataFrame:
+    """An index with the messages that it doesn't have yet, by path and offset; keys that a message lacks are null, keys that the index lacks become columns.
+
+    With ``unique`` no two messages may have the same keys, wherever they are: RepeatedKeysError names some places.
+    """
     place = ["path", "offset"]
-    return index.unionByName(messages.dropDuplicates(place).join(index.select(*place), place, "left_anti"), allowMissingColumns=True)
+    whole = index.unionByName(messages.dropDuplicates(place).join(index.select(*place), place, "left_anti"), allowMissingColumns=True)
+    if unique:
+        repeated = whole.groupBy(key_digest(whole).alias("keys")).agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("a"), F.max(F.struct(*place)).alias("b")).filter("n > 1")
+        if found := repeated.orderBy("a").limit(3).collect():
+            raise RepeatedKeysError("; ".join(f"{r['a']['path']} at {r['a']['offset']} and {r['b']['path']} at {r['b']['offset']}" for r in found))
+    return whole
 
 
 def _requests(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
