@@ -14,6 +14,7 @@ from stratoframe.operators.side import shared_folder
 from stratoframe.plans import fixtures, stored
 from stratoframe.plans.dataset import open_dataset, save_dataset
 from stratoframe.plans.fragments import Fragments
+from stratoframe.sources import coordinates
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -143,3 +144,63 @@ def typed_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = [(v.name, v.units, v.level, v.constant) for v in joined.typed_variables.values()]
     means = statistics.summary(joined.rows(), joined.variables).select("variable", F.round("mean", 4).alias("mean"))
     return spark.createDataFrame(table, "variable string, units string, level double, constant boolean").join(means, "variable")
+
+
+def described(df: DataFrame, names: dict[str, tuple[str, dict[str, str]]]) -> DataFrame:
+    """Columns under other names and with attributes."""
+    return df.select(*[F.col(c).alias(names[c][0], metadata=names[c][1]) if c in names else F.col(c) for c in df.columns])
+
+
+_STANDARD = "SELECT '{copy}' AS copy, '{model}' AS model, count(*) AS n, min(date) AS first, max(date) AS last, {base} AS base, sum({step}) AS steps, round(sum(latitude), 3) AS latitudes, round(sum(longitude), 3) AS longitudes, sum(q) AS q FROM {rows}"
+_FORECASTS = "(SELECT base_date, step_s, base_date + to_seconds(step_s) AS date, latitude, longitude, q FROM traj JOIN grid USING (cell))"
+
+
+@query(
+    "detected_coordinates",
+    " UNION ALL ".join(
+        _STANDARD.format(copy=copy, model=model, base=base, step=step, rows=rows)
+        for copy, model, base, step, rows in (
+            ("names", "analysis", "CAST(NULL AS TIMESTAMP)", "CAST(NULL AS BIGINT)", "(SELECT date, latitude, longitude, q FROM cube JOIN grid USING (cell))"),
+            ("attributes", "base+step", "min(base_date)", "step_s", _FORECASTS),
+            ("flavour", "valid+step", "min(base_date)", "step_s", _FORECASTS),
+            ("bases", "valid+base", "min(base_date)", "step_s", _FORECASTS),
+        )
+    ),
+)
+def detected_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differently named copies of the fixtures, read by the roles of their columns."""
+    cube, t = fixtures.cube(spark, sf_dir), fixtures.trajectories(spark, sf_dir)
+    fields = cube.df.join(F.broadcast(cube.grid), "cell").select("date", "member", "latitude", "longitude", "q")
+    forecasts = t.df.join(F.broadcast(t.grid), "cell").select("base_date", "step_s", "member", "latitude", (F.col("longitude") - 360).alias("longitude"), "q")
+    valid = forecasts.withColumn("valid", F.col("base_date") + F.make_dt_interval(secs=F.col("step_s").cast("decimal(18,6)")))
+    hours = (F.col("step_s") / 3600).cast("int")
+    copies = {
+        "names": (described(fields, {"date": ("time", {}), "member": ("number", {})}), None),
+        "attributes": (
+            described(
+                forecasts,
+                {
+                    "base_date": ("reference", {"standard_name": "forecast_reference_time"}), "step_s": ("lead", {"standard_name": "forecast_period", "units": "seconds"}), "member": ("realization", {}),
+                    "latitude": ("nlat", {"long_name": "latitude", "units": "degrees_north"}), "longitude": ("nlon", {"standard_name": "longitude"}),
+                },
+            ),
+            None,
+        ),
+        "flavour": (
+            described(valid.withColumn("step_s", hours).drop("base_date"), {"valid": ("XTIME", {}), "step_s": ("hour", {}), "latitude": ("XLAT", {}), "longitude": ("XLONG", {})}),
+            {"rules": {"time": {"name": "XTIME"}, "step": {"name": "hour"}, "latitude": {"name": "XLAT"}, "longitude": {"name": ["XLON", "XLONG"]}}},
+        ),
+        "bases": (described(valid.drop("step_s"), {"valid": ("time", {}), "base_date": ("forecast_reference_time", {})}), None),
+    }
+    out = None
+    for name, (copy, flavour) in copies.items():
+        found = coordinates.detect(copy, flavour=flavour)
+        rows = coordinates.standardised(copy, found)
+        base = F.min("base_date") if "base_date" in rows.columns else F.lit(None).cast("timestamp_ntz")
+        steps = F.sum("step_s") if "step_s" in rows.columns else F.lit(None).cast("long")
+        one = rows.agg(
+            F.lit(name).alias("copy"), F.lit(found.time_model).alias("model"), F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), base.alias("base"), steps.alias("steps"),
+            F.round(F.sum("latitude"), 3).alias("latitudes"), F.round(F.sum("longitude"), 3).alias("longitudes"), F.sum("q").alias("q"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
