@@ -7,16 +7,17 @@ equal sets are one node, so exact copies cost one row each. Two nodes link when
 Two linked sets of sizes a and b differ in at most d = (a + b)(100 - percent)/(100 + percent) tokens, so of k = d + 1 parts one
 holds the same tokens of both: linked sets always share a block, and unrelated ones hardly ever do, even where they share a passage.
 k follows from a class of sizes; a set also cuts itself as the class below does if it may be the larger partner there. A node's
-group is the least node that it shares a block with. Groups are handled in chunks of ``CHUNK`` tokens, and one member (the pivot)
-of a group of several chunks is in all of them.
-
-*Matrix.* A chunk holds for each token which of its groups have it (the groups' token unions). A set is looked up token by token;
-its overlap with a group's union bounds its overlap with any member, and a group is opened only where that bound reaches
-percent of the set's size. Members of an opened group are compared exactly, until one links: a group's members are
-connected, so one link is enough. In the first pass sets enter the matrix one by one, each joining a group that it
-links with or founding its own. In the second pass the groups are the connected sets found so far, and the queries all nodes
-that share a block with a group they aren't connected with; each such pair of node and chunk is looked up once. Together they compare every pair that
-shares a block and isn't connected yet, so no link between different components is lost, and copies are never expanded into pairs.
+group is the least node that it shares a block with; groups that blocks connect are a family.
+
+*Matrix.* A bin (one task's work) holds a family, or whole groups of one, up to about ``BIN`` tokens; a larger group is cut into several bins, and
+its least member (the pivot) is in all of them. The bin's matrix says which of its groups have which token (the groups' token unions). A set is
+looked up there: its overlap with a group's union bounds its overlap with any member, and a group is opened only where that
+bound reaches percent of the set's size. In an opened group the set's overlap with each member is counted exactly. In the first pass
+all sets of a bin are looked up in it. The second pass is for families of several bins: a node that shares a block
+with a node of another bin, to which no links connect it yet, is looked up there, once for each such bin. Together they compare
+every pair that shares a block and isn't connected yet, so no link between different components is lost, and copies are never
+expanded into pairs. A family whose nodes share blocks but don't link costs
+each of them one lookup for each bin that it shares a block with.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; repeated rows are one
 node; ties of ids don't matter; a null id is linked as any other, and a component's least id is null only if it has no other; columns other than
@@ -25,7 +26,6 @@ the id and the text are ignored. Two different sets are taken for one if 64-bit
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import broadcast_if_small, cut_lineage, spread_join
+from stratoframe.llm.common import broadcast_if_small, cut_lineage, has_rows, spread_join
 from stratoframe.llm.simhash import components, shingle_set
 
 SHINGLE = 3
 PERCENT = 90
-#: Tokens of a chunk; a set counts as ``LEAST`` at least.
-CHUNK, LEAST = 200_000, 50
+#: Tokens of a bin; a set counts as ``LEAST`` at least.
+BIN, LEAST = 1_000_000, 50
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,43 +89,57 @@ def node_of(tokens: np.ndarray) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of several half-open ranges, one range after the other."""
+    sizes = high - low
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(low - before, sizes)
+
+
 class Matrix:
-    """Which groups of sets have which tokens."""
+    """Which groups of sets have which tokens, and in each group which sets."""
 
-    def __init__(self, percent: int) -> None:
+    def __init__(self, sets: list[np.ndarray], groups: list[int], percent: int) -> None:
         self.percent = percent
-        self.groups_with: dict[int, list[int]] = {}
-        self.members: list[list[tuple[int, np.ndarray]]] = []
-
-    def enter(self, node: int, tokens: np.ndarray, group: int | None) -> int:
-        """Adds a set to a group (None: a new one)."""
-        if group is None:
-            group = len(self.members)
-            self.members.append([])
-        self.members[group].append((node, tokens))
-        for t in tokens.tolist():
-            groups = self.groups_with.setdefault(t, [])
-            if not groups or (groups[-1] != group and group not in groups):
-                groups.append(group)
-        return group
-
-    def linked(self, tokens: np.ndarray) -> list[tuple[int, int]]:
-        """(group, member) for each group with a member that the set links with."""
-        overlap: Counter[int] = Counter()
-        for t in tokens.tolist():
-            if groups := self.groups_with.get(t):
-                overlap.update(groups)
-        size, percent, found = len(tokens), self.percent, []
-        for group, most in overlap.items():
-            if 100 * most < percent * size:
-                continue
-            for node, other in self.members[group]:
-                if 100 * min(size, len(other)) >= percent * max(size, len(other)):
-                    both = len(np.intersect1d(tokens, other, assume_unique=True))
-                    if 100 * both >= percent * (size + len(other) - both):
-                        found.append((group, node))
-                        break
-        return found
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        _, group = np.unique(np.array(groups, np.int64), return_inverse=True)
+        self.number = int(group.max(initial=-1)) + 1
+        tokens, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), self.sizes)
+        self.known, token = np.unique(tokens, return_inverse=True)
+        cells = np.unique(token.astype(np.int64) * max(self.number, 1) + group[owner])
+        self.cells, self.first = cells % max(self.number, 1), np.searchsorted(cells // max(self.number, 1), np.arange(len(self.known) + 1))
+        order = np.lexsort((token, group[owner]))
+        self.token, self.owner = token[order], owner[order]
+        self.starts = np.searchsorted(group[owner][order], np.arange(self.number + 1))
+
+    def linked(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers of the sets that a set links with (itself too, if it is one of them)."""
+        if not len(self.known):
+            return np.zeros(0, np.int64)
+        size, percent = len(tokens), self.percent
+        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+        at = at[self.known[at] == tokens]
+        bound = np.bincount(self.cells[_ranges(self.first[at], self.first[at + 1])], minlength=self.number)
+        found = [np.zeros(0, np.int64)]
+        for g in np.flatnonzero(100 * bound >= percent * size):
+            low, high = self.starts[g], self.starts[g + 1]
+            mine = self.token[low:high]
+            places = _ranges(np.searchsorted(mine, at, "left"), np.searchsorted(mine, at, "right"))
+            member, both = np.unique(self.owner[low:high][places], return_counts=True)
+            found.append(member[100 * both >= percent * (size + self.sizes[member] - both)])
+        return np.concatenate(found)
+
+
+def spanning(matrix: Matrix, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of numbers of a matrix's sets that connect whatever its links connect."""
+    label, pairs = np.arange(len(sets)), []
+    for i, tokens in enumerate(sets):
+        near = matrix.linked(tokens)
+        labels, where = np.unique(label[near], return_index=True)
+        if len(labels) > 1:
+            pairs += [(i, int(near[w])) for w, other in zip(where, labels, strict=True) if other != label[i]]
+            label[np.isin(label, labels)] = labels[0]
+    return pairs
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -153,85 +167,100 @@ def marked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).mapInArrow(made, f"doc_id {kind}, node long, n_shingles long, key long, blocks array<bigint>")
 
 
-def dealt(rows: DataFrame, group: str, chunk: int) -> DataFrame:
-    """group, chunks: into how many chunks groups (of rows node, n_shingles, group) are cut, for those of more than one."""
-    weight = F.greatest("n_shingles", F.lit(LEAST))
-    sizes = rows.groupBy(group).agg(F.ceil(F.sum(weight) / chunk).cast("int").alias("chunks"), F.min("node").alias("pivot")).filter("chunks > 1")
-    return broadcast_if_small(cut_lineage(sizes))
+def placed(nodes: DataFrame, size: int) -> DataFrame:
+    """Nodes (node, grp, family, n_shingles) with bin and, for the pivots of groups of several bins, bins (all of them; else null).
+
+    A small family is one bin; of a larger one each small group is in one of its bins, a large group has bins of its own.
+    """
+    weight = F.sum(F.greatest("n_shingles", F.lit(LEAST)))
+    families = nodes.groupBy("family").agg(F.ceil(weight / size).cast("int").alias("shares")).filter("shares > 1")
+    groups = nodes.groupBy("grp").agg(F.ceil(weight / size).cast("int").alias("pieces"), F.min("node").alias("pivot")).filter("pieces > 1")
+    rows = nodes.join(broadcast_if_small(cut_lineage(families)), "family", "left").join(broadcast_if_small(cut_lineage(groups)), "grp", "left")
+    own = F.when(F.col("pieces").isNotNull(), F.xxhash64("grp", F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int")))
+    shared = F.pmod(F.xxhash64("grp"), F.coalesce(F.col("shares"), F.lit(1))).cast("long")
+    everywhere = F.when(F.col("node") == F.col("pivot"), F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.xxhash64("grp", k)))
+    return rows.select("node", "grp", "family", F.coalesce(own, shared).alias("bin"), everywhere.alias("bins"), F.col("shares").isNotNull().alias("divided"))
 
 
-def place(chunks: str) -> F.Column:
-    return F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce(F.col(chunks), F.lit(1))).cast("int")
+def links_within(places: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """First pass: a, b that connect whatever links connect within each bin."""
 
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, groups, sets = None, [], [], []
 
-def grouped_links(texts: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
-    """First pass: links a, b that connect whatever links connect within each chunk of a group (texts: node, grp, n_shingles, text)."""
+        def out() -> pa.RecordBatch:
+            found = spanning(Matrix(sets, groups, percent), sets) if len(sets) > 1 else []
+            return _links([(nodes[i], nodes[j]) for i, j in found])
 
-    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, matrix, found = None, Matrix(percent), []
         for batch in batches:
-            for *where, node, body in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            for *where, group, node, body in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
                 if where != at:
-                    at, matrix = where, Matrix(percent)
-                tokens = shingle_set(body.as_py(), shingle)
-                near = matrix.linked(tokens)
-                found += [(other, node) for _, other in near]
-                matrix.enter(node, tokens, near[0][0] if near else None)
-            yield _links(found)
-            found = []
+                    yield out()
+                    at, nodes, groups, sets = where, [], [], []
+                nodes.append(node)
+                groups.append(group)
+                sets.append(shingle_set(body.as_py(), shingle))
+        yield out()
 
-    rows = texts.join(dealt(texts, "grp", chunk), "grp", "left")
-    everywhere = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(place("chunks")))
-    rows = rows.select("grp", F.explode(everywhere).alias("chunk"), "node", "text")
-    return rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(entered, "a long, b long").filter("a <> b").distinct()
+    rows = places.select("family", F.explode(F.coalesce("bins", F.array("bin"))).alias("bin"), "grp", "node").join(texts, "node")
+    rows = rows.select("family", "bin", "grp", "node", "text").repartition("family", "bin").sortWithinPartitions("family", "bin")
+    return rows.mapInArrow(looked_up, "a long, b long").distinct()
 
 
-def crossing_links(texts: DataFrame, shared: DataFrame, roots: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
-    """Second pass: links between nodes that share a block and that no links connect yet (shared: block, node; roots: node, root)."""
+def links_across(places: DataFrame, texts: DataFrame, shared: DataFrame, roots: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Second pass: links between bins of one family, of nodes that share a block and aren't connected yet (shared: block, node; roots: node, root)."""
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, matrix, found = None, Matrix(percent), []
+        at, sets, nodes, groups, roots_of, matrix = None, [], [], [], [], None
         for batch in batches:
-            for *where, asks, node, body in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+            found = []
+            for *where, asks, group, node, root, body in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
                 if where != at:
-                    at, matrix = where, Matrix(percent)
+                    at, sets, nodes, groups, roots_of, matrix = where, [], [], [], [], None
                 tokens = shingle_set(body.as_py(), shingle)
-                if asks:
-                    found += [(other, node) for _, other in matrix.linked(tokens)]
-                else:
-                    matrix.enter(node, tokens, 0 if matrix.members else None)
+                if not asks:
+                    sets.append(tokens)
+                    nodes.append(node)
+                    groups.append(group)
+                    roots_of.append(root)
+                    continue
+                matrix = matrix or Matrix(sets, groups, percent)
+                found += {roots_of[i]: (nodes[i], node) for i in matrix.linked(tokens).tolist()}.values()
             yield _links(found)
-            found = []
 
-    rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = rooted.join(dealt(rooted, "root", chunk), "root", "left").withColumn("chunk", place("chunks"))
-    placed = cut_lineage(placed.select("node", "root", "chunk"))
-    block = Window.partitionBy("block")
-    across = shared.join(placed, "node").withColumn("lowest", F.min("root").over(block)).withColumn("highest", F.max("root").over(block)).filter("lowest <> highest")
-    across = cut_lineage(across.select("block", "node", "root", "chunk"))
-    groups = across.select("block", F.col("root").alias("of"), F.col("chunk").alias("of_chunk")).distinct()
-    asked = cut_lineage(across.join(groups, "block").filter("of < root").select(F.col("of").alias("root"), F.col("of_chunk").alias("chunk"), "node").distinct())
-    members = placed.join(broadcast_if_small(asked.select("root", "chunk").distinct()), ["root", "chunk"], "left_semi").select("root", "chunk", "node", F.lit(False).alias("asks"))
-    rows = members.unionByName(asked.withColumn("asks", F.lit(True))).join(texts.select("node", "text"), "node")
-    rows = rows.select("root", "chunk", "asks", "node", "text").repartition("root", "chunk").sortWithinPartitions("root", "chunk", "asks")
+    rooted = cut_lineage(places.filter("divided").join(roots, "node", "left").select("node", "grp", "family", "bin", F.coalesce("root", "node").alias("root")))
+    held = shared.join(rooted, "node")
+    holders = held.groupBy("block", "family", "bin").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"))
+    # of the two nodes of a pair the one in the bin of the larger number asks
+    there = holders.select("block", F.col("bin").alias("other"), "lowest", "highest")
+    met = held.join(there, "block").filter("other < bin and (lowest <> root or highest <> root)")
+    asked = cut_lineage(met.select("family", F.col("other").alias("bin"), "grp", "node", "root").distinct())
+    members = rooted.join(broadcast_if_small(asked.select("family", "bin").distinct()), ["family", "bin"], "left_semi")
+    names = ("family", "bin", "asks", "grp", "node", "root")
+    rows = members.withColumn("asks", F.lit(False)).select(*names).unionByName(asked.withColumn("asks", F.lit(True)).select(*names))
+    rows = rows.join(texts, "node").select(*names, "text").repartition("family", "bin").sortWithinPartitions("family", "bin", "asks")
     return rows.mapInArrow(looked_up, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, size: int = BIN) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     rows = cut_lineage(marked(docs, doc_id, text, shingle, percent))
     block = Window.partitionBy("block")
-    dealt_out = rows.filter("blocks is not null").select("node", F.explode("blocks").alias("block"))
-    shared = dealt_out.withColumn("lowest", F.min("node").over(block)).withColumn("highest", F.max("node").over(block)).filter("lowest <> highest")
-    shared = cut_lineage(shared.select("block", "node", "lowest").distinct())
-    involved = shared.groupBy("node").agg(F.min("lowest").alias("grp"))
-    chosen = rows.filter("node is not null").join(broadcast_if_small(cut_lineage(involved)), "node").groupBy("node", "grp", "n_shingles").agg(F.min("key").alias("key"))
+    blocks = rows.filter("blocks is not null").select("node", F.explode("blocks").alias("block"))
+    shared = blocks.withColumn("lowest", F.min("node").over(block)).withColumn("highest", F.max("node").over(block)).filter("lowest <> highest")
+    shared = cut_lineage(shared.select("block", "node", "lowest"))
+    families = components(shared.filter("lowest <> node").select(F.col("lowest").alias("a"), F.col("node").alias("b")).distinct())
+    involved = shared.groupBy("node").agg(F.min("lowest").alias("grp")).join(families.withColumnRenamed("root", "family"), "node")
+    chosen = rows.filter("node is not null").join(broadcast_if_small(cut_lineage(involved)), "node").groupBy("node", "grp", "family", "n_shingles").agg(F.min("key").alias("key"))
+    chosen = cut_lineage(chosen)
     bodies = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-    texts = cut_lineage(bodies.join(broadcast_if_small(cut_lineage(chosen)), "key").dropDuplicates(["node"]).select("node", "grp", "n_shingles", "text"))
-    near = cut_lineage(grouped_links(texts, shingle, percent, chunk))
-    roots = cut_lineage(components(near))
-    more = cut_lineage(crossing_links(texts, shared.select("block", "node"), roots, shingle, percent, chunk))
-    roots = components(near.unionByName(more)) if more.limit(1).count() else roots
+    texts = cut_lineage(bodies.join(broadcast_if_small(chosen.select("key", "node")), "key").dropDuplicates(["node"]).select("node", "text"))
+    places = cut_lineage(placed(chosen, size))
+    near = cut_lineage(links_within(places, texts, shingle, percent))
+    roots = components(near)
+    if has_rows(places.filter("divided")):
+        more = cut_lineage(links_across(places, texts, shared.select("block", "node"), cut_lineage(roots), shingle, percent))
+        roots = components(near.unionByName(more))
 
     nodes = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first_id")).join(roots, "node", "left")
     nodes = cut_lineage(nodes.withColumn("root", F.coalesce("root", "node")))
