@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from stratoframe.functions import geo, units
 from stratoframe.functions.timegrammar import first_date, frequency, last_date, spine
 from stratoframe.functions.variables import Variable
-from stratoframe.operators.side import cut, side
+from stratoframe.operators.side import numbered, side
+from stratoframe.operators.thinning import thinned_by_distance
 
 KEYS = ("date", "member", "cell")
 #: Dates up to which a filter names them.
@@ -294,9 +295,7 @@ class Cube:
 
     def keep_cells(self, op: str, kept: DataFrame, shape: tuple[int, int] | None = None) -> Cube:
         """The cells of a part of the grid, numbered anew in their order."""
-        # one row for each cell of the grid: a dimension table, ordered as a whole
-        ranked = kept.withColumn("new", F.row_number().over(Window.orderBy("cell")) - 1)
-        n = ranked.count()
+        ranked, n = numbered(kept, "cell", "new")
         moved = self.df.join(side(ranked.select("cell", "new"), n), "cell").withColumn("cell", F.col("new").cast("int")).select(*KEYS, *self.variables)
         return self.with_(op, df=moved, grid=ranked.withColumn("cell", F.col("new").cast("int")).drop("new"), cells=n, field_shape=shape, parts=None)
 
@@ -342,30 +341,3 @@ def thinned(points: DataFrame, by: float, method: str, order: str, seed: int = 0
     if method == "distance-based":
         return thinned_by_distance(points, by, order)
     raise ValueError(f"unknown thinning method: {method!r}")
-
-
-def thinned_by_distance(points: DataFrame, km: float, order: str) -> DataFrame:
-    """Greedy: in order, a point is kept if no kept point before it lies within the distance.
-
-    A point's fate hangs on earlier near points only, so the greedy order becomes rounds of a join on cells of the distance's
-    size: of the undecided points those with no earlier undecided near point are kept, and their near points go.
-    """
-    limit = geo.chord_of_km(km)
-    x, y, z = geo.xyz(F.col("latitude"), F.col("longitude"))
-    placed = points.select(F.col(order).alias("k"), x.alias("x"), y.alias("y"), z.alias("z"))
-    cell = lambda c: F.floor(F.col(c) / limit).cast("long")
-    left = cut(placed.withColumns({"cx": cell("x"), "cy": cell("y"), "cz": cell("z")}))
-    shifts = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    kept = left.select("k").limit(0)
-    while left.limit(1).count():
-        near = left
-        for c in ("cx", "cy", "cz"):
-            near = near.withColumn("d", F.explode(shifts)).withColumn(c, F.col(c) + F.col("d")).drop("d")
-        near = near.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), "cx", "cy", "cz")
-        close = geo.chord(tuple(map(F.col, ("x", "y", "z"))), tuple(map(F.col, ("x2", "y2", "z2")))) <= limit
-        pairs = cut(left.join(near, ["cx", "cy", "cz"]).filter("k2 < k").filter(close).select("k", "k2"))
-        first = left.join(pairs.select("k").distinct(), "k", "left_anti").select("k")
-        gone = pairs.join(first.withColumnRenamed("k", "k2"), "k2").select("k").distinct()
-        kept = cut(kept.unionByName(first))
-        left = cut(left.join(kept, "k", "left_anti").join(gone, "k", "left_anti"))
-    return points.join(kept.withColumnRenamed("k", order), order, "left_semi")
