@@ -20,6 +20,7 @@ from stratoframe.operators.tabular import Observations
 from stratoframe.operators.trajectories import TKEYS, Trajectories
 from stratoframe.plans.stored import opened, save
 from stratoframe.plans.synthetic import synthetic
+from stratoframe.plans.tensors import Tensors
 
 Dataset = Cube | Observations | Trajectories
 _NAMED: dict[str, Dataset | str] = {}
@@ -197,8 +198,14 @@ def _positional(spark: SparkSession, spec: dict, adjust: object) -> DataFrame:
     return combine.zipped([open_dataset(spark, c, **spec) for c in children], names, compatible)
 
 
-def open_dataset(spark: SparkSession, *datasets: object, **spec: object) -> Dataset | DataFrame:
-    """A dataset from a specification: a combination or a path, then unary keywords in their fixed order. Unknown keywords are an error."""
+def open_dataset(spark: SparkSession, *datasets: object, **spec: object) -> Dataset | DataFrame | Tensors:
+    """A dataset from a specification: a combination or a path, then unary keywords in their fixed order. Unknown keywords are an error.
+
+    With ``tensors`` ("numpy", "arrow" or "torch") its samples are handed out as arrays.
+    """
+    if "tensors" in spec:
+        container = spec.pop("tensors")
+        return Tensors(open_dataset(spark, *datasets, **spec), container)
     adjust = spec.pop("adjust", None)
     if any(k in spec for k in POSITIONAL):
         return _positional(spark, spec, adjust)

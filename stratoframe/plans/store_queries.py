@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratoframe.operators import combine, statistics
 from stratoframe.operators.cube import Cube
 from stratoframe.operators.side import shared_folder
-from stratoframe.plans import fixtures, stored
+from stratoframe.plans import fixtures, stored, tensors
 from stratoframe.plans.dataset import open_dataset, save_dataset
 from stratoframe.plans.fragments import Fragments
 from stratoframe.sources import coordinates
@@ -204,3 +204,13 @@ def detected_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    "packed_samples",
+    f"SELECT CAST(i AS BIGINT) AS date_idx, count(*) AS n, sum(q) AS total, max_by(x, member * 1000 + cell) AS last FROM c WHERE i NOT IN ({_MISSING}) GROUP BY i",
+)
+def packed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each date's array, as a loop over tensors gets it: its size, the sum of its first variable and its last value."""
+    cube = fixtures.cube(spark, sf_dir).set_missing(list(fixtures.MISSING))
+    return tensors.digests(open_dataset(spark, cube, tensors="numpy"))
