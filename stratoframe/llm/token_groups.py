@@ -167,6 +167,21 @@ def marked(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).mapInArrow(made, f"doc_id {kind}, node long, n_shingles long, key long, blocks array<bigint>")
 
 
+def one_text_each(texts: DataFrame) -> DataFrame:
+    """node, text without the repeats of a node within a task: what is left of exact copies is one row for each task at most."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = []
+            for node in batch.column(0).to_pylist():
+                fresh.append(node not in seen)
+                seen.add(node)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return texts.mapInArrow(kept, "node long, text string")
+
+
 def placed(nodes: DataFrame, size: int) -> DataFrame:
     """Nodes (node, grp, family, n_shingles) with bin and, for the pivots of groups of several bins, bins (all of them; else null).
 
@@ -186,7 +201,7 @@ def links_within(places: DataFrame, texts: DataFrame, shingle: int, percent: int
     """First pass: a, b that connect whatever links connect within each bin."""
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, groups, sets = None, [], [], []
+        at, nodes, groups, sets, seen = None, [], [], [], set()
 
         def out() -> pa.RecordBatch:
             found = spanning(Matrix(sets, groups, percent), sets) if len(sets) > 1 else []
@@ -196,13 +211,17 @@ def links_within(places: DataFrame, texts: DataFrame, shingle: int, percent: int
             for *where, group, node, body in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
                 if where != at:
                     yield out()
-                    at, nodes, groups, sets = where, [], [], []
+                    at, nodes, groups, sets, seen = where, [], [], [], set()
+                if node in seen:
+                    continue
+                seen.add(node)
                 nodes.append(node)
                 groups.append(group)
                 sets.append(shingle_set(body.as_py(), shingle))
         yield out()
 
-    rows = places.select("family", F.explode(F.coalesce("bins", F.array("bin"))).alias("bin"), "grp", "node").join(texts, "node")
+    where = broadcast_if_small(places.select("family", F.coalesce("bins", F.array("bin")).alias("bins"), "grp", "node"))
+    rows = texts.join(where, "node").withColumn("bin", F.explode("bins"))
     rows = rows.select("family", "bin", "grp", "node", "text").repartition("family", "bin").sortWithinPartitions("family", "bin")
     return rows.mapInArrow(looked_up, "a long, b long").distinct()
 
@@ -249,12 +268,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     blocks = rows.filter("blocks is not null").select("node", F.explode("blocks").alias("block"))
     shared = blocks.withColumn("lowest", F.min("node").over(block)).withColumn("highest", F.max("node").over(block)).filter("lowest <> highest")
     shared = cut_lineage(shared.select("block", "node", "lowest"))
-    families = components(shared.filter("lowest <> node").select(F.col("lowest").alias("a"), F.col("node").alias("b")).distinct())
-    involved = shared.groupBy("node").agg(F.min("lowest").alias("grp")).join(families.withColumnRenamed("root", "family"), "node")
+    # a node has as many leaders as blocks at most, so its list is bounded by its own size
+    led = cut_lineage(shared.groupBy("node").agg(F.collect_set("lowest").alias("leaders")))
+    families = components(led.select(F.explode("leaders").alias("a"), F.col("node").alias("b")).filter("a <> b"))
+    involved = led.select("node", F.array_min("leaders").alias("grp")).join(families.withColumnRenamed("root", "family"), "node")
     chosen = rows.filter("node is not null").join(broadcast_if_small(cut_lineage(involved)), "node").groupBy("node", "grp", "family", "n_shingles").agg(F.min("key").alias("key"))
     chosen = cut_lineage(chosen)
-    bodies = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-    texts = cut_lineage(bodies.join(broadcast_if_small(chosen.select("key", "node")), "key").dropDuplicates(["node"]).select("node", "text"))
+    texts = one_text_each(docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("key")).join(broadcast_if_small(chosen.select("key", "node")), "key").select("node", "text"))
     places = cut_lineage(placed(chosen, size))
     near = cut_lineage(links_within(places, texts, shingle, percent))
     roots = components(near)
