@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from stratoframe.functions.timegrammar import calendar_filter, expand, frequency, groups, hindcast_requests, part, spine
 from stratoframe.operators import combine, coverings, derived, statistics
 from stratoframe.operators.cube import KEYS, Cube, on_dates
+from stratoframe.operators.side import side
+from stratoframe.operators.trajectories import TKEYS
 from stratoframe.plans.dataset import open_dataset
 from stratoframe.sources.registry import FILTERS, SOURCES
 
@@ -24,8 +26,48 @@ def _at(value: object) -> datetime:
     return datetime.fromisoformat(str(value))
 
 
+class Bases(list):
+    """Base dates of forecasts, and the steps (hours) that are asked for of each of them."""
+
+    def __init__(self, dates: Iterable[datetime], steps: Iterable[int]) -> None:
+        super().__init__(dates)
+        self.steps = tuple(steps)
+
+
+#: What a choice of a concatenation may be limited by.
+CHOICE = ("dates", "base_dates", "steps")
+
+
+def steps_of(spec: object) -> tuple[int, ...]:
+    """Steps in hours: a list, "0/to/24/by/6", or {start, end, frequency}."""
+    if isinstance(spec, dict):
+        first, last, step = (int(frequency(spec[k]).total_seconds()) for k in ("start", "end", "frequency"))
+        if any(x % 3600 for x in (first, last, step)):
+            raise ValueError("steps are whole hours")
+        return tuple(range(first // 3600, last // 3600 + 1, step // 3600))
+    return tuple(int(x) for x in expand(spec))
+
+
+def time_of(df: DataFrame) -> str:
+    """The date column of rows: base_date of forecasts."""
+    return "base_date" if "base_date" in df.columns else "date"
+
+
+def keys_of(df: DataFrame) -> tuple[str, ...]:
+    return TKEYS if "base_date" in df.columns else KEYS
+
+
+def asked(df: DataFrame, dates: Sequence[datetime]) -> DataFrame:
+    """The rows of the dates (of base dates: and steps) that are asked for."""
+    found = on_dates(df, dates, time_of(df))
+    return found.filter(F.col("step_s").isin([3600 * h for h in dates.steps])) if isinstance(dates, Bases) else found
+
+
 def dates_of(spec: dict) -> tuple[list[datetime], list[datetime]]:
-    """All dates and the missing ones of {start, end, frequency, missing, calendar filters}, {values} or {hindcasts: {reference, years, steps}}."""
+    """All dates and the missing ones of {start, end, frequency, missing, calendar filters}, {values}, {hindcasts: {reference, years, steps}} or, for forecasts, {base_dates: one of these, steps}."""
+    if "base_dates" in spec:
+        bases, missing = dates_of(spec["base_dates"])
+        return Bases(bases, steps_of(spec["steps"])), missing
     if "values" in spec:
         return [_at(v) for v in spec["values"]], []
     if "hindcasts" in spec:
@@ -50,7 +92,8 @@ def node(name: str) -> Callable:
 
 @node("join")
 def _join(spark: SparkSession, body: list, dates: Sequence[datetime], named: Named) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, list(KEYS)), [build(spark, n, dates, named) for n in body])
+    parts = [build(spark, n, dates, named) for n in body]
+    return reduce(lambda a, b: a.join(b, list(keys_of(parts[0]))), parts)
 
 
 @node("pipe")
@@ -63,13 +106,38 @@ def _pipe(spark: SparkSession, body: list, dates: Sequence[datetime], named: Nam
     return df
 
 
+def routed(choices: Sequence[dict], dates: Sequence[datetime]) -> list[Sequence[datetime]]:
+    """The part of the dates (of base dates: and steps) that each choice is for.
+
+    Base dates and steps are two axes: a choice is for the pairs of some of either. Each pair that is asked for must be in one
+    choice: as choices are rectangles, that is so if no two meet and their areas add up to that of the request.
+    """
+    if not isinstance(dates, Bases):
+        return [[d for d in dates if d in listed] for listed in (set(dates_of(c["dates"])[0]) for c in choices)]
+    parts = []
+    for c in choices:
+        if not any(k in c for k in CHOICE):
+            raise ValueError(f"a choice has one of {CHOICE}")
+        listed = set(dates_of(c.get("base_dates", c.get("dates")))[0]) if "base_dates" in c or "dates" in c else set(dates)
+        steps = set(steps_of(c["steps"])) if "steps" in c else set(dates.steps)
+        parts.append(Bases([d for d in dates if d in listed], [h for h in dates.steps if h in steps]))
+    for k, a in enumerate(parts):
+        for j in range(k):
+            if (both := set(a) & set(parts[j])) and (steps := set(a.steps) & set(parts[j].steps)):
+                raise ValueError(f"{min(both)} + {min(steps)} h is in choices {j} and {k}")
+    if sum(len(p) * len(p.steps) for p in parts) < len(set(dates)) * len(set(dates.steps)):
+        d, h = next((d, h) for d in dates for h in dates.steps if not any(d in set(p) and h in p.steps for p in parts))
+        raise ValueError(f"no choice has {d} + {h} h")
+    return parts
+
+
 @node("concat")
 def _concat(spark: SparkSession, body: list, dates: Sequence[datetime], named: Named) -> DataFrame:
+    """Choices for parts of the dates (``dates``), or of forecasts' base dates and steps (``base_dates``, ``steps``)."""
     parts = []
-    for choice in body:
-        listed = set(dates_of(choice["dates"])[0])
-        if own := [d for d in dates if d in listed]:
-            parts.append(on_dates(build(spark, {k: v for k, v in choice.items() if k != "dates"}, own, named), own))
+    for choice, own in zip(body, routed(body, dates), strict=True):
+        if own and getattr(own, "steps", True):
+            parts.append(asked(build(spark, {k: v for k, v in choice.items() if k not in CHOICE}, own, named), own))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -81,7 +149,7 @@ def _ref(spark: SparkSession, body: str, dates: Sequence[datetime], named: Named
 @node("dataset")
 def _dataset(spark: SparkSession, body: dict, dates: Sequence[datetime], named: Named) -> DataFrame:
     """Another dataset, opened with any keywords."""
-    return on_dates(open_dataset(spark, **body).rows(), dates)
+    return asked(open_dataset(spark, **body).rows(), dates)
 
 
 @node("repeated_dates")
@@ -154,16 +222,16 @@ def problems(recipe: dict) -> list[str]:
     found = [f"no {k}" for k in ("dates", "input") if k not in recipe]
 
     def check(spec: object, where: str) -> Iterator[str]:
-        if not isinstance(spec, dict) or len(set(spec) - {"dates"}) != 1:
+        if not isinstance(spec, dict) or len(set(spec) - set(CHOICE)) != 1:
             yield f"{where}: a node has one name"
             return
-        kind = next(k for k in spec if k != "dates")
+        kind = next(k for k in spec if k not in CHOICE)
         body = spec[kind]
         if kind not in NODES and kind not in SOURCES:
             yield f"{where}: unknown source {kind!r}"
         if kind in ("join", "concat"):
             for k, child in enumerate(body):
-                if kind == "concat" and "dates" not in child:
+                if kind == "concat" and not any(k in child for k in CHOICE):
                     yield f"{where}/concat[{k}]: no dates"
                 yield from check(child, f"{where}/{kind}[{k}]")
         elif kind == "pipe":
@@ -193,9 +261,16 @@ def run(spark: SparkSession, recipe: dict, only: str | None = None, done: Sequen
     """All groups' rows (or those of part "i/n", less those that are done; None where none is left). The group's number is a column to partition the output by."""
     dates, parts = dates_of(recipe["dates"])[0], dealt(recipe)
     kept = [k for k in (part(len(parts), only) if only else range(len(parts))) if k not in set(done)]
+    if not kept:
+        return None
+    # all groups are one plan; a table of dates says which group a row is in
+    table = [(str(d), k) for k in kept for d in parts[k]]
+    wanted = [d for k in kept for d in parts[k]]
+    wanted = Bases(wanted, dates.steps) if isinstance(dates, Bases) else wanted
     named = {name: build(spark, spec, dates) for name, spec in recipe.get("data_sources", {}).items()}
-    rows = [build(spark, recipe["input"], parts[k], named).withColumn("group", F.lit(k)) for k in kept]
-    return reduce(DataFrame.unionByName, rows) if rows else None
+    rows = build(spark, recipe["input"], wanted, named)
+    of = spark.createDataFrame(table, "at string, `group` int").select(F.col("at").cast("timestamp_ntz").alias(time_of(rows)), "group")
+    return rows.join(side(of, len(table)), time_of(rows)).select(*rows.columns, "group")
 
 
 def done_groups(spark: SparkSession, path: str) -> list[int]:
@@ -228,7 +303,7 @@ def finalise(spark: SparkSession, recipe: dict, path: str) -> DataFrame:
     if lacking := set(range(len(dealt(recipe)))) - set(done_groups(spark, path)):
         raise ValueError(f"groups {sorted(lacking)[:5]} aren't done")
     rows = spark.read.parquet(f"{path}/data").drop("group")
-    statistics.summary(rows, [c for c in rows.columns if c not in KEYS]).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    statistics.summary(rows, [c for c in rows.columns if c not in keys_of(rows)]).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
     return spark.read.parquet(f"{path}/statistics")
 
 

@@ -122,6 +122,34 @@ on_traj(
 )
 
 
+def recipe_bases(t: Trajectories) -> DataFrame:
+    """A recipe of forecasts: early and late bases, and of the late ones short and long steps, from different sources."""
+    q = t.select("q").df
+    SOURCES["bases_early"] = lambda spark, dates: recipe.asked(q, dates)
+    SOURCES["bases_scaled"] = lambda spark, dates, by: recipe.asked(q, dates).withColumn("q", F.col("q") * by)
+    first, cut, last = t.base_dates[0], t.base_dates[30], t.base_dates[-1]
+    late = {"base_dates": {"start": cut, "end": last, "frequency": "30d"}}
+    spec = {
+        "dates": {"base_dates": {"start": first, "end": last, "frequency": "30d"}, "steps": "6/to/24/by/6"},
+        "group_by": "yearly",
+        "input": {
+            "concat": [
+                {"base_dates": {"start": first, "end": cut - timedelta(days=30), "frequency": "30d"}, "bases_early": {}},
+                late | {"steps": [6, 12], "bases_scaled": {"by": 2}},
+                late | {"steps": {"start": "18h", "end": "24h", "frequency": "6h"}, "bases_scaled": {"by": -1}},
+            ]
+        },
+    }
+    return recipe.run(t.df.sparkSession, spec).drop("group")
+
+
+on_traj(
+    "recipe_concat_bases",
+    "SELECT base_date, step_s, member, cell, CASE WHEN date_diff('day', (SELECT min(base_date) FROM traj), base_date) // 30 < 30 THEN q WHEN step_s <= 43200 THEN 2 * q ELSE -q END AS q FROM traj WHERE step_s <= 86400",
+    recipe_bases,
+)
+
+
 def recipe_valid(t: Trajectories) -> DataFrame:
     """A recipe's valid dates out of trajectories that are its source."""
     SOURCES["forecasts"] = lambda spark, dates: t.select("q").df.filter(F.col("base_date").isin([str(d) for d in dates]))
