@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratoframe.operators import combine, statistics
+from stratoframe.functions import naming
+from stratoframe.operators import combine, digests, statistics
 from stratoframe.operators.cube import Cube
 from stratoframe.operators.side import shared_folder
-from stratoframe.plans import fixtures, stored, tensors
+from stratoframe.plans import copying, fixtures, stored, tensors
 from stratoframe.plans.dataset import open_dataset, save_dataset
 from stratoframe.plans.fragments import Fragments
 from stratoframe.sources import coordinates
@@ -214,3 +215,73 @@ def packed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each date's array, as a loop over tensors gets it: its size, the sum of its first variable and its last value."""
     cube = fixtures.cube(spark, sf_dir).set_missing(list(fixtures.MISSING))
     return tensors.digests(open_dataset(spark, cube, tensors="numpy"))
+
+
+@query(
+    "field_digests",
+    " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, count(*) AS fields, count(DISTINCT f) AS different, max(n) AS cells, count(DISTINCT (member, f)) = count(DISTINCT member) AS constant FROM (SELECT date, member, list(struct_pack(c := cell, v := {x}) ORDER BY cell) AS f, count(*) AS n FROM cube GROUP BY date, member)"
+        for v, x in (("q", "q % 2"), ("d", "d"), ("k", "cell * 2.5 + member"))
+    ),
+)
+def field_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different fields each variable has, and which are constant, from digests alone."""
+    cube = fixtures.cube(spark, sf_dir)
+    rows = cube.df.select("date", "member", "cell", (F.col("q") % 2).alias("q"), "d", (F.col("cell") * 2.5 + F.col("member")).alias("k"))
+    found = digests.field_digests(rows, ("q", "d", "k"))
+    counts = found.groupBy("variable").agg(F.count("*").alias("fields"), F.count_distinct("digest").alias("different"), F.max("n").alias("cells"))
+    return counts.join(digests.constant_by_digest(found), "variable")
+
+
+@query(
+    "copied_ranges",
+    "SELECT date_trunc('year', date) AS year, count(*) AS rows, min(date) AS first, max(date) AS last, bool_or(year(date) IN (1996, 1999)) AS written FROM cube GROUP BY 1",
+)
+def copied_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that lacked a year and held a changed one, resumed: its ranges, and which of them the second call wrote."""
+    cube, path = fixtures.cube(spark, sf_dir), folder(spark, "copy")
+    old = cube.df.filter("year(date) <> 1996").withColumn("x", F.when(F.year("date") == 1999, F.col("x") + 1).otherwise(F.col("x")))
+    copying.copy(cube.with_("old", df=old).set_missing([d for d in cube.dates if d.year == 1996]), path, "yearly")
+    again = copying.copy(cube, path, "yearly")
+    written = F.date_format("first", "yyyy").isin([d[:4] for d in again])
+    return copying.manifest(spark, path).select(F.date_trunc("year", "first").cast("timestamp_ntz").alias("year"), "rows", "first", "last", written.alias("written"))
+
+
+@query("copied_rows", f"SELECT date, member, cell, q, p, d, x FROM c WHERE i NOT IN ({_MISSING})")
+def copied_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy by series, in batches, opened again."""
+    cube, path = fixtures.cube(spark, sf_dir).set_missing(list(fixtures.MISSING)), folder(spark, "series")
+    copying.copy(cube, path, "yearly", layout="cell", batch=3)
+    return open_dataset(spark, path).rows()
+
+
+_NAMED = "(SELECT *, CASE n_nationkey % 5 WHEN 0 THEN 'aifs-od-an-' || lower(n_name) || '-' || res || '-1979-2022-6h-v1' WHEN 1 THEN 'fc-' || n_name || '-mars-o96-1995-2001-6h-1h-v2-extra' WHEN 2 THEN 'obs-' || lower(n_name) || '-synop-1995-2001-v3' WHEN 3 THEN 'obs_' || lower(n_name) || '-1995' ELSE 'aifs-x-an-n320-1995-2001-12h-v1' END AS name FROM (SELECT *, CASE n_regionkey % 2 WHEN 0 THEN 'o96' ELSE '0p25' END AS res FROM nation))"
+
+
+def _named_sql() -> str:
+    shape = {k: f"regexp_matches(name, '{naming.pattern(k)}')" for k in naming.LAYOUTS}
+    part = lambda k, p: f"nullif(regexp_extract(name, '{naming.pattern(k)}', {naming.LAYOUTS[k].index(p) + 1}), '')"
+    layout = "CASE WHEN {0} AND NOT {1} AND NOT {2} THEN 'gridded' WHEN {1} AND NOT {0} AND NOT {2} THEN 'trajectories' WHEN {2} AND NOT {0} AND NOT {1} THEN 'tabular' END".format(*shape.values())
+    wrong = ["CASE WHEN name <> lower(name) THEN 'upper case' END", "CASE WHEN contains(name, '_') THEN 'underscore' END", r"CASE WHEN regexp_matches(name, '[^\pL\pN_-]') THEN 'characters' END", f"CASE WHEN NOT ({' OR '.join(shape.values())}) THEN 'no layout fits' END"]
+    for p, value in (("resolution", "res"), ("frequency", "'6h'"), ("start", "'1995'")):
+        wrong += [f"CASE WHEN layout = '{k}' AND {part(k, p)} <> {value} THEN '{p}' END" for k in naming.LAYOUTS if p in naming.LAYOUTS[k]]
+    listed = ", ".join(wrong)
+    return f"SELECT n_nationkey, name, layout, array_to_string(list_sort(list_filter([{listed}], lambda p: p IS NOT NULL)), ',') AS problems FROM (SELECT *, {layout} AS layout FROM {_NAMED})"
+
+
+@query("dataset_names", _named_sql())
+def dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made from the nations, their layouts, and what is wrong with each for a six-hourly dataset from 1995 of the row's resolution."""
+    nation = fixtures.read(spark, sf_dir, "nation").withColumn("res", F.when(F.col("n_regionkey") % 2 == 0, "o96").otherwise("0.25"))
+    low, res = F.lower("n_name"), F.replace("res", F.lit("."), F.lit("p"))
+    k = F.col("n_nationkey") % 5
+    name = (
+        F.when(k == 0, F.concat(F.lit("aifs-od-an-"), low, F.lit("-"), res, F.lit("-1979-2022-6h-v1")))
+        .when(k == 1, F.concat(F.lit("fc-"), "n_name", F.lit("-mars-o96-1995-2001-6h-1h-v2-extra")))
+        .when(k == 2, F.concat(F.lit("obs-"), low, F.lit("-synop-1995-2001-v3")))
+        .when(k == 3, F.concat(F.lit("obs_"), low, F.lit("-1995")))
+        .otherwise("aifs-x-an-n320-1995-2001-12h-v1")
+    )
+    named = nation.select("n_nationkey", "res", name.alias("name"))
+    wrong = naming.problems(F.col("name"), actual=naming.Actual(resolution=F.col("res"), frequency="6h", start="1995-03-01"))
+    return named.select("n_nationkey", "name", naming.layout_of(F.col("name")).alias("layout"), F.array_join(F.array_sort(wrong), ",").alias("problems"))

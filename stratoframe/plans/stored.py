@@ -86,16 +86,22 @@ def commit(spark: SparkSession, path: str, body: dict, before: int) -> int:
 # -- pieces
 
 
-def moments(df: DataFrame, variables: Sequence[str], time: str) -> dict:
-    """first, last, rows and of each variable [count, mean, sum of squared deviations, minimum, maximum] (NaN left out): one aggregation."""
+def moments_by(df: DataFrame, variables: Sequence[str], time: str, group: str | None = None) -> dict:
+    """For each value of a column (without one: of None): first, last, rows and of each variable [count, mean, sum of squared deviations, minimum, maximum] (NaN left out). One aggregation."""
 
     def of(v: str) -> F.Column:
         x = skip_nan(F.col(v).cast("double"))
         return F.array(F.count(x).cast("double"), F.avg(x), F.var_pop(x) * F.count(x), F.min(x), F.max(x)).alias(v)
 
     numeric = [v for v in variables if df.schema[v].dataType.typeName() not in ("string", "boolean", "binary", "array", "struct", "map")]
-    found = df.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("rows"), F.struct(F.lit(0), *[of(v) for v in numeric]).alias("all")).first()
-    return {"first": str(found["first"]), "last": str(found["last"]), "rows": found["rows"], "moments": {v: list(found["all"][v]) for v in numeric}}
+    grouped = df.groupBy(F.col(group).alias("of")) if group else df.groupBy(F.lit(None).cast("int").alias("of"))
+    rows = grouped.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("rows"), F.struct(F.lit(0), *[of(v) for v in numeric]).alias("all")).collect()
+    return {r["of"]: {"first": str(r["first"]), "last": str(r["last"]), "rows": r["rows"], "moments": {v: list(r["all"][v]) for v in numeric}} for r in rows}
+
+
+def moments(df: DataFrame, variables: Sequence[str], time: str) -> dict:
+    """The same of all rows."""
+    return moments_by(df, variables, time).get(None, {"first": None, "last": None, "rows": 0, "moments": {}})
 
 
 def merged(pieces: Iterable[dict]) -> dict[str, dict[str, float]] | None:
