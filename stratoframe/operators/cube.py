@@ -261,7 +261,7 @@ class Cube:
 
     def shuffled(self, seed: int = 0) -> DataFrame:
         """Rows with position: the date's place in a seeded random order of dates."""
-        order = self.df.sparkSession.createDataFrame([(str(d), k) for k, d in enumerate(self.dates)], "at string, k int").select(F.col("at").cast("timestamp_ntz").alias("date"), F.xxhash64("k", F.lit(seed)).alias("draw"))
+        order = self.df.sparkSession.createDataFrame([(str(d), k) for k, d in enumerate(self.dates)], "at string, k int").select(F.col("at").cast("timestamp_ntz").alias("date"), F.md5(F.concat_ws(":", "k", F.lit(seed)).cast("binary")).alias("draw"))
         places = order.select("date", (F.row_number().over(Window.orderBy("draw", "date")) - 1).alias("position"))
         return self.rows().join(side(places, len(self.dates)), "date")
 
@@ -331,7 +331,7 @@ class Cube:
 def thinned(points: DataFrame, by: float, method: str, order: str, seed: int = 0) -> DataFrame:
     """Points (latitude, longitude) thinned in the order of a column."""
     if method == "random":
-        draw = F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(order).cast("string"), F.lit(seed)).cast("binary")), 1, 10), 16, 10).cast("double") / float(1 << 40)
         return points.filter(draw < by)
     if method == "grid":
         size = by / geo.EARTH_KM

@@ -150,7 +150,7 @@ def repeated_constant(df: DataFrame, targets: Sequence[datetime], at: datetime |
     if at is not None:
         return rewritten(df, [(t, at) for t in targets])
     dates = df.sparkSession.createDataFrame([(str(t),) for t in targets], "d string").select(F.col("d").cast("timestamp_ntz").alias("date"))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(dates.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return df.withColumn("_one", F.lit(1)).join(side(dates.withColumn("_one", F.lit(1)), len(targets)), "_one").drop("_one")
 
 
 def rewritten(df: DataFrame, pairs: Sequence[tuple[datetime, datetime]]) -> DataFrame:

@@ -199,13 +199,22 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, max_km: float |
 
 
 def interpolate_nearest_cells(cube: Cube, variables: Sequence[str], max_km: float | None = None) -> Cube:
-    """Each cell of a variable takes the values of the nearest cell that has a value on the first date."""
+    """Each cell of a variable takes the values of the nearest cell that has a value on the first date.
+
+    Variables that have values at the same cells then (told by a sum of the cells' hashes) share one search and one pass over the cube.
+    """
+    has = [F.max(skip_nan(F.col(v)).isNotNull()).alias(f"_has{k}") for k, v in enumerate(variables)]
+    first = cut(cube.df.filter(F.col("date") == stamp(cube.start)).groupBy("cell").agg(*has))
+    marks = first.agg(*[F.sum(F.when(F.col(f"_has{k}"), F.xxhash64("cell")).cast("decimal(38,0)")) for k in range(len(variables))]).first()
+    alike: dict[object, list[int]] = {}
+    for k, mark in enumerate(marks):
+        alike.setdefault(mark, []).append(k)
     df = cube.df
-    for v in variables:
-        filled = cube.df.filter(F.col("date") == stamp(cube.start)).groupBy("cell").agg(F.max(skip_nan(F.col(v)).isNotNull()).alias("has")).filter("has").select("cell")
-        pairs = nearest(cube.grid, cube.grid.join(filled, "cell", "left_semi"), 1, max_km).select(F.col("target"), F.col("source").alias("cell"))
-        values = cube.df.select("date", "member", "cell", F.col(v).alias("_value")).join(side(pairs, cube.cells), "cell").select("date", "member", F.col("target").alias("cell"), "_value")
-        df = df.drop(v).join(values, list(KEYS), "left").withColumnRenamed("_value", v)
+    for places in alike.values():
+        filled, names = first.filter(f"_has{places[0]}").select("cell"), [variables[k] for k in places]
+        pairs = cut(nearest(cube.grid, cube.grid.join(filled, "cell", "left_semi"), 1, max_km).select(F.col("target"), F.col("source").alias("cell")))
+        values = cube.df.select(*KEYS, *[F.col(v).alias(f"_v{k}") for k, v in enumerate(names)]).join(side(pairs, cube.cells), "cell").drop("cell").withColumnRenamed("target", "cell")
+        df = df.drop(*names).join(values, list(KEYS), "left").withColumnsRenamed({f"_v{k}": v for k, v in enumerate(names)})
     return cube.with_("interpolate_nearest_cells", df=df.select(*KEYS, *cube.variables))
 
 

@@ -96,7 +96,8 @@ def obfuscated(cube: Cube, stats: dict[str, dict[str, float]], seed: int = 0) ->
     """Values replaced by normal ones of the same mean and deviation, made from a hash of the row's place: the same in each run."""
 
     def uniform(salt: str) -> Column:
-        return (F.pmod(F.xxhash64("date", "member", "cell", F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        place = F.concat_ws("|", F.col("date").cast("string"), "member", "cell", F.lit(salt))
+        return (F.conv(F.substring(F.md5(place.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
     def normal(k: int) -> Column:
         return F.sqrt(-2 * F.log(uniform(f"{seed} {k} radius"))) * F.cos(2 * math.pi * uniform(f"{seed} {k} angle"))

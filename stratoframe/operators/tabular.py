@@ -154,10 +154,12 @@ class Observations:
 
     def boundaries(self) -> DataFrame:
         """sample, reference, first, last: the rows of each sample (the last one excluded) when all samples stand one after the other."""
-        # one row for each sample: a dimension table, summed as a whole
-        last = F.sum("n").over(Over.orderBy("sample"))
+        # sums within buckets of samples, and of whole buckets, of which there are few
+        counts = self.counts().withColumn("_bucket", F.floor(F.col("sample") / 100_000))
+        before = counts.groupBy("_bucket").agg(F.sum("n").alias("_rows")).select("_bucket", F.coalesce(F.sum("_rows").over(Over.orderBy("_bucket").rowsBetween(Over.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        last = F.sum("n").over(Over.partitionBy("_bucket").orderBy("sample")) + F.col("_before")
         reference = F.lit(str(self.start)).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("sample").cast("long") * int(self.frequency.total_seconds())).cast("decimal(18,6)"))
-        return self.counts().select("sample", reference.alias("reference"), (last - F.col("n")).alias("first"), last.alias("last"))
+        return counts.join(side(before, len(self) // 100_000 + 1), "_bucket").select("sample", reference.alias("reference"), (last - F.col("n")).alias("first"), last.alias("last"))
 
     def counts(self) -> DataFrame:
         """sample, n: rows of each sample, also of empty ones."""

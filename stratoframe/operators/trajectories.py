@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratoframe.functions.timegrammar import first_date, frequency, frequency_text, last_date, spine
-from stratoframe.operators.cube import KEYS, Cube, seconds, stamp
+from stratoframe.operators.cube import KEYS, Cube, MissingDateError, on_dates, seconds, stamp
 from stratoframe.operators.statistics import summary
 
 TKEYS = ("base_date", "step_s", "member", "cell")
@@ -49,7 +49,7 @@ class Trajectories:
     def rows(self) -> DataFrame:
         present = self.df
         if self.missing:
-            present = present.filter(~F.col("base_date").isin([str(d) for d in sorted(self.missing)]))
+            present = on_dates(present, sorted(self.missing), "base_date", keep=False)
         return present.select(*TKEYS, *self.variables)
 
     def select(self, names: str | Sequence[str]) -> Trajectories:
@@ -121,6 +121,16 @@ class Trajectories:
             raise ValueError("no base date of the dataset is flagged")
         return replace(self, missing=self.missing | flagged)
 
+    def at(self, index: int | slice) -> DataFrame:
+        """Rows of base dates by position; a missing one is an error."""
+        n = len(self.base_dates)
+        if isinstance(index, int) and not -n <= index < n:
+            raise IndexError(f"base date {index} of {n}")
+        wanted = [self.base_dates[index]] if isinstance(index, int) else self.base_dates[index]
+        if bad := sorted(set(wanted) & self.missing):
+            raise MissingDateError(f"missing base dates: {bad[:3]}")
+        return on_dates(self.df, wanted, "base_date").select(*TKEYS, *self.variables)
+
     def tendencies(self) -> DataFrame:
         """x(step) - x(the step before) within each trajectory; the first step has none."""
         order = Window.partitionBy("base_date", "member", "cell").orderBy("step_s")

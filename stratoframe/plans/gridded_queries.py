@@ -66,7 +66,11 @@ on_cube("reorder_sort", "SELECT date, member, cell, d, p, q, x FROM cube", lambd
 on_cube("rename_variables", "SELECT date, member, cell, q AS quantity, p, d, x AS tax FROM cube", lambda c: c.rename({"q": "quantity", "x": "tax"}))
 on_cube("rescale_linear", "SELECT date, member, cell, q * 2.0 + 1.0 AS q, p * 0.5 + 0.0 AS p, d, x FROM cube", lambda c: c.rescale({"q": (2.0, 1.0), "p": {"scale": 0.5, "offset": 0.0}}))
 on_cube("rescale_units", "SELECT date, member, cell, round(q + 273.15, 6) AS q, round(p * 0.01, 6) AS p, d, x FROM cube", lambda c: rounded(c.rescale({"q": ("degC", "K"), "p": ("Pa", "hPa")}).rows()))
-on_cube("shuffle_dates", None, lambda c: c.shuffled(3))
+on_cube(
+    "shuffle_dates",
+    "SELECT date, member, cell, q, p, d, x, CAST(position AS INTEGER) AS position FROM cube JOIN (SELECT date, row_number() OVER (ORDER BY md5(i || ':3'), date) - 1 AS position FROM (SELECT DISTINCT date, i FROM c)) USING (date)",
+    lambda c: c.shuffled(3),
+)
 on_cube("member_select", "SELECT date, 0 AS member, cell, q, p, d, x FROM cube WHERE member = 1", lambda c: c.number(2, 1))
 _RANKED = "SELECT date, member, CAST(dense_rank() OVER (ORDER BY cell) - 1 AS INTEGER) AS cell, q, p, d, x FROM cube JOIN (SELECT cell FROM grid WHERE {0}) USING (cell)"
 on_cube("mask_cells", _RANKED.format("cell % 2 = 0"), lambda c: c.mask(c.grid.select("cell", (F.col("cell") % 2 == 0).alias("keep"))))
@@ -82,7 +86,7 @@ _GREEDY = f"""(WITH RECURSIVE near AS (SELECT a.cell AS a, list(b.cell) AS befor
     greedy AS (SELECT 0 AS upto, [0] AS kept UNION ALL SELECT upto + 1, CASE WHEN list_has_any(kept, coalesce(before, [])) THEN kept ELSE list_append(kept, upto + 1) END FROM greedy LEFT JOIN near ON a = upto + 1 WHERE upto < 9)
     SELECT unnest(kept) FROM greedy WHERE upto = 9)"""
 on_cube("thinning_distance", _RANKED.format(f"cell IN {_GREEDY}"), lambda c: c.thin(2000.0, "distance-based"))
-on_cube("thinning_random", None, lambda c: thinned(c.grid, 0.5, "random", "cell", 1))
+on_cube("thinning_random", "SELECT cell, latitude, longitude, row, col FROM grid WHERE CAST('0x' || substr(md5(cell || ':1'), 1, 10) AS BIGINT) / 1099511627776 < 0.5", lambda c: thinned(c.grid, 0.5, "random", "cell", 1))
 
 on_cube("join_variables", f"SELECT {KV} FROM cube", lambda c: combine.join([c.select(["q", "p"]), c.select(["d", "x"])]))
 on_cube("join_overlay", "SELECT date, member, cell, q, p * 2.0 + 0.0 AS p, x FROM cube", lambda c: combine.join([c.select(["q", "p"]), c.select(["p", "x"]).rescale({"p": (2, 0)})]))
@@ -250,7 +254,13 @@ def rescaled_statistics(c: Cube) -> DataFrame:
 
 
 on_cube("statistics_rescaled", stats_sql("(SELECT q * 2.0 + 10.0 AS q, p, d, x FROM cube)"), rescaled_statistics)
-on_cube("obfuscate_values", None, lambda c: statistics.obfuscated(c, statistics.collected(statistics.statistics(c))))
+_EVEN = "(CAST('0x' || substr(md5(CAST(date AS VARCHAR) || '|' || member || '|' || cell || '|0 {k} {salt}'), 1, 12) AS BIGINT) + 0.5) / 281474976710656"
+_NOISE = "round(sqrt(-2 * ln(" + _EVEN.format(k="{k}", salt="radius") + ")) * cos(2 * pi() * " + _EVEN.format(k="{k}", salt="angle") + ") * (SELECT stddev_pop({v}) FROM cube) + (SELECT avg({v}) FROM cube), 3) AS {v}"
+on_cube(
+    "obfuscate_values",
+    "SELECT date, member, cell, " + ", ".join(_NOISE.format(k=k, v=v) for k, v in enumerate("qpdx")) + " FROM cube",
+    lambda c: rounded(statistics.obfuscated(c, statistics.collected(statistics.statistics(c))).rows(), 3),
+)
 on_cube(
     "climatology_monthly",
     f"SELECT {KV} FROM cube WHERE date IN (SELECT min(date) FROM cube GROUP BY month(date))",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratoframe.operators import coverings, tabular
+from stratoframe.operators.side import side
 from stratoframe.operators.tabular import Observations
 from stratoframe.plans.dataset import open_dataset
 from stratoframe.plans.fixtures import cube, grid, observations, read
@@ -128,7 +129,7 @@ def tabular_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tabularise_fields", "SELECT date, latitude, longitude, max(v) FILTER (WHERE variable = 'q') AS q, max(v) FILTER (WHERE variable = 'd') AS d FROM (SELECT date, latitude, longitude, 'q' AS variable, q AS v FROM cube JOIN grid USING (cell) WHERE member = 0 UNION ALL SELECT date, latitude, longitude, 'd', d FROM cube JOIN grid USING (cell) WHERE member = 0) GROUP BY ALL")
 def tabularise_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cube(spark, sf_dir)
-    fields = c.select(["q", "d"]).long().filter("member = 0").join(F.broadcast(c.grid), "cell").select("date", "latitude", "longitude", "variable", "value")
+    fields = c.select(["q", "d"]).long().filter("member = 0").join(side(c.grid, c.cells), "cell").select("date", "latitude", "longitude", "variable", "value")
     return FILTERS["tabularise"](fields, names=["q", "d"])
 
 

@@ -14,6 +14,7 @@ from stratoframe.functions import geo
 from stratoframe.functions.timegrammar import expand, hindcast_requests
 from stratoframe.operators import derived, tabular
 from stratoframe.operators.cube import on_dates
+from stratoframe.operators.side import side
 
 Source = Callable[..., DataFrame]
 SOURCES: dict[str, Source] = {}
@@ -34,18 +35,26 @@ def _dated(df: DataFrame, dates: Sequence[datetime], column: str) -> DataFrame:
     return df.filter(F.col(column).between(lo, hi))
 
 
-def paths_of(pattern: str, dates: Sequence[datetime]) -> list[str]:
-    """A path pattern with {date} or {date:strftime("%Y%m")} filled in for each date, without repeats."""
+def paths_of(pattern: str, dates: Sequence[datetime], **keys: object) -> list[str]:
+    """A path pattern with {date} or {date:strftime("%Y%m")} filled in for each date and {key} for each value of other keys, without repeats. Wildcards (*, ?, [a-z], {a,b}) are left to Spark's readers, which list them."""
+    named = {k: v if isinstance(v, (list, tuple)) else [v] for k, v in keys.items()}
+    used = [k for k in named if f"{{{k}}}" in pattern]
+    if idle := sorted(set(named) - set(used)):
+        raise ValueError(f"{pattern} has no {idle}")
+    patterns = [pattern]
+    for k in used:
+        patterns = [p.replace(f"{{{k}}}", str(v)) for p in patterns for v in named[k]]
 
-    def fill(at: datetime) -> str:
-        return re.sub(r"\{date(?::strftime\(\"?([^\")]*)\"?\)|:([^}]*))?\}", lambda m: at.strftime(m[1] or m[2] or "%Y-%m-%d"), pattern)
+    def fill(at: datetime, text: str) -> str:
+        return re.sub(r"\{date(?::strftime\(\"?([^\")]*)\"?\)|:([^}]*))?\}", lambda m: at.strftime(m[1] or m[2] or "%Y-%m-%d"), text)
 
-    return list(dict.fromkeys(map(fill, dates)))
+    return list(dict.fromkeys(fill(at, text) for text in patterns for at in dates))
 
 
 @source("parquet")
-def parquet(spark: SparkSession, dates: Sequence[datetime], path: str, column: str = "date") -> DataFrame:
-    return _dated(spark.read.parquet(*paths_of(path, dates)), dates, column)
+def parquet(spark: SparkSession, dates: Sequence[datetime], path: str, column: str = "date", **keys: object) -> DataFrame:
+    """Files of a path pattern for the dates and other keys of the pattern."""
+    return _dated(spark.read.parquet(*paths_of(path, dates, **keys)), dates, column)
 
 
 @source("csv")
@@ -82,7 +91,7 @@ def empty(spark: SparkSession, dates: Sequence[datetime], schema: str = "date ti
 def forcings(spark: SparkSession, dates: Sequence[datetime], template: DataFrame, param: Sequence[str]) -> DataFrame:
     """Computed fields on the template's grid (cell, latitude, longitude) for each date: the two small tables meet on a constant."""
     table = spark.createDataFrame([(str(d),) for d in dates], "d string").select(F.col("d").cast("timestamp_ntz").alias("date"), F.lit(0).alias("member"))
-    pairs = template.select("cell", "latitude", "longitude", F.lit(0).alias("member")).join(F.broadcast(table), "member")
+    pairs = template.select("cell", "latitude", "longitude", F.lit(0).alias("member")).join(side(table, len(dates)), "member")
     return pairs.select("date", "member", "cell", *[geo.forcing(p, F.col("date"), F.col("latitude"), F.col("longitude")).alias(p) for p in param])
 
 

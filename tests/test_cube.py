@@ -498,3 +498,47 @@ def test_message_indices(spark):
     with pytest.warns(UserWarning, match="no key"):
         assert SOURCES["grib-index"](spark, [at], index, nothing=1).count() == 2
     assert {r["variable"] for r in FILTERS["variable_names"](index, "{param}-{level}m").collect()} == {"am", "b-5m"}
+
+
+def test_trajectories_by_position(spark):
+    from stratoframe.operators.trajectories import Trajectories
+
+    start = datetime(2021, 1, 1)
+    rows = [(start + k * DAY, 3600 * s, 0, c, float(k * 100 + s * 10 + c)) for k in range(5) for s in (6, 12) for c in range(2)]
+    df = spark.createDataFrame(rows, "base_date timestamp_ntz, step_s int, member int, cell int, v double")
+    t = Trajectories(df, ("v",), start, start + 4 * DAY, DAY, (timedelta(hours=6), timedelta(hours=12)), 1, 2).set_missing([2])
+    assert sorted(r["v"] for r in t.at(-1).collect()) == [460.0, 461.0, 520.0, 521.0] and t.at(slice(3, None)).count() == 8
+    for bad in (2, slice(1, 4)):
+        with pytest.raises(MissingDateError):
+            t.at(bad)
+    with pytest.raises(IndexError):
+        t.at(5)
+    assert t.rows().count() == 16
+
+
+def test_path_patterns():
+    from stratoframe.sources.registry import paths_of
+
+    days = [datetime(2021, 1, k) for k in (1, 2)]
+    assert paths_of("a/{date:%Y%m}/{param}-{level}.parquet", days, param=["t", "q"], level=500) == ["a/202101/t-500.parquet", "a/202101/q-500.parquet"]
+    assert paths_of("a/{date}/*.parquet", days) == ["a/2021-01-01/*.parquet", "a/2021-01-02/*.parquet"]
+    with pytest.raises(ValueError, match="param"):
+        paths_of("a/{date}", days, param="t")
+
+
+def test_variables_with_holes_of_their_own(spark):
+    """Variables that lack other cells are filled from other neighbours; those that lack the same share a search."""
+    c = analytic(spark, days=3, variables=("a", "b", "c"))
+    gone = lambda v, cells: F.when(F.col("cell").isin(cells), float("nan")).otherwise(F.col(v))
+    holes = c.with_("holes", df=c.df.withColumns({"a": gone("a", [0, 1]), "b": gone("b", [0, 1]), "c": gone("c", [5])}))
+    got = table(series.interpolate_nearest_cells(holes, ["a", "b", "c"]).rows(), "a", "b", "c")
+    whole = table(c.rows(), "a", "b", "c")
+    for (d, m, x), (a, b, z) in got.items():
+        assert (a, b) == whole[d, m, max(x, 2)][:2] and z == whole[d, m, min(x, 4)][2]
+
+
+def test_boundaries_over_buckets(spark):
+    rows = [(datetime(2021, 1, 1) + timedelta(seconds=s), 0.0, 0.0, 1.0) for s in (0, 1, 1, 99_999, 100_000, 100_001, 150_000)]
+    o = Observations.of(spark.createDataFrame(rows, "ts timestamp_ntz, latitude double, longitude double, v double"), window="(-1s,0]", frequency=timedelta(seconds=1))
+    got = {r["sample"]: (r["first"], r["last"]) for r in o.boundaries().filter("last > first").collect()}
+    assert got == {0: (0, 1), 1: (1, 3), 99_999: (3, 4), 100_000: (4, 5), 100_001: (5, 6), 150_000: (6, 7)}
