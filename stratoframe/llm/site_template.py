@@ -6,10 +6,16 @@ Spark counts for each host on how many pages (pages with the same html count onc
 ``least_pages`` pages and at least ``ratio`` of the host's are that site's template and are deleted on each of its pages, on the
 tree as it was read. Subtrees inside an article need ``inside_ratio``, since they may be text that articles share.
 
+Menus and adverts often differ in their words from page to page, but stand at the same place in the same shape. So outside
+the article subtrees are hashed by shape as well: the tags above and within, runs of equal list items, rows or links as one,
+without any words. Shapes on at least ``shape_ratio`` of the host's pages that hold no more than ``shape_share`` of their pages' text on average
+are template too. On a page without article or main element nothing is inside an article: what the template leaves of the
+body is its main text, so there the template alone tells the text from what surrounds it.
+
 What recurs too seldom to be counted (hosts of few pages, parts that differ on each page) is left to the fixed lists, after
 the template: elements that are never main text (navigation, page header and footer, asides, forms, scripts, styles), and
-those whose role, id or class names say so in all their words. Of what remains the text of the article (article, main, or else
-the body) is kept: one block per block element, character references decoded, white space turned into one space.
+those whose role, id or class names say so in all their words. Where an article or main element is left, its text is taken and
+not what else is left of the body: one block per block element, character references decoded, white space turned into one space.
 ``template_chars`` and ``listed_chars`` tell how much text each of the two parts removed.
 
 Paragraphs of the article are never deleted as template: a sentence that many articles share is still their text.
@@ -38,6 +44,10 @@ from stratoframe.llm.common import cut_lineage
 RATIO = 0.02
 INSIDE_RATIO = 0.2
 LEAST_PAGES = 3
+#: Shares of a host's pages that must have a shape, and of a page's text that a shape may hold.
+SHAPE_RATIO, SHAPE_SHARE = 0.5, 0.25
+#: Elements of which a run counts as one in a shape.
+REPEATED = frozenset("li tr option a dt dd".split())
 #: Templates of more hashes than this (8 bytes each) are joined by a shuffle.
 BROADCAST_HASHES = 500_000
 SALTS = 16
@@ -182,26 +192,52 @@ def _articles(element: Element) -> list[Element]:
     return out
 
 
-def hashes_of(top: Element) -> dict[tuple[int, bool], list[Element]]:
-    """Subtrees that may be template, by hash and whether they are inside the article; its plain blocks are no subtrees of their own."""
+def _is_part(element: Element, inside: bool, roots: set[int]) -> bool:
+    """Whether an element may be template: no root or page, and in an article no plain block."""
+    return id(element) not in roots and element.tag not in ("html", "body", "article", "main") and (element.drop or not inside or element.tag not in PLAIN)
+
+
+def hashes_of(top: Element) -> tuple[dict[tuple[int, bool], list[Element]], dict[int, list[Element]], dict[int, int]]:
+    """Subtrees that may be template, by hash and whether they are inside the article (its plain blocks are no subtrees of their own), those outside articles by shape, and the characters of each element's text."""
     roots = set(map(id, roots_of(top)))
+    marked = top not in roots_of(top)  # an article or main element is there
     out: dict[tuple[int, bool], list[Element]] = {}
+    shapes: dict[int, list[Element]] = {}
     digest: dict[int, int] = {}
-    stack = [(top, False, False)]
+    form: dict[int, int] = {}
+    chars: dict[int, int] = {}
+    stack = [(top, False, False, "")]
     while stack:
-        element, inside, done = stack.pop()
+        element, inside, done, path = stack.pop()
         if not done:
             inside = inside or id(element) in roots
-            stack.append((element, inside, True))
-            stack += [(x, inside, False) for x in element.parts if isinstance(x, Element)]
+            stack.append((element, inside, True, path))
+            below = f"{path}/{element.tag}"
+            stack += [(x, inside, False, below) for x in element.parts if isinstance(x, Element)]
             continue
         h = xxhash.xxh64(element.tag.encode())
+        shape, before, size = [element.tag], None, 0
         for x in element.parts:
-            h.update(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else digest.get(id(x), 0).to_bytes(8, "little"))
+            if isinstance(x, str):
+                h.update(x.encode("utf-8", "surrogatepass"))
+                size += len(x.strip())
+                if x.strip() and shape[-1] != "#":
+                    shape.append("#")
+                    before = None
+                continue
+            h.update(digest[id(x)].to_bytes(8, "little"))
+            size += chars[id(x)]
+            if x.tag not in REPEATED or form[id(x)] != before:
+                shape.append(str(form[id(x)]))
+            before = form[id(x)]
         digest[id(element)] = h.intdigest()
-        if id(element) not in roots and element.tag not in ("html", "body", "article", "main") and (element.drop or not inside or element.tag not in PLAIN):
+        form[id(element)] = xxhash.xxh64_intdigest(" ".join(shape).encode())
+        chars[id(element)] = 0 if element.tag in RAW else size
+        if _is_part(element, inside, roots):
             out.setdefault((h.intdigest() - (1 << 63), inside), []).append(element)
-    return out
+        if not (inside and marked) and element.tag not in PLAIN and _is_part(element, False, roots):
+            shapes.setdefault(xxhash.xxh64_intdigest(f"{path} {form[id(element)]}".encode()) - (1 << 63), []).append(element)
+    return out, shapes, chars
 
 
 def removed_chars(top: Element) -> tuple[int, int]:
@@ -255,31 +291,47 @@ def host_of(url: Column) -> Column:
     return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html", ratio: float = RATIO, inside_ratio: float = INSIDE_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, hash, inside of the subtrees to delete."""
+def _shares(shapes: dict[int, list[Element]], chars: dict[int, int], top: Element) -> list[dict[str, int]]:
+    """Of each shape the thousandths of the page's text that its elements hold."""
+    whole = max(chars[id(top)], 1)
+    return [{"hash": h, "share": 1000 * sum(chars[id(e)] for e in elements) // whole} for h, elements in shapes.items()]
+
+
+def templates(
+    pages: DataFrame, url: str = "url", page: str = "html", ratio: float = RATIO, inside_ratio: float = INSIDE_RATIO, least_pages: int = LEAST_PAGES, shape_ratio: float = SHAPE_RATIO, shape_share: float = SHAPE_SHARE
+) -> DataFrame:
+    """host, hash, kind (outside, inside or shape) of the subtrees to delete."""
+    shape_type = pa.list_(pa.struct([("hash", pa.int64()), ("share", pa.int32())]))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(hashes_of(tree_of(p.as_py() or ""))) for p in batch.column(2)]
+            found, shares = [], []
+            for p in batch.column(2):
+                top = tree_of(p.as_py() or "")
+                subtrees, shapes, chars = hashes_of(top)
+                found.append(list(subtrees))
+                shares.append(_shares(shapes, chars, top))
             sides = [pa.array([[h for h, i in f if i == inside] for f in found], pa.list_(pa.int64())) for inside in (False, True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], names=["host", "key", "outside", "inside"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides, pa.array(shares, shape_type)], names=["host", "key", "outside", "inside", "shapes"])
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("key"), F.col(page).alias("page"))
-    each = cut_lineage(rows.mapInArrow(hashed, "host string, key long, outside array<long>, inside array<long>").dropDuplicates(["host", "key"]))
+    each = cut_lineage(rows.mapInArrow(hashed, "host string, key long, outside array<long>, inside array<long>, shapes array<struct<hash:bigint,share:int>>").dropDuplicates(["host", "key"]))
     totals = each.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of")
-    sides = [each.select("host", F.explode(side).alias("hash"), F.lit(side == "inside").alias("inside")) for side in ("outside", "inside")]
-    counted = sides[0].unionByName(sides[1]).groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    needed = F.when(F.col("inside"), F.lit(inside_ratio)).otherwise(F.lit(ratio)) * F.col("pages")
-    return counted.join(totals, F.col("host") == F.col("of")).filter(F.col("n") >= needed).select("host", "hash", "inside")
+    sides = [each.select("host", F.explode(side).alias("hash"), F.lit(side).alias("kind"), F.lit(0).alias("share")) for side in ("outside", "inside")]
+    shaped = each.select("host", F.inline("shapes"), F.lit("shape").alias("kind")).select("host", "hash", "kind", "share")
+    counted = sides[0].unionByName(sides[1]).unionByName(shaped).groupBy("host", "hash", "kind").agg(F.count("*").alias("n"), F.avg("share").alias("share")).filter(F.col("n") >= least_pages)
+    needed = F.when(F.col("kind") == "inside", F.lit(inside_ratio)).when(F.col("kind") == "shape", F.lit(shape_ratio)).otherwise(F.lit(ratio)) * F.col("pages")
+    found = counted.join(totals, F.col("host") == F.col("of")).filter((F.col("n") >= needed) & (F.col("share") <= 1000 * shape_share))
+    return found.select("host", "hash", "kind")
 
 
 def extract(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", ratio: float = RATIO, inside_ratio: float = INSIDE_RATIO, least_pages: int = LEAST_PAGES
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", ratio: float = RATIO, inside_ratio: float = INSIDE_RATIO, least_pages: int = LEAST_PAGES, shape_ratio: float = SHAPE_RATIO
 ) -> DataFrame:
     """One row for each page: page_id, url, text, n_deleted (subtrees deleted as template), template_chars, listed_chars."""
-    found = cut_lineage(templates(pages, url, page, ratio, inside_ratio, least_pages))
-    sides = [F.collect_list(F.when(F.col("inside") == inside, F.col("hash"))).alias(name) for name, inside in (("outside", False), ("inside", True))]
-    by_host = found.groupBy(F.col("host").alias("of")).agg(*sides)
+    found = cut_lineage(templates(pages, url, page, ratio, inside_ratio, least_pages, shape_ratio))
+    kinds = ("outside", "inside", "shape")
+    by_host = found.groupBy(F.col("host").alias("of")).agg(*[F.collect_list(F.when(F.col("kind") == kind, F.col("hash"))).alias(kind) for kind in kinds])
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page"), host_of(F.col(url)).alias("host"))
     if found.count() <= BROADCAST_HASHES:
         joined = rows.join(F.broadcast(by_host), F.col("host") == F.col("of"), "left")
@@ -288,25 +340,27 @@ def extract(
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(copies, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("copy")), "left")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, bool], frozenset[int]] = {}
+        known: dict[tuple[str, str], frozenset[int]] = {}
         for batch in batches:
             texts, counts = [], []
-            for p, host, *lists in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for p, host, *lists in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), batch.column(6), strict=True):
                 top, n = tree_of(p.as_py() or ""), 0
-                for side, inside in zip(lists, (False, True), strict=True):
-                    if (host, inside) not in known:
-                        known[host, inside] = frozenset(side.as_py() or ())
-                if known[host, False] or known[host, True]:
-                    for (h, inside), elements in hashes_of(top).items():
-                        if h in known[host, inside]:
-                            n += len(elements)
-                            for element in elements:
-                                element.template = True
+                for side, kind in zip(lists, kinds, strict=True):
+                    if (host, kind) not in known:
+                        known[host, kind] = frozenset(side.as_py() or ())
+                outside, inside, shape = (known[host, kind] for kind in kinds)
+                if outside or inside or shape:
+                    subtrees, shapes, _ = hashes_of(top)
+                    gone = [e for (h, within), elements in subtrees.items() if h in (inside if within else outside) for e in elements]
+                    gone += [e for h, elements in shapes.items() if h in shape for e in elements]
+                    n = len(set(map(id, gone)))
+                    for element in gone:
+                        element.template = True
                 texts.append(text_of(top))
                 counts.append((n, *removed_chars(top)))
             columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *columns], names=["page_id", "url", "text", "n_deleted", "template_chars", "listed_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    chosen = joined.select("page_id", "url", "page", "host", "outside", "inside")
+    chosen = joined.select("page_id", "url", "page", "host", *kinds)
     return chosen.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_deleted long, template_chars long, listed_chars long")
