@@ -5,13 +5,13 @@ together of length 1) and statistics of its structure and size (see ``STATISTICS
 score = sigmoid(bias + sum w x + 1/2 sum over factors ((sum v x)^2 - sum v^2 x^2)): all pairs of features interact through
 ``FACTORS``-dimensional vectors, in time linear in the features.
 
-Training takes labelled rows only, at most ``SAMPLE`` of them: the lowest by a hash of the id, so the sample is the same in
-each run. Their features (not their texts) come to the driver, where the machine is fitted by Adam on mini-batches with a
+Training takes labelled rows only, at most ``SAMPLE`` of them, counted after texts and labels have met (ids may repeat): the
+lowest by a hash of the id, so the sample is the same in each run. Their features (not their texts) come to the driver, where the machine is fitted by Adam on mini-batches with a
 fixed seed. The fitted machine has a fixed size (``BUCKETS`` + statistics rows of 1 + ``FACTORS`` numbers, about 1 MB) and is
 broadcast; scoring is one pass over the documents in Arrow batches, without a shuffle.
 
 Null and empty texts have no words and statistics of zero, and get the score that these have. Labels that are null or whose
-document is missing are left out; repeated labels count as often as they occur. With no labels, or labels of one class only,
+document is missing are left out; equal rows of id, label and text count once, an id with several texts or labels gives a row for each. With no labels, or labels of one class only,
 the score of every text is the share of label 1 (0.5 without labels). Extra columns pass through.
 """
 
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratoframe.llm.common import cut_lineage
+
 BUCKETS = 1 << 15
 FACTORS = 6
 SAMPLE = 8_000
@@ -214,20 +216,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:
-    """A machine fitted on at most ``sample`` labelled rows that are not held out."""
+    """A machine fitted on at most ``sample`` labelled rows that are not held out.
+
+    A labelled row is an id, a label and a text: ids that several texts or labels share give a row for each, equal rows count once. Of more than
+    ``sample`` rows those of the least hashes (of id, label and text) are taken, whatever partitions they lie in. Without rows the
+    machine scores all texts alike.
+    """
     usable = labels.select(F.col(doc_id).alias("labelled_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and labelled_id is not null").filter(~held_out(F.col("labelled_id")))
-    chosen = usable.orderBy(F.xxhash64("labelled_id", F.lit(11)), "labelled_id", "label").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    # ids first, so that few texts are looked at; a repeated id can only add rows, which the cap after the join takes away again
+    drawn = usable.distinct().orderBy(F.xxhash64("labelled_id", F.lit(11)), "labelled_id", "label").limit(sample)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "label", F.xxhash64("text").alias("chosen_key")).distinct()
+    chosen = cut_lineage(found.orderBy(F.xxhash64("labelled_id", F.lit(11)), "labelled_id", "label", "chosen_key").limit(sample))
+    same = (F.col("doc_id") == F.col("labelled_id")) & (F.xxhash64("text") == F.col("chosen_key"))
+    rows = texts.join(F.broadcast(chosen), same).groupBy("doc_id", "label", "chosen_key").agg(F.first("text").alias("text"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features_of(t.as_py()) for t in batch.column(1)]
-            arrays = [batch.column(0), batch.column(2), *[pa.array([list(f[k]) for f in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()), (2, pa.float64()))]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "buckets", "weights", "statistics"])
+            arrays = [batch.column(0), batch.column(2), batch.column(3), *[pa.array([list(f[k]) for f in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()), (2, pa.float64()))]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "text_key", "buckets", "weights", "statistics"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    table = rows.select("doc_id", "text", "label").mapInArrow(extracted, f"doc_id {kind}, label int, buckets array<int>, weights array<float>, statistics array<double>").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    table = rows.select("doc_id", "text", "label", "chosen_key").mapInArrow(extracted, f"doc_id {kind}, label int, text_key long, buckets array<int>, weights array<float>, statistics array<double>").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text_key", "ascending")]).combine_chunks()
     flat = {c: pa.chunked_array(table[c].chunks, table[c].type).combine_chunks() for c in ("buckets", "weights", "statistics")}
     starts = np.concatenate([[0], np.cumsum([len(b) for b in table["buckets"]])]).astype(np.int64)
     buckets, weights, stats = (np.array(flat[c].flatten()) for c in ("buckets", "weights", "statistics"))

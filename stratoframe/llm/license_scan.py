@@ -10,6 +10,11 @@ share of a template's words must hold one of the template's first ``size - need
 enough template words at all (length filter), and must still have enough of them after the place of the first shared token
 (positional filter). Blocks that pass are verified by an exact intersection. Everything is DataFrame operations.
 
+Licences differ in a word or two (version 2 or 3, NonCommercial or ShareAlike), which a share of the words may forgive. So a match must
+also tell its template from the siblings: templates of another label and the same width that a block of one could be taken for. All words
+that the template has and a sibling lacks must be in the block; where the sibling has all of the template's words and more, those
+that it has more must not all be there. This follows from the templates and needs no list.
+
 The template table is fixed and short, so it is broadcast; the frequencies that come to the driver are one row for each
 word of the templates. No text is shuffled: only blocks' template words and matches are, with the key of their row
 (doc_id and the hash of its text). Texts are split once; what is kept of them (the number of words, and the blocks that have
@@ -42,12 +47,26 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-1", "licensed under the apache license version 1 0"),
+    ("apache-1", "licensed under the apache license version 1 1"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3"),
+    ("lgpl-2", "this work is licensed under the gnu lesser general public license version 2 1"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
+    ("lgpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     (
         "mit",
@@ -72,6 +91,12 @@ TEMPLATES = (
         "in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
         "derived from this software without specific prior written permission",
     ),
+    (
+        "bsd-2",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+    ),
     (
         "zlib",
         "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to "
@@ -151,6 +176,21 @@ def blocks_of(rows: DataFrame, text: str, keys: Sequence[str], templates: Sequen
     return worded.select(*keys, n.alias("n_words"), F.concat(*parts).alias("blocks"))
 
 
+def siblings_of(templates: Sequence[tuple[str, str]], threshold: float) -> list[tuple[list[str], list[list[str]]]]:
+    """For each template the words that must all be in its block, and the sets of words of which none may be there as a whole."""
+    sets, out = [set(t.split()) for _, t in templates], []
+    for (label, t), own in zip(templates, sets, strict=True):
+        need, must, never = needed(len(own), threshold), set(), []
+        for (other, s), more in zip(templates, sets, strict=True):
+            if other == label or width_of(s) != width_of(t) or len(own & more) < need:
+                continue
+            must |= own - more
+            if own < more:
+                never.append(sorted(more - own))
+        out.append((sorted(must), sorted(never)))
+    return out
+
+
 def matches(blocks: DataFrame, keys: Sequence[str], templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """keys, width, at, template (its number), label, overlap, containment for every block (of ``blocks_of``) and template at or over the threshold."""
     sets = [sorted(set(t.split())) for _, t in templates]
@@ -160,17 +200,18 @@ def matches(blocks: DataFrame, keys: Sequence[str], templates: Sequence[tuple[st
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes = []
-    for number, ((label, t), s) in enumerate(zip(templates, sets, strict=True)):
+    for number, ((label, t), s, (must, never)) in enumerate(zip(templates, sets, siblings_of(templates, threshold), strict=True)):
         ranked, need = sorted(s, key=rank.__getitem__), needed(len(s), threshold)
-        prefixes += [(number, label, width_of(t), ranked, len(s), need, place, token) for place, token in enumerate(ranked[: len(s) - need + 1])]
-    table = blocks.sparkSession.createDataFrame(prefixes, "template int, label string, width int, template_tokens array<string>, size int, need int, template_place int, token string")
+        prefixes += [(number, label, width_of(t), ranked, len(s), need, must, never, place, token) for place, token in enumerate(ranked[: len(s) - need + 1])]
+    table = blocks.sparkSession.createDataFrame(prefixes, "template int, label string, width int, template_tokens array<string>, size int, need int, must array<string>, never array<array<string>>, template_place int, token string")
     ordered = blocks.select(*keys, "width", "at", F.array_intersect(literal_array(order), "tokens").alias("tokens"))
     placed = ordered.select(*keys, "width", "at", "tokens", F.posexplode("tokens").alias("place", "token"))
     possible = placed.join(F.broadcast(table), ["token", "width"]).filter(
         (F.size("tokens") >= F.col("need")) & (1 + F.least(F.size("tokens") - F.col("place") - 1, F.col("size") - F.col("template_place") - 1) >= F.col("need"))
     )
     overlap = F.size(F.array_intersect("tokens", "template_tokens"))
-    verified = possible.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+    told = (F.size(F.array_except("must", "tokens")) == 0) & ~F.exists("never", lambda words: F.size(F.array_except(words, F.col("tokens"))) == 0)
+    verified = possible.withColumn("overlap", overlap).filter((F.col("overlap") >= F.col("need")) & told)
     return verified.select(*keys, "width", "at", "template", "label", "overlap", (F.col("overlap") / F.col("size")).alias("containment"))
 
 

@@ -98,14 +98,19 @@ def _license_sql() -> str:
     places = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM words, range(1, len(w) + 1) t(i) WHERE w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}" for phrase, label in license_scan.PHRASES
     )
-    templates = " UNION ALL ".join(f"SELECT {sorted(set(t.split()))} AS t, '{label}' AS label, {license_scan.width_of(t)} AS width" for label, t in license_scan.TEMPLATES)
+    siblings = license_scan.siblings_of(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    templates = " UNION ALL ".join(
+        f"SELECT {sorted(set(t.split()))} AS t, '{label}' AS label, {license_scan.width_of(t)} AS width, {must}::VARCHAR[] AS must, {never}::VARCHAR[][] AS never"
+        for (label, t), (must, never) in zip(license_scan.TEMPLATES, siblings, strict=True)
+    )
     return f"""
     WITH words AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
     places AS ({places}),
     base AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
     templates AS ({templates}),
     blocks AS (SELECT doc_id, width, list_distinct(w[p + 1:p + 2 * width]) AS b FROM words, (SELECT DISTINCT width FROM templates), range(0, greatest(len(w) - width, 1), width) t(p)),
-    found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks JOIN templates USING (width) WHERE len(list_intersect(b, t)) >= ceil(round({license_scan.THRESHOLD} * len(t), 9))),
+    found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks JOIN templates USING (width) WHERE len(list_intersect(b, t)) >= ceil(round({license_scan.THRESHOLD} * len(t), 9))
+      AND list_has_all(b, must) AND len(list_filter(never, lambda words: list_has_all(b, words))) = 0),
     method AS (SELECT doc_id, max(share) AS best, list(DISTINCT label) AS labels FROM found GROUP BY doc_id)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l AS last_word,
       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

@@ -63,6 +63,45 @@ def space_words(text):
 # -- licence scan
 
 
+def told_apart(label, template, block):
+    """Whether a block says which of the templates of about the same words it has."""
+    own = set(template.split())
+    for other, text in license_scan.TEMPLATES:
+        words = set(text.split())
+        alike = other != label and license_scan.width_of(text) == license_scan.width_of(template) and len(own & words) / len(own) >= license_scan.THRESHOLD
+        if alike and not (own - words <= block and (own - words or not words - own <= block)):
+            return False
+    return True
+
+
+#: Notices as they are found, and their labels as a reader would give them.
+NOTICES = [
+    ("This dataset is licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under the GNU General Public License version 2.", "gpl-2"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3"), ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl-3"),
+    ("# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version 2\n# of the License, or (at your option) any later version.", "gpl-2"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "gpl-3"),
+    ("Licensed under the Apache License, Version 1.0", "apache-1"), ("Licensed under the Apache License, Version 2.0 (the License)", "apache-2"), ("Some words on licensing, and none that grants one.", ""),
+]
+
+
+def test_licences_are_told_from_their_siblings(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert [got[k] for k in range(len(NOTICES))] == [label for _, label in NOTICES]
+
+
+def test_full_bsd_texts(spark):
+    texts = {label: t for label, t in license_scan.TEMPLATES if label in ("bsd-2", "bsd-3")}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(df).collect()}
+    assert [got[k] - {"bsd"} for k in range(2)] == [{label} for label in texts]
+
+
 def license_truth(text):
     w = plain_words(text)
     places = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
@@ -71,7 +110,7 @@ def license_truth(text):
     for label, template in license_scan.TEMPLATES:
         t, width = set(template.split()), license_scan.width_of(template)
         for block in (set(w[at : at + 2 * width]) for at in range(0, len(w), width)):
-            if len(block & t) >= math.ceil(round(license_scan.THRESHOLD * len(t), 9)):
+            if len(block & t) >= math.ceil(round(license_scan.THRESHOLD * len(t), 9)) and told_apart(label, template, block):
                 labels.add(label)
                 best = max(best, len(block & t) / len(t))
     starts = [i for i, _ in places]
@@ -965,3 +1004,19 @@ def test_sql(spark, name):
     found = con.execute(queries.oracle_sql()[name])
     names = [x[0] for x in found.description]
     assert got == sorted(tuple(show(dict(zip(names, r, strict=True))[c]) for c in columns) for r in found.fetchall())
+
+
+def test_the_sample_is_bounded_after_the_join(spark, monkeypatch):
+    """Ids may repeat: what is fitted is bounded all the same, and is the same however the rows lie."""
+    fitted = []
+    monkeypatch.setattr(factorization, "fit", lambda sample, *a, **k: fitted.append(sample) or factorization.sample_of)
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    rows = [(ids[0], f"text number {k}") for k in range(300)] + [(i, f"one {i}") for i in ids[1:]] + [(ids[1], f"one {ids[1]}")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], 1 - ids[0] % 2), (ids[2], ids[2] % 2)], "doc_id long, quality int")
+    for part in (docs, docs.repartition(7, F.rand(1))):
+        factorization.train(part, labels, sample=2)
+        factorization.train(part, labels, sample=10_000)
+    assert [len(x.labels) for x in fitted] == [2, 600 + 39] * 2
+    for a, b in zip(fitted[:2], fitted[2:], strict=True):
+        assert all((getattr(a, f) == getattr(b, f)).all() for f in a._fields)
