@@ -28,13 +28,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratoframe.llm.common import cut_lineage
@@ -252,15 +254,6 @@ def compared(rows: list[tuple[object, str]], following: str) -> list[tuple]:
     return list(zip([i for i, _ in rows], map(len, texts), digests, own.texts(), edited.texts(), near_edited.tolist(), near_next.tolist(), cells.tolist(), strict=False))
 
 
-def range_of(row: Column, bounds: list[Column], step: int = 64) -> Column:
-    """How many of the ascending bounds are at or below the row: first among every 64th, then among those between."""
-    if not bounds:
-        return F.lit(0)
-    coarse = F.size(F.filter(F.array(*bounds[::step]), lambda b: b <= row))
-    fine = F.size(F.filter(F.slice(F.array(*bounds), (F.greatest(coarse, F.lit(1)) - 1) * step + 1, F.lit(step)), lambda b: b <= row))
-    return (F.greatest(coarse, F.lit(1)) - 1) * step + fine
-
-
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, cells (those the edit's difference took)."""
     spark = docs.sparkSession
@@ -268,21 +261,31 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("key"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     ids = cut_lineage(rows.select("doc_id", "key").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "key"))
-    firsts = sorted((r["first"] for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(place).alias("first")).collect()), key=lambda r: (r["known"], r["doc_id"] if r["known"] else 0, r["key"]))
+    known = lambda r: (r["known"], r["doc_id"] if r["known"] else 0, r["key"])
+    firsts = sorted(known(r["first"]) for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(place).alias("first")).collect())
     kind = docs.schema[doc_id].dataType
-    bounds = [F.struct(F.lit(r["known"]).alias("known"), F.lit(r["doc_id"]).cast(kind).alias("doc_id"), F.lit(r["key"]).alias("key")) for r in firsts]
     # rows with a range's first place also go to the range before it (the first range's to the last), as successors only
-    n = max(len(bounds), 1)
+    n = max(len(firsts), 1)
     # numbers that hash partitioning deals to a task each
     dealt_to = {r["to"]: r["id"] for r in spark.range(40 * n).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).agg(F.min("id").alias("id")).collect()} if n > 1 else {}
-    names = F.array(*[F.lit(int(dealt_to.get(k, 40 * n + k))) for k in range(n)])
-    number = F.greatest(range_of(place, bounds), F.lit(1)) - 1
-    placed = rows.withColumn("number", number)
-    own = F.struct(F.col("number"), F.lit(0).alias("after"))
-    before = F.struct(F.pmod(F.col("number") - 1, F.lit(n)).alias("number"), F.lit(1).alias("after"))
-    is_first = (place == F.get(F.array(*bounds), F.col("number"))) if bounds else F.lit(False)
-    dealt = placed.select("doc_id", "text", "key", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select(F.get(names, F.col("to.number")).cast("int").alias("part"), F.col("to.after").alias("after"), "doc_id", "key", "text")
+    # the ranges are one row a task: sent to executors as a broadcast and searched there, so the plan doesn't grow with them
+    sent = spark.sparkContext.broadcast((firsts, [int(dealt_to.get(k, 40 * n + k)) for k in range(n)]))
+
+    @F.pandas_udf("part int, before int")
+    def where(has_id: pd.Series, doc: pd.Series, key: pd.Series) -> pd.DataFrame:
+        bounds, names = sent.value
+        found = []
+        for has, d, k in zip(has_id.tolist(), doc.tolist(), key.tolist(), strict=True):
+            here = (has, d if has else 0, k)
+            number = max(bisect_right(bounds, here), 1) - 1
+            found.append((names[number], names[number - 1] if bounds and bounds[number] == here else None))
+        return pd.DataFrame({"part": [p for p, _ in found], "before": pd.array([b for _, b in found], dtype="Int32")})
+
+    # null ids go as zero with a mark, since pandas would turn whole numbers with nulls among them into fractions
+    dealt_rows = rows.withColumn("to", where(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast(kind)), F.col("key")))
+    own, before = F.struct(F.col("to.part").alias("part"), F.lit(0).alias("after")), F.struct(F.col("to.before").alias("part"), F.lit(1).alias("after"))
+    dealt = dealt_rows.select("doc_id", "key", "text", F.explode(F.when(F.col("to.before").isNotNull(), F.array(own, before)).otherwise(F.array(own))).alias("at"))
+    dealt = dealt.select("at.part", "at.after", "doc_id", "key", "text")
     ranged = dealt.repartition(n, "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), "key")
 
     def out(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
