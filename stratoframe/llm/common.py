@@ -82,3 +82,16 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight:
     here = marked.filter("found_there is not null").select(*rows.columns, "found_there.*")
     light = table.filter(F.col(weight) * hot <= total).select(*keys, *others)
     return here.unionByName(marked.filter("found_there is null").select(*rows.columns).join(light, list(keys)).select(*rows.columns, *others))
+
+
+def spread_lookup(rows: DataFrame, key: str, table: DataFrame, of: str, by: str, per: int = 100_000) -> DataFrame:
+    """rows left-joined by a shuffle with a table that has one row for each key (``of``; nulls are equal).
+
+    A key of more than ``per`` rows is dealt, by a hash of a column, to as many copies of its table row as it takes for each to meet that many; such keys are at most one for each ``per`` rows.
+    """
+    large, copies, salt, copy = (free_name(rows.join(table.limit(0), F.lit(False), "left"), x) for x in ("large_key", "copies", "salt", "copy"))
+    sizes = rows.groupBy(F.col(key).alias(large)).agg(F.ceil(F.count("*") / per).cast("int").alias(copies)).filter(F.col(copies) > 1)
+    sizes = broadcast_if_small(cut_lineage(sizes))
+    dealt = rows.join(sizes, F.col(key).eqNullSafe(F.col(large)), "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(copies, F.lit(1))).cast("int")).drop(large, copies)
+    copied = table.join(sizes, F.col(of).eqNullSafe(F.col(large)), "left").withColumn(copy, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(large, copies)
+    return dealt.join(copied, F.col(key).eqNullSafe(F.col(of)) & (F.col(salt) == F.col(copy)), "left").drop(salt, copy)

@@ -8,7 +8,7 @@ don't make its lines boilerplate. ``most`` is off; set, a page that would lose m
 Lines are compared whole, without spaces at their ends; blank lines are never boilerplate. In the aggregation a line is the
 64-bit XXH64 of its text and length, so no text is shuffled. A host has at most ``mean distinct lines per page / ratio``
 boilerplate lines, whatever its number of pages. The table of all of them is cut off once; if it is short (its rows are
-counted) it is broadcast, else it is joined on the host, salted, so that a host with a third of all pages is spread. A page's
+counted) it is broadcast, else it is joined on the host, a host of many pages by as many copies of its list as its pages need. A page's
 lines meet its host's list as hashed sets (array_intersect), in time linear in both.
 
 Null texts stay null and have no lines; a null host is a host of its own. Repeated rows each give a row. Columns of the
@@ -21,13 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import cut_lineage, free_name
+from stratoframe.llm.common import cut_lineage, free_name, spread_lookup
 
 RATIO = 0.02
 LEAST_PAGES = 3
 #: Boilerplate tables of more rows than this (8 bytes and the host's name each) are joined by a shuffle.
 BROADCAST_LINES = 200_000
-SALTS = 16
 
 
 def digest(line: Column) -> Column:
@@ -54,15 +53,13 @@ def drop_lines(
 ) -> DataFrame:
     """The input's rows and columns, the text without boilerplate lines; with counts: two more columns of these names, the lines and those dropped."""
     found = cut_lineage(boilerplate(pages, host, text, ratio, least_pages))
-    of, drop, salt, copy, kept, here = (free_name(pages, x) for x in ("of", "drop_set", "salt", "copy", "kept", "here"))
+    of, drop, kept, here = (free_name(pages, x) for x in ("of", "drop_set", "kept", "here"))
     by_host = found.groupBy(F.col("host").alias(of)).agg(F.collect_set("line").alias(drop))
     same = F.col(host).eqNullSafe(F.col(of))
     if found.count() <= BROADCAST_LINES:
         joined = pages.join(F.broadcast(by_host), same, "left")
     else:
-        copies = by_host.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = pages.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(copies, same & (F.col(salt) == F.col(copy)), "left").drop(salt, copy)
+        joined = spread_lookup(pages, host, by_host, of, text)
     lines = lines_of(F.col(text))
     judged = joined.withColumn(here, F.array_intersect(F.transform(lines, lambda x: digest(F.trim(x))), F.col(drop)))
     without = F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col(here), digest(F.trim(x)))), "\n")

@@ -21,7 +21,7 @@ not what else is left of the body: one block per block element, character refere
 Paragraphs of the article are never deleted as template: a sentence that many articles share is still their text.
 
 Hosts are spread: only (host, hash) counts are shuffled, pre-aggregated, and the templates found are few (at most mean
-subtrees per page / ratio for each host). They are broadcast if their hashes are few in all, else joined on the host, with salt.
+subtrees per page / ratio for each host). They are broadcast if their hashes are few in all, else joined on the host, a host of many pages by copies of its list.
 
 Null or empty html gives an empty text; a null url is the empty host. Broken markup is read as far as it goes: open elements
 end with the page. Repeated rows each give a row. Extra columns are ignored.
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratoframe.llm.common import cut_lineage
+from stratoframe.llm.common import cut_lineage, spread_lookup
 
 RATIO = 0.02
 INSIDE_RATIO = 0.2
@@ -50,7 +50,6 @@ SHAPE_RATIO, SHAPE_SHARE = 0.5, 0.25
 REPEATED = frozenset("li tr option a dt dd".split())
 #: Templates of more hashes than this (8 bytes each) are joined by a shuffle.
 BROADCAST_HASHES = 500_000
-SALTS = 16
 
 #: Names of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,8 +335,7 @@ def extract(
     if found.count() <= BROADCAST_HASHES:
         joined = rows.join(F.broadcast(by_host), F.col("host") == F.col("of"), "left")
     else:
-        copies = by_host.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(copies, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("copy")), "left")
+        joined = spread_lookup(rows, "host", by_host, "of", "page")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, str], frozenset[int]] = {}

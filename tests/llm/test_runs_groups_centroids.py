@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratoframe.llm import centroids, common, periodic_runs, queries, token_groups
+from stratoframe.llm import centroids, common, periodic_runs, queries, site_template, token_groups
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -306,3 +306,19 @@ def test_spread_join(spark):
         key = 0 if k % 3 else k
         most[key] = max(most.get(key, 0), k)
     assert got == [(k, 0 if k % 3 else k, most[0 if k % 3 else k]) for k in range(300)]
+
+
+def test_spread_lookup(spark):
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else "a" if k % 3 == 1 else f"k{k}", f"t{k}") for k in range(300)], "salt int, key string, text string")
+    table = spark.createDataFrame([(None, 1), ("a", 2), ("k5", 3), ("unused", 4)], "of string, n int")
+    for per in (1_000, 7):
+        got = sorted((r["salt"], r["n"]) for r in common.spread_lookup(rows, "key", table, "of", "text", per).collect())
+        assert got == [(k, 1 if k % 3 == 0 else 2 if k % 3 == 1 else 3 if k == 5 else None) for k in range(300)]
+
+
+def test_pages_of_many_templates(spark, monkeypatch):
+    """The join by a shuffle gives what the broadcast gives."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    wanted = sorted(tuple(r) for r in site_template.extract(pages).collect())
+    monkeypatch.setattr(site_template, "BROADCAST_HASHES", 0)
+    assert sorted(tuple(r) for r in site_template.extract(pages).collect()) == wanted
