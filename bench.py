@@ -34,7 +34,7 @@ def wide(spark: SparkSession, folder: str, cells: int = 100_000) -> dict[str, fl
     cube = scan(spark.read.parquet(f"{folder}/rows"), made.frequency, spark.read.parquet(f"{folder}/grid"))
     plans = {
         "statistics": lambda: statistics.statistics(cube), "tendency_statistics": lambda: statistics.tendency_statistics(cube, ["6h", "24h"]), "rolling_average": lambda: series.rolling_average(cube, -1, 1).rows(),
-        "interpolate_frequency": lambda: series.interpolate_frequency(cube, "3h").rows(), "thin_grid": lambda: cube.thin(200.0, "grid").rows(), "nearest_k3": lambda: series.nearest(cube.grid, points(spark, cells // 5)[0], 3),
+        "interpolate_frequency": lambda: series.interpolate_frequency(cube, "3h").rows(), "thin_grid": lambda: cube.thin(200.0, "grid").rows(), "thin_distance": lambda: cube.thin(200.0, "distance-based").rows(), "nearest_k3": lambda: series.nearest(cube.grid, points(spark, cells // 5)[0], 3),
     }
     took = {}
     for name, plan in plans.items():

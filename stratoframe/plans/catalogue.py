@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratoframe.operators import statistics
-from stratoframe.plans import fixtures, gridded_queries, store_queries, tabular_queries, trajectory_queries
+from stratoframe.plans import fixtures, gridded_queries, source_queries, store_queries, tabular_queries, trajectory_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return gridded_queries.QUERIES | tabular_queries.QUERIES | trajectory_queries.QUERIES | store_queries.QUERIES
+    return gridded_queries.QUERIES | tabular_queries.QUERIES | trajectory_queries.QUERIES | store_queries.QUERIES | source_queries.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -182,9 +182,12 @@ def hindcasts(spark: SparkSession, dates: Sequence[datetime], reference: Sequenc
 @source("synthetic")
 def synthetic(spark: SparkSession, dates: Sequence[datetime], cells: int, members: int = 1, variables: Sequence[str] = ("a",), seed: int = 0) -> DataFrame:
     """Generated values: seeded and the same in each run, made on the executors."""
-    per_date = cells * members
+    per_date, dates = cells * members, list(dates)
     ids = spark.range(len(dates) * per_date)
-    at = F.element_at(F.array(*[F.lit(str(d)).cast("timestamp_ntz") for d in dates]), (F.col("id") / per_date).cast("int") + 1)
+    # a table of dates by number: a join, whose plan doesn't grow with them
+    table = spark.createDataFrame([(k, str(d)) for k, d in enumerate(dates)], "_at long, d string").select("_at", F.col("d").cast("timestamp_ntz").alias("_date"))
+    ids = ids.withColumn("_at", F.floor(F.col("id") / per_date)).join(side(table, len(dates)), "_at")
+    at = F.col("_date")
     values = [(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(v)), F.lit(1 << 40)) / float(1 << 40)).alias(v) for v in variables]
     return ids.select(at.alias("date"), F.pmod((F.col("id") / cells).cast("int"), F.lit(members)).alias("member"), F.pmod("id", F.lit(cells)).cast("int").alias("cell"), *values)
 
