@@ -23,6 +23,26 @@ def header(cube: Cube) -> dict[str, object]:
     }
 
 
+def metadata(cube: Cube) -> dict[str, object]:
+    """All that is known of a dataset without reading a row, as plain values (JSON can hold it)."""
+    return header(cube) | {
+        "tree": tree(cube).split("\n"), "members": cube.members, "cells": cube.cells, "grids": list(cube.grids), "field_shape": list(cube.field_shape) if cube.field_shape else None, "shape": list(cube.shape),
+        "variables_metadata": {v: {k: x for k, x in t.to_dict().items() if x is not None and k != "name"} for v, t in cube.typed_variables.items()}, "constant_fields": [v for v, t in cube.typed_variables.items() if t.constant],
+        "sources": {v: list(cube.origin(v)) for v in cube.variables}, "statistics": cube.statistics,
+    }
+
+
+def supporting_arrays(cube: Cube) -> DataFrame:
+    """name, place, value: the arrays that belong to the grid (latitudes, longitudes, and of several grids which each cell is of, as ``grid``), a row for each element."""
+    parts, before = F.lit(0), 0
+    for n in cube.grids[:-1]:
+        before += n
+        parts = parts + F.when(F.col("cell") >= before, 1).otherwise(0)
+    names = {"latitudes": F.col("latitude"), "longitudes": F.col("longitude")} | ({"grid": parts} if len(cube.grids) > 1 else {})
+    wide = cube.grid.select(F.col("cell").alias("place"), *[c.cast("double").alias(n) for n, c in names.items()])
+    return wide.unpivot(["place"], list(names), "name", "value")
+
+
 def tree(cube: Cube) -> str:
     """The operators that made the dataset, outermost first."""
 

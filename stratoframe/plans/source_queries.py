@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
@@ -13,7 +14,7 @@ from stratoframe.functions import geo
 from stratoframe.operators import combine
 from stratoframe.operators.side import shared_folder
 from stratoframe.operators.tabular import Observations
-from stratoframe.plans import fixtures, recipe
+from stratoframe.plans import fixtures, inspect, recipe
 from stratoframe.plans.dataset import add_named_dataset, list_dataset_names, open_dataset, save_dataset
 from stratoframe.sources import patches
 from stratoframe.sources.registry import SOURCES
@@ -214,3 +215,26 @@ def patched_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, a subset of coordinates, and their order, as patches of a table."""
     rows = fixtures.cube(spark, sf_dir).select(["q"]).rows()
     return patches.patched(rows, {"sort_coordinates": ["date", "number"], "rename": {"cell": "number"}, "subset": {"number": [2, 7], "member": 0}})
+
+
+@query(
+    "supporting_arrays",
+    "SELECT name, CAST(place AS INTEGER) AS place, value FROM (SELECT row_number() OVER (ORDER BY latitude < 55, cell) - 1 AS place, latitude AS latitudes, longitude AS longitudes, CAST(latitude < 55 AS INTEGER)::DOUBLE AS grid FROM grid) UNPIVOT (value FOR name IN (latitudes, longitudes, grid))",
+)
+def supporting_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrays of a dataset made of two areas."""
+    c = fixtures.cube(spark, sf_dir)
+    return inspect.supporting_arrays(combine.grids([c.area(90, 0, 55, 360), c.area(54, 0, -90, 360)])).select("name", F.col("place").cast("int").alias("place"), "value")
+
+
+@query(
+    "metadata_of_variables",
+    "SELECT 'q' AS variable, 'kg' AS units, 'cube' AS source, n AS dates, 3 AS missing FROM n UNION ALL SELECT 'p', 'degC', 'cube', n, 3 FROM n",
+)
+def metadata_of_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metadata of a stored and rescaled dataset say, through JSON."""
+    c, path = fixtures.cube(spark, sf_dir).select(["q", "p"]).typed({"q": {"units": "kg"}, "p": {"units": "K"}}), f"{folder(spark, 'described')}/cube"
+    save_dataset(c.set_missing(list(fixtures.MISSING)), path)
+    known = json.loads(json.dumps(inspect.metadata(open_dataset(spark, path, rescale={"p": "degC"}))))
+    rows = [(v, t["units"], known["sources"][v][0].rsplit("/", 1)[1], known["shape"][0], len(known["missing"])) for v, t in known["variables_metadata"].items()]
+    return spark.createDataFrame(rows, "variable string, units string, source string, dates int, missing int")

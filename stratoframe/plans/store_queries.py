@@ -152,7 +152,7 @@ def described(df: DataFrame, names: dict[str, tuple[str, dict[str, str]]]) -> Da
     return df.select(*[F.col(c).alias(names[c][0], metadata=names[c][1]) if c in names else F.col(c) for c in df.columns])
 
 
-_STANDARD = "SELECT '{copy}' AS copy, '{model}' AS model, count(*) AS n, min(date) AS first, max(date) AS last, {base} AS base, sum({step}) AS steps, round(sum(latitude), 3) AS latitudes, round(sum(longitude), 3) AS longitudes, sum(q) AS q FROM {rows}"
+_STANDARD = "SELECT '{copy}' AS copy, '{model}' AS model, count(*) AS n, min(date) AS first, max(date) AS last, {base} AS base, CAST(sum({step}) AS BIGINT) AS steps, round(sum(latitude), 3) AS latitudes, round(sum(longitude), 3) AS longitudes, sum(q) AS q FROM {rows}"
 _FORECASTS = "(SELECT base_date, step_s, base_date + to_seconds(step_s) AS date, latitude, longitude, q FROM traj JOIN grid USING (cell))"
 
 
