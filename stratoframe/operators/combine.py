@@ -87,7 +87,9 @@ def join(cubes: Sequence[Cube]) -> Cube:
     origins = {v: cubes[k].origin(v) for v, k in owner.items()}
     types = {v: cubes[k].typed_variables[v] for v, k in owner.items()}
     unified_types(cubes)
-    return cubes[0].with_("join", origins=origins, types=types, df=df.select(*KEYS, *names), variables=tuple(names), missing=missing, statistics=_merged_statistics(cubes, names), tree=("join", *(c.tree for c in cubes)))
+    deltas = set.intersection(*(set(c.stored_tendencies or {}) for c in cubes))
+    tendencies = {delta: {v: cubes[k].stored_tendencies[delta][v] for v, k in owner.items()} for delta in sorted(deltas)} or None
+    return cubes[0].with_("join", origins=origins, types=types, stored_tendencies=tendencies, df=df.select(*KEYS, *names), variables=tuple(names), missing=missing, statistics=_merged_statistics(cubes, names), tree=("join", *(c.tree for c in cubes)))
 
 
 def concat(cubes: Sequence[Cube], fill_missing_gaps: bool = False) -> Cube:

@@ -75,6 +75,7 @@ class Cube:
     parts: tuple[int, ...] | None = None  # cells of each grid, where there are several
     origins: dict[str, tuple[str, str]] | None = None  # of variables: the stored dataset and the name there
     types: dict[str, Variable] | None = None  # what is known of variables; may have more than the dataset
+    stored_tendencies: dict[str, dict[str, dict[str, float]]] | None = None  # by delta and variable: statistics of differences that are stored with the dataset
 
     # -- metadata
 
@@ -214,7 +215,8 @@ class Cube:
         stats = None if self.statistics is None else {names.get(k, k): v for k, v in self.statistics.items()}
         origins = {names.get(v, v): self.origin(v) for v in self.variables}
         types = {names.get(v, v): Variable.of(names.get(v, v), t) for v, t in self.typed_variables.items()}
-        return self.with_("rename", origins=origins, types=types, tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
+        tendencies = self.stored_tendencies and {delta: {names.get(n, n): s for n, s in each.items()} for delta, each in self.stored_tendencies.items()}
+        return self.with_("rename", origins=origins, types=types, stored_tendencies=tendencies, tendencies_of=self.tendencies_of and self.tendencies_of.rename(names), df=self.df.withColumnsRenamed(names), variables=tuple(names.get(v, v) for v in self.variables), statistics=stats)
 
     def rescale(self, how: dict[str, object]) -> Cube:
         """variable -> (scale, offset), {"scale":, "offset":}, (unit, unit) or, where the variable's own unit is known, a unit."""
@@ -237,7 +239,11 @@ class Cube:
             for n, (a, b) in factors.items():
                 if n in stats:
                     stats[n] |= {k: stats[n][k] * a + b for k in ("mean", "minimum", "maximum")} | {"stdev": stats[n]["stdev"] * a}
-        return self.with_("rescale", types=types, tendencies_of=self.tendencies_of and self.tendencies_of.rescale(factors), df=self.df.withColumns({n: F.col(n) * a + b for n, (a, b) in factors.items()}), statistics=stats)
+        tendencies = None
+        if self.stored_tendencies is not None:  # differences know no offset
+            scaled = lambda n, s: s if n not in factors else s | {k: s[k] * factors[n][0] for k in ("mean", "stdev", "minimum", "maximum")}
+            tendencies = {delta: {n: scaled(n, s) for n, s in each.items()} for delta, each in self.stored_tendencies.items()}
+        return self.with_("rescale", types=types, stored_tendencies=tendencies, tendencies_of=self.tendencies_of and self.tendencies_of.rescale(factors), df=self.df.withColumns({n: F.col(n) * a + b for n, (a, b) in factors.items()}), statistics=stats)
 
     # -- dates
 

@@ -59,6 +59,15 @@ def tendency_statistics(cube: Cube, deltas: Sequence[int | str | timedelta] | bo
     return found.select(named, *FIELDS, F.array(*[F.lit(frequency_text(d)) for d in usable])[at[0]].alias("delta"))
 
 
+def stored_tendencies(cube: Cube, delta: int | str | timedelta) -> dict[str, dict[str, float]]:
+    """Each variable's statistics of differences as they are stored with the dataset, of all its dates; an error where they aren't."""
+    name = frequency_text(frequency(delta))
+    found = (cube.stored_tendencies or {}).get(name, {})
+    if lacking := [v for v in cube.variables if v not in found]:
+        raise ValueError(f"no stored statistics of tendencies over {name} of {lacking}")
+    return {v: found[v] for v in cube.variables}
+
+
 def constant_variables(cube: Cube) -> DataFrame:
     """variable, constant: whether each cell of each member has one value (NaN counts as one) on all dates."""
     one = [(F.count_distinct(F.coalesce(F.col(v).cast("double"), F.lit(float("nan")))) == 1).alias(v) for v in cube.variables]

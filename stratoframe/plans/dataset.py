@@ -5,7 +5,7 @@ The layout (gridded, tabular, trajectories) of what is opened decides which keyw
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -258,6 +258,6 @@ def new_dates(cube: Cube, stored: DataFrame) -> DataFrame:
     return cube.rows().join(stored.select("date").distinct(), "date", "left_anti")
 
 
-def save_dataset(dataset: Dataset, path: str) -> int:
-    """Stores a dataset with all that is known of it, or adds to the stored one what it doesn't have yet; the version's number."""
-    return save(dataset, path)
+def save_dataset(dataset: Dataset, path: str, tendencies: Sequence[str] = ()) -> int:
+    """Stores a dataset with all that is known of it, or adds to the stored one what it doesn't have yet; the version's number. Of cubes the statistics of differences over some deltas are stored on request."""
+    return save(dataset, path, tendencies)

@@ -285,3 +285,18 @@ def dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = nation.select("n_nationkey", "res", name.alias("name"))
     wrong = naming.problems(F.col("name"), actual=naming.Actual(resolution=F.col("res"), frequency="6h", start="1995-03-01"))
     return named.select("n_nationkey", "name", naming.layout_of(F.col("name")).alias("layout"), F.array_join(F.array_sort(wrong), ",").alias("problems"))
+
+
+@query(
+    "stored_tendencies",
+    _each("SELECT '{v}' AS variable, round(avg(y), 4) AS mean, round(stddev_pop(y), 4) AS stdev, min(y) AS minimum, max(y) AS maximum, count(y) AS count FROM (SELECT 2 * (a.{v} - b.{v}) AS y FROM c a JOIN c b ON a.i = b.i + 2 AND a.member = b.member AND a.cell = b.cell)", "qd"),
+)
+def stored_tendencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of differences over two steps, stored by two saves and opened with the dataset, of variables rescaled since."""
+    cube, path = fixtures.cube(spark, sf_dir).select(["q", "d"]), folder(spark, "tendencies")
+    save_dataset(cube.between(None, 1997), path, ["60d"])
+    save_dataset(cube, path)
+    found = statistics.stored_tendencies(open_dataset(spark, path, rescale={"q": (2, 5), "d": (2, 0)}), "60d")
+    rows = [(v, *[s[f] for f in statistics.FIELDS]) for v, s in found.items()]
+    table = spark.createDataFrame(rows, "variable string, mean double, stdev double, minimum double, maximum double, count long")
+    return table.withColumns({k: F.round(k, 4) for k in ("mean", "stdev")})

@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 
 from stratoframe.functions.timegrammar import spine
 from stratoframe.functions.variables import Variable
+from stratoframe.operators import statistics
 from stratoframe.operators.combine import same_grid, unified_types
 from stratoframe.operators.cube import KEYS, Cube, on_dates, skip_nan
 from stratoframe.operators.tabular import Observations
@@ -171,14 +172,23 @@ def opened_cube(spark: SparkSession, body: dict) -> Cube:
     found = Cube(
         read_rows(spark, body), tuple(body["variables"]), _at(body["start"]), _at(body["end"]), timedelta(seconds=body["frequency"]), body["members"], body["cells"], read_grid(spark, body),
         tuple(body["field_shape"]) if body["field_shape"] else None, frozenset(map(_at, body["missing"])), body["statistics"] or merged(body["pieces"]), tree=("stored", _tuples(body["tree"])),
-        parts=tuple(body["parts"]) if body["parts"] else None, types={v: Variable(**t) for v, t in body["types"].items()},
+        parts=tuple(body["parts"]) if body["parts"] else None, types={v: Variable(**t) for v, t in body["types"].items()}, stored_tendencies=body.get("tendencies"),
     )
     return replace(found, origins={v: (path, v) for v in found.variables})
 
 
-def save_cube(c: Cube, path: str) -> int:
+def _tendencies(c: Cube, deltas: Sequence[str]) -> dict[str, dict[str, dict[str, float]]]:
+    found: dict[str, dict[str, dict[str, float]]] = {}
+    for r in statistics.tendency_statistics(c, deltas).collect():
+        found.setdefault(r["delta"], {})[r["variable"]] = {f: r[f] for f in statistics.FIELDS}
+    return found
+
+
+def save_cube(c: Cube, path: str, tendencies: Sequence[str] = ()) -> int:
     """Stores a cube, or adds the dates that aren't stored yet (and the variables' types); the version's number.
 
+    ``tendencies`` are deltas whose statistics are stored too: differences over all stored dates, across the seams of saves.
+
     Dates between two saves that neither has are missing, and so are flagged ones until a save brings them.
     """
     spark = c.df.sparkSession
@@ -205,6 +215,11 @@ def save_cube(c: Cube, path: str) -> int:
     body |= {"schema": (before["schema"] if before else c.rows().schema.jsonValue()), "pieces": list(before["pieces"]) if before else []}
     piece = write_piece(rows.select(*KEYS, *c.variables), path, ("date", "member", "cell"), c.variables) if rows is not None else None
     body["pieces"] += [piece] if piece else []
+    wanted = sorted({*tendencies, *((before or {}).get("tendencies") or {})})
+    if wanted and (piece or set(wanted) != set((before or {}).get("tendencies") or {})):
+        body["tendencies"] = _tendencies(opened_cube(spark, body | {"path": path}), wanted)
+    elif before:
+        body["tendencies"] = before.get("tendencies")
     return commit(spark, path, body, before["version"] if before else 0)
 
 
@@ -252,7 +267,7 @@ def opened(spark: SparkSession, path: str) -> Dataset | None:
     return {"gridded": opened_cube, "trajectories": opened_trajectories}[body["layout"]](spark, body)
 
 
-def save(dataset: Dataset, path: str) -> int:
+def save(dataset: Dataset, path: str, tendencies: Sequence[str] = ()) -> int:
     """Stores a dataset or adds to it what isn't stored yet; the version's number. A folder holds one layout."""
     spark = dataset.df.sparkSession
     layout = {Cube: "gridded", Trajectories: "trajectories", Observations: "tabular"}[type(dataset)]
@@ -264,5 +279,5 @@ def save(dataset: Dataset, path: str) -> int:
 
         w = dataset.window
         return Fragments(spark, path).append(dataset.df, {"frequency": dataset.frequency.total_seconds(), "window": [w.start, w.end, w.start_closed, w.end_closed]})
-    return save_cube(dataset, path) if isinstance(dataset, Cube) else save_trajectories(dataset, path)
+    return save_cube(dataset, path, tendencies) if isinstance(dataset, Cube) else save_trajectories(dataset, path)
 

@@ -86,6 +86,24 @@ def test_two_saves_of_one_version(spark, tmp_path):
         stored.commit(spark, path, body, 1)
 
 
+def test_tendencies_are_stored_across_saves(spark, tmp_path):
+    c, path = cube(spark, missing=()), str(tmp_path / "c")
+    save_dataset(c.between(None, c.dates[5]), path, ["6h", "12h"])
+    save_dataset(c, path)
+    back = open_dataset(spark, path)
+    for delta in ("6h", "12h"):
+        fresh = {r["variable"]: {f: r[f] for f in statistics.FIELDS} for r in statistics.tendency_statistics(c, [delta]).collect()}
+        known = statistics.stored_tendencies(back, delta)
+        assert all(known[v] == pytest.approx(fresh[v]) for v in c.variables)
+    twice = statistics.stored_tendencies(back.rename({"a": "z"}).rescale({"z": (2, 7)}).select(["z"]), "12h")["z"]
+    assert twice["stdev"] == pytest.approx(2 * known["a"]["stdev"]) and twice["mean"] == pytest.approx(2 * known["a"]["mean"])
+    assert set(combine.join([back.select(["a"]), back.select(["b_500"])]).stored_tendencies) == {"6h", "12h"}
+    with pytest.raises(ValueError, match="24h|1d"):
+        statistics.stored_tendencies(back, "24h")
+    with pytest.raises(ValueError, match="no stored"):
+        statistics.stored_tendencies(c, "6h")
+
+
 def test_given_statistics_are_stored(spark, tmp_path):
     c, path = cube(spark), str(tmp_path / "c")
     given = {v: {"mean": 1.0, "stdev": 2.0, "minimum": 0.0, "maximum": 3.0, "count": 4} for v in c.variables}
