@@ -1020,3 +1020,48 @@ def test_the_sample_is_bounded_after_the_join(spark, monkeypatch):
     assert [len(x.labels) for x in fitted] == [2, 600 + 39] * 2
     for a, b in zip(fitted[:2], fitted[2:], strict=True):
         assert all((getattr(a, f) == getattr(b, f)).all() for f in a._fields)
+
+
+def plain_score(text, machine):
+    """The score of a text, feature by feature and pair by pair."""
+    ascii_words = [w for w in re.split(r"[ \t\n\r\v\f]+", lowered(text)) if w]
+    features = []  # (number, value)
+    if ascii_words:
+        counts = Counter(ascii_words)
+        size = len((text or "").encode())
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        features += [(zlib.crc32(w.encode()) % factorization.BUCKETS, math.log1p(c) / norm) for w, c in counts.items()]
+        lines = [x for x in text.split("\n") if re.search(r"[^ \t\n\r\v\f]", x)]
+        n, common = len(ascii_words), ".,;:'\"()-?"
+        signs = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in common)
+        among = lambda kept: sum(len(c.encode()) for c in text if kept(c)) / size
+        full = min(1.0, math.sqrt(n / 200))
+        statistics = [
+            math.log1p(size), math.log1p(n), math.log1p(len(lines)), sum(len(w.encode()) for w in ascii_words) / n, math.log1p(size / max(1, len(lines))),
+            among(lambda c: "A" <= c <= "Z"), among(lambda c: "0" <= c <= "9"), among(lambda c: c in common), among(lambda c: c in signs), among(lambda c: ord(c) > 127),
+            len(counts) / n * full + 1 - full, max(counts.values()) / n if n >= 20 else 0.0, sum(a == b for a, b in zip(ascii_words, ascii_words[1:], strict=False)) / n,
+            sum(w[-1] in signs for w in counts) / len(counts), sum(all(c in signs + common for c in w) for w in ascii_words) / n, 1 - len(set(lines)) / max(1, len(lines)), sum(len(w.encode()) <= 2 for w in ascii_words) / n,
+        ]
+    else:
+        statistics = [0.0] * len(factorization.STATISTICS)
+    for k, s in enumerate(statistics):
+        z = (s - float(machine.mean[k])) / float(machine.spread[k])
+        features.append((factorization.BUCKETS + k, max(-4.0, min(4.0, z)) / 4))
+    total = machine.bias + sum(float(machine.linear[i]) * x for i, x in features)
+    vectors = [machine.factors[i].tolist() for i, _ in features]
+    for a in range(len(features)):
+        for b in range(a):
+            total += sum(p * q for p, q in zip(vectors[a], vectors[b], strict=True)) * features[a][1] * features[b][1]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def test_scores_by_a_plain_reading(spark, documents, rows):
+    """The query's scores of documents of all kinds, from features and pairs computed anew."""
+    machine = factorization.train(documents, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.op9_factorization(spark, FOLDER).collect()}
+    short = [(i, t) for i, t, _ in rows if len(t or "") < 1500][:60]
+    assert len(short) > 30
+    for i, text in short:
+        assert got[i] == pytest.approx(plain_score(text, machine), abs=1e-9), i
+    for text in (None, "", " \n", "É été | x 12\n\nÉ été | x 12\nA.", "a"):
+        assert machine.score(text) == pytest.approx(plain_score(text, machine), abs=1e-9)
