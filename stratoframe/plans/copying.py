@@ -57,14 +57,14 @@ def copy(cube: Cube, path: str, by: str | int = "monthly", layout: str = "date",
         cube = obfuscated(cube, cube.statistics or stored.merged([stored.moments(cube.rows(), cube.variables, "date")]))
     spark, ranges = cube.df.sparkSession, dict(enumerate(ranges_of(cube, by)))
     before = stored.metadata(spark, path)
-    body = stored._cube_body(cube) | {"statistics": cube.statistics if not obfuscate else None, "copy": {"by": by, "layout": layout}}
+    body = stored.cube_body(cube) | {"statistics": cube.statistics if not obfuscate else None, "copy": {"by": by, "layout": layout}}
     if before:
         same = ("variables", "members", "cells", "frequency", "copy")
         if other := [k for k in same if before.get(k) != body[k]]:
             raise ValueError(f"{path} holds a copy with other {', '.join(other)}")
         body |= {"schema": before["schema"], "grid": before["grid"], "grid_schema": before["grid_schema"]}
     else:
-        body |= {"schema": cube.rows().schema.jsonValue(), "grid": stored._grid(cube.grid, path), "grid_schema": cube.grid.schema.jsonValue() if cube.grid is not None else None}
+        body |= {"schema": cube.rows().schema.jsonValue(), "grid": stored.write_grid(cube.grid, path), "grid_schema": cube.grid.schema.jsonValue() if cube.grid is not None else None}
     wanted = range_digests(cube, ranges)
     held = {(p["dates"][0], p["dates"][1], p["digest"]): p for p in before["pieces"]} if before and not overwrite else {}
     key = lambda k: (str(ranges[k][0]), str(ranges[k][-1]), wanted.get(k))

@@ -127,7 +127,7 @@ def write_piece(rows: DataFrame, path: str, order: Sequence[str], variables: Seq
     return {"folder": name, **found} if found["rows"] else None
 
 
-def _grid(grid: DataFrame | None, path: str) -> str | None:
+def write_grid(grid: DataFrame | None, path: str) -> str | None:
     if grid is None:
         return None
     name = f"grids/{uuid.uuid4().hex}"
@@ -160,7 +160,7 @@ def _tuples(tree: object) -> object:
     return tuple(_tuples(x) for x in tree) if isinstance(tree, list) else tree
 
 
-def _cube_body(c: Cube) -> dict:
+def cube_body(c: Cube) -> dict:
     return {
         "layout": "gridded", "variables": list(c.variables), "types": {v: t.to_dict() for v, t in c.typed_variables.items()}, "start": str(c.start), "end": str(c.end), "frequency": c.frequency.total_seconds(),
         "members": c.members, "cells": c.cells, "field_shape": c.field_shape, "parts": c.parts, "missing": _dates(c.missing), "tree": c.tree, "origins": c.origins, "statistics": c.statistics,
@@ -193,7 +193,7 @@ def save_cube(c: Cube, path: str, tendencies: Sequence[str] = ()) -> int:
     """
     spark = c.df.sparkSession
     before = metadata(spark, path)
-    body, present = _cube_body(c), set(c.dates) - c.missing
+    body, present = cube_body(c), set(c.dates) - c.missing
     if before:
         old = opened_cube(spark, before)
         if (old.variables, old.members, old.cells, old.frequency) != (c.variables, c.members, c.cells, c.frequency):
@@ -210,7 +210,7 @@ def save_cube(c: Cube, path: str, tendencies: Sequence[str] = ()) -> int:
         body["types"] = {v: t.to_dict() for v, t in unified_types([old, c]).items()}
         rows = on_dates(c.rows(), sorted(present)) if present else None
     else:
-        body |= {"grid": _grid(c.grid, path), "grid_schema": c.grid.schema.jsonValue() if c.grid is not None else None}
+        body |= {"grid": write_grid(c.grid, path), "grid_schema": c.grid.schema.jsonValue() if c.grid is not None else None}
         rows = c.rows()
     body |= {"schema": (before["schema"] if before else c.rows().schema.jsonValue()), "pieces": list(before["pieces"]) if before else []}
     piece = write_piece(rows.select(*KEYS, *c.variables), path, ("date", "member", "cell"), c.variables) if rows is not None else None
@@ -242,7 +242,7 @@ def save_trajectories(t: Trajectories, path: str) -> int:
     piece = write_piece(rows.select(*TKEYS, *t.variables), path, TKEYS, t.variables) if rows is not None else None
     body = {
         "layout": "trajectories", "variables": list(t.variables), "start": str(start), "end": str(end), "frequency": t.base_frequency.total_seconds(), "steps": [s.total_seconds() for s in t.steps], "members": t.members, "cells": t.cells,
-        "missing": _dates(missing), "grid": before["grid"] if before else _grid(t.grid, path), "grid_schema": before["grid_schema"] if before else t.grid.schema.jsonValue() if t.grid is not None else None,
+        "missing": _dates(missing), "grid": before["grid"] if before else write_grid(t.grid, path), "grid_schema": before["grid_schema"] if before else t.grid.schema.jsonValue() if t.grid is not None else None,
         "schema": before["schema"] if before else t.rows().schema.jsonValue(), "pieces": (list(before["pieces"]) if before else []) + ([piece] if piece else []),
     }
     return commit(spark, path, body, before["version"] if before else 0)
