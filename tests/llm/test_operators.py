@@ -311,6 +311,28 @@ def test_language_model(documents, rows, common, most_pairs):
         assert got[r[0]][5:] == pytest.approx(r[5:], rel=1e-7)
 
 
+@pytest.mark.parametrize(("size", "most_pairs"), [(300, 40), (0, 0)])
+def test_language_model_counts_every_token_whatever_the_size_of_its_tables(documents, rows, awkward, monkeypatch, size, most_pairs):
+    monkeypatch.setattr(suffix_tree_lm, "COMMON", size)
+    for docs, table in ((documents, [(i, t) for i, t, _ in rows]), (awkward, [(r[0], r[1]) for r in awkward_rows()])):
+        got = language_rows(suffix_tree_lm.score(docs, most_pairs=most_pairs))
+        expected = sorted(language_truth(table, 1 << 40)[0], key=str)
+        assert [g[:5] for g in got] == [e[:5] for e in expected]
+        assert [x for g in got for x in g[5:]] == pytest.approx([x for e in expected for x in e[5:]], rel=1e-7)
+
+
+def test_language_model_knows_the_order_of_words_beyond_its_tables(spark):
+    each, ids = 5_000, [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 3 * (chunks := suffix_tree_lm.COMMON // each + 1) <= len(ids)
+    learnt = [(i, " ".join(f"q{w}" for w in range(k % chunks * each, (k % chunks + 1) * each))) for k, i in enumerate(ids[: 3 * chunks])]
+    asked = [f"q{w}" for w in range(100, 200)]
+    held = [i for i in range(1_000) if i not in ids][:2]
+    df = spark.createDataFrame([*learnt, (held[0], " ".join(asked)), (held[1], " ".join(asked[::-1]))], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(df).filter("held_out").collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 300
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     found = suffix_tree_lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out")
     base, score, better = found.agg(F.sum("base_score"), F.sum("score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
