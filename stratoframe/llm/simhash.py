@@ -22,9 +22,10 @@ Null and empty texts have no words: fingerprint zero, linked as any other. Repea
 input other than the id and the text are ignored.
 
 Beyond the few bits of such links, ``similar_texts`` groups texts by the exact Jaccard similarity of their word shingles: a
-pair at similarity 0.8 differs by 9 or 10 bits on average, more than the grid's blocks allow for. Its cells are ``BANDS`` bands of
+pair at similarity 0.8 differs by 9 or 10 bits on average, more than the grid's blocks allow for. Its candidates are the links of the
+same fingerprints, embedding and grid, and for pairs of more bits the texts that share a cell of a second kind: ``BANDS`` bands of
 ``BAND`` minimum hashes of the shingles each (a pair at 0.8 misses all of them with a chance of 0.0007, a closer one less).
-Texts that cells connect are candidates; each connected group's texts are gathered once, in chunks of ``CHUNK`` characters
+Texts that either connects are candidates; each connected group's texts are gathered once, in chunks of ``CHUNK`` characters
 that meet pairwise, and only pairs whose shingle sets are similar enough become links.
 """
 
@@ -279,7 +280,16 @@ def similar_pairs(sets: list[frozenset[int]], first: list[bool] | None, similari
     return links
 
 
-def similar_texts(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE, chunk: int = CHUNK) -> DataFrame:
+def grid_links(rows: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """a, b: nodes of rows (node, text) that equal fingerprints and the grid's links connect."""
+    marked = cut_lineage(fingerprints(rows, "node", "text", shingle))
+    firsts = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    same = marked.join(firsts, "fp").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = links(firsts, distance).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
+
+
+def similar_texts(docs: DataFrame, similarity: float, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE, chunk: int = CHUNK, distance: int = DISTANCE) -> DataFrame:
     """doc_id, component_id (the least doc_id that links of at least the similarity reach) for each distinct id; an id stands for one text and is a long."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +303,7 @@ def similar_texts(docs: DataFrame, similarity: float, doc_id: str = "doc_id", te
     in_cells = cut_lineage(rows.mapInArrow(dealt, "cell long, node long").distinct())
     shared = cut_lineage(in_cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("cell", "a"))
     star = in_cells.join(F.broadcast(shared) if shared.count() <= BROADCAST_CELLS else shared, "cell").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    near = cut_lineage(components(star))
+    near = cut_lineage(components(grid_links(rows, shingle, distance).unionByName(star)))
     nodes = in_cells.select("node").distinct()
 
     weight = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(LEAST_CHARS)).cast("long")

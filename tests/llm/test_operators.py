@@ -499,6 +499,27 @@ def test_pipeline_finds_edited_copies(spark, awkward, chunk):
         assert corpus_pipeline.near_duplicates(spark, full.limit(0), "").count() == 0
 
 
+def test_pipeline_near_duplicates_go_through_the_grid(spark, monkeypatch):
+    rng, found, searched = random.Random(9), [], []
+    words = [f"w{rng.randrange(5_000)}" for _ in range(2_000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "edited"]), " ".join(words[::-1])]
+    grid, search = simhash.grid_links, simhash.components
+
+    def from_the_grid(rows, shingle, distance):
+        found.append(grid(rows, shingle, distance))
+        return found[-1]
+
+    def components(pairs, *rounds):
+        searched.append(pairs)  # the first search is of candidates: those of the bands are taken away
+        return search(found[0] if len(searched) == 1 else pairs, *rounds)
+
+    monkeypatch.setattr(simhash, "grid_links", from_the_grid)
+    monkeypatch.setattr(simhash, "components", components)
+    full = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, full, "").collect()} == {0, 2}
+    assert len(found) == 1
+
+
 # -- html
 
 
