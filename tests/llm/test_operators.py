@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -353,6 +355,28 @@ def test_spelling_tree(spark, monkeypatch, size):
     assert suffix_tree_lm.spell(asked, tree) == pytest.approx([spell(w) for w in asked])
 
 
+def test_symbols_of_many_words_are_counted_in_little_memory():
+    words = [b"%012d" % (k * 7919) for k in range(200_000)]
+    tracemalloc.start()
+    codes, counts = suffix_tree_lm.edges_of(words, np.full(len(words), 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert counts[codes >> np.uint64(56) == 0].sum() == 3 * sum(len(w) + 1 for w in words)
+
+
+def test_lookups_of_pairs_run_one_worker_in_a_task(spark):
+    rows = spark.createDataFrame([(u, w, 2) for u in (0, 1, -5, -6) for w in (1, -5)], "u long, w long, n long")
+    of_u, of_w = {0: 10.0, 1: 11.0, -5: 15.0}, {0: 20.0, 1: 21.0, -5: 25.0}
+    table = lambda found, name: ({name: np.array([found[0], found[1]])}, spark.createDataFrame([(-5, found[-5])], f"key long, {name} double"))
+    got = suffix_tree_lm.with_known(rows, {"u": table(of_u, "a"), "w": table(of_w, "b")}, {"both": lambda u, w: u * 100 + w})
+    found = sorted((r["u"], r["w"], r["n"], r["a"], r["b"]) for r in got.collect())
+    assert found == sorted((u, w, 2, of_u[u], of_w[w]) for u in of_u for w in (1, -5))
+    assert all(r["both"] == r["u"] * 100 + r["w"] for r in got.collect())
+    workers = lambda node: (node.nodeName() == "MapInArrow") + max([workers(node.children().apply(k)) for k in range(node.children().size())], default=0)
+    assert workers(got._jdf.queryExecution().optimizedPlan()) == 1
+
+
 def test_language_model_awkward(awkward):
     table = [(r[0], r[1]) for r in awkward_rows()]
     for common in (suffix_tree_lm.COMMON, 0):
