@@ -50,6 +50,15 @@ def test_query(spark, oracle, name):
         assert got == sorted(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in found.fetchall())
 
 
+def test_changes_of_large_sums_are_different(spark, tmp_path):
+    """Sums as large as those of tables that are many times larger."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (l_quantity * 10000 AS l_quantity) FROM '{FOLDER}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = [tuple(r) for r in catalogue.queries()["compare_datasets"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(catalogue.oracle_sql()["compare_datasets"]).fetchall()
+
+
 def test_entry_registers_all():
     import __spark_entry__ as entry
 

@@ -474,6 +474,26 @@ def test_overlaps_are_compared(spark):
     assert statistics.spacing_km(c) == pytest.approx(math.sqrt(6371.0**2 * (math.sin(math.radians(30)) + math.sin(math.radians(20))) * math.radians(75) / 6))
 
 
+def test_small_changes_of_large_values_are_different(spark):
+    c = analytic(spark).select("a").rescale({"a": (1, 546000)})
+    changed = c.with_("changed", df=c.df.withColumn("a", F.col("a") + F.when(F.col("cell") == 1, 1.0).otherwise(0.0)))
+    assert [tuple(r) for r in statistics.compare(c, changed).collect()] == [("a", 120, 20, 1.0)]
+    assert [tuple(r) for r in statistics.compare(c, c).collect()] == [("a", 120, 0, 0.0)]
+    assert statistics.compare(c, changed, relative=1e-5).first()["different"] == 0
+    assert statistics.compare(c, changed, absolute=0.5).first()["different"] == 20
+
+
+@pytest.mark.parametrize("tolerances", [{}, {"absolute": 1e-6, "relative": 1e-5}])
+@pytest.mark.parametrize(
+    ("x", "y", "different", "largest"),
+    [("inf", "inf", 0, 0.0), ("-inf", "inf", 1, math.inf), ("1", "inf", 1, math.inf), ("inf", "1", 1, math.inf), ("nan", "nan", 0, None), ("nan", "inf", 1, None), ("2", "nan", 1, None), ("0", "-0", 0, 0.0)],
+)
+def test_values_that_are_not_numbers_are_compared(spark, x, y, different, largest, tolerances):
+    c = analytic(spark, 1, ("a",), 1, 1)
+    one, other = (c.with_("value", df=c.df.withColumn("a", F.lit(float(v)))) for v in (x, y))
+    assert [tuple(r) for r in statistics.compare(one, other, **tolerances).collect()] == [("a", 1, different, largest)]
+
+
 def test_requests_are_tables(spark):
     at = [datetime(2024, 3, 1), datetime(2024, 3, 1, 6)]
     rows = lambda df: [r.asDict() for r in df.collect()]
